@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import exact_dedup, line_dedup, sharding
+from tallyspark.llm import byte_bpe, exact_dedup, line_dedup, lm_score, mixing, quality, sharding
 from tallyspark.llm.common import table
 
 
@@ -10,7 +10,11 @@ def queries() -> dict:
     return {
         "op2_minimax_shards": lambda spark, d: sharding.query(table(spark, d, "documents")),
         "op3_exact_dedup": exact_dedup.query,
+        "op5_lm_score": lambda spark, d: lm_score.query(table(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
+        "op7_mix_sources": lambda spark, d: mixing.query(table(spark, d, "documents")),
+        "op8_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op10_byte_bpe": lambda spark, d: byte_bpe.query(table(spark, d, "documents")),
     }
 
 
