@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, exact_dedup, line_dedup, lm_score, mixing, quality, sharding
+from tallyspark.llm import byte_bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality, sharding
 from tallyspark.llm.common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op2_minimax_shards": lambda spark, d: sharding.query(table(spark, d, "documents")),
         "op3_exact_dedup": exact_dedup.query,
+        "op4_near_dedup": lambda spark, d: near_dedup.query(table(spark, d, "documents")),
         "op5_lm_score": lambda spark, d: lm_score.query(table(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
         "op7_mix_sources": lambda spark, d: mixing.query(table(spark, d, "documents")),
