@@ -19,6 +19,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no space is set aside for their logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
