@@ -100,31 +100,23 @@ def plan(groups: DataFrame, shards: int) -> tuple[Plan, DataFrame]:
     others, open_shards = _ordered(groups, giants), shards - len(giants)
     width = max(1, -(-left // MAX_BINS))
     bins = _bins(others, width)
+    opened = lambda b: np.ones(len(b), bool)  # noqa: E731  no cut falls outside what was opened last
     while True:
         starts = bins["start"].to_numpy(np.int64)
         capacity = smallest_capacity(starts, left, 0, open_shards)
         cuts = greedy(starts, left, 0, open_shards, capacity)
-        coarse = bins[bins["groups"] > 1]
-        # no shard can need less than this; with less than it, the k-th cut only comes earlier
-        least = max(1, capacity - 2 * int(coarse["bytes"].max() if len(coarse) else 0))
-        if not len(coarse) or capacity == 1:
+        widest = int(np.max(np.where((bins["groups"] > 1) & opened(bins), bins["bytes"], 0), initial=0))
+        if not widest:
             break
-        early, late = _bounds(bins, left, open_shards, least, capacity)
-        ends = coarse["start"].to_numpy(np.int64) + coarse["bytes"].to_numpy(np.int64)
-        inside = np.zeros(len(coarse), bool)
-        for low, high in zip(early, late, strict=False):
-            inside |= (ends > low) & (coarse["start"].to_numpy(np.int64) <= high)
-        if not inside.any():
+        # cuts at bins' edges need at most one bin more than cuts between groups
+        least = max(1, capacity - 2 * widest)
+        windows = _windows(bins, *_bounds(bins, left, open_shards, least, capacity))
+        if not windows:
             break
-        opened = coarse[inside]
-        finer = max(1, int(opened["bytes"].sum()) // (MAX_BINS // 2))
-        width = min(max(1, width // 2), finer)
-        ranges = others.sparkSession.createDataFrame(
-            [(int(s), int(s + b)) for s, b in zip(opened["start"], opened["bytes"], strict=True)], "low long, high long"
-        )
-        # the bins are disjoint and in order, so a group's bin is the last that starts at or before it
-        within = others.join(F.broadcast(ranges), (F.col("start") >= F.col("low")) & (F.col("start") < F.col("high")), "left_semi")
-        bins = _merged(bins.drop(opened.index), _bins(within, width))
+        width = min(max(1, width // 2), max(1, sum(e - s for s, e in windows) // (MAX_BINS // 2)))
+        inside = " OR ".join(f"(start >= {s} AND start < {e})" for s, e in windows)  # one a shard at most; the scan gets it
+        opened = lambda b, w=windows: np.any([(b["start"] >= s) & (b["start"] < e) for s, e in w], axis=0)
+        bins = _merged(bins[~opened(bins)], _bins(others.where(inside), width))
     return Plan(giants, [int(c) for c in cuts], int(capacity)), others
 
 
@@ -143,6 +135,23 @@ def _merged(a, b):
     return pd.concat([a, b]).sort_values("start", ignore_index=True)
 
 
+def _windows(bins, early: list[int], late: list[int]) -> list[tuple[int, int]]:
+    """The stretches, from bin to bin, that a cut may fall into and that hold a bin of several groups."""
+    starts = bins["start"].to_numpy(np.int64)
+    ends, several = starts + bins["bytes"].to_numpy(np.int64), bins["groups"].to_numpy() > 1
+    out: list[tuple[int, int]] = []
+    for low, high in zip(early, late, strict=True):
+        at = np.flatnonzero(several & (ends > low) & (starts <= high))
+        if not len(at):
+            continue
+        s, e = int(starts[at[0]]), int(ends[at[-1]])
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _bounds(bins, total: int, shards: int, least: int, capacity: int) -> tuple[list[int], list[int]]:
     """Where the k-th cut can fall, whatever lies inside the bins: capacities from least to capacity."""
     early, late, low, high = [], [], 0, 0
