@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality, sharding
+from tallyspark.llm import byte_bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding
 from tallyspark.llm.common import table
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": lambda spark, d: license_scan.query(table(spark, d, "documents")),
         "op2_minimax_shards": lambda spark, d: sharding.query(table(spark, d, "documents")),
         "op3_exact_dedup": exact_dedup.query,
         "op4_near_dedup": lambda spark, d: near_dedup.query(table(spark, d, "documents")),
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op6_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
         "op7_mix_sources": lambda spark, d: mixing.query(table(spark, d, "documents")),
         "op8_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op9_embedding_dedup": lambda spark, d: embedding_dedup.query(table(spark, d, "embeddings")),
         "op10_byte_bpe": lambda spark, d: byte_bpe.query(table(spark, d, "documents")),
     }
 
