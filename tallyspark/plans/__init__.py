@@ -1 +1,5 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, one module an area."""
+
+from tallyspark.plans import months
+
+MODULES = [months]

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 
 def _all() -> dict:
-    return {}
+    from tallyspark.plans import MODULES
+
+    found: dict = {}
+    for module in MODULES:
+        found |= module.QUERIES
+    return found
 
 
 def queries() -> dict:
