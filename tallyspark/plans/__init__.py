@@ -1,5 +1,5 @@
 """Registered queries and their SQL, one module an area."""
 
-from tallyspark.plans import months
+from tallyspark.plans import checks, months, recurring
 
-MODULES = [months]
+MODULES = [months, recurring, checks]
