@@ -107,3 +107,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.select(F.col("a").alias("node")).join(roots, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+def slices(batch, column: int, most: int = 8 << 20):
+    """The batch in runs of rows whose values in a text column have about so many bytes; one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)

@@ -134,15 +134,16 @@ def same_amounts(ledger: DataFrame) -> DataFrame:
 
 def category_spikes(categories: DataFrame, least_months: int = 3, limit: float = 3.5) -> DataFrame:
     """Months whose spending in a category is over the median of all earlier months by a modified z-score above the limit."""
-    at = F.col("year") * 12 + F.col("month") - 1
-    rows = categories.select("user_id", "year", "month", "category", "spending_cents", at.alias("mi"))
-    past = F.collect_list("spending_cents").over(Window.partitionBy("user_id", "category").orderBy("mi").rowsBetween(Window.unboundedPreceding, -1))
-    median = lambda a: (a[F.floor((F.size(a) - 1) / 2).cast("int")] + a[F.floor(F.size(a) / 2).cast("int")]) / 2
-    rows = rows.withColumn("past", F.array_sort(past)).where(F.size("past") >= least_months).withColumn("median_cents", median(F.col("past")))
-    rows = rows.withColumn("off", F.array_sort(F.transform("past", lambda v: F.abs(v - F.col("median_cents"))))).withColumn("mad_cents", median(F.col("off")))
+    rows = categories.select("user_id", "year", "month", "category", "spending_cents", (F.col("year") * 12 + F.col("month") - 1).alias("mi"))
+    past = rows.select("user_id", "category", F.col("mi").alias("past_mi"), F.col("spending_cents").alias("x"))
+    # as many pairs as months squared, for each user's category
+    pairs = rows.join(past, ["user_id", "category"]).where("past_mi < mi")
+    key = ["user_id", "year", "month", "category", "spending_cents"]
+    middle = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("x", 0.5).alias("median_cents")).where(F.col("n") >= least_months)
+    spread = pairs.join(middle, key).groupBy(*key, "median_cents").agg(F.percentile(F.abs(F.col("x") - F.col("median_cents")), 0.5).alias("mad_cents"))
     z = F.when(F.col("mad_cents") > 0, F.lit(0.6745) * F.abs(F.col("spending_cents") - F.col("median_cents")) / F.col("mad_cents")).otherwise(F.lit(0.0))
-    return rows.withColumn("z", z).where((F.col("z") > limit) & (F.col("spending_cents") > F.col("median_cents"))).select(
-        "user_id", "year", "month", "category", "spending_cents", "median_cents", "mad_cents", "z"
+    return spread.withColumn("z", z).where((F.col("z") > limit) & (F.col("spending_cents") > F.col("median_cents"))).select(
+        *key, "median_cents", "mad_cents", "z"
     )
 
 

@@ -1,5 +1,5 @@
 """Registered queries and their SQL, one module an area."""
 
-from tallyspark.plans import checks, months, recurring
+from tallyspark.plans import checks, months, recurring, scalars
 
-MODULES = [months, recurring, checks]
+MODULES = [months, recurring, checks, scalars]
