@@ -150,8 +150,8 @@ def ingestion_status(date_status: Column, amount: Column, pending: Column) -> Co
 
 
 def merge_debit_credit(debit: Column, credit: Column) -> Column:
-    """Signed amount: a nonzero debit is negative and wins, else the credit."""
-    return F.when(F.coalesce(debit, F.lit(0)) != 0, -F.abs(debit)).otherwise(F.abs(credit))
+    """Signed amount: a nonzero debit is negative and wins, else a nonzero credit; null if there is neither."""
+    return F.when(F.coalesce(debit, F.lit(0)) != 0, -F.abs(debit)).when(F.coalesce(credit, F.lit(0)) != 0, F.abs(credit))
 
 
 def enforce_sign(amount: Column, kind: Column) -> Column:

@@ -107,7 +107,7 @@ QUERIES = {
             f.enforce_sign(F.col("event_id"), F.when(F.col("event_id") % 2 == 0, " DR").otherwise("Credit")).alias("signed"),
             f.currency(F.when(F.col("event_id") % 2 == 0, "€5").otherwise("5"), F.when(F.col("event_id") % 3 == 0, "chf")).alias("currency"),
             f.ingestion_status(F.when(F.col("event_id") % 5 == 0, "AMBIGUOUS").otherwise("RESOLVED"), F.when(F.col("event_id") % 7 > 0, F.lit(1)), F.col("event_id") % 11 == 0).alias("status")),
-        """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN -event_id ELSE user_id END AS merged, CASE WHEN event_id % 2 = 0 THEN -event_id ELSE event_id END AS signed,
+        """SELECT event_id AS id, nullif(CASE WHEN event_id % 3 = 0 THEN -event_id ELSE user_id END, 0) AS merged, CASE WHEN event_id % 2 = 0 THEN -event_id ELSE event_id END AS signed,
            CASE WHEN event_id % 2 = 0 THEN 'EUR' WHEN event_id % 3 = 0 THEN 'CHF' ELSE 'USD' END AS currency,
            CASE WHEN event_id % 5 = 0 THEN 'UNRESOLVED' WHEN event_id % 7 = 0 THEN 'UNRESOLVED' WHEN event_id % 11 = 0 THEN 'WARNING' ELSE 'VALID' END AS status
            FROM events""",
