@@ -158,14 +158,14 @@ def inherit(found: DataFrame, path_col: str = "path") -> DataFrame:
     nearest = climbed.join(given.where(F.col("above").isNotNull()), "above").groupBy("__dir").agg(
         F.max_by(F.struct("above", "given"), "depth").alias("from")
     )
-    nearest = written(nearest.select(F.col("__dir").alias("d"), "from.above", "from.given"), "licence-dirs")
+    nearest = written(nearest.select(F.col("__dir").alias("__d"), F.col("from.above").alias("__above"), F.col("from.given").alias("__given")), "licence-dirs")
     none_of_its_own = F.col("licence").isNull()
-    joined = files.drop("inherited_licence", "inherited_from", "effective_licence").join(nearest, F.col("__dir") == F.col("d"), "left")
+    joined = files.drop("inherited_licence", "inherited_from", "effective_licence").join(nearest, F.col("__dir") == F.col("__d"), "left")
     return joined.withColumns({
-        "inherited_licence": F.when(none_of_its_own, F.col("given")),
-        "inherited_from": F.when(none_of_its_own, F.col("above")),
-        "effective_licence": F.coalesce("licence", "given"),
-    }).drop("__dir", "d", "above", "given")
+        "inherited_licence": F.when(none_of_its_own, F.col("__given")),
+        "inherited_from": F.when(none_of_its_own, F.col("__above")),
+        "effective_licence": F.coalesce("licence", "__given"),
+    }).drop("__dir", "__d", "__above", "__given")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

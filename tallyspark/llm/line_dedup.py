@@ -72,20 +72,22 @@ def dedup_lines(
     Null and empty texts are one empty line, whose key has no characters: they stay
     as they are (null stays null). Only ``\\n`` ends a line.
     """
-    maps = drop_bitmaps(docs, id_col, text_col, min_docs, min_chars)
+    maps = drop_bitmaps(docs, id_col, text_col, min_docs, min_chars).select(
+        F.col("doc").alias("__doc"), F.col("body").alias("__of"), F.col("drops").alias("__drops")
+    )
     keyed = docs.withColumn("__body", F.xxhash64(text_of(text_col)))
     joined = keyed.join(
         maps.hint("shuffle_hash"),
-        F.col(id_col).eqNullSafe(F.col("doc")) & (F.col("__body") == F.col("body")),
+        F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__body") == F.col("__of")),
         "left",
     )
     lines = F.split(F.col(text_col), "\n", -1)
-    stays = lambda _, i: F.coalesce(F.col("drops")[F.shiftright(i, 6)], F.lit(0)).bitwiseAND(
+    stays = lambda _, i: F.coalesce(F.col("__drops")[F.shiftright(i, 6)], F.lit(0)).bitwiseAND(
         F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)
     ) == 0
-    text = F.when(F.col("drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     n_dropped = F.coalesce(
-        F.aggregate(F.map_values("drops"), F.lit(0).cast("long"), lambda n, bits: n + F.bit_count(bits)), F.lit(0).cast("long")
+        F.aggregate(F.map_values("__drops"), F.lit(0).cast("long"), lambda n, bits: n + F.bit_count(bits)), F.lit(0).cast("long")
     )
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],

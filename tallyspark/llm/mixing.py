@@ -158,13 +158,15 @@ def plan(
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs with each row as often as its plan shows it; the columns of docs. See plan."""
     shown = plan(docs, id_col, text_col, source_col, **how)
-    times = shown.groupBy("id", "body", "n_tokens", F.col("source").alias("s")).agg(F.countDistinct("epoch").cast("int").alias("times"))
+    times = shown.groupBy(F.col("id").alias("__id"), F.col("body").alias("__b"), F.col("source").alias("__s")).agg(
+        F.countDistinct("epoch").cast("int").alias("__times")
+    )
     keyed = docs.withColumn("__body", F.xxhash64(text_of(text_col)))
     joined = keyed.join(
         times.hint("shuffle_hash"),
-        F.col(id_col).eqNullSafe(F.col("id")) & (F.col("__body") == F.col("body")) & F.col(source_col).eqNullSafe(F.col("s")),
+        F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__b")) & F.col(source_col).eqNullSafe(F.col("__s")),
     )
-    return joined.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__time")).drop("__time")
+    return joined.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -157,6 +157,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         return Model(base, [empty] * x.shape[1], [np.zeros(1)] * x.shape[1], [], [empty] * x.shape[1], [])
     test = np.arange(len(y)) % 5 == 4
     weight = (~test).astype(float)
+    if not test.any():  # under five rows
+        test = ~test
     edges = [_edges(x[:, j], BINS) for j in range(x.shape[1])]
     bins = [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(edges)]
     tables = [np.zeros(len(e) + 1) for e in edges]

@@ -12,8 +12,9 @@ ODD = [
 def odd(spark, tmp_path_factory):
     """A small table of nulls, empty and very long texts, ties, repeated rows and columns with clashing names."""
     path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
-    rows = [(i, t, "en", s, len(t or ""), 1, 2, 3, 4) for i, t, s in ODD]
-    columns = "doc_id long, text string, lang string, source string, n_chars long, id int, key int, a int, digest int"
+    clash = "id key a digest node doc body drops given above root d s b h times shard word row"
+    rows = [(i, t, "en", s, len(t or ""), *range(len(clash.split()))) for i, t, s in ODD]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash.split())
     spark.createDataFrame(rows, columns).write.parquet(path)
     return path
 
