@@ -1,5 +1,5 @@
 """Registered queries and their SQL, one module an area."""
 
-from tallyspark.plans import checks, months, recurring, scalars
+from tallyspark.plans import cards, checks, months, recurring, rules, scalars
 
-MODULES = [months, recurring, checks, scalars]
+MODULES = [months, recurring, checks, scalars, cards, rules]
