@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import text_of
+from tallyspark.llm.common import text_of, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,9 +48,11 @@ def drop_bitmaps(
     The hashes are range-partitioned by (hash, document), so a line that stands in a
     third of all documents is spread over many tasks; within a partition they are
     sorted by document and position, and only the first occurrence in a document
-    counts. Two 64-bit hashes name a key.
+    counts. Two 64-bit hashes name a key. The hashes are written once: finding the
+    ranges, counting and marking all read them, and split no text again.
     """
-    ranged = _lines(docs, id_col, text_col, min_chars).repartitionByRange("h1", "h2", "doc", "body")
+    hashed = written(_lines(docs, id_col, text_col, min_chars), "line-hashes")
+    ranged = hashed.repartitionByRange("h1", "h2", "doc", "body")
     in_doc = Window.partitionBy("h1", "h2", "doc", "body").orderBy("pos")
     first = ranged.withColumn("first", F.row_number().over(in_doc) == 1)
     frequent = (
