@@ -1,7 +1,8 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 Samples are banded; texts that share a band's key are compared by weighted Jaccard
-similarity. A bucket is joined to its most central text, never pair by pair.
+similarity. A bucket is joined to its most central text, never pair by pair; what that
+leaves in different classes is joined by the rarest shingles.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ BANDS, ROWS = 14, 3
 CLASS_BITS = 18
 #: Buckets of at most so many texts are compared pair by pair, at most 28 pairs.
 SMALL = 8
-#: Larger buckets are compared to so many heads, round by round. What no head matched is compared by shared rare shingles.
+#: Larger buckets are compared to so many heads, round by round. If that leaves several classes in one, all its texts are
+#: compared across the classes by shared rare shingles.
 HEADS = 1, 4
 #: So many shingles in front of a shared one tell whether it is the first; more would only make fewer pairs twice.
 BEFORE = 8
+#: A shingle's holders are paired in cells of about so many by so many.
+CELL = 64
 REMEMBERED = 500_000
 
 
@@ -168,50 +172,64 @@ def _more(tried: DataFrame | None, asked: DataFrame, texts: DataFrame, inverse:
 
 
 def _prefix_pairs(waiting: DataFrame, texts: DataFrame, inverse: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b) of all nodes that wait and can be similar: exact prefix filtering.
-
-    Shingles are taken rarest class first, until those left weigh less than the
-    threshold's share of the text. Texts without a common one among them are less
-    similar than the threshold, and so are texts one of which weighs so much less.
-    A pair is made at its first common shingle, where what either text has from there
-    on bounds all they share; a pair that shares one of the BEFORE shingles in front has
-    been made there.
+    """(a, b) of all nodes that wait, are of different classes and can be similar: exact prefix filtering.
+
+    A node is of its `class`; without that column, each is one. Shingles are taken rarest
+    class first, until those left weigh less than the threshold's share of the text.
+    Texts without a common one among them are less similar than the threshold, and so
+    are texts one of which weighs so much less. A pair is made at its first common
+    shingle, where what either text has from there on bounds all they share; a pair that
+    shares one of the BEFORE shingles in front has been made there.
+
+    The holders of a shingle that are not of its largest class are joined to all of its
+    holders, so a large class is never paired with itself. Both sides are dealt to cells.
     """
 
     def run(batches):
         words = _Words()
         for batch in batches:
-            nodes, tokens, whole, rest, before = [], [], [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, tokens, whole, rest, before = [], [], [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 h, weight = weighted(words, inverse, text)
                 order = np.lexsort((h, -inverse[(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]))
                 left = weight.sum() - np.cumsum(weight[order])
                 n = np.searchsorted(-left, -threshold * weight.sum(), "right") + 1
                 tokens.append(h[order[:n]].view(np.int64))
-                nodes += [node] * len(tokens[-1])
+                at += [row] * len(tokens[-1])
                 whole.append(np.full(len(tokens[-1]), weight.sum()))
                 rest.append((left + weight[order])[: len(tokens[-1])])
                 before += [tokens[-1][max(0, i - BEFORE) : i] for i in range(len(tokens[-1]))]
-            columns = [pa.array(nodes, pa.binary())] + [
+            columns = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(2)] + [
                 pa.array(np.concatenate(x) if x else [], t) for x, t in ((tokens, pa.int64()), (whole, pa.float64()), (rest, pa.float64()))
             ]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.list_(pa.int64()))], ["node", "token", "whole", "rest", "before"])
-
-    nodes = written(waiting.select("node").distinct(), "near-rest")
-    found = texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(run, "node binary, token long, whole double, rest double, before array<long>")
-    found = written(found, "near-prefixes")
-    shared = found.join(found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "token")
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.list_(pa.int64()))], ["node", "class", "token", "whole", "rest", "before"])
+
+    own = F.col("class") if "class" in waiting.columns else F.col("node").alias("class")
+    nodes = written(waiting.select("node", own).distinct(), "near-rest")
+    held = texts.select("node", "text").join(nodes.hint("merge"), "node").select("node", "class", "text")
+    found = written(held.mapInArrow(run, "node binary, class binary, token long, whole double, rest double, before array<long>"), "near-prefixes")
+    counted = found.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token")
+    counted = counted.agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    shared = found.join(counted.select("token", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("largest")), "token")
+    shared = shared.withColumns({"major": F.col("class") == F.col("largest"), "of_a": F.ceil(F.col("others") / CELL), "of_b": F.ceil(F.col("n") / CELL)})
     near_size = F.least("whole_a", "whole_b") >= F.greatest("whole_a", "whole_b") * (threshold * (1 - 1e-9))
     enough = F.least("rest_a", "rest_b") >= (F.col("whole_a") + F.col("whole_b")) * (threshold / (1 + threshold) * (1 - 1e-9))
     first = ~F.arrays_overlap("before_a", "before_b")
-    a, b = (shared.select("token", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("whole", "rest", "before"))) for n in "ab")
-    return a.join(b, "token").where("a < b").where(near_size & enough & first).select("a", "b").distinct()
+    sides = []
+    for n, rows, mine, other in (("a", shared.where("not major"), "of_a", "of_b"), ("b", shared, "of_b", "of_a")):
+        # each holder is in one row of cells, or column, and in all of its cells
+        cell = F.pmod(F.xxhash64(F.lit(n), "node"), F.col(mine)).alias(f"at_{n}")
+        all_cells = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("at_b" if n == "a" else "at_a")
+        sides.append(rows.select("token", cell, all_cells, F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("class", "major", "whole", "rest", "before"))))
+    pairs = sides[0].join(sides[1], ["token", "at_a", "at_b"]).where("class_a <> class_b and (major_b or a < b)").where(near_size & enough & first)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, text_col: str = "text", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(node of each row of docs, links between nodes). A node is a text, by its digest.
 
-    The rows are docs and node. links: a, b, sim >= threshold, between different texts.
+    The rows are docs and node. links: a, b, between different texts; they connect what all
+    pairs of similarity >= threshold in a bucket connect.
     """
     noded = docs.withColumn("__node", F.unhex(F.md5(text_of(text_col))))
     inverse = inverse_frequencies(docs, text_col)
@@ -237,7 +255,8 @@ def near_links(docs: DataFrame, text_col: str = "text", threshold: float = SIMIL
 
     small = members.where(F.col("m") <= SMALL).select("band", "key", "node")
     pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), ["band", "key"]).where("a < b").select("a", "b")
-    waiting, tried = members.where(F.col("m") > SMALL).select("band", "key", "node", "central"), None
+    large = members.where(F.col("m") > SMALL).select("band", "key", "node", "central")
+    waiting, tried = large, None
     for heads_each in HEADS:
         # a head from each part of a bucket by hash; every other member that waits is compared to all of them
         part = F.pmod(F.xxhash64(F.lit(heads_each), "node"), F.lit(heads_each))
@@ -253,10 +272,16 @@ def near_links(docs: DataFrame, text_col: str = "text", threshold: float = SIMIL
         waiting = written(unmatched.join(heads.withColumnRenamed("head", "node"), ["band", "key", "node"], "left_anti"), "near-waiting")
         if waiting.isEmpty():
             break
-    else:
-        tried = _more(tried, _prefix_pairs(waiting, texts, inverse, threshold), texts, inverse)
-    links = tried.where(F.col("sim") >= threshold)
-    return noded, links
+    links = tried.where(F.col("sim") >= threshold).select("a", "b")
+    if heads_each == HEADS[0]:
+        return noded, links  # no bucket has two classes
+    # a head's own are one class, but texts of different heads, or of none, can be similar as well
+    classes = written(components(links), "near-classes")
+    large = large.join(classes, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("class"))
+    several = large.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    rest = large.join(several.select("band", "key"), ["band", "key"], "left_semi").select("node", "class")
+    more = written(_verified(_prefix_pairs(rest, texts, inverse, threshold), texts, inverse), "near-checked")
+    return noded, classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where(F.col("sim") >= threshold).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:

@@ -28,6 +28,35 @@ def test_large_buckets_lose_nothing(spark):
     assert all(got[100 + i][0] == i for i in range(30))
 
 
+def test_chains_in_large_buckets_lose_nothing(spark):
+    """Z is near Y and Y near the many copies of H, but Z is not near H: the head takes Y and not Z."""
+    rng, rows = random.Random(5), []
+    for family in range(16):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        rows += [(100 * family + i, " ".join([*base, f"end{i}"])) for i in range(12)]
+        rows += [(100 * family + 50, " ".join(base[:101])), (100 * family + 51, " ".join(base[:83]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    inverse = near_dedup.inverse_frequencies(docs)
+    w = [near_dedup.weighted(near_dedup._Words(), inverse, text) for _, text in rows[:14]]
+    assert near_dedup.similarity(w[13], w[12]) >= 0.8 > max(near_dedup.similarity(w[13], x) for x in w[:12])
+    got = {r.doc_id: (r.component_id, r.group_size) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == near_classes(rows, inverse)
+    assert all(n == 14 for _, n in got.values())
+
+
+def test_prefix_pairs_cross_classes_only(spark, monkeypatch):
+    """All pairs between classes, none within, however the holders of a shingle are dealt to cells."""
+    monkeypatch.setattr(near_dedup, "CELL", 3)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join([*base, f"x{i}"]) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, min(i, 20)) for i, t in enumerate(texts)], "doc_id long, text string, of long")
+    inverse = near_dedup.inverse_frequencies(docs)
+    nodes = docs.selectExpr("cast(lpad(doc_id, 4, '0') as binary) AS node", "cast(lpad(of, 4, '0') as binary) AS class", "text")
+    pairs = {(int(r.a.decode()), int(r.b.decode())) for r in near_dedup._prefix_pairs(nodes, nodes, inverse, 0.8).collect()}
+    assert pairs == {(i, j) for j in range(30) for i in range(min(j, 20))}
+
+
 def test_prefix_pairs_hold_all_links(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
