@@ -1,31 +1,32 @@
 """Language-model scoring by deleted interpolation.
 
-Words outside the most frequent ones are told apart by their shape in n-grams, and
-by their corpus counts within the shape. Bigram, unigram and uniform estimates of
-the symbols are mixed by weights for each bucket of the context's frequency;
-expectation-maximisation learns the weights on held-out counts.
+Word bigrams are counted over the whole corpus and stay a written table, whatever its
+size. Bigram, unigram and uniform estimates are mixed by weights for each bucket of the
+context's frequency; expectation-maximisation learns the weights on held-out counts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import slices, text_of, written
 
-#: Symbols: shapes first, then the most frequent words. Their square bounds the bigram table.
-SHAPES, SYMBOLS = 64, 1024
-#: Words whose counts every task holds; all others are at most 1/KNOWN_WORDS of the tokens each, and are joined.
-KNOWN_WORDS = 65536
+#: The columns of a table that mixture_weights takes as an array.
+SYMBOLS = 1024
+#: The most frequent words and bigrams, which every task holds; all others are joined.
+KNOWN_WORDS, KNOWN_PAIRS = 65536, 1 << 18
 #: Of the training texts, those of this remainder are held out from the counts that weights are learned with.
 MODULUS, TEST, DELETED = 7, 2, 3
 BUCKETS, ROUNDS = 48, 60
+#: Held-out bigrams are added up for the weights by bucket and by their estimates, so many cells to a factor of two.
+CELLS = 8
 #: Distinct words whose hashes a worker remembers; then it starts anew.
 REMEMBERED = 300_000
+#: The end of a text. As a context it is the start of the next one.
 END = 0x5EED0FE4D
 
 
@@ -34,15 +35,12 @@ def remainder(id_col: str) -> Column:
 
 
 class Words(dict):
-    """word -> its hash, whose six lowest bits are its shape: length and kind of the last byte."""
+    """word -> its hash."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        last = word[-1]
-        kind = 0 if 97 <= last <= 122 else 1 if last >= 128 else 2 if 48 <= last <= 57 else 3
-        shape = kind * 16 + min(len(word), 16) - 1
-        value = (xxhash.xxh64_intdigest(word) & ~63 | shape) - (1 << 63)
+        value = xxhash.xxh64_intdigest(word) - (1 << 63)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value
@@ -56,98 +54,94 @@ def _hashes(words: Words, text: str | None) -> list[int]:
     return found
 
 
-def _shape(hashes: np.ndarray) -> np.ndarray:
-    return np.where(hashes == END, 63, hashes & 63)
+def _tokens(words: Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts in column 0, how many each has)."""
+    found, sizes = [], []
+    for text in batch.column(0).to_pylist():
+        found += _hashes(words, text)
+        sizes.append(len(found))
+    return np.array(found, np.int64), np.diff(np.array([0, *sizes]))
 
 
-def unigrams(train: DataFrame) -> DataFrame:
-    """train: (text, deleted) -> (word, n): how often each word and the end stand in the texts."""
+def _contexts(tokens: np.ndarray) -> np.ndarray:
+    """What stands before each; every text ends with END, which so stands before the next."""
+    return np.concatenate(([END], tokens[:-1])).astype(np.int64)
 
-    def run(batches):
-        words = Words()
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            tokens = []
-            for text in batch.column(0).to_pylist():
-                tokens += _hashes(words, text)
-            values, counts = np.unique(np.array(tokens, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["word", "n"])
 
-    return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (before.view(np.uint64) ^ (before.view(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
 
 
-@dataclass
-class Vocabulary:
-    """The counts that every task holds. known: hashes in order; symbol: of each, or its shape."""
+def _sums(index: np.ndarray, some: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.bincount(index[some], minlength=n).astype(np.int64))
 
-    known: np.ndarray
-    counts: np.ndarray
-    symbol: np.ndarray
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, symbol) of each; count -1: not known here."""
-        if not len(self.known):
-            return np.full(len(hashes), -1), _shape(hashes)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        hit = self.known[at] == hashes
-        return np.where(hit, self.counts[at], -1), np.where(hit, self.symbol[at], _shape(hashes))
+def unigrams(train: DataFrame) -> DataFrame:
+    """train: (text, deleted) -> (word, n, deleted): how often each word and the end stand in the texts, and in the held-out ones."""
 
+    def run(batches):
+        words = Words()
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            tokens, sizes = _tokens(words, batch)
+            held = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
+            values, index = np.unique(tokens, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values), _sums(index, np.ones(len(index), bool), len(values)), _sums(index, held, len(values))], ["word", "n", "deleted"]
+            )
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toPandas()
-    known, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    symbol = _shape(known)
-    named = min(len(known), SYMBOLS - SHAPES)
-    symbol[:named] = SHAPES + np.arange(named)
-    order = np.argsort(known)
-    return Vocabulary(known[order], n[order], symbol[order].astype(np.int64))
+    counted = train.select("text", "deleted").mapInArrow(run, "word long, n long, deleted long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
 
 
-def bigrams(train: DataFrame, words: Vocabulary) -> DataFrame:
-    """(pair, n, deleted): the symbol before and the symbol, as one number; SYMBOLS stands before a text."""
+def bigrams(texts: DataFrame) -> DataFrame:
+    """texts: (text, part) -> (before, word, n, deleted) of all bigrams; n counts the training texts, and may be 0."""
 
     def run(batches):
-        cache = Words()
+        words = Words()
         for batch in (part for whole in batches for part in slices(whole, 0)):
-            tokens, ends, deleted = [], [], batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for text in batch.column(0).to_pylist():
-                tokens += _hashes(cache, text)
-                ends.append(len(tokens))
-            _, symbol = words.look_up(np.array(tokens, np.int64))
-            before = np.concatenate(([SYMBOLS], symbol[:-1]))
-            ends = np.array(ends)
-            before[ends[:-1]] = SYMBOLS
-            pair = before * SYMBOLS + symbol
-            held = np.repeat(deleted, np.diff(np.append(0, ends)))
-            values, index = np.unique(pair, return_inverse=True)
+            tokens, sizes = _tokens(words, batch)
+            before = _contexts(tokens)
+            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
+            _, at, index = np.unique(_pair_key(before, tokens), return_index=True, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values), pa.array(np.bincount(index, minlength=len(values))), pa.array(np.bincount(index[held], minlength=len(values)))],
-                ["pair", "n", "deleted"],
+                [pa.array(before[at]), pa.array(tokens[at]), _sums(index, part != TEST, len(at)), _sums(index, part == DELETED, len(at))],
+                ["before", "word", "n", "deleted"],
             )
 
-    counted = train.select("text", "deleted").mapInArrow(run, "pair long, n long, deleted long")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
+    counted = texts.select("text", "part").mapInArrow(run, "before long, word long, n long, deleted long")
+    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
+
+
+def counted_pairs(pairs: DataFrame, counts: DataFrame, top: pd.DataFrame) -> DataFrame:
+    """pairs and, of both words, n_ and deleted_ in the training texts (before: as a context), and whether top has the word.
+
+    Words of top, which are in many pairs, are looked up where the pairs are; the others' counts are joined.
+    """
+    known = F.broadcast(pairs.sparkSession.createDataFrame(top[["word", "n", "deleted"]], "word long, n long, deleted long"))
+    for c in ("before", "word"):
+        names = [F.col("word").alias(c), F.col("n").alias(f"n_{c}"), F.col("deleted").alias(f"deleted_{c}")]
+        pairs = pairs.join(known.select(*names, F.lit(True).alias(f"top_{c}")), c, "left")
+        # the names of the columns stay in one order on both sides of the union
+        held = pairs.where(f"top_{c}")
+        other = pairs.where(f"top_{c} is null").drop(f"n_{c}", f"deleted_{c}", f"top_{c}").join(counts.select(*names).hint("merge"), c, "left")
+        other = other.withColumns({f"n_{c}": F.coalesce(f"n_{c}", F.lit(0)), f"deleted_{c}": F.coalesce(f"deleted_{c}", F.lit(0)), f"top_{c}": F.lit(False)})
+        pairs = held.unionByName(other)
+    return pairs.drop("top_before")
 
 
 def bucket(context_counts: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.ceil(np.log2(context_counts + 1))).astype(np.int64)
 
 
-def mixture_weights(table: np.ndarray, deleted: np.ndarray) -> np.ndarray:
-    """(BUCKETS, 3) weights of the bigram, unigram and uniform estimate.
+def learned(which: np.ndarray, parts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(BUCKETS, 3) weights of the bigram, unigram and uniform estimate, by expectation-maximisation.
 
-    table, deleted: counts by (before, symbol), of all training texts and of the
-    held-out ones. Estimates come from the others. A bucket that nothing was held out
-    for takes its neighbour's weights below, and the first takes equal ones.
+    which, parts, seen: the bucket, the three estimates and the held-out count of each
+    row. A bucket that nothing was held out for takes its neighbour's weights below,
+    and the first takes equal ones.
     """
-    rest = table - deleted
-    context = rest.sum(1)
-    single = rest.sum(0) / max(1, rest.sum())
-    before, symbol = np.nonzero(deleted)
-    seen = deleted[before, symbol].astype(float)
-    parts = np.stack(
-        [rest[before, symbol] / np.maximum(1, context[before]), single[symbol], np.full(len(seen), 1 / SYMBOLS)], axis=1
-    )
-    which = bucket(context[before])
     weights = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(ROUNDS):
         share = weights[which] * parts
@@ -163,87 +157,123 @@ def mixture_weights(table: np.ndarray, deleted: np.ndarray) -> np.ndarray:
     return weights
 
 
+def mixture_weights(table: np.ndarray, deleted: np.ndarray) -> np.ndarray:
+    """The weights of a small table, by (before, symbol): counts of all training texts and of the held-out ones. Estimates come from the others."""
+    rest = table - deleted
+    context = rest.sum(1)
+    single = rest.sum(0) / max(1, rest.sum())
+    before, symbol = np.nonzero(deleted)
+    parts = np.stack(
+        [rest[before, symbol] / np.maximum(1, context[before]), single[symbol], np.full(len(before), 1 / table.shape[1])], axis=1
+    )
+    return learned(bucket(context[before]), parts, deleted[before, symbol].astype(float))
+
+
+def pair_weights(pairs: DataFrame, tokens: int, types: int) -> np.ndarray:
+    """The weights of the written table of pairs; tokens are those not held out. Its held-out counts are added up by cells of equal
+    bucket and nearly equal estimates, whose number does not grow with the corpus but by the range of counts."""
+    context = F.col("n_before") - F.col("deleted_before")
+    cells = pairs.where("deleted > 0").select(
+        F.least(F.lit(BUCKETS - 1), F.ceil(F.log2(context + 1))).cast("int").alias("bucket"), "deleted",
+        ((F.col("n") - F.col("deleted")) / F.greatest(context, F.lit(1))).alias("pair"),
+        ((F.col("n_word") - F.col("deleted_word")) / F.lit(max(1, tokens))).alias("single"),
+    )
+    level = lambda c: F.when(F.col(c) > 0, F.round(F.log2(c) * CELLS)).alias(f"{c}_level")  # noqa: E731  null: an estimate of 0
+    found = cells.groupBy("bucket", level("pair"), level("single")).agg(
+        F.sum("deleted").alias("seen"), *(F.sum(F.col(c) * F.col("deleted")).alias(c) for c in ("pair", "single"))
+    ).toArrow().to_pandas()
+    seen = found["seen"].to_numpy(float)
+    parts = np.stack([found["pair"].to_numpy(float) / seen, found["single"].to_numpy(float) / seen, np.full(len(seen), 1 / (types + 1))], axis=1)
+    return learned(found["bucket"].to_numpy(np.int64), parts, seen)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Learns from the rows whose remainder is not TEST. A null text is an empty one:
     its only token is the end. A null id counts as the empty string. Rows that repeat
     are scored each. Without training rows counts are 0, and so is the vocabulary.
-    Two words with the same 58 bits of hash, length and kind of last byte count as one.
+    Two words with the same 64 bits of hash count as one.
     """
     kept = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), remainder(id_col).cast("int").alias("part"))
     train = kept.where(F.col("part") != TEST).select("text", (F.col("part") == DELETED).alias("deleted"))
     counts = written(unigrams(train), "word-counts")
-    is_end = F.col("word") == END
-    shapes = counts.groupBy(F.when(is_end, 63).otherwise(F.col("word").bitwiseAND(F.lit(63))).cast("int").alias("shape")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("types")
-    ).toPandas()  # at most SHAPES rows
-    tokens, types = int(shapes["n"].sum()), int(shapes["types"].sum())
-    words = vocabulary(counts)
-
-    table, deleted = (np.zeros((SYMBOLS + 1) * SYMBOLS, np.int64) for _ in range(2))
-    found = bigrams(train, words).toPandas()  # at most (SYMBOLS + 1) * SYMBOLS rows
-    table[found["pair"]], deleted[found["pair"]] = found["n"], found["deleted"]
-    table, deleted = table.reshape(SYMBOLS + 1, SYMBOLS), deleted.reshape(SYMBOLS + 1, SYMBOLS)
-    weights = mixture_weights(table, deleted)
-    context = table.sum(1)
-    mixed = weights[bucket(context)]
-    single = table.sum(0) / max(1, tokens)
-    log_symbol = np.log10(
-        mixed[:, :1] * table / np.maximum(1, context)[:, None] + mixed[:, 1:2] * single[None, :] + mixed[:, 2:] / SYMBOLS
-    )
-    # words without a symbol of their own: (count + 1) / (all of them + their types + 1) within the shape
-    rare_n, rare_types = np.zeros(SHAPES), np.zeros(SHAPES)
-    rare_n[shapes["shape"]], rare_types[shapes["shape"]] = shapes["n"], shapes["types"]
-    named = words.symbol >= SHAPES
-    np.subtract.at(rare_n, _shape(words.known[named]), words.counts[named])
-    np.subtract.at(rare_types, _shape(words.known[named]), 1)
-    log_shape = np.log10(rare_n + rare_types + 1)
+    total = counts.agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"), F.count("*").alias("types")).first()
+    tokens, types = total.n or 0, total.types
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow().to_pandas().sort_values("word")
+    known, known_n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+    pairs = written(bigrams(kept), "word-pairs")
+    pairs = written(counted_pairs(pairs, counts, top), "pair-counts")
+    weights = pair_weights(pairs, tokens - (total.deleted or 0), types)
+    which = F.least(F.lit(BUCKETS - 1), F.ceil(F.log2(F.col("n_before") + 1))).cast("int")
+    by_pair, by_word, uniform = (F.array(*(F.lit(float(x)) for x in weights[:, k]))[which] for k in range(3))
+    mixed = by_pair * F.col("n") / F.greatest("n_before", F.lit(1)) + by_word * F.col("n_word") / max(1, tokens) + uniform / (types + 1)
+    rare_n = F.when(~F.col("top_word"), F.col("n_word")).otherwise(0)
+    pairs = pairs.select("before", "word", "n", F.log10(mixed).alias("log"), rare_n.alias("rare_n"))
+    # the most frequent bigrams: from the least count of which there are few enough upwards
+    by_n = pairs.where("n > 1").groupBy("n").agg(F.count("*").alias("pairs")).toPandas().sort_values("n", ascending=False)
+    by_n = by_n[by_n["pairs"].cumsum() <= KNOWN_PAIRS]
+    least = int(by_n["n"].min()) if len(by_n) else 2**62
+    held = pairs.where(F.col("n") >= least).select("before", "word", "log").toArrow()  # at most KNOWN_PAIRS rows, never as Row objects
+    key = _pair_key(*(held.column(c).to_numpy().astype(np.int64) for c in ("before", "word")))
+    order = np.argsort(key)
+    held_key, held_log = key[order], held.column("log").to_numpy()[order]
     log_all = float(np.log10(tokens + (types + 1)))
 
+    def found_in(held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(held):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+        return at, held[at] == asked
+
     def run(batches):
         cache = Words()
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            sums, rare, times, sizes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = np.array(_hashes(cache, text), np.int64)
-                n, symbol = words.look_up(hashes)
-                own = symbol >= SHAPES
-                known = n >= 0
-                logs = np.log10(n[known] + 1)
-                spelled = known & ~own
-                total = log_symbol[np.concatenate(([SYMBOLS], symbol[:-1])), symbol].sum()
-                total += np.log10(n[spelled] + 1).sum() - log_shape[symbol[~own]].sum()
-                sums.append((len(hashes), int(known.sum()), logs.sum() - log_all * len(hashes), total))
-                values, counted = np.unique(hashes[~known], return_counts=True)
-                rare.append(values), times.append(counted), sizes.append(len(values))
-            columns = list(zip(*sums, strict=True)) if sums else [[]] * 4
-            entries = pa.StructArray.from_arrays([pa.array(np.concatenate(rare)), pa.array(np.concatenate(times).astype(np.int32))], ["word", "times"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), entries)
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            tokens, sizes = _tokens(cache, batch)
+            before, row = _contexts(tokens), np.repeat(np.arange(len(sizes)), sizes)
+            at, word_known = found_in(known, tokens)
+            base = np.bincount(row[word_known], np.log10(known_n[at[word_known]] + 1), len(sizes)) - log_all * sizes
+            key = _pair_key(before, tokens)
+            at, here = found_in(held_key, key)
+            here &= word_known  # a pair that is asked for gives the count of a word that is not known here, too
+            score = np.bincount(row[here], held_log[at[here]], len(sizes))
+            # the distinct other bigrams of each text
+            asked = np.flatnonzero(~here)
+            asked = asked[np.lexsort((key[asked], row[asked]))]
+            new = np.ones(len(asked), bool)
+            new[1:] = (row[asked][1:] != row[asked][:-1]) | (key[asked][1:] != key[asked][:-1])
+            start = np.flatnonzero(new)
+            times, distinct = np.diff(np.append(start, len(asked))), asked[start]
+            entries = pa.StructArray.from_arrays(
+                [pa.array(before[distinct]), pa.array(tokens[distinct]), pa.array(times.astype(np.int32))], ["before", "word", "times"]
+            )
+            ends = np.append(0, np.cumsum(np.bincount(row[distinct], minlength=len(sizes))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), lists],
+                [batch.column(1), batch.column(2), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(row[word_known], minlength=len(sizes)).astype(np.int64)),
+                 pa.array(base.astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)],
                 ["id", "part", "n_tokens", "n_known", "base", "score", "rare"],
-            )
+            )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = kept.select("id", "text", "part").mapInArrow(
-        run, f"id {id_type}, part int, n_tokens long, n_known long, base double, score double, rare array<struct<word:long,times:int>>"
+    rows = kept.select("text", "id", "part").mapInArrow(
+        run, f"id {id_type}, part int, n_tokens long, n_known long, base double, score double, rare array<struct<before:long,word:long,times:int>>"
     )
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    asked = rows.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.times")
-    # a word that no training text has adds log10(0 + 1), nothing
-    answered = asked.join(counts, "word").groupBy("row").agg(
-        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more")
+    asked = rows.select("row", F.explode("rare").alias("w")).select("row", "w.before", "w.word", "w.times")
+    # the table has every bigram of docs; a word that no training text has adds log10(0 + 1), nothing
+    answered = asked.join(pairs.drop("n").hint("merge"), ["before", "word"]).groupBy("row").agg(
+        F.sum(F.when(F.col("rare_n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * F.log10(F.col("rare_n") + 1)).alias("more_base"), F.sum(F.col("times") * F.col("log")).alias("more"),
     )
-    more = F.coalesce("more", F.lit(0.0))
     return rows.drop("rare").join(answered, "row", "left").select(
         F.col("id").alias(id_col),
         (F.col("part") == TEST).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -34,6 +34,39 @@ def test_query(spark, documents):
     assert np.mean(gain) > 0.1 and np.mean(np.array(gain) > 0) > 0.9
 
 
+def test_word_bigrams_by_force(spark, monkeypatch):
+    """Every bigram of words counts, rare ones too, whether a task holds them or they are joined; the order of rare words tells."""
+    rng = np.random.default_rng(8)
+    rare = [f"r{i:04d}x" for i in range(1200)]  # of one length and one kind of last byte
+    phrases = [" ".join(rare[4 * i : 4 * i + 4]) for i in range(300)]
+    rows = [(i, " ".join(phrases[j] for j in rng.integers(0, 300, 12))) for i in range(600)]
+    part = lambda i: zlib.crc32(str(i).encode()) % 7
+    test = [i for i in range(600, 700) if part(i) == 2][:2]
+    sensible = rows[0][1].split()
+    rows += [(test[0], " ".join(sensible)), (test[1], " ".join(np.random.default_rng(9).permutation(sensible)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = []
+    kept = lm_score.pair_weights
+    monkeypatch.setattr(lm_score, "pair_weights", lambda *a: learned.append(kept(*a)) or learned[-1])
+    got = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    monkeypatch.setattr(lm_score, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(lm_score, "KNOWN_PAIRS", 10)
+    joined = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    weights = learned[0]
+    train = [[None, *words(t)] for i, t in rows if part(i) != 2]
+    pairs = Counter(p for t in train for p in zip(t, t[1:]))
+    single, context = Counter(w for t in train for w in t[1:]), Counter(w for t in train for w in t[:-1])
+    n, v = sum(single.values()), len(single)
+    for i, t in rows:
+        found = [None, *words(t)]
+        expected = 0.0
+        for b, w in zip(found, found[1:]):
+            mix = weights[min(lm_score.BUCKETS - 1, math.ceil(math.log2(context[b] + 1)))]
+            expected += math.log10(mix[0] * pairs[b, w] / max(1, context[b]) + mix[1] * single[w] / n + mix[2] / (v + 1))
+        assert math.isclose(got[i], expected, rel_tol=1e-9) and math.isclose(joined[i], expected, rel_tol=1e-9)
+    assert got[test[0]] > got[test[1]] + 20
+
+
 def test_weights_raise_the_likelihood():
     rng = np.random.default_rng(3)
     deleted = rng.integers(0, 3, (lm_score.SYMBOLS + 1, lm_score.SYMBOLS)) * (rng.random((lm_score.SYMBOLS + 1, lm_score.SYMBOLS)) < 0.01)
