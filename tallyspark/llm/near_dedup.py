@@ -7,6 +7,7 @@ leaves in different classes is joined by the rarest shingles.
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -182,7 +183,8 @@ def _prefix_pairs(waiting: DataFrame, texts: DataFrame, inverse: np.ndarray, thr
     shares one of the BEFORE shingles in front has been made there.
 
     The holders of a shingle that are not of its largest class are joined to all of its
-    holders, so a large class is never paired with itself. Both sides are dealt to cells.
+    holders, so a large class is never paired with itself. Both sides are dealt to cells;
+    of a shingle with more holders than a cell's, only to those of weights that can match.
     """
 
     def run(batches):
@@ -210,18 +212,25 @@ def _prefix_pairs(waiting: DataFrame, texts: DataFrame, inverse: np.ndarray, thr
     found = written(held.mapInArrow(run, "node binary, class binary, token long, whole double, rest double, before array<long>"), "near-prefixes")
     counted = found.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token")
     counted = counted.agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-    shared = found.join(counted.select("token", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("largest")), "token")
-    shared = shared.withColumns({"major": F.col("class") == F.col("largest"), "of_a": F.ceil(F.col("others") / CELL), "of_b": F.ceil(F.col("n") / CELL)})
+    shared = found.join(counted.select("token", F.col("n").alias("all"), F.col("most.class").alias("largest")), "token")
+    # texts whose weights differ by the threshold's factor at most are of one span or of neighbours
+    span = F.when(F.col("all") > CELL, F.floor(F.log("whole") / (1e-6 - math.log(threshold)))).otherwise(0)
+    shared = shared.withColumns({"major": F.col("class") == F.col("largest"), "span": span})
+    minor, whole = shared.where("not major"), shared
+    near = F.when(F.col("all") > CELL, F.array(*(F.col("span") + i for i in (-1, 0, 1)))).otherwise(F.array(F.col("span")))
+    minor = minor.withColumn("span", F.explode(near))
+    sizes = [rows.groupBy("token", "span").agg(F.ceil(F.count("*") / CELL).alias(f"of_{n}")) for n, rows in (("a", minor), ("b", whole))]
+    sizes = written(sizes[0].join(sizes[1], ["token", "span"]), "near-spans")
     near_size = F.least("whole_a", "whole_b") >= F.greatest("whole_a", "whole_b") * (threshold * (1 - 1e-9))
     enough = F.least("rest_a", "rest_b") >= (F.col("whole_a") + F.col("whole_b")) * (threshold / (1 + threshold) * (1 - 1e-9))
     first = ~F.arrays_overlap("before_a", "before_b")
     sides = []
-    for n, rows, mine, other in (("a", shared.where("not major"), "of_a", "of_b"), ("b", shared, "of_b", "of_a")):
+    for n, rows, mine, other in (("a", minor, "of_a", "of_b"), ("b", whole, "of_b", "of_a")):
         # each holder is in one row of cells, or column, and in all of its cells
         cell = F.pmod(F.xxhash64(F.lit(n), "node"), F.col(mine)).alias(f"at_{n}")
         all_cells = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("at_b" if n == "a" else "at_a")
-        sides.append(rows.select("token", cell, all_cells, F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("class", "major", "whole", "rest", "before"))))
-    pairs = sides[0].join(sides[1], ["token", "at_a", "at_b"]).where("class_a <> class_b and (major_b or a < b)").where(near_size & enough & first)
+        sides.append(rows.join(sizes, ["token", "span"]).select("token", "span", cell, all_cells, F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("class", "major", "whole", "rest", "before"))))
+    pairs = sides[0].join(sides[1], ["token", "span", "at_a", "at_b"]).where("class_a <> class_b and (major_b or a < b)").where(near_size & enough & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -57,6 +57,25 @@ def test_prefix_pairs_cross_classes_only(spark, monkeypatch):
     assert pairs == {(i, j) for j in range(30) for i in range(min(j, 20))}
 
 
+def test_hot_shingle_pairs_weights_that_can_match(spark, monkeypatch):
+    """All holders of a shingle are dealt by weight, and no link across the border of two spans is lost."""
+    monkeypatch.setattr(near_dedup, "CELL", 4)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[:k]) for k in range(20, 400, 4)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    inverse = np.ones(1 << near_dedup.CLASS_BITS, np.float32)  # so a shingle of all texts is among the first of each
+    nodes = docs.selectExpr("cast(lpad(doc_id, 4, '0') as binary) AS node", "text")
+    tables = {}
+    kept = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, label: tables.setdefault(label, kept(df, label)))
+    pairs = {(int(r.a.decode()), int(r.b.decode())) for r in near_dedup._prefix_pairs(nodes, nodes, inverse, 0.8).collect()}
+    w = [near_dedup.weighted(near_dedup._Words(), inverse, t) for t in texts]
+    links = {(i, j) for j in range(len(w)) for i in range(j) if near_dedup.similarity(w[i], w[j]) >= 0.8}
+    assert links and links <= pairs
+    assert tables["near-spans"].groupBy("token").count().agg({"count": "max"}).first()[0] > 5
+
+
 def test_prefix_pairs_hold_all_links(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
