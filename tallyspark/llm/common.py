@@ -54,11 +54,11 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cuts lineage: df as a table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,138 +1,134 @@
 """Language-model scoring by deleted interpolation.
 
-Word bigrams are counted over the whole corpus and stay a written table, whatever its
-size. Bigram, unigram and uniform estimates are mixed by weights for each bucket of the
-context's frequency; expectation-maximisation learns the weights on held-out counts.
+All word bigrams are counted over the whole corpus, whatever its size. Bigram, unigram
+and uniform estimates are mixed by weights for each bucket of the context's frequency;
+expectation-maximisation learns the weights on held-out counts.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, text_of, written
+from tallyspark.llm import counts
+from tallyspark.llm.common import text_of, written
 
-#: The columns of a table that mixture_weights takes as an array.
-SYMBOLS = 1024
-#: The most frequent words and bigrams, which every task holds; all others are joined.
-KNOWN_WORDS, KNOWN_PAIRS = 65536, 1 << 18
-#: Of the training texts, those of this remainder are held out from the counts that weights are learned with.
+#: Of the training texts, those of the remainder DELETED are held out from the counts that weights are learned with.
 MODULUS, TEST, DELETED = 7, 2, 3
 BUCKETS, ROUNDS = 48, 60
 #: Held-out bigrams are added up for the weights by bucket and by their estimates, so many cells to a factor of two.
 CELLS = 8
-#: Distinct words whose hashes a worker remembers; then it starts anew.
-REMEMBERED = 300_000
-#: The end of a text. As a context it is the start of the next one.
-END = 0x5EED0FE4D
+#: The level of an estimate of 0.
+NEVER = -(1 << 20)
+#: The end of a text; no word is like it. As a context it is the start of the next text.
+END, END_HASH = b"\n", 0x5EED0FE4D
+WORDS, PAIRS = 0, 1
 
 
 def remainder(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % MODULUS
 
 
-class Words(dict):
-    """word -> its hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word) - (1 << 63)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def _hashes(words: Words, text: str | None) -> list[int]:
-    """The hashes of a text's words, A-Z in lower case, and of its end."""
-    found = list(map(words.__getitem__, text.encode().lower().split())) if text else []
+def _split(text: str) -> list[bytes]:
+    """A text's words, A-Z in lower case, and its end."""
+    found = text.encode().lower().split()
     found.append(END)
     return found
 
 
-def _tokens(words: Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all texts in column 0, how many each has)."""
-    found, sizes = [], []
-    for text in batch.column(0).to_pylist():
-        found += _hashes(words, text)
-        sizes.append(len(found))
-    return np.array(found, np.int64), np.diff(np.array([0, *sizes]))
+def _hashed(word: bytes) -> int:
+    import xxhash
+
+    return END_HASH if word == END else xxhash.xxh64_intdigest(word)
 
 
-def _contexts(tokens: np.ndarray) -> np.ndarray:
+def _before(tokens: np.ndarray, end) -> np.ndarray:
     """What stands before each; every text ends with END, which so stands before the next."""
-    return np.concatenate(([END], tokens[:-1])).astype(np.int64)
+    return np.concatenate((np.full(1, end, tokens.dtype), tokens[:-1]))
 
 
-def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = (before.view(np.uint64) ^ (before.view(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+def _pairs(words: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of a slice's distinct bigrams, rising; each token's place among them)."""
+    word = words[index]
+    x = _before(word, END_HASH)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(31))
+    return np.unique(x ^ (x >> np.uint64(31)), return_inverse=True)
 
 
-def _sums(index: np.ndarray, some: np.ndarray, n: int) -> pa.Array:
-    return pa.array(np.bincount(index[some], minlength=n).astype(np.int64))
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, index, sizes, the part of each token) of a slice."""
+    sizes = counts.unpacked(row["sizes"], np.int64)
+    part = np.repeat(np.array(row["parts"], np.int32), sizes)
+    return counts.unpacked_keys(row["words"]), counts.unpacked(row["index"], np.int32), sizes, part
 
 
-def unigrams(train: DataFrame) -> DataFrame:
-    """train: (text, deleted) -> (word, n, deleted): how often each word and the end stand in the texts, and in the held-out ones."""
+def _counted(bits: int, batches):
+    """What each slice has of its words and bigrams, in training texts and of that in deleted ones."""
+    for batch in batches:
+        for row in batch.select(["slice", "parts", "sizes", "words", "index"]).to_pylist():
+            words, index, _, part = _opened(row)
+            pairs, place = _pairs(words, index)
+            rows = []
+            for kind, keys, of in ((WORDS, words, index), (PAIRS, pairs, place)):
+                n, deleted = (np.bincount(of[some], minlength=len(keys)) for some in (part != TEST, part == DELETED))
+                rows += counts.entries(row["slice"], kind, keys, n, deleted, bits)
+            yield counts.batch_of(rows, counts.ENTRIES)
 
-    def run(batches):
-        words = Words()
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            tokens, sizes = _tokens(words, batch)
-            held = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
-            values, index = np.unique(tokens, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values), _sums(index, np.ones(len(index), bool), len(values)), _sums(index, held, len(values))], ["word", "n", "deleted"]
-            )
 
-    counted = train.select("text", "deleted").mapInArrow(run, "word long, n long, deleted long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
+def bucket(context_counts: np.ndarray) -> np.ndarray:
+    return np.minimum(BUCKETS - 1, np.ceil(np.log2(context_counts + 1))).astype(np.int64)
 
 
-def bigrams(texts: DataFrame) -> DataFrame:
-    """texts: (text, part) -> (before, word, n, deleted) of all bigrams; n counts the training texts, and may be 0."""
+def levels(estimates: np.ndarray) -> np.ndarray:
+    out = np.full(len(estimates), NEVER, np.int64)
+    some = estimates > 0
+    out[some] = np.round(np.log2(estimates[some]) * CELLS)
+    return out
 
-    def run(batches):
-        words = Words()
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            tokens, sizes = _tokens(words, batch)
-            before = _contexts(tokens)
-            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            _, at, index = np.unique(_pair_key(before, tokens), return_index=True, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(before[at]), pa.array(tokens[at]), _sums(index, part != TEST, len(at)), _sums(index, part == DELETED, len(at))],
-                ["before", "word", "n", "deleted"],
-            )
 
-    counted = texts.select("text", "part").mapInArrow(run, "before long, word long, n long, deleted long")
-    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
+def cells_of(context: np.ndarray, pair: np.ndarray, single: np.ndarray) -> dict[str, np.ndarray]:
+    """Held-out bigrams added up by the bucket of the context and the levels of two estimates; all three without the held-out counts.
 
-
-def counted_pairs(pairs: DataFrame, counts: DataFrame, top: pd.DataFrame) -> DataFrame:
-    """pairs and, of both words, n_ and deleted_ in the training texts (before: as a context), and whether top has the word.
-
-    Words of top, which are in many pairs, are looked up where the pairs are; the others' counts are joined.
+    single is a count: its share of all tokens follows when those are known.
     """
-    known = F.broadcast(pairs.sparkSession.createDataFrame(top[["word", "n", "deleted"]], "word long, n long, deleted long"))
-    for c in ("before", "word"):
-        names = [F.col("word").alias(c), F.col("n").alias(f"n_{c}"), F.col("deleted").alias(f"deleted_{c}")]
-        pairs = pairs.join(known.select(*names, F.lit(True).alias(f"top_{c}")), c, "left")
-        # the names of the columns stay in one order on both sides of the union
-        held = pairs.where(f"top_{c}")
-        other = pairs.where(f"top_{c} is null").drop(f"n_{c}", f"deleted_{c}", f"top_{c}").join(counts.select(*names).hint("merge"), c, "left")
-        other = other.withColumns({f"n_{c}": F.coalesce(f"n_{c}", F.lit(0)), f"deleted_{c}": F.coalesce(f"deleted_{c}", F.lit(0)), f"top_{c}": F.lit(False)})
-        pairs = held.unionByName(other)
-    return pairs.drop("top_before")
-
-
-def bucket(context_counts: np.ndarray) -> np.ndarray:
-    return np.minimum(BUCKETS - 1, np.ceil(np.log2(context_counts + 1))).astype(np.int64)
+    of_pair = pair / np.maximum(1, context)
+    names = np.stack([bucket(context), levels(of_pair), levels(single.astype(float))], axis=1)
+    found, place = np.unique(names, axis=0, return_inverse=True)
+    place = place.ravel()
+    return {
+        "bucket": found[:, 0], "pair_level": found[:, 1], "single_level": found[:, 2], "seen": np.bincount(place, minlength=len(found)),
+        "pair": np.bincount(place, of_pair, len(found)).astype(float), "single": np.bincount(place, single, len(found)).astype(float),
+    }
+
+
+CELL = "array<struct<bucket:long,pair_level:long,single_level:long,seen:long,pair:double,single:double>>"
+RESOLVED = f"word_n binary, pair_n binary, types long, train long, deleted long, cells {CELL}"
+
+
+def _resolved(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A slice with the sums over all slices of its words and bigrams, and its cells."""
+    words, index, _, part = _opened(left.to_pylist()[0])
+    pairs, place = _pairs(words, index)
+    word_n, word_deleted = counts.sums_of(right, WORDS)
+    pair_n, pair_deleted = counts.sums_of(right, PAIRS)
+    held = np.flatnonzero(part == DELETED)
+    word_rest, pair_rest = word_n - word_deleted, pair_n - pair_deleted
+    context = _before(index, np.searchsorted(words, np.uint64(END_HASH)))
+    cells = cells_of(word_rest[context[held]], pair_rest[place[held]], word_rest[index[held]])
+    listed = pa.StructArray.from_arrays([pa.array(v) for v in cells.values()], list(cells))
+    types = sum(t for k, t in zip(right["kind"].to_pylist(), right["types"].to_pylist(), strict=True) if k == WORDS)
+    new = {
+        "word_n": [counts.packed(word_n)], "pair_n": [counts.packed(pair_n)], "types": [types], "train": [int((part != TEST).sum())], "deleted": [len(held)],
+        "cells": pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed),
+    }
+    for name, values in new.items():
+        left = left.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
+    return left
 
 
 def learned(which: np.ndarray, parts: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -157,34 +153,36 @@ def learned(which: np.ndarray, parts: np.ndarray, seen: np.ndarray) -> np.ndarra
     return weights
 
 
-def mixture_weights(table: np.ndarray, deleted: np.ndarray) -> np.ndarray:
-    """The weights of a small table, by (before, symbol): counts of all training texts and of the held-out ones. Estimates come from the others."""
-    rest = table - deleted
-    context = rest.sum(1)
-    single = rest.sum(0) / max(1, rest.sum())
-    before, symbol = np.nonzero(deleted)
-    parts = np.stack(
-        [rest[before, symbol] / np.maximum(1, context[before]), single[symbol], np.full(len(before), 1 / table.shape[1])], axis=1
-    )
-    return learned(bucket(context[before]), parts, deleted[before, symbol].astype(float))
-
-
-def pair_weights(pairs: DataFrame, tokens: int, types: int) -> np.ndarray:
-    """The weights of the written table of pairs; tokens are those not held out. Its held-out counts are added up by cells of equal
-    bucket and nearly equal estimates, whose number does not grow with the corpus but by the range of counts."""
-    context = F.col("n_before") - F.col("deleted_before")
-    cells = pairs.where("deleted > 0").select(
-        F.least(F.lit(BUCKETS - 1), F.ceil(F.log2(context + 1))).cast("int").alias("bucket"), "deleted",
-        ((F.col("n") - F.col("deleted")) / F.greatest(context, F.lit(1))).alias("pair"),
-        ((F.col("n_word") - F.col("deleted_word")) / F.lit(max(1, tokens))).alias("single"),
-    )
-    level = lambda c: F.when(F.col(c) > 0, F.round(F.log2(c) * CELLS)).alias(f"{c}_level")  # noqa: E731  null: an estimate of 0
-    found = cells.groupBy("bucket", level("pair"), level("single")).agg(
-        F.sum("deleted").alias("seen"), *(F.sum(F.col(c) * F.col("deleted")).alias(c) for c in ("pair", "single"))
-    ).toArrow().to_pandas()
+def mixture_weights(resolved: DataFrame, tokens: int, types: int) -> np.ndarray:
+    """The weights from the cells of all slices, whose number does not grow with the corpus but by the range of counts.
+    tokens: those of the training texts that are not held out."""
+    cells = resolved.select(F.explode("cells").alias("c")).select("c.*").groupBy("bucket", "pair_level", "single_level")
+    found = cells.agg(*(F.sum(c).alias(c) for c in ("seen", "pair", "single"))).orderBy("bucket", "pair_level", "single_level").toPandas()
     seen = found["seen"].to_numpy(float)
-    parts = np.stack([found["pair"].to_numpy(float) / seen, found["single"].to_numpy(float) / seen, np.full(len(seen), 1 / (types + 1))], axis=1)
-    return learned(found["bucket"].to_numpy(np.int64), parts, seen)
+    estimates = [found["pair"].to_numpy(float) / seen, found["single"].to_numpy(float) / seen / max(1, tokens), np.full(len(seen), 1 / (types + 1))]
+    return learned(found["bucket"].to_numpy(np.int64), np.stack(estimates, axis=1), seen)
+
+
+SCORES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(weights: np.ndarray, tokens: int, types: int, batches):
+    log_all = float(np.log10(tokens + (types + 1)))
+    for batch in batches:
+        for at, row in enumerate(batch.select(["parts", "sizes", "words", "index", "word_n", "pair_n"]).to_pylist()):
+            words, index, sizes, _ = _opened(row)
+            _, place = _pairs(words, index)
+            word_n, pair_n = counts.unpacked(row["word_n"], np.int64), counts.unpacked(row["pair_n"], np.int64)
+            context = word_n[_before(index, np.searchsorted(words, np.uint64(END_HASH)))]
+            mix, n = weights[bucket(context)], word_n[index]
+            logs = np.log10(mix[:, 0] * pair_n[place] / np.maximum(1, context) + mix[:, 1] * n / max(1, tokens) + mix[:, 2] / (types + 1))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            known = np.bincount(text, n > 0, len(sizes)).astype(np.int64)
+            base = np.bincount(text, np.log10(n + 1), len(sizes)) - log_all * sizes
+            columns = [batch.column("ids")[at].values, pa.array(row["parts"], pa.int32()), pa.array(sizes), pa.array(known), pa.array(base)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.bincount(text, logs, len(sizes)))], ["id", "part", *(f.split()[0] for f in SCORES.split(", "))]
+            )
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,88 +191,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Learns from the rows whose remainder is not TEST. A null text is an empty one:
     its only token is the end. A null id counts as the empty string. Rows that repeat
     are scored each. Without training rows counts are 0, and so is the vocabulary.
-    Two words with the same 64 bits of hash count as one.
+    Two words, or two bigrams, with the same 64 bits of hash count as one.
     """
     kept = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), remainder(id_col).cast("int").alias("part"))
-    train = kept.where(F.col("part") != TEST).select("text", (F.col("part") == DELETED).alias("deleted"))
-    counts = written(unigrams(train), "word-counts")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"), F.count("*").alias("types")).first()
-    tokens, types = total.n or 0, total.types
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow().to_pandas().sort_values("word")
-    known, known_n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-
-    pairs = written(bigrams(kept), "word-pairs")
-    pairs = written(counted_pairs(pairs, counts, top), "pair-counts")
-    weights = pair_weights(pairs, tokens - (total.deleted or 0), types)
-    which = F.least(F.lit(BUCKETS - 1), F.ceil(F.log2(F.col("n_before") + 1))).cast("int")
-    by_pair, by_word, uniform = (F.array(*(F.lit(float(x)) for x in weights[:, k]))[which] for k in range(3))
-    mixed = by_pair * F.col("n") / F.greatest("n_before", F.lit(1)) + by_word * F.col("n_word") / max(1, tokens) + uniform / (types + 1)
-    rare_n = F.when(~F.col("top_word"), F.col("n_word")).otherwise(0)
-    pairs = pairs.select("before", "word", "n", F.log10(mixed).alias("log"), rare_n.alias("rare_n"))
-    # the most frequent bigrams: from the least count of which there are few enough upwards
-    by_n = pairs.where("n > 1").groupBy("n").agg(F.count("*").alias("pairs")).toPandas().sort_values("n", ascending=False)
-    by_n = by_n[by_n["pairs"].cumsum() <= KNOWN_PAIRS]
-    least = int(by_n["n"].min()) if len(by_n) else 2**62
-    held = pairs.where(F.col("n") >= least).select("before", "word", "log").toArrow()  # at most KNOWN_PAIRS rows, never as Row objects
-    key = _pair_key(*(held.column(c).to_numpy().astype(np.int64) for c in ("before", "word")))
-    order = np.argsort(key)
-    held_key, held_log = key[order], held.column("log").to_numpy()[order]
-    log_all = float(np.log10(tokens + (types + 1)))
-
-    def found_in(held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(held):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
-        return at, held[at] == asked
-
-    def run(batches):
-        cache = Words()
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            tokens, sizes = _tokens(cache, batch)
-            before, row = _contexts(tokens), np.repeat(np.arange(len(sizes)), sizes)
-            at, word_known = found_in(known, tokens)
-            base = np.bincount(row[word_known], np.log10(known_n[at[word_known]] + 1), len(sizes)) - log_all * sizes
-            key = _pair_key(before, tokens)
-            at, here = found_in(held_key, key)
-            here &= word_known  # a pair that is asked for gives the count of a word that is not known here, too
-            score = np.bincount(row[here], held_log[at[here]], len(sizes))
-            # the distinct other bigrams of each text
-            asked = np.flatnonzero(~here)
-            asked = asked[np.lexsort((key[asked], row[asked]))]
-            new = np.ones(len(asked), bool)
-            new[1:] = (row[asked][1:] != row[asked][:-1]) | (key[asked][1:] != key[asked][:-1])
-            start = np.flatnonzero(new)
-            times, distinct = np.diff(np.append(start, len(asked))), asked[start]
-            entries = pa.StructArray.from_arrays(
-                [pa.array(before[distinct]), pa.array(tokens[distinct]), pa.array(times.astype(np.int32))], ["before", "word", "times"]
-            )
-            ends = np.append(0, np.cumsum(np.bincount(row[distinct], minlength=len(sizes))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(row[word_known], minlength=len(sizes)).astype(np.int64)),
-                 pa.array(base.astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)],
-                ["id", "part", "n_tokens", "n_known", "base", "score", "rare"],
-            )
-
+    sliced = written(counts.word_slices(kept, _split, _hashed), "lm-slices")
+    bits = counts.bucket_bits(docs.sparkSession, sliced.agg(F.sum("tokens")).first()[0] or 0)
+    sums = counts.totals(sliced.mapInArrow(partial(_counted, bits), counts.ENTRIES))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sliced.schema) + ", " + RESOLVED
+    resolved = written(sliced.groupBy("slice").cogroup(sums.groupBy("slice")).applyInArrow(_resolved, fields), "lm-resolved")
+    total = resolved.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "train", "deleted"))).first()
+    weights = mixture_weights(resolved, total.train - total.deleted, total.types)
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = kept.select("text", "id", "part").mapInArrow(
-        run, f"id {id_type}, part int, n_tokens long, n_known long, base double, score double, rare array<struct<before:long,word:long,times:int>>"
-    )
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    asked = rows.select("row", F.explode("rare").alias("w")).select("row", "w.before", "w.word", "w.times")
-    # the table has every bigram of docs; a word that no training text has adds log10(0 + 1), nothing
-    answered = asked.join(pairs.drop("n").hint("merge"), ["before", "word"]).groupBy("row").agg(
-        F.sum(F.when(F.col("rare_n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(F.col("rare_n") + 1)).alias("more_base"), F.sum(F.col("times") * F.col("log")).alias("more"),
-    )
-    return rows.drop("rare").join(answered, "row", "left").select(
-        F.col("id").alias(id_col),
-        (F.col("part") == TEST).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    scored = resolved.mapInArrow(partial(_scored, weights, total.train, total.types), f"id {id_type}, part int, {SCORES}")
+    return scored.select(
+        F.col("id").alias(id_col), (F.col("part") == TEST).alias("held_out"), "n_tokens", "n_known",
+        F.lit(total.train).cast("long").alias("train_tokens"), "base_score", "score",
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:
