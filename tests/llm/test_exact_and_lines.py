@@ -22,6 +22,23 @@ def test_exact_state_goes_on(spark, tmp_path):
     assert {(r.keep_id, r.group_size) for r in exact_dedup.state(spark, checkpoint).collect()} == {(3, 2), (2, 1)}
 
 
+def test_exact_increment_reads_new_files_and_hits(spark, tmp_path, monkeypatch):
+    """A collision with a content of an earlier file is found, in a folder with pattern characters and a trailing slash."""
+    from pyspark.sql import functions as F
+
+    sha2 = F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: sha2(F.substring(c, 1, 1), n))
+    path, checkpoint = str(tmp_path / "docs[1]{x}.parquet") + "/", str(tmp_path / "state")
+    asked = []
+    kept = exact_dedup._contents
+    monkeypatch.setattr(exact_dedup, "_contents", lambda s, p, a, t: asked.append(sorted({r.file for r in a.collect()})) or kept(s, p, a, t))
+    for rows in ([(1, "a1"), (2, "b")], [(3, "b"), (4, "c")], [(5, "a2"), (6, "a1"), (7, "d")]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(spark, path, checkpoint).collect()}
+    assert got == {(1, 6, 2, False), (6, 6, 2, True), (5, 5, 1, True), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (7, 7, 1, True)}
+    assert [len(files) for files in asked[:3]] == [0, 2, 2]
+
+
 def test_exact_collision(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
