@@ -48,17 +48,20 @@ def drop_bitmaps(
     The hashes are range-partitioned by (hash, document), so a line that stands in a
     third of all documents is spread over many tasks; within a partition they are
     sorted by document and position, and only the first occurrence in a document
-    counts. Two 64-bit hashes name a key. The hashes are written once: finding the
-    ranges, counting and marking all read them, and split no text again.
+    counts. A partition sends one count of each of its keys, and learns which of them
+    go: no key's lines meet in one task. Two 64-bit hashes name a key, and a 64-bit
+    hash with the id a document; bytes are not compared. The hashes are written
+    once: finding the ranges reads them, and splits no text again.
     """
     hashed = written(_lines(docs, id_col, text_col, min_chars), "line-hashes")
     ranged = hashed.repartitionByRange("h1", "h2", "doc", "body")
     in_doc = Window.partitionBy("h1", "h2", "doc", "body").orderBy("pos")
-    first = ranged.withColumn("first", F.row_number().over(in_doc) == 1)
-    frequent = (
-        first.groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("docs")).where(F.col("docs") >= min_docs)
-    )
-    dropped = ranged.join(frequent.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    first = ranged.withColumn("first", F.row_number().over(in_doc) == 1).withColumn("part", F.spark_partition_id())
+    placed = written(first, "line-ranges")
+    counted = written(placed.groupBy("part", "h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("docs")), "line-counts")
+    frequent = counted.groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    going = counted.select("part", "h1", "h2").join(frequent.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    dropped = placed.join(going, ["part", "h1", "h2"], "left_semi")
     words = (
         dropped.groupBy("doc", "body", F.shiftright("pos", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
