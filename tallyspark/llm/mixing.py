@@ -18,6 +18,11 @@ def tokens(text_col: str = "text"):
     return F.regexp_count(text_of(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def body(text_col: str):
+    """128 bits that, with the id, tell a row's text from others."""
+    return F.unhex(F.md5(text_of(text_col)))
+
+
 @dataclass
 class Mixture:
     exponent: float
@@ -75,7 +80,9 @@ def fit(shares: DataFrame, total: float, target_entropy: float | None, max_repea
         if first == 0 or high - low < 1e-12:
             break
     log_z, entropy, _ = _measure(shares, [high])[0]
-    if budget is None:
+    if budget is not None:
+        budget = max(0.0, budget)
+    else:
         # the source shown least is the largest one: it is shown once
         budget = total * shares_top(shares) * math.exp(log_z)
     return Mixture(high, float(budget), log_z, entropy)
@@ -105,10 +112,14 @@ def plan(
 
     A null source is a source. A source without tokens costs nothing and is shown
     once. Rows with equal id and text are shown together. No tokens at all, or an
-    empty table: every row once.
+    empty table: every row once. A budget of 0 or less, or below any block, shows
+    nothing of the sources with tokens.
+
+    The permutation of an epoch is one window of a source's blocks, at most MAX_BLOCKS
+    rows, whatever the number of its documents.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("body"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"), body(text_col).alias("body"), F.col(source_col).alias("source"),
         tokens(text_col).alias("n_tokens"),
     )
     rows = written(rows, "mix-rows")
@@ -141,7 +152,8 @@ def plan(
     )
     in_block = written(in_block, "mix-blocks")
     blocks = in_block.groupBy("source", "block", "source_tokens", "repeats").agg(F.sum("n_tokens").alias("block_tokens"))
-    shown = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)))
+    epochs = F.when(F.col("repeats") > 0, F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    shown = blocks.withColumn("epoch", F.explode(epochs))
     order = [F.xxhash64(F.lit(seed), F.lit("order"), "source", "epoch", "block"), F.col("block")]
     permuted = Window.partitionBy("source", "epoch").orderBy(*order)
     shown = shown.withColumn("block_rank", F.row_number().over(permuted)).withColumn(
@@ -161,7 +173,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = shown.groupBy(F.col("id").alias("__id"), F.col("body").alias("__b"), F.col("source").alias("__s")).agg(
         F.countDistinct("epoch").cast("int").alias("__times")
     )
-    keyed = docs.withColumn("__body", F.xxhash64(text_of(text_col)))
+    keyed = docs.withColumn("__body", body(text_col))
     joined = keyed.join(
         times.hint("shuffle_hash"),
         F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__b")) & F.col(source_col).eqNullSafe(F.col("__s")),
