@@ -23,6 +23,8 @@ SIMILARITY = 0.98
 BLOCKS, PASSED, LEAST, CROWD = 4, 20, 12, 48
 #: Vectors compared at a time. A fuller filter is cut into pairs of such blocks.
 BLOCK_ROWS = 512
+#: The code's threshold is measured with so many random directions and filters, whatever the number of filters.
+PROBES, DRAWN = 512, 1 << 14
 
 
 @dataclass
@@ -77,19 +79,38 @@ def make_code(width: int, rows: int, seed: int = 5) -> Code:
     for a, b in zip(edges, edges[1:], strict=False):
         c = rng.standard_normal((words, b - a))
         codewords.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt((b - a) / width))
-    # the threshold that random directions exceed for the wanted share of filters
-    x = rng.standard_normal((512, width))
+    # the threshold that random directions exceed for the wanted share of filters, from some filters drawn at random
+    x = rng.standard_normal((PROBES, width))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sums = _sums([x[:, a:b] @ c.T for a, b, c in zip(edges, edges[1:], codewords, strict=False)])
-    share = min(1.0, PASSED / sums.shape[1])
-    return Code(codewords, edges, float(np.quantile(sums[:, : 1 << 16], 1 - share)))
+    drawn = sum(x[:, a:b] @ c[rng.integers(0, words, DRAWN)].T for a, b, c in zip(edges, edges[1:], codewords, strict=False))
+    return Code(codewords, edges, float(np.quantile(drawn, 1 - min(1.0, PASSED / words**blocks))))
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Unit rows; the largest component goes first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, filters: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """For each pair (a, b) of n rows, whether one of the filters (each with its row) is of both."""
+    out = np.zeros(len(a), bool)
+    found, place = np.unique(filters, return_inverse=True)
+    if not len(found):
+        return out
+    held = np.zeros((n, len(found)), bool)
+    held[rows, place] = True
+    bits = np.packbits(held, axis=1)
+    step = max(1, (32 << 20) // bits.shape[1])
+    for at in range(0, len(a), step):
+        out[at : at + step] = (bits[a[at : at + step]] & bits[b[at : at + step]]).any(1)
+    return out
+
+
+def _unit(vectors) -> np.ndarray:
+    return _scaled(np.stack([np.asarray(v, np.float64) for v in vectors]))
+
+
 def vector_links(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = SIMILARITY
 ) -> DataFrame:
@@ -134,16 +155,19 @@ def vector_links(
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
-    def compare(number, x, filters, mine, copies, across):
-        """(links of each row, for each row one of its class): the links of one group that belong to its filter."""
+    def compare(number, x, filters, holders, mine, copies, across):
+        """(links of each row, for each row one of its class): the links of one group that belong to its filter.
+        filters and holders: the filters of the rows, and the row of each."""
         near = x @ x.T >= threshold - 1e-9
         if across:
             near &= np.not_equal.outer(mine, mine)
         a, b = np.nonzero(np.triu(near, 1))
-        sims = np.einsum("ij,ij->i", x[a], x[b])
-        # a link belongs to the first filter that both pass
-        good = [s >= threshold and np.intersect1d(filters(i), filters(j), assume_unique=True)[0] == number for i, j, s in zip(a, b, sims, strict=True)]
+        good = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
         a, b = a[good], b[good]
+        # a link belongs to the first filter that both pass
+        lower = filters < number
+        new = ~_met_before(a, b, filters[lower], holders[lower], len(x))
+        a, b = a[new], b[new]
         links = np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
         root = list(range(len(x)))  # of the group's links, a forest is enough for the classes
 
@@ -182,14 +206,15 @@ def vector_links(
         x = np.zeros((len(rows), width))
         sizes, flat = v.value_lengths().to_numpy(), v.flatten().to_numpy().astype(np.float64)
         x[np.arange(width)[None, :] < sizes[:, None]] = flat
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        numbers, starts = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        x = _scaled(x)
+        many = lists.value_lengths().to_numpy()
+        numbers, starts, owner = lists.flatten().to_numpy(), np.append(0, np.cumsum(many)), np.repeat(np.arange(len(rows)), many)
         copies, mine = rows["copies"].to_numpy(), rows["mine"].to_numpy()
         links, to = np.zeros(len(rows), np.int64), np.arange(len(rows))
         for s, e in zip(cuts, cuts[1:], strict=False):
             if e - s > 1:
-                of = lambda i, s=s: numbers[starts[s + i] : starts[s + i + 1]]
-                links[s:e], root = compare(keys[s, 1], x[s:e], of, mine[s:e], copies[s:e], keys[s, 2] != keys[s, 3])
+                of = slice(starts[s], starts[e])
+                links[s:e], root = compare(keys[s, 1], x[s:e], numbers[of], owner[of] - s, mine[s:e], copies[s:e], keys[s, 2] != keys[s, 3])
                 to[s:e] = s + root
         some = np.flatnonzero(links)
         node = rows["node"].combine_chunks()
