@@ -237,7 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = features(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    fit_on = joined.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>").orderBy("id", "x").toPandas()
+    fit_on = joined.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>")
+    # an id that repeats has a row for each of its documents: the bound is on rows
+    fit_on = fit_on.orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).orderBy("id", "x").toPandas()
     if not len(fit_on):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(fit_on["x"].to_numpy()), fit_on["y"].to_numpy(float))
