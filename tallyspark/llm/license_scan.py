@@ -7,135 +7,175 @@ directory that have none; the nearest directory wins.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import text_of, written
+from tallyspark.llm.common import slices, text_of, written
+from tallyspark.llm.licence_texts import templates as known_templates
 
 THRESHOLD, FILE_SHARE = 0.8, 0.5
 LICENCE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
-
-# Statements by which public licences are given.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
 _EDGES = "\"'()[]{}<>.,;:!?*/#"
 
 
-class _Terms(dict):
-    """word -> number of its term; -1: in no template."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> int:
-        value = self.vocabulary.get(word.strip(_EDGES), -1)
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def terms_of(words: _Terms, text: str | None) -> np.ndarray:
-    found = text.lower().split() if text else []
-    return np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case, without signs at their ends. One of signs alone is the empty word."""
+    return [w.strip(_EDGES) for w in text.lower().split()] if text else []
 
 
 @dataclass
 class Matcher:
+    """Templates as sparse vectors: the weight of term k in template i, for the terms of each template."""
+
     names: list[str]
-    vocabulary: dict[str, int]
-    idf: np.ndarray  # the last is that of words in no template
-    counts: np.ndarray  # templates by terms
     lengths: list[int]
-
-    def best(self, terms: np.ndarray) -> tuple[str | None, float, int, int]:
-        """(name, cosine, first word, words) of the best stretch as long as a template; the first of equals."""
-        out = (None, 0.0, 0, 0)
-        if not len(terms) or (terms >= 0).sum() < 2:
-            return out
-        weight = self.idf[terms] ** 2
-        norm = np.append(0, np.cumsum(weight))
-        for name, counts, length in zip(self.names, self.counts, self.lengths, strict=True):
-            n = min(length, len(terms))
-            dot = np.append(0, np.cumsum(np.append(counts, 0)[terms] * weight))
-            own = np.sqrt((counts**2 * self.idf[:-1] ** 2).sum())
+    vocabulary: dict[str, int]
+    idf: np.ndarray
+    #: For each template, its terms and how often it has each.
+    terms: list[np.ndarray]
+    counts: list[np.ndarray]
+
+    def __post_init__(self):
+        owner = np.repeat(np.arange(len(self.terms)), [len(t) for t in self.terms])
+        term, weight = np.concatenate(self.terms), (np.concatenate(self.counts) * self.idf[np.concatenate(self.terms)]) ** 2
+        self.norms = np.sqrt(np.bincount(owner, weight, len(self.terms)))
+        order = np.argsort(term, kind="stable")
+        self._owner, self._weight = owner[order], weight[order]
+        self._start = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+
+    def reached(self, present: np.ndarray, threshold: float) -> np.ndarray:
+        """The templates that a text with these terms can be so similar to: no cosine is more than the share of the template's norm
+        that they have."""
+        at = np.concatenate([np.arange(self._start[t], self._start[t + 1]) for t in present])
+        share = np.bincount(self._owner[at], self._weight[at], len(self.norms))
+        return np.flatnonzero(np.sqrt(share) >= (threshold - 1e-9) * self.norms)
+
+    def stretches(self, words: list[str], threshold: float) -> list[tuple[int, int, int, float, float, list[tuple[str, int]]]]:
+        """(template, first word, words, dot product by the template's norm, square norm of the words that templates have, other words and
+        how often) of stretches that may be as similar as the threshold.
+
+        A stretch has the template's length, or the text's if that is shorter. Words that no template
+        has weigh 1 at least, which bounds the cosine; of stretches that overlap, the one with
+        the largest bound is taken, the first of equals.
+        """
+        terms = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+        present = np.unique(terms)
+        present = present[present >= 0]
+        if not len(present):
+            return []
+        known = np.append(0, np.cumsum(np.append(self.idf, 1.0)[terms] ** 2))
+        found = []
+        for i in self.reached(present, threshold):
+            n = min(self.lengths[i], len(terms))
+            mine = np.zeros(len(self.vocabulary) + 1)
+            mine[self.terms[i]] = self.counts[i] * self.idf[self.terms[i]] ** 2
+            dot = np.append(0, np.cumsum(mine[terms]))
+            dot = dot[n:] - dot[:-n]
             # repeated words only make a stretch's norm larger than this
-            most = (dot[n:] - dot[:-n]) / np.sqrt(norm[n:] - norm[:-n]) / own
-            for at in np.flatnonzero(most >= max(THRESHOLD / 2, out[1])):
-                if most[at] <= out[1]:
-                    continue
-                value, times = np.unique(terms[at : at + n], return_counts=True)
-                inside = value >= 0
-                others = (~inside).sum() and times[~inside].sum()
-                size = np.sqrt(((times[inside] * self.idf[value[inside]]) ** 2).sum() + others * self.idf[-1] ** 2)
-                cosine = float((dot[at + n] - dot[at]) / size / own)
-                if cosine > out[1] + 1e-12:
-                    out = (name, min(1.0, cosine), int(at), n)
-        return out
-
-
-def fit(files: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> Matcher:
-    """Inverse document frequencies of the templates' terms, over all files. Words in no template weigh as much as
-    the templates' terms do on average."""
-    vocabulary: dict[str, int] = {}
-    split = [[w for w in (x.strip(_EDGES) for x in text.lower().split()) if w] for _, text in templates]
-    for words in split:
-        for w in words:
-            vocabulary.setdefault(w, len(vocabulary))
-    counts = np.zeros((len(templates), len(vocabulary)))
-    for row, words in zip(counts, split, strict=True):
-        np.add.at(row, [vocabulary[w] for w in words], 1)
+            bound = dot / np.sqrt(known[n:] - known[:-n]) / self.norms[i]
+            some = np.flatnonzero(bound >= threshold - 1e-9)
+            for run in np.split(some, np.flatnonzero(np.diff(some) >= n) + 1) if len(some) else []:
+                at = int(run[np.argmax(np.round(bound[run], 12))])
+                inside = Counter(words[at : at + n])
+                own = sum((k * self.idf[self.vocabulary[w]]) ** 2 for w, k in inside.items() if w in self.vocabulary)
+                found.append((int(i), at, n, float(dot[at] / self.norms[i]), float(own), [(w, k) for w, k in inside.items() if w not in self.vocabulary]))
+        return found
+
+
+def frequencies(files: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """((word, files): how many files have each word, the number of files). Each task adds up its own before they meet."""
 
     def run(batches):
-        known, total, n = _Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            total = Counter()
             for text in batch.column(0).to_pylist():
-                total[np.unique(terms_of(known, text))] += 1  # -1 adds to the last
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.append(total[:-1], n))], ["term", "files"])
+                total.update(set(words_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "files"])
 
-    found = files.select(text_col).mapInArrow(run, "term long, files long").groupBy("term").agg(F.sum("files").alias("files")).toPandas()
-    frequency = np.zeros(len(vocabulary) + 1)
-    frequency[found["term"]] = found["files"]
-    idf = 1 + np.log((1 + frequency[-1]) / (1 + frequency[:-1]))
-    return Matcher([n for n, _ in templates], vocabulary, np.append(idf, idf.mean()), counts, [len(w) for w in split])
+    counted = files.select(text_of(text_col).alias("text")).mapInArrow(run, "word string, files long")
+    return written(counted.groupBy("word").agg(F.sum("files").alias("files")), "licence-words"), files.count()
 
 
-def own_licences(files: DataFrame, matcher: Matcher, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """files with licence, score, first_word, licence_words, words; licence is null below the threshold."""
-    new = {"licence": "string", "score": "double", "first_word": "int", "licence_words": "int", "words": "int"}
-    kept = files.drop(*new)
+def inverse(files: np.ndarray, all_files: int):
+    return 1 + np.log((1 + all_files) / (1 + files))
 
-    def run(batches):
-        known = _Terms(matcher.vocabulary)
-        for batch in batches:
-            found = []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                terms = terms_of(known, text)
-                name, score, at, n = matcher.best(terms)
-                found.append((name, score, at, n, len(terms)) if score >= threshold else (None, score, None, None, len(terms)))
-            columns = list(zip(*found, strict=True)) if found else [[]] * 5
-            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names, *new]
-            )
-
-    return kept.mapInArrow(run, kept.withColumns({n: F.lit(None).cast(k) for n, k in new.items()}).schema)
+
+def fit(found: DataFrame, all_files: int, templates: list[tuple[str, str]] | None = None) -> Matcher:
+    """Templates weighted by the inverse document frequencies of their words in all files."""
+    templates = known_templates() if templates is None else templates
+    split = [words_of(text) for _, text in templates]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for words in split for w in words}))}
+    asked = found.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
+    seen = np.zeros(len(vocabulary))
+    for r in found.join(F.broadcast(asked), "word").collect():  # at most the templates' words
+        seen[vocabulary[r.word]] = r.files
+    terms, counts = [], []
+    for words in split:
+        some = Counter(vocabulary[w] for w in words)
+        terms.append(np.array(sorted(some), np.int64))
+        counts.append(np.array([some[t] for t in sorted(some)], np.float64))
+    return Matcher([n for n, _ in templates], [len(w) for w in split], vocabulary, inverse(seen, all_files), terms, counts)
+
+
+STRETCHES = "array<struct<template:int,first:int,words:int,dot:double,own:double,others:array<struct<word:string,times:int>>>>"
+
+
+def _candidates(matcher: Matcher, threshold: float, text_col: str, batches):
+    fields = [("template", pa.int32()), ("first", pa.int32()), ("words", pa.int32()), ("dot", pa.float64()), ("own", pa.float64()),
+              ("others", pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())])))]
+    for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
+        found, sizes = [], []
+        for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+            words = words_of(text)
+            sizes.append(len(words))
+            found.append([(*s[:5], [{"word": w, "times": k} for w, k in s[5]]) for s in matcher.stretches(words, threshold)])
+        listed = pa.array([[dict(zip([f for f, _ in fields], s, strict=True)) for s in of] for of in found], pa.list_(pa.struct(fields)))
+        kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != text_col]
+        yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(sizes, pa.int32()), listed], [*(n for n, _ in kept), "words", "__found"])
+
+
+def own_licences(files: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """files without their text, with licence, score, first_word, licence_words: the most similar stretch, null if none reaches the
+    threshold; margin: how much more similar it is than the best stretch of another licence (null: none);
+    stretches: all that reach the threshold, one a licence, the most similar first; words: of the whole text.
+
+    Of equally similar stretches the longest counts, then the first, then the first template.
+    """
+    new = ["licence", "score", "first_word", "licence_words", "margin", "stretches", "words"]
+    found, all_files = frequencies(files, text_col)
+    matcher = fit(found, all_files, templates)
+    kept = files.drop(*(n for n in new if n != text_col))
+    names = F.array(*(F.lit(n) for n in matcher.names))
+    out = kept.drop(text_col).withColumns({"words": F.lit(0), "__found": F.lit(None).cast(STRETCHES)})
+    rows = kept.mapInArrow(partial(_candidates, matcher, threshold, text_col), out.schema)
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "licence-candidates")
+
+    each = rows.where(F.size("__found") > 0).select("__row", F.posexplode("__found").alias("at", "s")).select("__row", "at", "s.*")
+    others = each.select("__row", "at", F.explode("others").alias("o")).select("__row", "at", "o.word", "o.times")
+    # stretches have few words of their own: the words' frequencies are joined, not the other way round
+    weighed = others.join(found, "word").groupBy("__row", "at").agg(
+        F.sum(F.pow(F.col("times") * (1 + F.log(F.lit(1.0 + all_files) / (1 + F.col("files")))), 2)).alias("more")
+    )
+    scored = each.drop("others").join(weighed, ["__row", "at"], "left").select(
+        "__row", names[F.col("template")].alias("licence"), "first", F.col("words").alias("n"), "template",
+        F.least(F.lit(1.0), F.round(F.col("dot") / F.sqrt(F.col("own") + F.coalesce("more", F.lit(0.0))), 12)).alias("score"),
+    ).where(F.col("score") >= threshold)
+    order = F.struct((-F.col("score")).alias("minus"), (-F.col("n")).alias("short"), "first", "template", "score", "n")
+    best = scored.groupBy("__row", "licence").agg(F.min(order).alias("b"))
+    listed = best.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("b.minus", "b.short", "b.first", "b.template", "licence", "b.score", "b.n"))).alias("of"))
+    listed = listed.withColumn("of", F.transform("of", lambda s: F.struct(
+        s["licence"].alias("licence"), s["score"].alias("score"), s["first"].alias("first_word"), s["n"].alias("licence_words"))))
+    joined = rows.drop("__found").join(listed.withColumnRenamed("__row", "__of"), F.col("__row") == F.col("__of"), "left")
+    top = F.get("of", F.lit(0))
+    return joined.withColumns({
+        **{n: top[n] for n in new[:4]}, "margin": top["score"] - F.get("of", F.lit(1))["score"], "stretches": F.col("of"),
+    }).drop("of", "__of", "__row")
 
 
 def inherit(found: DataFrame, path_col: str = "path") -> DataFrame:
@@ -168,15 +208,16 @@ def inherit(found: DataFrame, path_col: str = "path") -> DataFrame:
     }).drop("__dir", "__d", "__above", "__given")
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """files without their text, and what own_licences and inherit add. Null and empty texts have no licence of
     their own. Equal paths are files like others. An empty table gives no rows."""
-    matcher = fit(files, text_col, templates)
-    return inherit(written(own_licences(files, matcher, text_col).drop(text_col), "licences"), path_col)
+    return inherit(written(own_licences(files, text_col, templates=templates), "licences"), path_col)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Documents as files: source/lang/doc_id.txt."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     files = docs.select("doc_id", path.alias("path"), text_of().alias("text"))
-    return scan(files).select("doc_id", "path", "licence", "score", "first_word", "licence_words", "inherited_licence", "inherited_from", "effective_licence")
+    return scan(files).select(
+        "doc_id", "path", "licence", "score", "first_word", "licence_words", "margin", "stretches", "inherited_licence", "inherited_from", "effective_licence"
+    )

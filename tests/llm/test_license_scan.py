@@ -1,43 +1,67 @@
 import math
 from collections import Counter
 
-from tallyspark.llm import license_scan
+from tallyspark.llm import license_scan, licence_texts
 from tests.llm.conftest import SF
 
 
-def by_force(matcher, text):
-    """The best cosine of any stretch as long as a template."""
-    terms = list(license_scan.terms_of(license_scan._Terms(matcher.vocabulary), text))
-    best = 0.0
-    for counts, length in zip(matcher.counts, matcher.lengths):
-        own = math.sqrt(sum((c * i) ** 2 for c, i in zip(counts, matcher.idf)))
-        n = min(length, len(terms))
-        for at in range(len(terms) - n + 1):
-            seen = Counter(terms[at : at + n])
-            other = seen.pop(-1, 0)
-            size = math.sqrt(sum((c * matcher.idf[t]) ** 2 for t, c in seen.items()) + other * matcher.idf[-1] ** 2)
-            dot = sum(c * counts[t] * matcher.idf[t] ** 2 for t, c in seen.items())
-            best = max(best, dot / size / own if size else 0)
-    return best
+def by_force(texts, templates, threshold=0.8):
+    """For each text (licence, score) of its most similar stretch, from dictionaries; None below the threshold."""
+    split = [[w.strip(license_scan._EDGES) for w in (t or "").lower().split()] for t in texts]
+    files = Counter(w for words in split for w in set(words))
+    idf = lambda w: 1 + math.log((1 + len(texts)) / (1 + files[w]))
+    size = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
+    sought = [(name, words, Counter(words), size(Counter(words))) for name, words in ((n, license_scan.words_of(t)) for n, t in templates)]
+    of_templates = {w for _, words, *_ in sought for w in words}
+    out = []
+    for words in split:
+        best = (None, None)
+        for name, length, counted, norm in ((n, len(w), c, s) for n, w, c, s in sought):
+            if math.sqrt(sum((k * idf(w)) ** 2 for w, k in counted.items() if w in set(words))) < threshold * norm:
+                continue
+            n, runs = min(length, len(words)), []
+            for at in range(len(words) - n + 1):
+                part = words[at : at + n]
+                dot = sum(counted[w] * idf(w) ** 2 for w in part) / norm
+                bound = dot / math.sqrt(sum(idf(w) ** 2 if w in of_templates else 1 for w in part))
+                if bound >= threshold - 1e-9:
+                    if not runs or at - runs[-1][-1][0] >= n:
+                        runs.append([])
+                    runs[-1].append((at, round(bound, 12), dot / size(Counter(part))))
+            for run in runs:
+                cosine = max(run, key=lambda r: (r[1], -r[0]))[2]
+                if cosine >= threshold and cosine > (best[1] or 0) + 1e-9:
+                    best = (name, cosine)
+        out.append(best)
+    return out
 
 
 def test_query_by_force(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in license_scan.query(docs).collect()}
     assert len(rows) == len(documents)
-    matcher = license_scan.fit(docs)
-    few = sorted((d for d in documents if len(d["text"]) < 6000), key=lambda d: -rows[d["doc_id"]].score)
-    for d in few[:15] + few[len(few) // 2 :: 60]:
-        expected, r = by_force(matcher, d["text"]), rows[d["doc_id"]]
-        if expected >= license_scan.THRESHOLD:
-            assert math.isclose(r.score, expected, rel_tol=1e-6)
-        else:
-            assert r.licence is None and r.score <= expected + 1e-6
+    expected = by_force([d["text"] for d in documents], licence_texts.templates())
+    for d, (name, score) in zip(documents, expected, strict=True):
+        r = rows[d["doc_id"]]
+        assert (r.score is None) == (score is None) and (score is None or math.isclose(r.score, score, rel_tol=1e-6)), (d["doc_id"], r.score, score)
+        assert name is None or name in [s.licence for s in r.stretches if s.score >= score - 1e-6]
     assert sum(r.licence is not None for r in rows.values()) > 5
 
 
+def test_versions_and_variants_are_told_apart(spark):
+    """Notices, whole licences and statements, inside other words, give their own licence and no neighbour."""
+    texts = licence_texts.templates()
+    filler = [f"other{i}" for i in range(40)]
+    rows = [(i, name, " ".join([*filler[: i % 30], text, *filler[i % 40 :]])) for i, (name, text) in enumerate(texts)]
+    files = spark.createDataFrame([(f"{i}/f.txt", name, text) for i, name, text in rows], "path string, want string, text string")
+    found = license_scan.own_licences(files).collect()
+    assert len(found) == len(rows) and [(r.want, r.licence) for r in found if r.licence != r.want] == []
+    notice = dict(licence_texts.TEXTS)
+    assert "version 3" in notice["GPL-3.0"] and "Lesser" in notice["LGPL-2.1"]
+
+
 def test_nearest_directory(spark):
-    mit = dict(license_scan.TEMPLATES[2:4])["MIT"]
+    mit = dict(licence_texts.TEXTS)["MIT"]
     rows = [("LICENSE", mit), ("src/a.py", "x"), ("src/lib/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("src/lib/deep/b.py", None),
             ("src/lib/c.py", ""), ("src/libs/d.py", "y"), (None, "z"), ("src/lib/own.py", "word " * 40 + "Released under the MIT License." + " word" * 40)]
     files = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(rows)], "path string, text string, given int")
