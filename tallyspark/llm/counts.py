@@ -55,18 +55,23 @@ class _Numbers(dict):
         return n
 
 
-def word_slices(rows: DataFrame, split: Callable[[str], list], hashed: Callable[[object], int]) -> DataFrame:
+def word_slices(rows: DataFrame, split: Callable[[str], list], hashed: Callable[[object], int], apart: int | None = None) -> DataFrame:
     """rows: (id, text, part int) -> (slice, ids, parts, sizes, words, index, tokens).
 
     sizes: the tokens of each text. words: hashes of the distinct tokens, rising. index:
     each token's place in words. Two tokens with the same 64 bits of hash count as one.
+    Texts of the part `apart` are in slices of odd numbers, all others in those of even numbers.
     """
 
+    def kinds(batch: pa.RecordBatch) -> Iterable[tuple[int, pa.RecordBatch]]:
+        odd = np.equal(batch.column(2).to_numpy(zero_copy_only=False), -1 if apart is None else apart)
+        return ((k, some) for k, some in ((0, batch.filter(pa.array(~odd))), (1, batch.filter(pa.array(odd)))) if len(some))
+
     def run(batches):
         from pyspark import TaskContext
 
-        number = itertools.count(TaskContext.get().partitionId() << 32)
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        number = itertools.count(TaskContext.get().partitionId() << 32, 2)
+        for kind, batch in ((k, some) for whole in batches for part in slices(whole, 1) for k, some in kinds(part)):
             numbers, found = _Numbers(), []
             for text in batch.column(1).to_pylist():
                 tokens = split(text)
@@ -74,7 +79,7 @@ def word_slices(rows: DataFrame, split: Callable[[str], list], hashed: Callable[
             words, place = np.unique(np.fromiter(map(hashed, numbers), np.uint64, len(numbers)), return_inverse=True)
             index = place.astype(np.int32)[np.concatenate(found)]
             columns = [
-                pa.array([next(number)]), _list(batch.column(0)), _list(batch.column(2)), pa.array([packed(np.array([len(f) for f in found], np.int64))]),
+                pa.array([next(number) + kind]), _list(batch.column(0)), _list(batch.column(2)), pa.array([packed(np.array([len(f) for f in found], np.int64))]),
                 pa.array([packed_keys(words)]), pa.array([packed(index)]), pa.array([len(index)], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", "parts", "sizes", "words", "index", "tokens"])
@@ -85,7 +90,7 @@ def word_slices(rows: DataFrame, split: Callable[[str], list], hashed: Callable[
 
 
 def _list(column: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)  # a filtered batch's columns start at 0
 
 
 def bucket_bits(spark: SparkSession, keys: int) -> int:
@@ -94,14 +99,14 @@ def bucket_bits(spark: SparkSession, keys: int) -> int:
 
 
 ENTRIES = "slice long, kind int, bucket long, keys binary, n binary, deleted binary"
-SUMS = "slice long, kind int, bucket long, n binary, deleted binary, types long"
+SUMS = "slice long, kind int, bucket long, n binary, deleted binary, types long, all_n long, all_deleted long"
 
 
 def entries(number: int, kind: int, keys: np.ndarray, n: np.ndarray, deleted: np.ndarray, bits: int) -> Iterable[tuple]:
     """Rows of ENTRIES: a slice's rising distinct keys and what it has of each, by bucket."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     start = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(start, [*start[1:], len(keys)], strict=True):
+    for a, b in zip(start, np.append(start[1:], len(keys)), strict=False):  # no start, no entry
         yield number, kind, int(bucket[a]), packed_keys(keys[a:b]), packed(n[a:b].astype(np.uint32)), packed(deleted[a:b].astype(np.uint32))
 
 
@@ -114,7 +119,7 @@ def batch_of(rows: list[tuple], fields: str) -> pa.RecordBatch:
 
 def totals(asked: DataFrame) -> DataFrame:
     """ENTRIES -> SUMS: each key's sums over all slices, in the order in which each slice has its keys. types: the bucket's distinct
-    keys of which n is not 0, in one of its rows, and 0 in the others."""
+    keys of which n is not 0, all_n and all_deleted: the sums over its keys; in one of the bucket's rows, and 0 in the others."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -125,10 +130,10 @@ def totals(asked: DataFrame) -> DataFrame:
         for name in ("n", "deleted"):
             parts = np.concatenate([unpacked(x.as_py(), np.uint32) for x in table[name]])
             sums.append(np.bincount(index, parts, len(found)).astype(np.int64))
-        types = np.zeros(len(keys), np.int64)
-        types[0] = np.count_nonzero(sums[0])
+        whole = np.zeros((3, len(keys)), np.int64)
+        whole[:, 0] = np.count_nonzero(sums[0]), sums[0].sum(), sums[1].sum()
         back = [pa.array([packed(x) for x in np.split(s[index], ends)], pa.binary()) for s in sums]
-        return pa.table([table["slice"], table["kind"], table["bucket"], *back, pa.array(types)], ["slice", "kind", "bucket", "n", "deleted", "types"])
+        return pa.table([table["slice"], table["kind"], table["bucket"], *back, *map(pa.array, whole)], [f.split()[0] for f in SUMS.split(", ")])
 
     return asked.groupBy("kind", "bucket").applyInArrow(run, SUMS)
 

@@ -106,29 +106,18 @@ def cells_of(context: np.ndarray, pair: np.ndarray, single: np.ndarray) -> dict[
     }
 
 
-CELL = "array<struct<bucket:long,pair_level:long,single_level:long,seen:long,pair:double,single:double>>"
-RESOLVED = f"word_n binary, pair_n binary, types long, train long, deleted long, cells {CELL}"
+CELL = "bucket long, pair_level long, single_level long, seen long, pair double, single double"
 
 
-def _resolved(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A slice with the sums over all slices of its words and bigrams, and its cells."""
-    words, index, _, part = _opened(left.to_pylist()[0])
-    pairs, place = _pairs(words, index)
+def _cells(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The cells of a slice of held-out texts; right: its rows of sums."""
+    words, index, _, _ = _opened(left.to_pylist()[0])
+    _, place = _pairs(words, index)
     word_n, word_deleted = counts.sums_of(right, WORDS)
     pair_n, pair_deleted = counts.sums_of(right, PAIRS)
-    held = np.flatnonzero(part == DELETED)
     word_rest, pair_rest = word_n - word_deleted, pair_n - pair_deleted
-    context = _before(index, np.searchsorted(words, np.uint64(END_HASH)))
-    cells = cells_of(word_rest[context[held]], pair_rest[place[held]], word_rest[index[held]])
-    listed = pa.StructArray.from_arrays([pa.array(v) for v in cells.values()], list(cells))
-    types = sum(t for k, t in zip(right["kind"].to_pylist(), right["types"].to_pylist(), strict=True) if k == WORDS)
-    new = {
-        "word_n": [counts.packed(word_n)], "pair_n": [counts.packed(pair_n)], "types": [types], "train": [int((part != TEST).sum())], "deleted": [len(held)],
-        "cells": pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed),
-    }
-    for name, values in new.items():
-        left = left.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
-    return left
+    cells = cells_of(word_rest[_before(index, np.searchsorted(words, np.uint64(END_HASH)))], pair_rest[place], word_rest[index])
+    return pa.table({name: pa.array(values) for name, values in cells.items()})
 
 
 def learned(which: np.ndarray, parts: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -153,11 +142,11 @@ def learned(which: np.ndarray, parts: np.ndarray, seen: np.ndarray) -> np.ndarra
     return weights
 
 
-def mixture_weights(resolved: DataFrame, tokens: int, types: int) -> np.ndarray:
+def mixture_weights(cells: DataFrame, tokens: int, types: int) -> np.ndarray:
     """The weights from the cells of all slices, whose number does not grow with the corpus but by the range of counts.
     tokens: those of the training texts that are not held out."""
-    cells = resolved.select(F.explode("cells").alias("c")).select("c.*").groupBy("bucket", "pair_level", "single_level")
-    found = cells.agg(*(F.sum(c).alias(c) for c in ("seen", "pair", "single"))).orderBy("bucket", "pair_level", "single_level").toPandas()
+    found = cells.groupBy("bucket", "pair_level", "single_level").agg(*(F.sum(c).alias(c) for c in ("seen", "pair", "single")))
+    found = found.orderBy("bucket", "pair_level", "single_level").toPandas()
     seen = found["seen"].to_numpy(float)
     estimates = [found["pair"].to_numpy(float) / seen, found["single"].to_numpy(float) / seen / max(1, tokens), np.full(len(seen), 1 / (types + 1))]
     return learned(found["bucket"].to_numpy(np.int64), np.stack(estimates, axis=1), seen)
@@ -166,23 +155,19 @@ def mixture_weights(resolved: DataFrame, tokens: int, types: int) -> np.ndarray:
 SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(weights: np.ndarray, tokens: int, types: int, batches):
-    log_all = float(np.log10(tokens + (types + 1)))
-    for batch in batches:
-        for at, row in enumerate(batch.select(["parts", "sizes", "words", "index", "word_n", "pair_n"]).to_pylist()):
-            words, index, sizes, _ = _opened(row)
-            _, place = _pairs(words, index)
-            word_n, pair_n = counts.unpacked(row["word_n"], np.int64), counts.unpacked(row["pair_n"], np.int64)
-            context = word_n[_before(index, np.searchsorted(words, np.uint64(END_HASH)))]
-            mix, n = weights[bucket(context)], word_n[index]
-            logs = np.log10(mix[:, 0] * pair_n[place] / np.maximum(1, context) + mix[:, 1] * n / max(1, tokens) + mix[:, 2] / (types + 1))
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            known = np.bincount(text, n > 0, len(sizes)).astype(np.int64)
-            base = np.bincount(text, np.log10(n + 1), len(sizes)) - log_all * sizes
-            columns = [batch.column("ids")[at].values, pa.array(row["parts"], pa.int32()), pa.array(sizes), pa.array(known), pa.array(base)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.bincount(text, logs, len(sizes)))], ["id", "part", *(f.split()[0] for f in SCORES.split(", "))]
-            )
+def _scored(weights: np.ndarray, tokens: int, types: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The scores of a slice's texts."""
+    words, index, sizes, _ = _opened(left.to_pylist()[0])
+    _, place = _pairs(words, index)
+    word_n, pair_n = counts.sums_of(right, WORDS)[0], counts.sums_of(right, PAIRS)[0]
+    context = word_n[_before(index, np.searchsorted(words, np.uint64(END_HASH)))]
+    mix, n = weights[bucket(context)], word_n[index]
+    logs = np.log10(mix[:, 0] * pair_n[place] / np.maximum(1, context) + mix[:, 1] * n / max(1, tokens) + mix[:, 2] / (types + 1))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    known = np.bincount(text, n > 0, len(sizes)).astype(np.int64)
+    base = np.bincount(text, np.log10(n + 1), len(sizes)) - float(np.log10(tokens + (types + 1))) * sizes
+    columns = [left["ids"].combine_chunks().flatten(), left["parts"].combine_chunks().flatten(), *map(pa.array, (sizes, known, base, np.bincount(text, logs, len(sizes))))]
+    return pa.table(columns, ["id", "part", *(f.split()[0] for f in SCORES.split(", "))])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,18 +179,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Two words, or two bigrams, with the same 64 bits of hash count as one.
     """
     kept = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), remainder(id_col).cast("int").alias("part"))
-    sliced = written(counts.word_slices(kept, _split, _hashed), "lm-slices")
+    sliced = written(counts.word_slices(kept, _split, _hashed, apart=DELETED), "lm-slices")
     bits = counts.bucket_bits(docs.sparkSession, sliced.agg(F.sum("tokens")).first()[0] or 0)
-    sums = counts.totals(sliced.mapInArrow(partial(_counted, bits), counts.ENTRIES))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sliced.schema) + ", " + RESOLVED
-    resolved = written(sliced.groupBy("slice").cogroup(sums.groupBy("slice")).applyInArrow(_resolved, fields), "lm-resolved")
-    total = resolved.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "train", "deleted"))).first()
-    weights = mixture_weights(resolved, total.train - total.deleted, total.types)
+    sums = written(counts.totals(sliced.mapInArrow(partial(_counted, bits), counts.ENTRIES)), "lm-sums")
+    total = sums.where(F.col("kind") == WORDS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "all_n", "all_deleted"))).first()
+    held, of_held = (df.where(F.col("slice") % 2 == 1).groupBy("slice") for df in (sliced, sums))
+    weights = mixture_weights(held.cogroup(of_held).applyInArrow(_cells, CELL), total.all_n - total.all_deleted, total.types)
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = resolved.mapInArrow(partial(_scored, weights, total.train, total.types), f"id {id_type}, part int, {SCORES}")
+    scored = sliced.groupBy("slice").cogroup(sums.groupBy("slice")).applyInArrow(
+        partial(_scored, weights, total.all_n, total.types), f"id {id_type}, part int, {SCORES}"
+    )
     return scored.select(
         F.col("id").alias(id_col), (F.col("part") == TEST).alias("held_out"), "n_tokens", "n_known",
-        F.lit(total.train).cast("long").alias("train_tokens"), "base_score", "score",
+        F.lit(total.all_n).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
