@@ -12,7 +12,7 @@ def squeeze(text: Column) -> Column:
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    return F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
 
 
 # English month names.
@@ -25,6 +25,11 @@ def _month_number(name: Column) -> Column:
     return F.when(at > 0, at.cast("string")).otherwise(F.lit("0"))
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_date(raw: Column, order: Column | None = None) -> Column:
     """struct(date, status, option_a, option_b) of a written date.
 
@@ -32,49 +37,85 @@ def normalize_date(raw: Column, order: Column | None = None) -> Column:
     one way only, equal both ways, or by the file's order (MDY or DMY); else AMBIGUOUS with both
     readings. Empty is MISSING, anything else INVALID.
     """
-    text = squeeze(raw)
-    g = lambda p, k: F.regexp_extract(text, p, k)
     iso, flat = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ].*)?$", r"^(\d{4})(\d{2})(\d{2})$"
     named, named2 = r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})$"
     numeric = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})$"
-    year = F.when(F.length(g(numeric, 3)) == 2, F.concat(F.lit("20"), g(numeric, 3))).otherwise(g(numeric, 3))
-    a, b = _day(year, g(numeric, 1), g(numeric, 2)), _day(year, g(numeric, 2), g(numeric, 1))
-    plain = (
-        F.when(text.rlike(iso), _day(g(iso, 1), g(iso, 2), g(iso, 3)))
-        .when(text.rlike(flat), _day(g(flat, 1), g(flat, 2), g(flat, 3)))
-        .when(text.rlike(named), _day(g(named, 3), _month_number(g(named, 1)), g(named, 2)))
-        .when(text.rlike(named2), _day(g(named2, 3), _month_number(g(named2, 2)), g(named2, 1)))
-    )
     order = F.lit(None).cast("string") if order is None else order
-    both = a.isNotNull() & b.isNotNull() & (a != b)
-    chosen = F.when(F.coalesce(both, F.lit(False)), F.when(order == "MDY", a).when(order == "DMY", b)).otherwise(F.coalesce(a, b))
-    date = F.when(text.rlike(numeric), chosen).otherwise(plain)
-    status = (
-        F.when(F.coalesce(text, F.lit("")) == "", "MISSING").when(date.isNotNull(), "RESOLVED")
-        .when(text.rlike(numeric) & F.coalesce(both, F.lit(False)), "AMBIGUOUS").otherwise("INVALID")
-    )
-    unsure = status == "AMBIGUOUS"
-    return F.struct(date.alias("date"), status.alias("status"), F.when(unsure, a).alias("option_a"), F.when(unsure, b).alias("option_b"))
+
+    def parts(text: Column) -> Column:
+        """The text's year, month and day as written, and for a numeric date those of the month-first reading."""
+        g = lambda p, k: F.regexp_extract(text, p, k)
+        of = lambda y, m, d, n: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(n).alias("numeric"), text.alias("text"))
+        year = F.regexp_replace(g(numeric, 3), r"^(\d{2})$", "20$1")
+        nothing = F.lit(None).cast("string")
+        return (
+            F.when(text.rlike(numeric), of(year, g(numeric, 1), g(numeric, 2), True))
+            .when(text.rlike(iso), of(g(iso, 1), g(iso, 2), g(iso, 3), False)).when(text.rlike(flat), of(g(flat, 1), g(flat, 2), g(flat, 3), False))
+            .when(text.rlike(named), of(g(named, 3), _month_number(g(named, 1)), g(named, 2), False))
+            .when(text.rlike(named2), of(g(named2, 3), _month_number(g(named2, 2)), g(named2, 1), False))
+            .otherwise(of(nothing, nothing, nothing, False))
+        )
+
+    def readings(p: Column) -> Column:
+        a = _day(p["y"], p["m"], p["d"])
+        b = F.when(p["numeric"], _day(p["y"], p["d"], p["m"]))
+        return F.struct(a.alias("a"), b.alias("b"), p["text"].alias("text"))
+
+    def result(r: Column) -> Column:
+        a, b = r["a"], r["b"]
+        two = F.coalesce(a != b, F.lit(False))
+        date = F.when(two, F.when(order == "MDY", a).when(order == "DMY", b)).otherwise(F.coalesce(a, b))
+        unsure = two & date.isNull()
+        status = (
+            F.when(F.coalesce(r["text"], F.lit("")) == "", "MISSING").when(date.isNotNull(), "RESOLVED").when(unsure, "AMBIGUOUS").otherwise("INVALID")
+        )
+        return F.struct(date.alias("date"), status.alias("status"), F.when(unsure, a).alias("option_a"), F.when(unsure, b).alias("option_b"))
+
+    return let(let(let(squeeze(raw), parts), readings), result)
+
+
+# Currency signs that may stand before or after an amount, and their codes.
+CURRENCY_SIGNS = {
+    "R$": "BRL", "A$": "AUD", "C$": "CAD", "HK$": "HKD", "S$": "SGD", "NZ$": "NZD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW",
+    "₽": "RUB", "฿": "THB", "₺": "TRY", "₴": "UAH", "₫": "VND", "₦": "NGN", "₱": "PHP", "₨": "PKR", "Rp": "IDR",
+}
+_SIGN = "(" + "|".join(s.replace("$", r"\$") for s in CURRENCY_SIGNS) + ")"
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def currency_sign(raw: Column) -> Column:
+    """The sign in front of an amount, else the one after it; the empty string if there is neither."""
+    text = _trimmed(raw)
+    front = F.regexp_extract(text, "^" + _SIGN, 1)
+    return F.when(front != "", front).otherwise(F.regexp_extract(text, _SIGN + "$", 1))
 
 
 def normalize_amount(raw: Column) -> Column:
     """decimal(18,2) of a written amount, null if it is none.
 
-    In this order: currency sign in front, parentheses or trailing minus as negative, comma as
-    decimal sign after dots, commas between thousands, comma as decimal sign alone. A sign before the
-    currency, as in -$5, gives null.
+    In this order: a currency sign in front or behind goes, else a $ in front; parentheses or a trailing minus
+    as negative; comma as decimal sign after dots, commas between thousands, comma before two last digits as
+    decimal sign. A sign before the currency, as in -$5 or ($5), gives null.
     """
-    text = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"^[$€£¥₹]\s*", "")
-    negative = text.rlike(r"^\(.*\)$") | text.rlike(r"-$")
-    body = F.regexp_replace(F.regexp_replace(text, r"^\((.*)\)$", "$1"), r"-$", "")
-    body = (
-        F.when(body.rlike(r"^[+-]?\d{1,3}(\.\d{3})+,\d+$"), F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(body.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d*)?$"), F.replace(body, F.lit(","), F.lit("")))
-        .when(body.rlike(r"^[+-]?\d+,\d{1,2}$"), F.replace(body, F.lit(","), F.lit(".")))
-        .otherwise(body)
-    )
-    number = F.when(body.rlike(r"^[+-]?\d*\.?\d+$"), body.try_cast("decimal(18,2)"))
-    return F.when(negative, -number).otherwise(number)
+
+    def parsed(text: Column) -> Column:
+        bare = F.when(
+            text.rlike(f"^{_SIGN}|{_SIGN}$"),
+            F.when(text.rlike("^" + _SIGN), F.regexp_replace(text, rf"^{_SIGN}\s*", "")).otherwise(F.regexp_replace(text, rf"\s*{_SIGN}$", "")),
+        ).otherwise(F.regexp_replace(text, r"^\$\s*", ""))
+        signed = F.regexp_replace(F.regexp_replace(bare, r"^\((.+)\)$", "-$1"), r"^([^-].*)-$", "-$1")
+        plain = (
+            F.when(signed.rlike(r"^-?\d{1,3}(\.\d{3})+,\d{1,2}$"), F.replace(F.replace(signed, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(signed.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(signed, F.lit(","), F.lit("")))
+            .when(signed.rlike(r"^-?\d+,\d{2}$"), F.replace(signed, F.lit(","), F.lit(".")))
+            .otherwise(signed)
+        )
+        return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(18,2)"))
+
+    return let(_trimmed(raw), parsed)
 
 
 def to_cents(text: Column) -> Column:
@@ -111,35 +152,86 @@ def row_hash(account: Column, line: Column) -> Column:
 
 
 def vendor_key(raw: Column) -> Column:
-    """Upper case letters, digits and single spaces, without a trailing number."""
-    kept = F.regexp_replace(F.upper(raw), r"[^A-Z0-9 ]", "")
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(kept, r" +", " ")), r" ?[0-9]+$", ""))
+    """Upper case letters, digits and single spaces, without a trailing number if three characters are left."""
+    kept = squeeze(F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), r"[^A-Z0-9\s]", ""))
+    short = F.trim(F.regexp_replace(kept, r"\s+\d+$", ""))
+    return F.when(F.length(short) >= 3, short).otherwise(kept)
+
+
+def rule_key(raw: Column) -> Column:
+    return F.lower(vendor_key(raw))
+
+
+# What banks put in front of a vendor's name.
+VENDOR_PREFIXES = [
+    "pos ", "ach ", "debit ", "credit ", "purchase ", r"tsq?\*", r"sq \*", r"sq\*", r"tst\*", "dda ", "wdrl ", "wd ", "chk ", "chkcd ", "preauth ",
+    "preauthorized ", "online ", "recurring ",
+]
 
 
 def normalize_vendor(raw: Column) -> Column:
-    """Lower case, without a bank's prefix and punctuation, 80 characters."""
-    text = F.regexp_replace(F.lower(raw), r"^(pos|debit|purchase|checkcard|ach|recurring)\s+", "")
-    return F.substring(squeeze(F.regexp_replace(text, r"[^a-z0-9_\s-]", " ")), 1, 80)
+    """Lower case, without one prefix of a bank and without signs other than hyphens, 80 characters."""
+    text = F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), f"^({'|'.join(VENDOR_PREFIXES)})", "")
+    return F.substring(squeeze(F.regexp_replace(text, r"[^a-z0-9_\s-]", "")), 1, 80)
+
+
+def upload_vendor(raw: Column) -> Column:
+    """normalize_vendor without a trailing number if three characters are left."""
+    key = normalize_vendor(raw)
+    short = F.trim(F.regexp_replace(key, r"\s+\d+$", ""))
+    return F.when(F.length(short) >= 3, short).otherwise(key)
+
+
+def visited_merchant(raw: Column) -> Column:
+    """Without a trailing store number, as in STARBUCKS #1234."""
+    return squeeze(F.regexp_replace(raw, r"#\d+\s*$", ""))
+
+
+# In this order, what card statements append, noise inside, and places at the end.
+MERCHANT_TAILS = [r"\s+[a-z]{2}\s+date[\s\S]*", r"\s+date\s+[\dx/]+\s+xx\s+x[\s\S]*", r"\s+(type|co|id\d*):\s+[\s\S]*", r"\s+card\s+\d+[\s\S]*"]
+MERCHANT_NOISE = [(r"\*+", " "), (r"#\s*\d+", ""), (r"\d{4,}", ""), (r"\b(debit|credit|purchase|pos|ach)\b", "")]
+MERCHANT_PLACES = [r"\s+[a-z]{2}\s*$", r",\s*[a-z\s]+$"]
 
 
 def normalize_merchant(raw: Column) -> Column:
-    """Display name: noise words, long numbers and a trailing state go; every word begins in upper case."""
-    text = F.regexp_replace(F.lower(raw), r"\b(pos|debit|purchase|card|payment|ref|id)\b|#\d+|\d{4,}|\*+", " ")
-    words = F.split(squeeze(F.regexp_replace(squeeze(text), r" (ca|ny|tx|wa|fl|il)$", "")), " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    """Display name: card and transfer metadata, noise words, long numbers, a trailing state and city go; every word begins in upper case."""
+    text = _trimmed(F.lower(raw))
+    for pattern in MERCHANT_TAILS:
+        text = _trimmed(F.regexp_replace(text, pattern, ""))
+    for pattern, to in MERCHANT_NOISE:
+        text = F.regexp_replace(text, pattern, to)
+    text = squeeze(text)
+    for pattern in MERCHANT_PLACES:
+        text = _trimmed(F.regexp_replace(text, pattern, ""))
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+
+
+# What banks put before and after the name of a recurring payee.
+RECURRING_PREFIXES = [
+    "payment to", "payments to", "transfer to", "ach payment to?", "ach pmt", "online pmt", "online payment", "pymt to", "pmt to", "bill pmt", "bill payment",
+    "web pmnt", "autopay", "recurring pmt", "scheduled pmt", "checkcard", "pos purchase", "pos debit",
+]
+RECURRING_SUFFIXES = ["payment", "pymt", "pmt", "autopay", "billpay"]
 
 
 def recurring_key(raw: Column) -> Column:
-    text = F.regexp_replace(F.lower(raw), r"^(bill pay|billpay|online payment|payment to)\s+", "")
-    return squeeze(F.regexp_replace(F.regexp_replace(text, r"\s+(payment|pymt|autopay)$", ""), r"[^a-z0-9\s]", " "))
+    text = F.regexp_replace(_trimmed(F.lower(F.coalesce(raw, F.lit("")))), rf"^({'|'.join(RECURRING_PREFIXES)})\s+", "")
+    text = F.regexp_replace(text, rf"\s+({'|'.join(RECURRING_SUFFIXES)})$", "")
+    return squeeze(F.regexp_replace(text, r"[^a-z0-9_\s-]", " "))
 
 
-def redact(text: Column) -> Column:
-    """Cards, telephone numbers, mail addresses and long account numbers are masked."""
-    out = F.regexp_replace(text, r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[CARD]")
-    out = F.regexp_replace(out, r"\b\d{3}[-.]\d{3}[-.]\d{4}\b", "[PHONE]")
-    out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    return F.regexp_replace(out, r"\b\d{9,}\b", "[ACCOUNT]")
+# Personal data and what is shown in its place, in this order.
+REDACTIONS = [
+    (r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "[CARD]"), (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]"), (r"\b\d{9}\b", "[ACCOUNT]"), (r"\*{4}\d{4}", "[CARD]"),
+]
+
+
+def redact(text: Column, length: int = 200) -> Column:
+    """Cards, telephone numbers, mail addresses and account numbers are masked; so many characters are shown."""
+    for pattern, shown in REDACTIONS:
+        text = F.regexp_replace(text, pattern, F.lit(shown))
+    return F.substring(_trimmed(text), 1, length)
 
 
 def ingestion_status(date_status: Column, amount: Column, pending: Column) -> Column:
@@ -160,9 +252,10 @@ def enforce_sign(amount: Column, kind: Column) -> Column:
 
 
 def currency(raw: Column, code: Column) -> Column:
-    sign = F.substring(F.trim(raw), 1, 1)
-    known = F.when(sign == "€", "EUR").when(sign == "£", "GBP").when(sign == "¥", "JPY").when(sign == "₹", "INR").when(sign == "$", "USD")
-    return F.coalesce(known, F.when(F.upper(code).rlike(r"^[A-Z]{3}$"), F.upper(code)), F.lit("USD"))
+    """By the amount's sign, else a code of three letters, else USD."""
+    signs = F.create_map(*(F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair))
+    given = F.upper(_trimmed(code))
+    return F.coalesce(F.try_element_at(signs, currency_sign(raw)), F.when(F.length(given) == 3, given), F.lit("USD"))
 
 
 def money(cents: Column) -> Column:
@@ -182,7 +275,25 @@ def tolerant_json_array(text: Column, item: str) -> Column:
 
 
 def rule_specificity(match_type: Column) -> Column:
+    """Lower is more specific."""
+    return F.when(match_type == "vendor_exact_amount", 1).when(match_type.isin("vendor_amount_range", "vendor_smart"), 2).when(match_type == "vendor_contains_text", 3).otherwise(4)
+
+
+def rule_reason(match_type: Column) -> Column:
     return (
-        F.when(match_type == "vendor_exact_amount", 100).when(match_type == "vendor_amount_range", 80).when(match_type == "vendor_smart", 70)
-        .when(match_type == "vendor_exact", 60).when(match_type == "vendor_contains_text", 40).otherwise(10)
+        F.when(match_type == "vendor_exact_amount", "Vendor + Exact Amount").when(match_type == "vendor_amount_range", "Vendor + Amount Range")
+        .when(match_type == "vendor_contains_text", "Vendor + Description").when(match_type == "vendor_smart", "Vendor + Smart Amounts").otherwise("Vendor only")
     )
+
+
+def escalated(status: Column, suspicious: Column) -> Column:
+    """VALID becomes WARNING; no other status changes."""
+    return F.when((status == "VALID") & suspicious, "WARNING").otherwise(status)
+
+
+def transaction_type(amount: Column, is_transfer: Column) -> Column:
+    return F.when(is_transfer, "transfer").when(amount >= 0, "income").otherwise("expense")
+
+
+def days_until(date: Column, as_of: Column) -> Column:
+    return F.datediff(date, as_of)

@@ -10,25 +10,24 @@ def duplicate_flags(rows: DataFrame, keys: list[str] = ["bank_id", "fingerprint"
     """rows (tx_id, account_id, upload_id, bank_id, fingerprint) with within_upload, cross_upload, confidence, duplicate_of.
 
     Pass A goes by the bank's id (confidence 1.0), pass B by the fingerprint (0.9) among rows that A
-    did not flag. Empty and null keys match nothing. duplicate_of: the group's smallest tx_id.
+    did not flag. Empty and null keys match nothing, and their rows are dealt by tx_id, so they fill no
+    one task. duplicate_of: the group's smallest tx_id.
     """
-    out = rows
+    out = rows.withColumns({
+        "within_upload": F.lit(False), "cross_upload": F.lit(False), "duplicate_of": F.lit(None).cast(rows.schema["tx_id"].dataType), "confidence": F.lit(None).cast("double"),
+    })
     for key, sure in zip(keys, (1.0, 0.9), strict=False):
-        usable = F.coalesce(F.col(key), F.lit("")) != ""
-        if "confidence" in out.columns:
-            usable = usable & F.col("confidence").isNull()
-        group = F.when(usable, F.col(key))
-        account = Window.partitionBy("account_id", group)
-        upload = Window.partitionBy("account_id", group, "upload_id")
-        within, total = F.count("*").over(upload), F.count("*").over(account)
-        first = F.min("tx_id").over(account)
-        hit = usable & (total > 1)
-        found = {"w": usable & (within > 1), "c": usable & (total > within), "f": F.when(hit, first), "s": F.when(hit, F.lit(sure))}
-        for short, name in (("w", "within_upload"), ("c", "cross_upload")):
-            found[short] = found[short] | F.col(name) if name in out.columns else found[short]
-        for short, name in (("f", "duplicate_of"), ("s", "confidence")):
-            found[short] = F.coalesce(F.col(name), found[short]) if name in out.columns else found[short]
-        out = out.withColumns({"within_upload": found["w"], "cross_upload": found["c"], "duplicate_of": found["f"], "confidence": found["s"]})
+        usable = (F.coalesce(F.col(key), F.lit("")) != "") & F.col("confidence").isNull()
+        group = [F.col("account_id"), F.when(usable, F.col(key)), F.when(~usable, F.col("tx_id"))]
+        within = F.count("*").over(Window.partitionBy(*group, "upload_id"))
+        account = Window.partitionBy(*group)
+        seen = out.withColumns({"__usable": usable, "__within": within}).withColumns({"__total": F.count("*").over(account), "__first": F.min("tx_id").over(account)})
+        hit = F.col("__usable") & (F.col("__total") > 1)
+        out = seen.withColumns({
+            "within_upload": F.col("within_upload") | (F.col("__usable") & (F.col("__within") > 1)),
+            "cross_upload": F.col("cross_upload") | (F.col("__usable") & (F.col("__total") > F.col("__within"))),
+            "duplicate_of": F.coalesce("duplicate_of", F.when(hit, F.col("__first"))), "confidence": F.coalesce("confidence", F.when(hit, F.lit(sure))),
+        }).drop("__usable", "__within", "__total", "__first")
     return out
 
 
@@ -53,6 +52,45 @@ def chain_before(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumns({"expected_cents": expected, "is_valid": F.col("balance_cents") == expected})
 
 
+def export_direction(rows: DataFrame, by: list[str]) -> DataFrame:
+    """ascending or descending: whether the first row of a file, in the order it was read, is older than the last. Equal or missing dates: ascending."""
+    ends = rows.groupBy(*by).agg(F.min_by("tx_date", "parse_order").alias("first"), F.max_by("tx_date", "parse_order").alias("last"))
+    return ends.select(*by, F.when(F.col("first") > F.col("last"), "descending").otherwise("ascending").alias("direction"))
+
+
+def chronological(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with place, from 0: by the transaction's date, the posted date, the reference and the order read, which goes backwards in files that list the
+    newest first. Missing values come first."""
+    directed = rows.join(export_direction(rows, by), by)
+    read = F.when(F.col("direction") == "descending", -F.col("parse_order")).otherwise(F.col("parse_order"))
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = Window.partitionBy(*by).orderBy(empty("tx_date"), empty("posted_date"), empty("reference"), read)
+    return directed.withColumn("place", F.row_number().over(order) - 1)
+
+
+def reordered(placed: DataFrame, by: list[str]) -> DataFrame:
+    """How many rows of each file do not stand where they were read."""
+    read = F.row_number().over(Window.partitionBy(*by).orderBy("parse_order")) - 1
+    return placed.withColumn("__read", read).groupBy(*by).agg(F.count_if(F.col("__read") != F.col("place")).alias("rows_reordered"), F.first("direction").alias("direction"))
+
+
+def reconcile_totals(sums: DataFrame) -> DataFrame:
+    """sums (credit_cents, debit_cents, net_cents, unresolved) of files with their statements' totals (total_credits, total_debits, opening, closing) and what of
+    them agrees to the cent.
+
+    Totals need both credits and debits, or both balances: without them a file is UNVERIFIABLE here. status: PASS, PASS_WITH_WARNINGS with unresolved
+    rows, or FAIL. Debits are negative; a statement's debits come without sign.
+    """
+    both, ends = F.col("total_credits").isNotNull() & F.col("total_debits").isNotNull(), F.col("opening").isNotNull() & F.col("closing").isNotNull()
+    checks = [F.when(both, F.col("credit_cents") == F.col("total_credits")), F.when(both, F.col("debit_cents") == -F.abs("total_debits")), F.when(ends, F.col("opening") + F.col("net_cents") == F.col("closing"))]
+    good = F.forall(F.array_compact(F.array(*checks)), lambda x: x)
+    discrepancy = F.when(ends, F.col("closing") - F.col("opening") - F.col("net_cents"))
+    return sums.withColumns({
+        "discrepancy_cents": discrepancy,
+        "status": F.when(~(both | ends), "UNVERIFIABLE").when(~good, "FAIL").when(F.col("unresolved") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"),
+    })
+
+
 def balance_model(rows: DataFrame, by: list[str], order: list[str], pairs: int = 20) -> DataFrame:
     """AFTER or BEFORE by the votes of the first adjacent rows with balances; AFTER, with review, on a tie or under two votes."""
     at = Window.partitionBy(*by).orderBy(*order)
@@ -90,21 +128,29 @@ def reconcile(chained: DataFrame, by: list[str]) -> DataFrame:
     })
 
 
-TRANSFER = r"(?i)\b(transfer|xfer|zelle|venmo|wire|ach (credit|debit)|online payment|autopay|payment thank you|credit card payment|from savings|to checking)\b"
+# What descriptions of transfers say.
+TRANSFER_PATTERNS = [
+    r"payment\s+thank\s+you", "autopay", r"auto\s+pay", r"credit\s+card\s+payment", r"card\s+payment", r"online\s+payment", r"bill\s+payment",
+    r"bank\s+transfer", r"ach\s+transfer", r"wire\s+transfer", r"transfer\s+(to|from)", r"account\s+transfer",
+]
 
 
 def is_transfer_description(text: Column) -> Column:
-    return F.coalesce(text.rlike(TRANSFER), F.lit(False))
+    return F.coalesce(text.rlike(f"(?i)({'|'.join(TRANSFER_PATTERNS)})"), F.lit(False))
 
 
 def transfer_pairs(ledger: DataFrame, days: int = 5, said: Column | None = None) -> DataFrame:
     """For each row that reads as a transfer, the first later row, within so many days, of another account of the
-    user with the opposite amount to a cent. A partner may serve several rows.
+    user with the opposite amount to a cent. A partner may serve several rows. Rows that are transfers
+    already, or excluded, take no part.
 
     The join is on user and the three possible amounts, so it stays an equi-join; the tolerance is
     then tested on doubles.
     """
     said = is_transfer_description(F.col("merchant")) if said is None else said
+    for flag in ("is_transfer", "is_excluded"):
+        if flag in ledger.columns:
+            ledger = ledger.where(~F.coalesce(flag, F.lit(False)))
     left = ledger.where(said).select("user_id", "tx_id", "account_id", "tx_date", "amount_cents")
     left = left.withColumn("want", F.explode(F.array(-F.col("amount_cents") - 1, -F.col("amount_cents"), 1 - F.col("amount_cents"))))
     right = ledger.select(
@@ -133,34 +179,83 @@ def same_amounts(ledger: DataFrame) -> DataFrame:
 
 
 def category_spikes(categories: DataFrame, least_months: int = 3, limit: float = 3.5) -> DataFrame:
-    """Months whose spending in a category is over the median of all earlier months by a modified z-score above the limit."""
-    rows = categories.select("user_id", "year", "month", "category", "spending_cents", (F.col("year") * 12 + F.col("month") - 1).alias("mi"))
-    past = rows.select("user_id", "category", F.col("mi").alias("past_mi"), F.col("spending_cents").alias("x"))
-    # as many pairs as months squared, for each user's category
-    pairs = rows.join(past, ["user_id", "category"]).where("past_mi < mi")
+    """Months whose spending in a category is over the median of all earlier months by a modified z-score above the limit.
+
+    A user's category has one number a month, so its history is a short array of a window, and
+    both medians are taken from it where it is.
+    """
+    index = F.col("year") * 12 + F.col("month")
+    past = F.collect_list("spending_cents").over(Window.partitionBy("user_id", "category").orderBy(index).rowsBetween(Window.unboundedPreceding, -1))
     key = ["user_id", "year", "month", "category", "spending_cents"]
-    middle = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("x", 0.5).alias("median_cents")).where(F.col("n") >= least_months)
-    spread = pairs.join(middle, key).groupBy(*key, "median_cents").agg(F.percentile(F.abs(F.col("x") - F.col("median_cents")), 0.5).alias("mad_cents"))
+    rows = categories.select(*key, past.alias("past")).where(F.size("past") >= least_months)
+    rows = rows.withColumn("median_cents", median_of(F.col("past")))
+    rows = rows.withColumn("mad_cents", median_of(F.transform("past", lambda x: F.abs(x - F.col("median_cents")))))
     z = F.when(F.col("mad_cents") > 0, F.lit(0.6745) * F.abs(F.col("spending_cents") - F.col("median_cents")) / F.col("mad_cents")).otherwise(F.lit(0.0))
-    return spread.withColumn("z", z).where((F.col("z") > limit) & (F.col("spending_cents") > F.col("median_cents"))).select(
-        *key, "median_cents", "mad_cents", "z"
-    )
+    return rows.withColumn("z", z).where((F.col("z") > limit) & (F.col("spending_cents") > F.col("median_cents"))).select(*key, "median_cents", "mad_cents", "z")
+
+
+def median_of(values: Column) -> Column:
+    """The middle value of an array, or the mean of the two in the middle; null if it is empty."""
+    ordered, half = F.sort_array(values), F.floor(F.size(values) / 2).cast("int")
+    upper, lower = F.get(ordered, half).cast("double"), F.get(ordered, half - 1).cast("double")
+    return F.when(F.size(values) % 2 == 1, upper).otherwise((lower + upper) / 2)
 
 
-def date_order(rows: DataFrame, by: list[str]) -> DataFrame:
-    """MDY or DMY for each file's ambiguous numeric dates (raw_date, parse_order): 1000 for an invalid date, 1 for a step back.
+def large_anomalies(ledger: DataFrame, floor_cents: int = 50_000) -> DataFrame:
+    """The first expense of each user's month above the month's 95th percentile of amounts, and above the floor.
 
-    The lower sum wins if it is lower by ten; else it needs confirmation and reads as MDY.
+    The percentile is the element at place floor(0.95 n) of the amounts in rising order.
     """
-    part = lambda k: F.regexp_extract("raw_date", r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\s*$", k)
-    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    read = rows.withColumns({"mdy": day(part(3), part(1), part(2)), "dmy": day(part(3), part(2), part(1))})
-    at = Window.partitionBy(*by).orderBy("parse_order")
-    cost = lambda c: F.sum(F.when(F.col(c).isNull(), 1000).when(F.col(c) < F.col(f"{c}_before"), 1).otherwise(0))
-    scored = read.withColumns({f"{c}_before": F.lag(c).over(at) for c in ("mdy", "dmy")}).groupBy(*by).agg(cost("mdy").alias("mdy_cost"), cost("dmy").alias("dmy_cost"))
+    month = ["user_id", F.year("tx_date").alias("year"), F.month("tx_date").alias("month")]
+    rows = ledger.select(*month, "tx_id", "tx_date", "merchant", "amount_cents").where("amount_cents < 0")
+    counted = rows.groupBy("user_id", "year", "month", F.abs("amount_cents").alias("x")).agg(F.count("*").alias("k"))
+    at = Window.partitionBy("user_id", "year", "month")
+    ranked = counted.withColumns({"upto": F.sum("k").over(at.orderBy("x")), "n": F.sum("k").over(at)})
+    edge = ranked.where(F.col("upto") > F.floor(F.col("n") * 0.95)).groupBy("user_id", "year", "month").agg(F.greatest(F.min("x"), F.lit(floor_cents)).alias("threshold_cents"))
+    over = rows.join(edge, ["user_id", "year", "month"]).where(-F.col("amount_cents") > F.col("threshold_cents"))
+    first = over.groupBy("user_id", "year", "month", "threshold_cents").agg(F.min(F.struct("tx_date", "tx_id", "amount_cents", "merchant")).alias("t"))
+    return first.select("user_id", "year", "month", "threshold_cents", "t.tx_date", "t.tx_id", "t.amount_cents", "t.merchant")
+
+
+NUMERIC_DATE = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\s*$"
+
+
+def date_order(rows: DataFrame, by: list[str], banks: DataFrame | None = None) -> DataFrame:
+    """MDY or DMY for each file's numeric dates (raw_date, parse_order): 1000 for an invalid date, 1 for a step back
+    between neighbours that can be read. Dates in other forms count for nothing.
+
+    banks: by, bank_order, bank_confidence (High, Medium) of the files whose bank is known. Without an
+    ambiguous date the bank's order holds (95), else MDY (70). A bank known for sure holds if no date is invalid in
+    its order (95). Else the lower sum wins if it is lower by ten, else the bank's order (60), else
+    MDY (0), to be confirmed.
+    """
+    part = lambda k: F.regexp_extract("raw_date", NUMERIC_DATE, k)
+    parts = rows.select(*by, "parse_order", F.col("raw_date").rlike(NUMERIC_DATE).alias("numeric"), part(1).alias("a"), part(2).alias("b"), F.regexp_replace(part(3), r"^(\d{2})$", "20$1").alias("y"))
+    day = lambda m, d: F.concat("y", F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
+    read = parts.select(*by, "parse_order", "numeric", day("a", "b").alias("mdy"), day("b", "a").alias("dmy"))
+    before = Window.partitionBy(*by).orderBy("parse_order").rowsBetween(Window.unboundedPreceding, -1)
+    seen = read.withColumns({f"{c}_before": F.last(c, ignorenulls=True).over(before) for c in ("mdy", "dmy")})
+    invalid = lambda c: F.count_if(F.col("numeric") & F.col(c).isNull()).alias(f"{c}_invalid")
+    steps = lambda c: F.count_if(F.coalesce(F.col(c) < F.col(f"{c}_before"), F.lit(False))).alias(f"{c}_steps")
+    scored = seen.groupBy(*by).agg(
+        invalid("mdy"), invalid("dmy"), steps("mdy"), steps("dmy"), F.count_if(F.coalesce(F.col("mdy") != F.col("dmy"), F.lit(False))).alias("ambiguous")
+    )
+    scored = scored.withColumns({f"{c}_cost": F.col(f"{c}_invalid") * 1000 + F.col(f"{c}_steps") for c in ("mdy", "dmy")})
+    if banks is None:
+        scored = scored.withColumns({"bank_order": F.lit(None).cast("string"), "bank_confidence": F.lit(None).cast("string")})
+    else:
+        scored = scored.join(banks.select(*by, "bank_order", "bank_confidence"), by, "left")
+    known, bank = F.col("bank_order").isNotNull(), F.col("bank_order")
+    of_bank = F.when(bank == "DMY", F.col("dmy_invalid")).otherwise(F.col("mdy_invalid"))
+    sure = F.coalesce(known & (F.col("bank_confidence") == "High") & (of_bank == 0), F.lit(False))
     gap = F.abs(F.col("mdy_cost") - F.col("dmy_cost"))
-    sure = F.least(F.lit(99), F.floor(gap / F.greatest(F.lit(1), F.col("mdy_cost") + F.col("dmy_cost")) * 100 + 50 + 0.5)).cast("long")
-    return scored.withColumns({
-        "date_order": F.when((gap >= 10) & (F.col("dmy_cost") < F.col("mdy_cost")), "DMY").otherwise("MDY"),
-        "confidence": F.when(gap >= 10, sure).otherwise(F.lit(0).cast("long")), "needs_confirmation": gap < 10,
-    })
+    share = F.least(F.lit(99), F.floor(gap / F.greatest(F.lit(1), F.col("mdy_cost") + F.col("dmy_cost")) * 100 + 50 + 0.5)).cast("long")
+    case = F.when(F.col("ambiguous") == 0, "clear").when(sure, "bank").when(gap >= 10, "scored").when(known, "close").otherwise("ask")
+    lower = F.when(F.col("dmy_cost") < F.col("mdy_cost"), "DMY").otherwise("MDY")
+    return scored.withColumn("case", case).select(
+        *by, "mdy_cost", "dmy_cost", "ambiguous",
+        F.when(F.col("case") == "scored", lower).otherwise(F.coalesce(bank, F.lit("MDY"))).alias("date_order"),
+        F.when(F.col("case") == "clear", F.when(known, 95).otherwise(70)).when(F.col("case") == "bank", 95).when(F.col("case") == "scored", share)
+        .when(F.col("case") == "close", 60).otherwise(0).cast("long").alias("confidence"),
+        (F.col("case") == "ask").alias("needs_confirmation"),
+    )

@@ -130,44 +130,79 @@ def subscriptions(ledger: DataFrame, months: int = 12) -> DataFrame:
     )
 
 
+# Words of trials.
+TRIAL_KEYWORDS = ["trial", "free", "30day", "14day", "7day", "freetrial", "free trial"]
+
+
+def trial_days(text: Column) -> Column:
+    """How long a trial takes by its text in lower case: 7, 14 or else 30 days."""
+    said = lambda *words: text.rlike("|".join(words))
+    return F.when(said("7day", "7 day", "week"), 7).when(said("14day", "14 day", "two week"), 14).otherwise(30)
+
+
 def trials(ledger: DataFrame, as_of: str, window_start: str) -> DataFrame:
-    """Trial charges of merchants not seen before the window, and what became of them within 45 days.
+    """The first trial charge of each merchant in the window, and what became of it within 45 days.
 
-    A trial costs 0.99 to 1.99; a conversion is the first charge above 4.99 of the same merchant after it.
+    A trial is a charge of 0 or of 0.99 to 1.99 by a merchant not seen before the window, or one whose
+    text says so. A conversion is the merchant's first charge above 4.99 after it.
     """
-    rows = ledger.where(~F.coalesce("is_excluded", F.lit(False)) & (F.col("amount_cents") < 0)).withColumn("x", -F.col("amount_cents"))
-    start = F.lit(window_start).cast("date")
-    known = rows.where(F.col("tx_date") < start).select(*KEY).distinct()
-    fresh = rows.where(F.col("tx_date") >= start).join(known, KEY, "left_anti")
+    rows = ledger.where(~F.coalesce("is_excluded", F.lit(False)) & (F.col("amount_cents") <= 0)).withColumn("x", -F.col("amount_cents"))
+    start, today = F.lit(window_start).cast("date"), F.lit(as_of).cast("date")
+    known = rows.where(F.col("tx_date") < start).select(*KEY).distinct().withColumn("known", F.lit(True))
+    fresh = rows.where(F.col("tx_date") >= start).join(known, KEY, "left")
+    text = F.lower(F.concat_ws(" ", "merchant", *(c for c in ("description",) if c in ledger.columns)))
+    cheap = (F.col("x") == 0) | F.col("x").between(99, 199)
+    is_trial = (cheap & F.col("known").isNull()) | text.rlike("|".join(TRIAL_KEYWORDS))
     order = Window.partitionBy(*KEY).orderBy("tx_date", "tx_id")
-    trial = fresh.where(F.col("x").between(99, 199)).withColumn("k", F.row_number().over(order)).where("k = 1").select(*KEY, F.col("tx_date").alias("trial_date"), F.col("x").alias("trial_cents"))
+    trial = fresh.where(is_trial).select(*KEY, "tx_date", "tx_id", "x", trial_days(text).alias("days")).withColumn("k", F.row_number().over(order)).where("k = 1")
+    trial = trial.select(*KEY, F.col("tx_date").alias("trial_date"), F.col("x").alias("trial_cents"), F.expr("date_add(tx_date, days)").alias("billing_date"))
     paid = rows.where("x > 499").select(*KEY, "tx_date", "tx_id", "x")
     within = paid.join(trial, KEY).where((F.col("tx_date") > F.col("trial_date")) & (F.col("tx_date") <= F.date_add("trial_date", 45)))
     first = within.groupBy(*KEY).agg(F.min(F.struct("tx_date", "tx_id", "x")).alias("p"))
-    today = F.lit(as_of).cast("date")
-    lower = F.lower("merchant")
-    days = F.when(F.contains(lower, F.lit("annual")), 30).when(F.contains(lower, F.lit("monthly")), 14).otherwise(7)
-    left = F.datediff(F.date_add("trial_date", days), today)
     return trial.join(first, KEY, "left").select(
-        *KEY, "trial_date", "trial_cents", F.date_add("trial_date", days).alias("billing_date"), left.between(0, 3).alias("alert"),
+        *KEY, "trial_date", "trial_cents", "billing_date", F.datediff("billing_date", today).between(0, 3).alias("alert"),
         F.col("p.tx_date").alias("converted_date"), F.col("p.x").alias("converted_cents"),
         F.when(F.col("p").isNotNull(), "converted").when(today > F.date_add("trial_date", 45), "expired").otherwise("pending").alias("status"),
     )
 
 
-SERVICES = [
-    ("music", ["spotify", "music", "ring"]), ("video", ["netflix", "video", "widget"]), ("cloud", ["cloud", "storage", "bolt"]),
-    ("fitness", ["gym", "fitness", "gear"]), ("news", ["news", "times", "plate"]),
-]
+# Kinds of service in this order, and what names of their merchants hold.
+SERVICES = {
+    "Video Streaming": [
+        "netflix", "hulu", "disney", "hbo", "max", "peacock", "paramount", "apple tv", "appletv", "amazon prime", "amazonprime", "youtube premium",
+        "youtubepremium", "tubi", "fubo", "sling", "directv stream", "crunchyroll",
+    ],
+    "Music": [
+        "spotify", "apple music", "applemusic", "tidal", "deezer", "pandora", "amazon music", "amazonmusic", "youtube music", "youtubemusic", "soundcloud", "qobuz",
+    ],
+    "Cloud Storage": [
+        "icloud", "dropbox", "google one", "googleone", "google drive", "googledrive", "onedrive", "box.com", "backblaze", "carbonite", "idrive",
+    ],
+    "News/Magazine": [
+        "nytimes", "new york times", "washington post", "wsj", "wall street journal", "the atlantic", "wired", "medium", "substack", "patreon", "economist",
+        "bloomberg", "seekingalpha", "apple news",
+    ],
+    "Gaming": [
+        "xbox game pass", "xboxgamepass", "playstation plus", "psplus", "nintendo", "ea play", "eaplay", "steam", "epic games", "epicgames", "twitch",
+        "humble bundle", "humblebundle", "ubisoft", "gamepass",
+    ],
+    "Fitness": [
+        "peloton", "beachbody", "noom", "myfitnesspal", "fitbit premium", "strava", "calm", "headspace", "whoop", "aaptiv", "openfit",
+    ],
+    "Software/Productivity": [
+        "adobe", "microsoft 365", "microsoft365", "office 365", "office365", "google workspace", "googleworkspace", "notion", "slack", "zoom", "lastpass",
+        "1password", "canva", "grammarly", "quickbooks", "freshbooks", "figma", "linear", "github", "gitlab",
+    ],
+}
 
 
 def service_category(name: Column) -> Column:
-    """The first list that has a word in the name; null if none has."""
+    """The first kind that has a word in the name; null if none has."""
     lower = F.lower(name)
     out = None
-    for category, words in SERVICES:
-        hit = lower.rlike("|".join(words))
-        out = F.when(hit, category) if out is None else out.when(hit, category)
+    for kind, words in SERVICES.items():
+        hit = lower.rlike("|".join(w.replace(".", r"\.") for w in words))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out
 
 

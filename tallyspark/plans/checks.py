@@ -29,7 +29,7 @@ UPLOADS = EV + """, uploads AS (
 
 def statement(spark, d) -> DataFrame:
     """A running balance for each account and user, missing on some rows and broken on others."""
-    ev = ledgers.ledger_ev(spark, d).where("user_id < 40")
+    ev = ledgers.ledger_ev(spark, d)
     run = F.sum("amount_cents").over(Window.partitionBy("user_id", "account_id").orderBy("tx_date", "tx_id"))
     balance = F.when(F.col("tx_id") % 5 == 0, F.lit(None)).otherwise(100_000 + run + F.when(F.col("tx_id") % 97 == 0, 500).otherwise(0))
     return ev.select("user_id", "account_id", "tx_id", "tx_date", "amount_cents", balance.cast("long").alias("balance_cents"))
@@ -38,7 +38,7 @@ def statement(spark, d) -> DataFrame:
 STATEMENT = EV + """, stm AS (
   SELECT user_id, account_id, tx_id, tx_date, amount_cents,
          CASE WHEN tx_id % 5 = 0 THEN NULL ELSE CAST(100000 + sum(amount_cents) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id) + CASE WHEN tx_id % 97 = 0 THEN 500 ELSE 0 END AS BIGINT) END AS balance_cents
-  FROM ledger_ev WHERE user_id < 40
+  FROM ledger_ev
 ),
 after AS (
   SELECT *, last_value(balance_cents IGNORE NULLS) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + amount_cents AS expected_cents FROM stm
@@ -53,24 +53,32 @@ def transfers(spark, d) -> DataFrame:
     ev = ledgers.ledger_ev(spark, d).select("user_id", "tx_id", "account_id", "tx_date", "merchant", "amount_cents")
     back = ev.where("amount_cents < 0 AND tx_id % 3 = 0").select(
         "user_id", (F.col("tx_id") + 1_000_000).alias("tx_id"), F.lit("a9").alias("account_id"),
-        F.date_add("tx_date", (F.col("tx_id") % 7).cast("int")).alias("tx_date"), F.lit("ONLINE TRANSFER").alias("merchant"), (-F.col("amount_cents") + F.col("tx_id") % 3).alias("amount_cents"),
+        F.date_add("tx_date", (F.col("tx_id") % 7).cast("int")).alias("tx_date"), F.when(F.col("tx_id") % 2 == 0, "CARD PAYMENT").otherwise("Zelle in").alias("merchant"), (-F.col("amount_cents") + F.col("tx_id") % 3).alias("amount_cents"),
     )
-    return ev.withColumn("merchant", F.when(F.col("tx_id") % 3 == 0, F.concat(F.lit("Zelle to "), "merchant")).otherwise(F.col("merchant"))).unionByName(back)
+    return ev.withColumn("merchant", F.when(F.col("tx_id") % 3 == 0, F.concat(F.lit("Transfer to "), "merchant")).otherwise(F.col("merchant"))).unionByName(back)
 
 
 TRANSFERS = EV + """, t AS (
-  SELECT user_id, tx_id, account_id, tx_date, CASE WHEN tx_id % 3 = 0 THEN 'Zelle to ' || merchant ELSE merchant END AS merchant, amount_cents FROM ledger_ev
-  UNION ALL SELECT user_id, tx_id + 1000000, 'a9', tx_date + CAST(tx_id % 7 AS INT), 'ONLINE TRANSFER', -amount_cents + tx_id % 3 FROM ledger_ev WHERE amount_cents < 0 AND tx_id % 3 = 0
+  SELECT user_id, tx_id, account_id, tx_date, CASE WHEN tx_id % 3 = 0 THEN 'Transfer to ' || merchant ELSE merchant END AS merchant, amount_cents FROM ledger_ev
+  UNION ALL SELECT user_id, tx_id + 1000000, 'a9', tx_date + CAST(tx_id % 7 AS INT), CASE WHEN tx_id % 2 = 0 THEN 'CARD PAYMENT' ELSE 'Zelle in' END, -amount_cents + tx_id % 3 FROM ledger_ev WHERE amount_cents < 0 AND tx_id % 3 = 0
 )"""
 
 
 def raw_dates(spark, d) -> DataFrame:
-    """Order dates as text, month first in even files and day first in odd ones."""
+    """Order dates as text, month first in even files and day first in odd ones, some with short years, some as ISO dates."""
     orders = ledgers.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("file_id"), F.col("o_orderdate").cast("date").alias("day"))
-    text = F.when(F.col("file_id") % 2 == 0, F.date_format("day", "MM/dd/yyyy")).otherwise(F.date_format("day", "dd/MM/yyyy"))
+    short = F.when(F.col("file_id") % 2 == 0, F.date_format("day", "MM/dd/yy")).otherwise(F.date_format("day", "dd.MM.yy"))
+    long = F.when(F.col("file_id") % 2 == 0, F.date_format("day", "MM/dd/yyyy")).otherwise(F.date_format("day", "dd/MM/yyyy"))
+    text = F.when((F.col("o_orderkey") % 9 == 0) | (F.col("file_id") >= 36), F.date_format("day", "yyyy-MM-dd")).when((F.col("o_orderkey") % 9 == 1) & (F.col("day") >= "2000-01-01"), short).otherwise(long)
     return orders.select("file_id", text.alias("raw_date"), F.row_number().over(Window.partitionBy("file_id").orderBy("day", "o_orderkey")).alias("parse_order"))
 
 
+def banks(spark, d) -> DataFrame:
+    """Every fourth file has a bank that is known."""
+    files = spark.range(0, 40, 4).select(F.col("id").alias("file_id"))
+    return files.select("file_id", F.when(F.col("file_id") % 8 == 0, "DMY").otherwise("MDY").alias("bank_order"), F.when(F.col("file_id") % 3 == 0, "High").otherwise("Medium").alias("bank_confidence"))
+
+
 QUERIES = {
     "d03_duplicate_flags": (
         lambda s, d: c.duplicate_flags(uploads(s, d)).select("tx_id", "within_upload", "cross_upload", "duplicate_of", "confidence"),
@@ -115,7 +123,7 @@ QUERIES = {
         lambda s, d: c.transfer_pairs(transfers(s, d)),
         TRANSFERS + """SELECT a.user_id, a.tx_id, b.tx_id AS partner_id, b.tx_date AS partner_date FROM t a JOIN t b
           ON a.user_id = b.user_id AND b.amount_cents BETWEEN -a.amount_cents - 1 AND -a.amount_cents + 1
-          WHERE regexp_matches(a.merchant, '(?i)\\b(transfer|xfer|zelle|venmo|wire)\\b') AND a.account_id <> b.account_id AND b.tx_date - a.tx_date <= 5
+          WHERE (a.merchant LIKE 'Transfer to %' OR a.merchant = 'CARD PAYMENT') AND a.account_id <> b.account_id AND b.tx_date - a.tx_date <= 5
             AND (b.tx_date > a.tx_date OR (b.tx_date = a.tx_date AND b.tx_id > a.tx_id))
             AND abs(a.amount_cents / 100::DOUBLE + b.amount_cents / 100::DOUBLE) <= 0.01::DOUBLE
           QUALIFY row_number() OVER (PARTITION BY a.user_id, a.tx_id ORDER BY b.tx_date, b.tx_id) = 1""",
@@ -139,14 +147,27 @@ QUERIES = {
         FROM r WHERE mad > 0 AND 0.6745::DOUBLE * abs(spending_cents - med) / mad > 3.5 AND spending_cents > med""",
     ),
     "d01_date_order": (
-        lambda s, d: c.date_order(raw_dates(s, d), ["file_id"]),
+        lambda s, d: c.date_order(raw_dates(s, d), ["file_id"], banks(s, d)),
         """WITH o AS (SELECT o_orderkey, o_custkey % 40 AS file_id, CAST(o_orderdate AS DATE) AS dt FROM orders),
-        t AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN strftime(dt, '%m/%d/%Y') ELSE strftime(dt, '%d/%m/%Y') END AS raw, row_number() OVER (PARTITION BY file_id ORDER BY dt, o_orderkey) AS k FROM o),
-        r AS (SELECT *, try_cast(raw[7:10] || '-' || raw[1:2] || '-' || raw[4:5] AS DATE) AS mdy, try_cast(raw[7:10] || '-' || raw[4:5] || '-' || raw[1:2] AS DATE) AS dmy FROM t),
-        l AS (SELECT *, lag(mdy) OVER (PARTITION BY file_id ORDER BY k) AS mb, lag(dmy) OVER (PARTITION BY file_id ORDER BY k) AS db FROM r),
-        s AS (SELECT file_id, CAST(sum(CASE WHEN mdy IS NULL THEN 1000 WHEN mdy < mb THEN 1 ELSE 0 END) AS BIGINT) AS mdy_cost, CAST(sum(CASE WHEN dmy IS NULL THEN 1000 WHEN dmy < db THEN 1 ELSE 0 END) AS BIGINT) AS dmy_cost FROM l GROUP BY ALL)
-        SELECT *, CASE WHEN abs(mdy_cost - dmy_cost) >= 10 AND dmy_cost < mdy_cost THEN 'DMY' ELSE 'MDY' END AS date_order,
-          CASE WHEN abs(mdy_cost - dmy_cost) >= 10 THEN CAST(least(99, floor(CAST(abs(mdy_cost - dmy_cost) AS DOUBLE) / greatest(1, mdy_cost + dmy_cost) * 100 + 50 + 0.5)) AS BIGINT) ELSE 0 END AS confidence,
-          abs(mdy_cost - dmy_cost) < 10 AS needs_confirmation FROM s""",
+        t AS (SELECT file_id, o_orderkey % 9 <> 0 AND file_id < 36 AS num, dt, row_number() OVER (PARTITION BY file_id ORDER BY dt, o_orderkey) AS k FROM o),
+        r AS (SELECT file_id, num, k, CASE WHEN NOT num THEN NULL WHEN file_id % 2 = 0 THEN dt WHEN day(dt) <= 12 THEN make_date(year(dt), day(dt), month(dt)) END AS mdy,
+              CASE WHEN NOT num THEN NULL WHEN file_id % 2 = 1 THEN dt WHEN day(dt) <= 12 THEN make_date(year(dt), day(dt), month(dt)) END AS dmy FROM t),
+        l AS (SELECT *, last_value(mdy IGNORE NULLS) OVER w AS mb, last_value(dmy IGNORE NULLS) OVER w AS db FROM r WINDOW w AS (PARTITION BY file_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s AS (SELECT file_id, 1000 * count(*) FILTER (num AND mdy IS NULL) + count(*) FILTER (mdy < mb) AS mdy_cost, 1000 * count(*) FILTER (num AND dmy IS NULL) + count(*) FILTER (dmy < db) AS dmy_cost,
+              count(*) FILTER (mdy <> dmy) AS ambiguous, count(*) FILTER (num AND mdy IS NULL) AS mi, count(*) FILTER (num AND dmy IS NULL) AS di FROM l GROUP BY ALL),
+        b AS (SELECT *, CASE WHEN file_id % 4 = 0 THEN CASE WHEN file_id % 8 = 0 THEN 'DMY' ELSE 'MDY' END END AS bank, abs(mdy_cost - dmy_cost) AS gap FROM s),
+        c AS (SELECT *, CASE WHEN ambiguous = 0 THEN 'clear' WHEN bank IS NOT NULL AND file_id % 3 = 0 AND CASE WHEN bank = 'DMY' THEN di ELSE mi END = 0 THEN 'bank'
+              WHEN gap >= 10 THEN 'scored' WHEN bank IS NOT NULL THEN 'close' ELSE 'ask' END AS how FROM b)
+        SELECT file_id, mdy_cost, dmy_cost, ambiguous, CASE WHEN how = 'scored' THEN CASE WHEN dmy_cost < mdy_cost THEN 'DMY' ELSE 'MDY' END ELSE coalesce(bank, 'MDY') END AS date_order,
+          CASE how WHEN 'clear' THEN CASE WHEN bank IS NULL THEN 70 ELSE 95 END WHEN 'bank' THEN 95 WHEN 'close' THEN 60 WHEN 'ask' THEN 0
+            ELSE CAST(least(99, floor(CAST(gap AS DOUBLE) / greatest(1, mdy_cost + dmy_cost) * 100 + 50 + 0.5)) AS BIGINT) END::BIGINT AS confidence,
+          how = 'ask' AS needs_confirmation FROM c""",
+    ),
+    "d06_large_anomalies": (
+        lambda s, d: c.large_anomalies(ledgers.ledger_ev(s, d), 1000),
+        EV + """, x AS (SELECT *, year(tx_date) AS year, month(tx_date) AS month FROM ledger_ev WHERE amount_cents < 0),
+        p AS (SELECT user_id, year, month, greatest(1000, (list_sort(list(-amount_cents)))[CAST(floor(count(*) * 0.95::DOUBLE) AS INT) + 1]) AS threshold_cents FROM x GROUP BY ALL)
+        SELECT user_id, CAST(year AS INT) AS year, CAST(month AS INT) AS month, threshold_cents, tx_date, tx_id, amount_cents, merchant FROM x JOIN p USING (user_id, year, month) WHERE -amount_cents > threshold_cents
+        QUALIFY row_number() OVER (PARTITION BY user_id, year, month ORDER BY tx_date, tx_id) = 1""",
     ),
 }

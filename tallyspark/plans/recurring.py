@@ -65,13 +65,49 @@ SUBS_OUT = """SELECT user_id, merchant, months, n, price_cents, score,
   rise > 0.05::DOUBLE AS price_increased, CASE WHEN rise > 0.05::DOUBLE THEN floor(rise * 1000 + 0.5) / 10 END AS increase_percent, first_date FROM scored"""
 
 
+WORDS = [w for words in r.SERVICES.values() for w in words]
+WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+KINDS_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(merchant), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in r.SERVICES.items()) + " END"
+
+
+def _named(spark, d):
+    """Parts under the names of services, some with other words around them."""
+    from pyspark.sql import functions as F
+
+    word = F.get(F.array(*(F.lit(w) for w in WORDS)), (F.col("p_partkey") % len(WORDS)).cast("int"))
+    part = ledgers.table(spark, d, "part").withColumn("merchant", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Pay "), F.upper(word))).when(F.col("p_partkey") % 3 == 1, F.concat(word, F.lit(" x"))).otherwise(F.col("p_name")))
+    return part.select((F.col("p_partkey") % 20).alias("user_id"), "merchant", F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").alias("cents"))
+
+
 def _services(spark, d):
-    """Subscriptions under the part names, so that kinds of service repeat."""
     from pyspark.sql import functions as F
 
-    li = ledgers.ledger_li(spark, d)
-    named = li.where("amount_cents < 0").groupBy("user_id", "merchant").agg(F.max(-F.col("amount_cents")).alias("price_cents"))
-    return r.duplicate_services(named)
+    return r.duplicate_services(_named(spark, d).groupBy("user_id", "merchant").agg(F.max("cents").alias("price_cents")))
+
+
+NAMED = f"""WITH s AS (SELECT p_partkey % 20 AS user_id, CASE p_partkey % 3 WHEN 0 THEN 'Pay ' || upper({WORDS_SQL}[p_partkey % {len(WORDS)} + 1]) WHEN 1 THEN {WORDS_SQL}[p_partkey % {len(WORDS)} + 1] || ' x' ELSE p_name END AS merchant,
+  CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS cents FROM part)"""
+
+
+def _trials(spark, d):
+    """The month's ledger, with names of trials on some rows and amounts of 0 on others."""
+    from pyspark.sql import functions as F
+
+    ev, k = ledgers.ledger_ev(spark, d), F.col("tx_id") % 13
+    said = F.when(k == 0, F.concat("merchant", F.lit(" Free"))).when(k == 1, F.concat("merchant", F.lit(" 7day trial"))).when(k == 2, F.concat("merchant", F.lit(" 14 day trial"))).otherwise(F.col("merchant"))
+    return ev.withColumns({"merchant": said, "amount_cents": F.when(k == 3, 0).otherwise(F.col("amount_cents")).cast("long")})
+
+
+TRIALS = f"""WITH {ledgers.SQL}, e AS (SELECT tx_id, user_id, tx_date, is_excluded, merchant || CASE tx_id % 13 WHEN 0 THEN ' Free' WHEN 1 THEN ' 7day trial' WHEN 2 THEN ' 14 day trial' ELSE '' END AS merchant,
+              CASE WHEN tx_id % 13 = 3 THEN 0 ELSE amount_cents END AS amount_cents FROM ledger_ev),
+        x AS (SELECT *, -amount_cents AS x FROM e WHERE NOT is_excluded AND amount_cents <= 0),
+        known AS (SELECT DISTINCT user_id, merchant FROM x WHERE tx_date < DATE '2024-01-08'),
+        t AS (SELECT x.user_id, x.merchant, tx_date AS trial_date, x AS trial_cents, tx_date + CASE WHEN contains(x.merchant, '7day') THEN 7 WHEN contains(x.merchant, '14 day') THEN 14 ELSE 30 END AS billing_date
+              FROM x LEFT JOIN known k USING (user_id, merchant) WHERE tx_date >= DATE '2024-01-08' AND ((k.merchant IS NULL AND (x = 0 OR x BETWEEN 99 AND 199)) OR regexp_matches(lower(x.merchant), 'trial|free'))
+              QUALIFY row_number() OVER (PARTITION BY x.user_id, x.merchant ORDER BY tx_date, tx_id) = 1),
+        p AS (SELECT user_id, merchant, x.tx_date AS converted_date, x.x AS converted_cents FROM x JOIN t USING (user_id, merchant)
+              WHERE x.x > 499 AND x.tx_date > trial_date AND x.tx_date <= trial_date + 45 QUALIFY row_number() OVER (PARTITION BY user_id, merchant ORDER BY x.tx_date, x.tx_id) = 1)
+"""
 
 
 QUERIES = {
@@ -101,24 +137,19 @@ QUERIES = {
     ),
     "d09_subscriptions": (lambda s, d: r.subscriptions(ledgers.ledger_rec(s, d)), SUBS + SUBS_OUT),
     "d11_trials": (
-        lambda s, d: r.trials(ledgers.ledger_ev(s, d), "2024-02-01", "2024-01-08"),
-        f"""WITH {ledgers.SQL}, x AS (SELECT *, -amount_cents AS x FROM ledger_ev WHERE NOT is_excluded AND amount_cents < 0),
-        known AS (SELECT DISTINCT user_id, merchant FROM x WHERE tx_date < DATE '2024-01-08'),
-        t AS (SELECT user_id, merchant, tx_date AS trial_date, x AS trial_cents FROM x ANTI JOIN known USING (user_id, merchant)
-              WHERE tx_date >= DATE '2024-01-08' AND x BETWEEN 99 AND 199 QUALIFY row_number() OVER (PARTITION BY user_id, merchant ORDER BY tx_date, tx_id) = 1),
-        p AS (SELECT user_id, merchant, x.tx_date AS converted_date, x.x AS converted_cents FROM x JOIN t USING (user_id, merchant)
-              WHERE x.x > 499 AND x.tx_date > trial_date AND x.tx_date <= trial_date + 45 QUALIFY row_number() OVER (PARTITION BY user_id, merchant ORDER BY x.tx_date, x.tx_id) = 1)
-        SELECT user_id, merchant, trial_date, trial_cents, trial_date + 7 AS billing_date, date_diff('day', DATE '2024-02-01', trial_date + 7) BETWEEN 0 AND 3 AS alert,
+        lambda s, d: r.trials(_trials(s, d), "2024-02-01", "2024-01-08"),
+        TRIALS + """SELECT user_id, merchant, trial_date, trial_cents, billing_date, date_diff('day', DATE '2024-02-01', billing_date) BETWEEN 0 AND 3 AS alert,
                converted_date, converted_cents, CASE WHEN converted_date IS NOT NULL THEN 'converted' WHEN DATE '2024-02-01' > trial_date + 45 THEN 'expired' ELSE 'pending' END AS status
         FROM t LEFT JOIN p USING (user_id, merchant)""",
     ),
     "d12_duplicate_services": (
         _services,
-        f"""WITH {ledgers.SQL}, p AS (SELECT user_id, merchant, max(-amount_cents) AS price_cents FROM ledger_li WHERE amount_cents < 0 GROUP BY ALL),
-        k AS (SELECT *, CASE WHEN regexp_matches(lower(merchant), 'spotify|music|ring') THEN 'music' WHEN regexp_matches(lower(merchant), 'netflix|video|widget') THEN 'video'
-              WHEN regexp_matches(lower(merchant), 'cloud|storage|bolt') THEN 'cloud' WHEN regexp_matches(lower(merchant), 'gym|fitness|gear') THEN 'fitness'
-              WHEN regexp_matches(lower(merchant), 'news|times|plate') THEN 'news' END AS service FROM p)
+        NAMED + f""", p AS (SELECT user_id, merchant, max(cents) AS price_cents FROM s GROUP BY ALL), k AS (SELECT *, {KINDS_SQL} AS service FROM p)
         SELECT user_id, service, count(*) AS merchants, CAST(sum(price_cents) AS BIGINT) AS total_cents, min(price_cents) AS least_cents,
                CAST(sum(price_cents) - min(price_cents) AS BIGINT) AS saving_cents FROM k WHERE service IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
     ),
+    "f24_service_category": (
+        lambda s, d: _named(s, d).select("user_id", "merchant", r.service_category(r.F.col("merchant")).alias("service")),
+        NAMED + f"SELECT user_id, merchant, {KINDS_SQL} AS service FROM s",
+    ),
 }
