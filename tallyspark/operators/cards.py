@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.months import MONTH, month_index
+from tallyspark.operators.months import MONTH, half_up, month_index
 
 # Spending that cannot be acted on at once.
 FIXED_COSTS = ["Housing", "Rent", "Mortgage", "Insurance"]
@@ -78,6 +78,123 @@ def monthly_summary(totals: DataFrame) -> DataFrame:
     return _card(totals.where("income_cents > 0 OR spending_cents > 0"), "monthly_summary", F.lit(None).cast("string"), F.col("net_cents"), 6, F.lit("high"))
 
 
+def large_transaction(large: DataFrame, k: int = 3) -> DataFrame:
+    """The month's largest expenses above the user's threshold (merchant, amount_cents, rank)."""
+    return _card(large.where(F.col("rank") <= k), "large_transaction", F.col("merchant"), -F.col("amount_cents"), 2, F.lit("high"))
+
+
+def _latest(totals: DataFrame) -> DataFrame:
+    """The last month of each user."""
+    return totals.groupBy("user_id").agg(F.max(F.struct("year", "month", "income_cents", "net_cents")).alias("m")).select("user_id", "m.*")
+
+
+def subscription_summary(totals: DataFrame, subscribed: DataFrame) -> DataFrame:
+    """Two subscriptions or more (user_id, merchant, price_cents, confidence), in each user's last month; high if three are."""
+    by = subscribed.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("price_cents").alias("total"), F.count_if(F.col("confidence") == "high").alias("sure"), F.min_by("merchant", F.struct(-F.col("price_cents"), F.col("merchant"))).alias("top"))
+    rows = _latest(totals).join(by.where("n >= 2"), "user_id")
+    return _card(rows, "subscription_summary", F.col("top"), F.col("total"), 4, F.when(F.col("sure") >= 3, "high").otherwise("medium"))
+
+
+def subscription_new(totals: DataFrame, subscribed: DataFrame) -> DataFrame:
+    """Subscriptions seen in two months, but for those of low confidence."""
+    rows = _latest(totals).join(subscribed.where("months = 2 AND confidence IN ('high', 'medium')"), "user_id")
+    return _card(rows, "subscription_new", F.col("merchant"), F.col("price_cents"), 3, F.col("confidence"))
+
+
+def subscription_creep(totals: DataFrame, subscribed: DataFrame) -> DataFrame:
+    """Three subscriptions or more of 30 dollars together; how sure by their share of income."""
+    by = subscribed.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("price_cents").alias("total"))
+    rows = _latest(totals).join(by.where("n >= 3 AND total >= 3000"), "user_id")
+    sure = F.when(F.col("total") * 100 > F.col("income_cents") * 10, "high").when(F.col("total") * 100 > F.col("income_cents") * 5, "medium").otherwise("low")
+    return _card(rows, "autopsy_subscription_creep", F.lit(None).cast("string"), F.col("total"), 5, F.when(F.col("income_cents") > 0, sure).otherwise("low"))
+
+
+def trial_warning(alerts: DataFrame) -> DataFrame:
+    """Trials (user_id, merchant, trial_date, trial_cents, alert) that are about to be billed, in the month of the trial."""
+    rows = alerts.where("alert").withColumns({"year": F.year("trial_date"), "month": F.month("trial_date")})
+    return _card(rows, "trial_warning", F.col("merchant"), F.col("trial_cents"), 2, F.lit("medium"))
+
+
+def cash_flow_forecast(paced: DataFrame) -> DataFrame:
+    """A partial month whose projected spending is a tenth off its income, from its seventh day; high from the fifteenth."""
+    off = F.col("projected_cents") - F.col("income_cents")
+    rows = paced.where((F.col("elapsed") >= 7) & F.col("projected_cents").isNotNull() & (F.col("income_cents") > 0)).where(F.abs(off) > F.col("income_cents") * 0.1)
+    return _card(rows, "cash_flow_forecast", F.when(off > 0, "over_pace").otherwise("under_pace"), half_up(F.abs(off)), 4, F.when(F.col("elapsed") >= 15, "high").otherwise("medium"))
+
+
+def velocity(paced: DataFrame) -> DataFrame:
+    """A partial month, from its fifth day, that will cost a fifth more than so far."""
+    more = F.col("projected_cents") / F.greatest(F.col("spending_cents"), F.lit(1)) - 1
+    rows = paced.where((F.col("elapsed") >= 5) & F.col("is_partial")).where(more > 0.2)
+    sure = F.when(more >= 0.5, "high").when(more >= 0.3, "medium").otherwise("low")
+    return _card(rows, "autopsy_velocity", F.lit(None).cast("string"), half_up(F.col("projected_cents")), 4, sure)
+
+
+def fix_opportunity(totals: DataFrame, categories: DataFrame, subscribed: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Up to three savings for a last month with a loss: the cheapest of services of one kind (user_id, service, merchant, price_cents), subscriptions above
+    50 dollars, a quarter of categories above 40 % of spending. A merchant counts once. value_cents: all of them a month."""
+    loss = _latest(totals).where("net_cents < 0").select(*MONTH)
+    cheapest = duplicates.groupBy("user_id", "service").agg(F.min(F.struct("price_cents", "merchant")).alias("c"), F.count("*").alias("n")).where("n >= 2")
+    a = cheapest.select("user_id", F.lit(1).alias("kind"), F.col("service").alias("place"), F.col("c.merchant").alias("subject"), F.col("c.price_cents").alias("saving"))
+    b = subscribed.where("price_cents > 5000").select("user_id", F.lit(2).alias("kind"), F.lpad((F.lit(10**15) - F.col("price_cents")).cast("string"), 16, "0").alias("place"), F.col("merchant").alias("subject"), F.col("price_cents").alias("saving"))
+    services = a.unionByName(b)
+    once = services.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "subject").orderBy("kind", "place"))).where("k = 1").drop("k")
+    big = categories.where(~F.col("is_income") & ~F.col("category").isin(FIXED_COSTS) & (F.col("share") > 0.4)).join(loss, MONTH)
+    c = big.select("user_id", F.lit(3).alias("kind"), F.format_string("%.12f", 1 - F.col("share")).alias("place"), F.col("category").alias("subject"), half_up(F.col("total_cents") * 0.25).alias("saving"))
+    found = once.unionByName(c).withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("kind", "place", "subject"))).where("k <= 3")
+    by = found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("saving").alias("total"), F.min_by("subject", "k").alias("first"))
+    return _card(loss.join(by, "user_id"), "fix_opportunity", F.col("first"), F.col("total"), 1, F.when(F.col("n") >= 2, "high").otherwise("medium"))
+
+
+def small_drain(totals: DataFrame, small: DataFrame) -> DataFrame:
+    """Ten small purchases or more of 50 dollars together; how sure by their share of spending."""
+    rows = totals.select(*MONTH, "spending_cents").join(small.where("tx_count >= 10 AND total_cents >= 5000"), MONTH)
+    share = F.col("total_cents") * 100
+    sure = F.when(share > F.col("spending_cents") * 15, "high").when(share > F.col("spending_cents") * 8, "medium").otherwise("low")
+    return _card(rows, "autopsy_small_drain", F.lit(None).cast("string"), F.col("total_cents"), 4, sure)
+
+
+def merchant_concentration(totals: DataFrame, merchants: DataFrame) -> DataFrame:
+    """The merchant with most of the month's spending, if it has a fifth or more; high from three tenths."""
+    top = _top(merchants.where("spent_cents > 0"), F.desc("spent_cents"), F.col("merchant"))
+    rows = totals.select(*MONTH, "spending_cents").join(top, MONTH).where(F.col("spent_cents") * 100 >= F.col("spending_cents") * 20)
+    return _card(rows, "autopsy_merchant_concentration", F.col("merchant"), F.col("spent_cents"), 3, F.when(F.col("spent_cents") * 100 >= F.col("spending_cents") * 30, "high").otherwise("medium"))
+
+
+def category_jump(history: DataFrame) -> DataFrame:
+    """The category furthest above its trailing average: by four tenths and 30 dollars at least."""
+    delta = F.col("spending_cents") - F.col("avg_cents")
+    rows = history.where((F.col("avg_cents") > 0) & (F.col("spending_cents") > 0)).withColumn("rise", delta / F.col("avg_cents")).where((F.col("rise") >= 0.4) & (delta >= 3000))
+    sure = F.when(F.col("rise") >= 1, "high").when(F.col("rise") >= 0.6, "medium").otherwise("low")
+    return _card(_top(rows, F.desc("rise"), F.col("category")), "autopsy_category_spike", F.col("category"), half_up(delta), 3, sure)
+
+
+def storyline(totals: DataFrame, tops: DataFrame) -> DataFrame:
+    """One narrative card a month with spending: first of all, or second if it ends with a loss."""
+    rows = totals.where("spending_cents > 0").join(tops.select(*MONTH, "top_category"), MONTH, "left")
+    made = _card(rows, "monthly_storyline", F.col("top_category"), F.col("net_cents"), 1, F.when(F.col("income_cents") > 0, "high").otherwise("medium"))
+    return made.withColumn("priority", F.when(F.col("value_cents") < 0, 2).otherwise(1))
+
+
+def kept_dismissals(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """new cards as they are stored: one of each kind a month, the last; one that was dismissed before stays so. Stored cards of other kinds stay."""
+    key = [*MONTH, "card_type"]
+    last = new.groupBy(*key).agg(F.max(F.struct("rank", "subject", "value_cents", "priority", "confidence")).alias("c")).select(*key, "c.*")
+    before = stored.select(*key, F.struct("subject", "value_cents", "priority", "confidence", "is_dismissed").alias("was"))
+    both = last.join(before, key, "full")
+    of = lambda c: F.coalesce(F.col(c), F.col(f"was.{c}")).alias(c)
+    return both.select(*key, of("subject"), of("value_cents"), of("priority"), of("confidence"), F.coalesce("was.is_dismissed", F.lit(False)).alias("is_dismissed"))
+
+
+def shown(stored: DataFrame, as_of: Column, fresh_minutes: int = 60) -> DataFrame:
+    """Cards that are not dismissed, by priority, with is_stale: the newest of the month is older than an hour."""
+    open_cards = stored.where("NOT is_dismissed")
+    month = Window.partitionBy(*MONTH)
+    place = F.row_number().over(month.orderBy("priority", "card_type"))
+    newest = F.max("created_at").over(month)
+    return open_cards.withColumns({"place": place, "is_stale": newest < as_of - F.make_dt_interval(mins=F.lit(fresh_minutes))})
+
+
 def rank_and_cap(cards: DataFrame, cap: int = 8) -> DataFrame:
     """The first card of each kind by priority and confidence, at most eight a month; rank from 1."""
     sure = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)

@@ -48,6 +48,42 @@ def _spending() -> Column:
     return F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(0))
 
 
+def month_cube(base: DataFrame, below_cents: int = 1500) -> DataFrame:
+    """base added up by user, month, category and merchant: one pass over the ledger that totals, categories, merchants and small
+    purchases are all taken from."""
+    x = F.col("amount_cents")
+    small = (x < 0) & (x > -below_cents)
+    return base.groupBy(*MONTH, "category", "merchant").agg(
+        _income().alias("income_cents"), _spending().alias("spending_cents"), F.count("*").alias("tx_count"), F.count_if(x > 0).alias("income_count"), F.count_if(x < 0).alias("visits"),
+        F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date"), F.count_if(small).alias("small_count"), F.sum(F.when(small, -x).otherwise(0)).alias("small_cents"),
+    )
+
+
+def totals_of(cube: DataFrame) -> DataFrame:
+    """month_totals, from a month_cube."""
+    total = cube.groupBy(*MONTH).agg(
+        *(F.sum(c).alias(c) for c in ("income_cents", "spending_cents", "tx_count", "income_count")), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")
+    ).withColumn("net_cents", F.col("income_cents") - F.col("spending_cents"))
+    days = F.datediff("last_date", "first_date") + 1
+    return total.withColumn("is_partial", days < F.lit(0.9) * F.day(F.last_day("last_date")))
+
+
+def categories_of(cube: DataFrame) -> DataFrame:
+    """category_totals, from a month_cube."""
+    return _with_shares(cube.groupBy(*MONTH, "category").agg(*(F.sum(c).alias(c) for c in ("income_cents", "spending_cents", "tx_count"))))
+
+
+def merchants_of(cube: DataFrame) -> DataFrame:
+    """merchant_totals, from a month_cube."""
+    named = cube.where((F.col("visits") > 0) & (F.coalesce("merchant", F.lit("")) != ""))
+    return named.groupBy(*MONTH, "merchant").agg(F.sum("spending_cents").alias("spent_cents"), F.sum("visits").alias("visits"))
+
+
+def small_of(cube: DataFrame) -> DataFrame:
+    """Counts and totals of small purchases, from a month_cube."""
+    return cube.where("small_count > 0").groupBy(*MONTH).agg(F.sum("small_count").alias("tx_count"), F.sum("small_cents").alias("total_cents"))
+
+
 def month_totals(base: DataFrame) -> DataFrame:
     """Income, spending, net, counts, first and last day; is_partial: the days seen are under 90 % of the month's."""
     totals = base.groupBy(*MONTH).agg(
@@ -61,7 +97,10 @@ def month_totals(base: DataFrame) -> DataFrame:
 
 def category_totals(base: DataFrame) -> DataFrame:
     """Totals of each category and month; a category without spending but with income is income. share: of the month's spending."""
-    by = base.groupBy(*MONTH, "category").agg(_income().alias("income_cents"), _spending().alias("spending_cents"), F.count("*").alias("tx_count"))
+    return _with_shares(base.groupBy(*MONTH, "category").agg(_income().alias("income_cents"), _spending().alias("spending_cents"), F.count("*").alias("tx_count")))
+
+
+def _with_shares(by: DataFrame) -> DataFrame:
     all_spending = F.sum("spending_cents").over(Window.partitionBy(*MONTH))
     is_income = (F.col("spending_cents") == 0) & (F.col("income_cents") > 0)
     return by.withColumns({
@@ -87,12 +126,14 @@ def top_expenses(base: DataFrame, k: int = 5, threshold: DataFrame | None = None
 
 
 def large_threshold(ledger: DataFrame, floor_cents: int = 50_000) -> DataFrame:
-    """For each user the element at 0-based position floor(0.95 n) of the ascending expenses, no less than the floor."""
-    spent = ledger.where("amount_cents < 0").select("user_id", (-F.col("amount_cents")).alias("x"))
-    ranked = spent.withColumns({
-        "k": F.row_number().over(Window.partitionBy("user_id").orderBy("x")), "n": F.count("*").over(Window.partitionBy("user_id")),
-    })
-    at = ranked.where(F.col("k") == F.floor(F.col("n") * F.lit(0.95)) + 1)
+    """For each user the element at 0-based position floor(0.95 n) of the ascending expenses, no less than the floor.
+
+    Rows are counted by amount first, so a user's window has one row an amount.
+    """
+    spent = ledger.where("amount_cents < 0").groupBy("user_id", (-F.col("amount_cents")).alias("x")).agg(F.count("*").alias("k"))
+    user = Window.partitionBy("user_id")
+    ranked = spent.withColumns({"upto": F.sum("k").over(user.orderBy("x")), "n": F.sum("k").over(user)})
+    at = ranked.where(F.col("upto") > F.floor(F.col("n") * F.lit(0.95))).groupBy("user_id").agg(F.min("x").alias("x"))
     return at.select("user_id", F.greatest("x", F.lit(floor_cents)).alias("threshold_cents"))
 
 
@@ -210,7 +251,7 @@ def health_score(totals: DataFrame, streaks: DataFrame, recurring: DataFrame, to
     total = half_up(
         (F.col("spend_score") * 35 + F.col("savings_score") * 30 + F.col("streak_score") * 15 + F.col("recurring_score") * 10 + F.col("diversity_score") * 10) / 100
     )
-    label = F.when(total >= 80, "excellent").when(total >= 60, "good").when(total >= 40, "fair").otherwise("poor")
+    label = F.when(total >= 80, "Excellent").when(total >= 60, "Good").when(total >= 40, "Fair").otherwise("Needs Work")
     return scored.select(
         *MONTH, *[F.col(f"{n}_score").cast("long").alias(f"{n}_score") for n in ("spend", "savings", "streak", "recurring", "diversity")],
         total.alias("score"), label.alias("label"),
@@ -246,3 +287,65 @@ def mom_badge(totals: DataFrame) -> DataFrame:
     return totals.withColumn("at", month_index()).join(before, ["user_id", "at"], "left").select(
         *MONTH, "spending_cents", "before_cents", F.when(F.abs(pct) >= 3, pct).alias("percent")
     )
+
+
+def month_pace(totals: DataFrame, as_of: Column) -> DataFrame:
+    """totals with days_in_month, elapsed, daily_cents and projected_cents: of the month of as_of its days so far count, and if it is partial
+    its spending is carried on to its end; other months have passed."""
+    days = F.day(F.last_day(F.make_date("year", "month", F.lit(1))))
+    current = (F.col("year") == F.year(as_of)) & (F.col("month") == F.month(as_of))
+    elapsed = F.when(current, F.day(as_of)).otherwise(F.col("days_in_month"))
+    return totals.withColumn("days_in_month", days).withColumn("elapsed", elapsed).withColumn("daily_cents", F.col("spending_cents") / F.col("elapsed")).withColumn(
+        "projected_cents", F.when(current & F.col("is_partial"), F.col("daily_cents") * F.col("days_in_month")))
+
+
+def personality(signals: DataFrame) -> DataFrame:
+    """signals (income_cents, spending_cents, net_cents, top_percent, second_percent, subscriptions, anomalies, statement_type, utilization,
+    interest, balance_carried) with personality: the first rule that holds. Without income the ratio is 1 and savings are 0."""
+    income, net = F.col("income_cents"), F.col("net_cents")
+    out = signals.withColumns({
+        "__ratio": F.when(income > 0, F.col("spending_cents") / income).otherwise(F.lit(1.0)), "__saved": F.when(income > 0, net / income).otherwise(F.lit(0.0)),
+        "__spread": F.coalesce("top_percent", F.lit(0.0)) - F.coalesce("second_percent", F.lit(0.0)),
+    })
+    ratio, saved, spread, odd = F.col("__ratio"), F.col("__saved"), F.col("__spread"), F.col("anomalies")
+    bank, credit, carried = F.col("statement_type") == "bank", F.col("statement_type") == "credit", F.coalesce("balance_carried", F.lit(False))
+    used, interest = F.coalesce("utilization", F.lit(0.0)), F.coalesce("interest", F.lit(False))
+    rules = [
+        ("quiet_millionaire", (income >= 1_000_000) & (ratio < 0.5) & (saved > 0.4)), ("strategic_deployer", ratio.between(0.85, 0.95) & (odd == 0) & (spread < 10)),
+        ("full_send", ratio > 1.05), ("adrenaline_accountant", (odd >= 3) & (ratio > 0.88)), ("chaos_controller", (odd >= 5) & (net >= 0)),
+        ("breakeven_poet", (income > 0) & (F.abs(net) < income * 0.03)), ("wire_dancer", (net > 0) & (income > 0) & (saved < 0.05)),
+        ("big_ticket_player", F.coalesce("top_percent", F.lit(0.0)) > 50), ("subscription_collector", F.col("subscriptions") >= 5), ("low_key_saver", (ratio < 0.5) & (net > 0)),
+        ("overdraft_artist", bank & ((net < 0) | ((odd > 1) & (ratio > 0.95)))), ("cash_keeper", bank & (ratio < 0.4)),
+        ("direct_depositor", bank & (odd == 0) & (ratio >= 0.5) & (ratio < 0.75)), ("minimum_payer", credit & (used > 0.9)), ("utilization_king", credit & (used > 0.75)),
+        ("revolving_door", credit & carried & interest), ("balance_transfer", credit & interest), ("one_card_wonder", credit & (spread > 30)),
+        ("cashback_architect", credit & ~carried & (spread < 15) & (ratio > 0.7)), ("points_chaser", credit & ~carried & (ratio > 0.8)),
+        ("safety_buffer", (ratio >= 0.5) & (ratio < 0.72) & (net > 0)), ("smooth_operator", (net > 0) & (odd == 0) & (ratio < 0.8)),
+        ("flow_master", (income > 500_000) & (ratio > 0.85)), ("savvy_spender", (net > 0) & (ratio < 0.9)),
+    ]
+    named = F.coalesce(*(F.when(hit, name) for name, hit in rules), F.lit("steady_builder"))
+    return out.withColumn("personality", named).drop("__ratio", "__saved", "__spread")
+
+
+def panel_insights(totals: DataFrame, categories: DataFrame) -> DataFrame:
+    """What a month's panel says: leading category if it has 15 % or more, the share of three, the band of spending against income, and income's
+    change of a tenth or more."""
+    tops = concentration(categories)
+    before = totals.select("user_id", (month_index() + 1).alias("at"), F.col("spending_cents").alias("before_cents"))
+    joined = totals.withColumn("at", month_index()).join(before, ["user_id", "at"], "left").join(tops, MONTH, "left")
+    ratio = F.when(F.col("income_cents") > 0, F.col("spending_cents") / F.col("income_cents"))
+    change = (F.col("spending_cents") - F.col("before_cents")) / F.when(F.col("before_cents") > 0, F.col("before_cents"))
+    return joined.select(
+        *MONTH, F.when(F.col("top_share") >= 0.15, F.col("top_category")).alias("leading_category"), half_up(F.col("top3_share") * 100).alias("top3_percent"),
+        F.when(ratio.isNull(), "no income").when(ratio > 1, "over").when(ratio > 0.8, "tight").otherwise("comfortable").alias("ratio_band"),
+        F.when(F.abs(change) >= 0.1, half_up(change * 100)).alias("change_percent"),
+    )
+
+
+def merchant_visits(base: DataFrame, asked: Column) -> DataFrame:
+    """Visits of each user's merchants that asked picks: number, total, mean, visits a week to one place, and the days in order."""
+    spent = base.where((F.col("amount_cents") < 0) & asked)
+    by = spent.groupBy("user_id", "merchant").agg(
+        F.count("*").alias("visits"), F.sum(-F.col("amount_cents")).alias("total_cents"), F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date"),
+    )
+    weeks = F.greatest(F.lit(1.0), (F.datediff("last_date", "first_date") + 1) / 7)
+    return by.withColumns({"mean_cents": half_up(F.col("total_cents") / F.col("visits")), "weekly_tenths": half_up(F.col("visits") / weeks * 10)})

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import cards as c
 from tallyspark.operators import months as m
-from tallyspark.plans.months import BASE, _base, _cats, _totals
+from tallyspark.operators import recurring as r
+from tallyspark.plans.months import BASE, KEEP, _base, _cats, _totals
+from tallyspark.plans.recurring import SUBS, SUBS_OUT, TRIALS, _trials
+from tallyspark.sources import ledgers
 
 CARDS = BASE + """, hist AS (
   SELECT *, CAST(sum(spending_cents) OVER (PARTITION BY user_id, category ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS BIGINT) AS prior,
@@ -37,26 +42,204 @@ cards AS (
 """
 
 
+def _cube(spark, d):
+    """The ledger added up once; kept while the query's cards are made of it."""
+    return m.month_cube(_base(spark, d)).persist()
+
+
 def _metrics(spark, d):
-    base = _base(spark, d)
-    return _totals(spark, d), m.category_history(_cats(spark, d)), m.merchant_totals(base), m.small_purchases(base)[0]
+    cube = _cube(spark, d)
+    return m.totals_of(cube), m.category_history(m.categories_of(cube)), m.merchants_of(cube), m.small_of(cube)
 
 
 def _one(kind):
     return CARDS + f"SELECT * FROM cards WHERE card_type = '{kind}'"
 
 
+def _few(spark, d):
+    """The month's ledger of seven users, each with many small purchases."""
+    return m.analytic_base(ledgers.ledger_ev(spark, d).withColumn("user_id", F.col("user_id") % 7))
+
+
+FEW = f"""WITH {ledgers.SQL}, few AS (SELECT user_id % 7 AS user_id, CAST(year(tx_date) AS INT) AS year, CAST(month(tx_date) AS INT) AS month, merchant, amount_cents FROM ledger_ev WHERE {KEEP}),
+fm AS (SELECT user_id, year, month, merchant, CAST(sum(-amount_cents) AS BIGINT) AS spent, count(*) AS visits FROM few WHERE amount_cents < 0 GROUP BY ALL),
+ft AS (SELECT user_id, year, month, CAST(sum(CASE WHEN amount_cents < 0 THEN -amount_cents ELSE 0 END) AS BIGINT) AS spending FROM few GROUP BY ALL),
+fs AS (SELECT user_id, year, month, count(*) AS n, CAST(sum(-amount_cents) AS BIGINT) AS total FROM few WHERE amount_cents < 0 AND amount_cents > -1500 GROUP BY ALL)
+"""
+AS_OF = "2001-07-20"
+#: BASE and the subscriptions, under one WITH
+BOTH = BASE + "," + SUBS.split(ledgers.SQL + ",", 1)[1] + f", sb AS ({SUBS_OUT}), lt AS (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY mi DESC) = 1)\n"
+
+
+def _subscribed(spark, d):
+    return r.subscriptions(ledgers.ledger_rec(spark, d)).persist()
+
+
+def _subscription_cards(spark, d):
+    totals, subs = _totals(spark, d), _subscribed(spark, d)
+    return c.subscription_summary(totals, subs).unionByName(c.subscription_new(totals, subs)).unionByName(c.subscription_creep(totals, subs))
+
+
+def _paced(spark, d):
+    """Months with the last ones of the users as the current ones, each seen in part."""
+    return m.month_pace(_totals(spark, d).withColumn("is_partial", F.lit(True)), F.lit(AS_OF).cast("date"))
+
+
+def _fixes(spark, d):
+    """Categories joined into one of more than 40 %; merchants of the recurring ledger as services of two kinds."""
+    base = _base(spark, d).withColumn("category", F.when(F.col("category") == "Uncategorized", "Rent").otherwise("Goods")).withColumn("amount_cents", F.when(F.col("amount_cents") > 0, F.floor(F.col("amount_cents") / 20)).otherwise(F.col("amount_cents")))
+    subs = _subscribed(spark, d).withColumn("price_cents", F.col("price_cents") * 10)
+    duplicates = subs.where("price_cents % 3 > 0").select("user_id", F.concat(F.lit("kind"), (F.col("price_cents") % 3).cast("string")).alias("service"), "merchant", "price_cents")
+    return c.fix_opportunity(m.month_totals(base), m.category_totals(base), subs, duplicates)
+
+
+def _stored(spark, d):
+    """Cards as stored a while ago, each seventh dismissed."""
+    old = c.rank_and_cap(c.income_change(_totals(spark, d)).unionByName(c.over_budget(_totals(spark, d))))
+    return old.withColumns({"value_cents": F.col("value_cents") + 1, "is_dismissed": F.col("month") % 7 == 0})
+
+
+CUT = "CAST(floor({0} + 0.5) AS BIGINT)"
 QUERIES = {
     "g01_over_budget": (lambda s, d: c.over_budget(_totals(s, d)), _one("over_budget")),
     "g02_category_spike": (lambda s, d: c.category_spike(m.category_history(_cats(s, d))), _one("category_spike")),
     "g03_merchant_spike": (lambda s, d: c.merchant_spike(m.merchant_totals(_base(s, d))), _one("merchant_spike")),
-    "g05_small_leaks": (lambda s, d: c.small_leaks(m.small_purchases(_base(s, d))[0]), _one("small_leaks")),
-    "g11_merchant_frequency": (lambda s, d: c.merchant_frequency(m.merchant_totals(_base(s, d))), _one("merchant_frequency")),
+    "g04_large_transaction": (
+        lambda s, d: c.large_transaction(m.top_expenses(m.analytic_base(ledgers.ledger_ev(s, d)), 10, m.large_threshold(ledgers.ledger_ev(s, d), 10_000))),
+        f"""WITH {ledgers.SQL}, x AS (SELECT user_id, -amount_cents AS x, row_number() OVER (PARTITION BY user_id ORDER BY -amount_cents) AS k, count(*) OVER (PARTITION BY user_id) AS n
+            FROM ledger_ev WHERE amount_cents < 0), t AS (SELECT user_id AS u, greatest(x, 10000) AS threshold_cents FROM x WHERE k = floor(n * 0.95::DOUBLE) + 1)
+            SELECT user_id, CAST(year(tx_date) AS INT) AS year, CAST(month(tx_date) AS INT) AS month, 'large_transaction' AS card_type, merchant AS subject, -amount_cents AS value_cents, 2 AS priority, 'high' AS confidence
+            FROM ledger_ev JOIN t ON user_id = u WHERE {KEEP} AND amount_cents < 0 AND -amount_cents > threshold_cents
+            QUALIFY row_number() OVER (PARTITION BY user_id, year(tx_date), month(tx_date) ORDER BY amount_cents, tx_id) <= 3""",
+    ),
+    "g05_small_leaks": (
+        lambda s, d: c.small_leaks(m.small_purchases(_few(s, d))[0]),
+        FEW + "SELECT user_id, year, month, 'small_leaks' AS card_type, NULL::VARCHAR AS subject, total AS value_cents, 5 AS priority, 'high' AS confidence FROM fs WHERE n > 10 AND total > 15000",
+    ),
+    "g06_subscription_cards": (
+        _subscription_cards,
+        BOTH + """, g AS (SELECT user_id, count(*) AS n, CAST(sum(price_cents) AS BIGINT) AS total, count(*) FILTER (confidence = 'high') AS sure, arg_min(merchant, (-price_cents, merchant)) AS top FROM sb GROUP BY user_id)
+        SELECT user_id, year, month, 'subscription_summary' AS card_type, top AS subject, total AS value_cents, 4 AS priority, CASE WHEN sure >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM lt JOIN g USING (user_id) WHERE n >= 2
+        UNION ALL SELECT user_id, year, month, 'subscription_new', merchant, price_cents, 3, sb.confidence FROM lt JOIN sb USING (user_id) WHERE months = 2 AND sb.confidence IN ('high', 'medium')
+        UNION ALL SELECT user_id, year, month, 'autopsy_subscription_creep', NULL, total, 5, CASE WHEN income_cents <= 0 THEN 'low' WHEN total * 100 > income_cents * 10 THEN 'high' WHEN total * 100 > income_cents * 5 THEN 'medium' ELSE 'low' END
+          FROM lt JOIN g USING (user_id) WHERE n >= 3 AND total >= 3000""",
+    ),
+    "g08_trial_warning": (
+        lambda s, d: c.trial_warning(r.trials(_trials(s, d), "2024-02-01", "2024-01-08")),
+        TRIALS + """SELECT user_id, CAST(year(trial_date) AS INT) AS year, CAST(month(trial_date) AS INT) AS month, 'trial_warning' AS card_type, merchant AS subject, trial_cents AS value_cents, 2 AS priority, 'medium' AS confidence
+          FROM t WHERE date_diff('day', DATE '2024-02-01', billing_date) BETWEEN 0 AND 3""",
+    ),
+    "g09_pace_cards": (
+        lambda s, d: c.cash_flow_forecast(_paced(s, d)).unionByName(c.velocity(_paced(s, d))),
+        BASE + f""", p AS (SELECT *, CAST(spending_cents AS DOUBLE) / 20 * 31 AS projected FROM totals WHERE year = 2001 AND month = 7)
+        SELECT user_id, year, month, 'cash_flow_forecast' AS card_type, CASE WHEN projected > income_cents THEN 'over_pace' ELSE 'under_pace' END AS subject, {CUT.format("abs(projected - income_cents)")} AS value_cents, 4 AS priority, 'high' AS confidence
+          FROM p WHERE income_cents > 0 AND abs(projected - income_cents) > income_cents * 0.1::DOUBLE
+        UNION ALL SELECT user_id, year, month, 'autopsy_velocity', NULL, {CUT.format("projected")}, 4, CASE WHEN projected / greatest(spending_cents, 1) - 1 >= 0.5 THEN 'high' WHEN projected / greatest(spending_cents, 1) - 1 >= 0.3 THEN 'medium' ELSE 'low' END
+          FROM p WHERE projected / greatest(spending_cents, 1) - 1 > 0.2::DOUBLE""",
+    ),
+    "g10_fix_opportunity": (
+        _fixes,
+        BOTH + f""", b AS (SELECT user_id, year, month, CASE WHEN category = 'Uncategorized' THEN 'Rent' ELSE 'Goods' END AS category, CASE WHEN amount_cents > 0 THEN CAST(floor(amount_cents / 20) AS BIGINT) ELSE amount_cents END AS c FROM base),
+        bt AS (SELECT user_id, year, month, sum(c) AS net FROM b GROUP BY user_id, year, month QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY year DESC, month DESC) = 1), loss AS (SELECT * FROM bt WHERE net < 0),
+        bc AS (SELECT user_id, year, month, category, sum(CASE WHEN c > 0 THEN c ELSE 0 END) AS inc, sum(CASE WHEN c < 0 THEN -c ELSE 0 END) AS sp FROM b GROUP BY ALL),
+        bs AS (SELECT *, CAST(sp AS DOUBLE) / sum(sp) OVER (PARTITION BY user_id, year, month) AS share FROM bc),
+        sx AS (SELECT user_id, merchant, price_cents * 10 AS price FROM sb),
+        du AS (SELECT user_id, 'kind' || (price % 3) AS service, min(price) AS saving, arg_min(merchant, (price, merchant)) AS subject FROM sx WHERE price % 3 > 0 GROUP BY ALL HAVING count(*) >= 2),
+        sc AS (SELECT * FROM (SELECT user_id, 1 AS kind, service AS place, subject, saving FROM du UNION ALL SELECT user_id, 2, lpad(CAST(1000000000000000 - price AS VARCHAR), 16, '0'), merchant, price FROM sx WHERE price > 5000)
+               QUALIFY row_number() OVER (PARTITION BY user_id, subject ORDER BY kind, place) = 1),
+        al AS (SELECT * FROM sc UNION ALL SELECT user_id, 3, printf('%.12f', 1 - share), category, {CUT.format("sp * 0.25::DOUBLE")} FROM bs JOIN loss USING (user_id, year, month) WHERE category = 'Goods' AND NOT (sp = 0 AND inc > 0) AND share > 0.4::DOUBLE),
+        k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY kind, place, subject) AS k FROM al),
+        z AS (SELECT user_id, count(*) AS n, CAST(sum(saving) AS BIGINT) AS total, arg_min(subject, k) AS first FROM k WHERE k <= 3 GROUP BY user_id)
+        SELECT user_id, year, month, 'fix_opportunity' AS card_type, first AS subject, total AS value_cents, 1 AS priority, CASE WHEN n >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM loss JOIN z USING (user_id)""",
+    ),
+    "g11_merchant_frequency": (
+        lambda s, d: c.merchant_frequency(m.merchant_totals(_few(s, d))),
+        FEW + """SELECT user_id, year, month, 'merchant_frequency' AS card_type, merchant AS subject, spent AS value_cents, 5 AS priority, CASE WHEN visits >= 15 THEN 'high' WHEN visits >= 10 THEN 'medium' ELSE 'low' END AS confidence
+            FROM fm WHERE visits >= 8 QUALIFY row_number() OVER (PARTITION BY user_id, year, month ORDER BY visits DESC, merchant) = 1""",
+    ),
     "g12_income_change": (lambda s, d: c.income_change(_totals(s, d)), _one("mom_income_change")),
     "g13_monthly_summary": (lambda s, d: c.monthly_summary(_totals(s, d)), _one("monthly_summary")),
+    "g14_small_drain": (
+        lambda s, d: c.small_drain(m.month_totals(_few(s, d)), m.small_purchases(_few(s, d))[0]),
+        FEW + """SELECT user_id, year, month, 'autopsy_small_drain' AS card_type, NULL::VARCHAR AS subject, total AS value_cents, 4 AS priority, CASE WHEN total * 100 > spending * 15 THEN 'high' WHEN total * 100 > spending * 8 THEN 'medium' ELSE 'low' END AS confidence
+            FROM fs JOIN ft USING (user_id, year, month) WHERE n >= 10 AND total >= 5000""",
+    ),
+    "g15_merchant_concentration": (
+        lambda s, d: c.merchant_concentration(_totals(s, d), m.merchant_totals(_base(s, d))),
+        CARDS + """SELECT user_id, year, month, 'autopsy_merchant_concentration' AS card_type, merchant AS subject, spent AS value_cents, 3 AS priority, CASE WHEN spent * 100 >= spending_cents * 30 THEN 'high' ELSE 'medium' END AS confidence
+            FROM (SELECT * FROM merch WHERE spent > 0 QUALIFY row_number() OVER (PARTITION BY user_id, year, month ORDER BY spent DESC, merchant) = 1) JOIN totals USING (user_id, year, month) WHERE spent * 100 >= spending_cents * 20""",
+    ),
+    "g17_category_jump": (
+        lambda s, d: c.category_jump(m.category_history(_cats(s, d))),
+        BASE + f""", h AS (SELECT *, CAST(sum(spending_cents) OVER w AS DOUBLE) / CAST(nullif(count(*) OVER w, 0) AS DOUBLE) AS avg FROM cats WINDOW w AS (PARTITION BY user_id, category ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+        j AS (SELECT *, (spending_cents - avg) / avg AS rise FROM h WHERE avg > 0 AND spending_cents > 0)
+        SELECT user_id, year, month, 'autopsy_category_spike' AS card_type, category AS subject, {CUT.format("spending_cents - avg")} AS value_cents, 3 AS priority, CASE WHEN rise >= 1 THEN 'high' WHEN rise >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS confidence
+        FROM j WHERE rise >= 0.4::DOUBLE AND spending_cents - avg >= 3000 QUALIFY row_number() OVER (PARTITION BY user_id, year, month ORDER BY rise DESC, category) = 1""",
+    ),
+    "g19_storyline": (
+        lambda s, d: c.storyline(_totals(s, d), m.concentration(_cats(s, d))),
+        BASE + """SELECT t.user_id, t.year, t.month, 'monthly_storyline' AS card_type, top_category AS subject, net_cents AS value_cents, CASE WHEN net_cents < 0 THEN 2 ELSE 1 END AS priority, CASE WHEN income_cents > 0 THEN 'high' ELSE 'medium' END AS confidence
+            FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month WHERE spending_cents > 0""",
+    ),
     "g20_rank_and_cap": (
-        lambda s, d: c.rank_and_cap(c.all_cards(*_metrics(s, d)), 4),
+        lambda s, d: c.rank_and_cap(c.all_cards(*_metrics(s, d))),
         CARDS + """SELECT *, CAST(row_number() OVER (PARTITION BY user_id, year, month ORDER BY priority,
-            CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, card_type) AS INT) AS rank FROM cards QUALIFY rank <= 4""",
+            CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, card_type) AS INT) AS rank FROM cards QUALIFY rank <= 8""",
+    ),
+    "g20_kept_dismissals": (
+        lambda s, d: c.kept_dismissals(c.rank_and_cap(c.income_change(_totals(s, d)).unionByName(c.monthly_summary(_totals(s, d)))), _stored(s, d)),
+        CARDS + """, old AS (SELECT user_id, year, month, card_type, subject, value_cents + 1 AS value_cents, priority, confidence, month % 7 = 0 AS is_dismissed FROM cards WHERE card_type IN ('mom_income_change', 'over_budget')),
+        new AS (SELECT user_id, year, month, card_type, subject, value_cents, priority, confidence FROM cards WHERE card_type IN ('mom_income_change', 'monthly_summary'))
+        SELECT user_id, year, month, card_type, coalesce(n.subject, o.subject) AS subject, coalesce(n.value_cents, o.value_cents) AS value_cents, coalesce(n.priority, o.priority) AS priority, coalesce(n.confidence, o.confidence) AS confidence,
+          coalesce(is_dismissed, false) AS is_dismissed FROM new n FULL JOIN old o USING (user_id, year, month, card_type)""",
+    ),
+    "g21_shown_cards": (
+        lambda s, d: c.shown(_stored(s, d).withColumn("created_at", F.make_timestamp_ntz(years=F.col("year"), months=F.col("month"), days=F.lit(1), hours=F.lit(12), mins=F.col("priority") * 7, secs=F.lit(0))), F.lit("2001-03-01 13:10:00").cast("timestamp_ntz")).select(
+            "user_id", "year", "month", "card_type", "place", "is_stale"),
+        CARDS + """, old AS (SELECT * FROM cards WHERE card_type IN ('mom_income_change', 'over_budget') AND month % 7 <> 0)
+        SELECT user_id, year, month, card_type, CAST(row_number() OVER (PARTITION BY user_id, year, month ORDER BY priority, card_type) AS INT) AS place,
+          make_timestamp(year, month, 1, 12, max(priority) OVER (PARTITION BY user_id, year, month) * 7, 0) < TIMESTAMP '2001-03-01 12:10:00' AS is_stale FROM old""",
+    ),
+    "d15_month_pace": (
+        lambda s, d: _paced(s, d).select("user_id", "year", "month", F.col("days_in_month").cast("long"), F.col("elapsed").cast("long"), m.half_up(F.col("daily_cents")).alias("daily_cents"), m.half_up(F.col("projected_cents")).alias("projected_cents")),
+        BASE + f"""SELECT user_id, year, month, CAST(day(last_day(make_date(year, month, 1))) AS BIGINT) AS days_in_month, CASE WHEN year = 2001 AND month = 7 THEN 20 ELSE day(last_day(make_date(year, month, 1))) END::BIGINT AS elapsed,
+            {CUT.format("CAST(spending_cents AS DOUBLE) / CASE WHEN year = 2001 AND month = 7 THEN 20 ELSE day(last_day(make_date(year, month, 1))) END")} AS daily_cents, CASE WHEN year = 2001 AND month = 7 THEN {CUT.format("CAST(spending_cents AS DOUBLE) / 20 * 31")} END AS projected_cents FROM totals""",
+    ),
+    "d17_personality": (
+        lambda s, d: m.personality(_signals(s, d)).select("user_id", "year", "month", "personality"),
+        BASE + """, g AS (SELECT t.user_id, t.year, t.month, income_cents AS i, net_cents AS n, spending_cents AS s, top_share * 100 AS tp, (top3_share - top_share) * 50 AS sp, t.month % 7 AS subs, t.year % 6 AS a,
+            CASE WHEN t.month % 2 = 0 THEN 'bank' ELSE 'credit' END AS k, (t.user_id % 10) / 10::DOUBLE AS u, t.user_id % 3 = 0 AS it, t.user_id % 4 = 0 AS bc FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month),
+        h AS (SELECT *, CASE WHEN i > 0 THEN CAST(s AS DOUBLE) / i ELSE 1 END AS r, CASE WHEN i > 0 THEN CAST(n AS DOUBLE) / i ELSE 0 END AS sv, coalesce(tp, 0) - coalesce(sp, 0) AS spread FROM g)
+        SELECT user_id, year, month, CASE WHEN i >= 1000000 AND r < 0.5::DOUBLE AND sv > 0.4::DOUBLE THEN 'quiet_millionaire' WHEN r BETWEEN 0.85::DOUBLE AND 0.95::DOUBLE AND a = 0 AND spread < 10 THEN 'strategic_deployer'
+          WHEN r > 1.05::DOUBLE THEN 'full_send' WHEN a >= 3 AND r > 0.88::DOUBLE THEN 'adrenaline_accountant' WHEN a >= 5 AND n >= 0 THEN 'chaos_controller' WHEN i > 0 AND abs(n) < i * 0.03::DOUBLE THEN 'breakeven_poet'
+          WHEN n > 0 AND i > 0 AND sv < 0.05::DOUBLE THEN 'wire_dancer' WHEN coalesce(tp, 0) > 50 THEN 'big_ticket_player' WHEN subs >= 5 THEN 'subscription_collector' WHEN r < 0.5::DOUBLE AND n > 0 THEN 'low_key_saver'
+          WHEN k = 'bank' AND (n < 0 OR (a > 1 AND r > 0.95::DOUBLE)) THEN 'overdraft_artist' WHEN k = 'bank' AND r < 0.4::DOUBLE THEN 'cash_keeper' WHEN k = 'bank' AND a = 0 AND r >= 0.5::DOUBLE AND r < 0.75::DOUBLE THEN 'direct_depositor'
+          WHEN k = 'credit' AND u > 0.9::DOUBLE THEN 'minimum_payer' WHEN k = 'credit' AND u > 0.75::DOUBLE THEN 'utilization_king' WHEN k = 'credit' AND bc AND it THEN 'revolving_door' WHEN k = 'credit' AND it THEN 'balance_transfer'
+          WHEN k = 'credit' AND spread > 30 THEN 'one_card_wonder' WHEN k = 'credit' AND NOT bc AND spread < 15 AND r > 0.7::DOUBLE THEN 'cashback_architect' WHEN k = 'credit' AND NOT bc AND r > 0.8::DOUBLE THEN 'points_chaser'
+          WHEN r >= 0.5::DOUBLE AND r < 0.72::DOUBLE AND n > 0 THEN 'safety_buffer' WHEN n > 0 AND a = 0 AND r < 0.8::DOUBLE THEN 'smooth_operator' WHEN i > 500000 AND r > 0.85::DOUBLE THEN 'flow_master'
+          WHEN n > 0 AND r < 0.9::DOUBLE THEN 'savvy_spender' ELSE 'steady_builder' END AS personality FROM h""",
+    ),
+    "d19_panel_insights": (
+        lambda s, d: m.panel_insights(_totals(s, d), _cats(s, d)),
+        BASE + f""", j AS (SELECT t.*, top_category, top_share, top3_share, CAST(t.spending_cents - b.spending_cents AS DOUBLE) / nullif(b.spending_cents, 0) AS change FROM totals t LEFT JOIN totals b ON t.user_id = b.user_id AND t.mi = b.mi + 1
+            LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month)
+        SELECT user_id, year, month, CASE WHEN top_share >= 0.15::DOUBLE THEN top_category END AS leading_category, {CUT.format("top3_share * 100")} AS top3_percent,
+          CASE WHEN income_cents <= 0 THEN 'no income' WHEN spending_cents > income_cents THEN 'over' WHEN CAST(spending_cents AS DOUBLE) / income_cents > 0.8::DOUBLE THEN 'tight' ELSE 'comfortable' END AS ratio_band,
+          CASE WHEN abs(change) >= 0.1::DOUBLE THEN {CUT.format("change * 100")} END AS change_percent FROM j""",
+    ),
+    "d26_merchant_visits": (
+        lambda s, d: m.merchant_visits(_base(s, d), F.col("merchant").ilike("%e%")).select("user_id", "merchant", "visits", "total_cents", "first_date", "last_date", "mean_cents", "weekly_tenths"),
+        BASE + f""", v AS (SELECT user_id, merchant, count(*) AS visits, CAST(sum(-amount_cents) AS BIGINT) AS total_cents, min(tx_date) AS first_date, max(tx_date) AS last_date FROM base WHERE amount_cents < 0 AND merchant ILIKE '%e%' GROUP BY ALL)
+        SELECT *, {CUT.format("CAST(total_cents AS DOUBLE) / visits")} AS mean_cents, {CUT.format("visits / greatest(1, CAST(last_date - first_date + 1 AS DOUBLE) / 7) * 10")} AS weekly_tenths FROM v""",
     ),
 }
+
+
+def _signals(spark, d):
+    """Months' totals with made-up signs of statements."""
+    totals, tops = _totals(spark, d), m.concentration(_cats(spark, d))
+    return totals.join(tops, ["user_id", "year", "month"], "left").select(
+        "user_id", "year", "month", "income_cents", "spending_cents", "net_cents", (F.col("top_share") * 100).alias("top_percent"), ((F.col("top3_share") - F.col("top_share")) * 50).alias("second_percent"),
+        (F.col("month") % 7).alias("subscriptions"), (F.col("year") % 6).alias("anomalies"), F.when(F.col("month") % 2 == 0, "bank").otherwise("credit").alias("statement_type"),
+        ((F.col("user_id") % 10) / 10).alias("utilization"), (F.col("user_id") % 3 == 0).alias("interest"), (F.col("user_id") % 4 == 0).alias("balance_carried"),
+    )

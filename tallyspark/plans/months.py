@@ -66,7 +66,8 @@ def budgets(spark, d):
 
 
 def _health(spark, d):
-    totals, cats = _totals(spark, d), _cats(spark, d)
+    cube = m.month_cube(_base(spark, d)).persist()
+    totals, cats = m.totals_of(cube), m.categories_of(cube)
     recurring = r.recurring_list(ledgers.ledger_rec(spark, d)).groupBy("user_id").agg(m.half_up(F.sum("mean_cents")).alias("recurring_cents"))
     return m.health_score(totals, m.positive_streak(totals), recurring, m.concentration(cats))
 
@@ -199,5 +200,28 @@ QUERIES = {
           FROM totals t LEFT JOIN totals b ON t.user_id = b.user_id AND t.mi = b.mi + 1)
         SELECT user_id, year, month, spending_cents, before_cents, CASE WHEN abs(pct) >= 3 THEN pct END AS percent FROM p""",
     ),
-    "d16_health_score": (_health, None),
+    "a04_month_cube": (
+        lambda s, d: m.totals_of(m.month_cube(_base(s, d))).join(m.small_of(m.month_cube(_base(s, d), 200_000)).withColumnRenamed("tx_count", "small_count"), m.MONTH, "left").drop("is_partial"),
+        BASE + """, sm AS (SELECT user_id, year, month, count(*) AS small_count, CAST(sum(-amount_cents) AS BIGINT) AS total_cents FROM base WHERE amount_cents < 0 AND amount_cents > -200000 GROUP BY ALL)
+        SELECT user_id, year, month, income_cents, spending_cents, net_cents, tx_count, income_count, first_date, last_date, small_count, total_cents FROM totals LEFT JOIN sm USING (user_id, year, month)""",
+    ),
+    "d16_health_score": (
+        _health,
+        BASE + """, rs AS (SELECT *, -amount_cents AS x FROM ledger_rec WHERE NOT is_excluded AND amount_cents < 0 AND coalesce(merchant, '') <> ''),
+        rm AS (SELECT user_id, merchant, CAST(sum(x) AS DOUBLE) / count(*) AS mean FROM rs GROUP BY ALL HAVING CAST(sum(x) AS DOUBLE) / count(*) >= 100),
+        rc AS (SELECT user_id, CAST(sum(CAST(floor(mean + 0.5) AS BIGINT)) AS BIGINT) AS rec FROM rm GROUP BY user_id),
+        b AS (SELECT user_id, sum(CASE WHEN net_cents < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY mi DESC ROWS UNBOUNDED PRECEDING) AS broken FROM totals),
+        st AS (SELECT user_id, count(*) FILTER (broken = 0) AS streak FROM b GROUP BY user_id),
+        j AS (SELECT t.user_id, t.year, t.month, income_cents AS i, coalesce(streak, 0) AS streak, coalesce(rec, 0) AS rec, top_share AS ts,
+              CASE WHEN income_cents > 0 THEN CAST(spending_cents AS DOUBLE) / income_cents ELSE 1 END AS r, CASE WHEN income_cents > 0 THEN CAST(income_cents - spending_cents AS DOUBLE) / income_cents ELSE 0 END AS sv
+              FROM totals t LEFT JOIN st ON t.user_id = st.user_id LEFT JOIN rc ON t.user_id = rc.user_id LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month),
+        f AS (SELECT user_id, year, month, CASE WHEN r <= 0.6::DOUBLE THEN 100 ELSE greatest(0, least(100, floor((1 - (r - 0.6::DOUBLE) / 0.4::DOUBLE) * 100 + 0.5))) END AS spend,
+              CASE WHEN sv >= 0.2::DOUBLE THEN 100 WHEN sv >= 0.1::DOUBLE THEN greatest(0, least(100, floor(50 + (sv - 0.1::DOUBLE) / 0.1::DOUBLE * 50 + 0.5))) WHEN sv >= 0 THEN greatest(0, least(100, floor(sv / 0.1::DOUBLE * 50 + 0.5))) ELSE 0 END AS savings,
+              greatest(0, least(100, floor(least(streak, 3) / 3::DOUBLE * 100 + 0.5))) AS streak_s,
+              CASE WHEN rec = 0 THEN 90 WHEN i <= 0 THEN 80 WHEN CAST(rec AS DOUBLE) / i <= 0.05::DOUBLE THEN 100 ELSE greatest(0, least(100, floor((1 - (CAST(rec AS DOUBLE) / i - 0.05::DOUBLE) / 0.15::DOUBLE) * 100 + 0.5))) END AS recurring,
+              CASE WHEN ts IS NULL THEN 80 WHEN ts <= 0.3::DOUBLE THEN 100 ELSE greatest(0, least(100, floor((1 - (ts * 100 - 30) / 50) * 100 + 0.5))) END AS diversity FROM j),
+        g AS (SELECT *, CAST(floor(CAST(spend * 35 + savings * 30 + streak_s * 15 + recurring * 10 + diversity * 10 AS DOUBLE) / 100 + 0.5) AS BIGINT) AS score FROM f)
+        SELECT user_id, year, month, CAST(spend AS BIGINT) AS spend_score, CAST(savings AS BIGINT) AS savings_score, CAST(streak_s AS BIGINT) AS streak_score, CAST(recurring AS BIGINT) AS recurring_score, CAST(diversity AS BIGINT) AS diversity_score,
+          score, CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' ELSE 'Needs Work' END AS label FROM g""",
+    ),
 }
