@@ -123,7 +123,8 @@ def _contents(spark: SparkSession, pattern: str, asked: DataFrame, text_col: str
     texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(text_col).alias("content"))
     # names of files, which Spark's own listing holds too
     files = [r.file for r in asked.select("file").distinct().collect()]
-    return texts.where(F.col("file").isin(files)).join(asked, ["file", "row"])
+    # both sides grow with the corpus: the join shuffles at every size, and sorts no text
+    return texts.where(F.col("file").isin(files)).join(asked.hint("shuffle_hash"), ["file", "row"])
 
 
 def _compare_hits(spark: SparkSession, pattern: str, checkpoint: str, text_col: str) -> None:
