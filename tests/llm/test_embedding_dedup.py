@@ -56,3 +56,25 @@ def test_odd_rows(spark):
             (9, v, None), (10, [1.0, float("inf")], 1), (11, [2.0, 4.0, 0.0], 1), (12, [1e-30, 2e-30], 1)]
     assert got(spark.createDataFrame(rows, FIELDS)) == by_force(rows)
     assert got(spark.createDataFrame([], FIELDS)) == []
+
+
+def test_long_and_extreme_vectors(spark):
+    """Vectors of thousands of components, and components whose squares overflow or vanish, beside columns with clashing names."""
+    rng = np.random.default_rng(3)
+    long = rng.standard_normal(5000)
+    rows = [(1, long.tolist(), 1), (2, (long + 1e-3).tolist(), 1), (3, rng.standard_normal(5000).tolist(), 1), (4, [1e200, 2e200], 2), (5, [1e-200, 2e-200], 2), (6, [2e200, 1e200], 2), (6, [1.0, 2.0], 2)]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "vec_id long, embedding array<double>, label int, id int, node int, n_links int")
+    found = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.query(df).collect()}
+    assert found == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (6, 0, 6)}
+
+
+def test_threshold_needs_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    code = embedding_dedup.make_code(64, 10**8)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    x = np.random.default_rng(5).standard_normal((20, 64))
+    passed = [len(f) for f in code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    assert embedding_dedup.LEAST <= np.mean(passed) < 8 * embedding_dedup.PASSED

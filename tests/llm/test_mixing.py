@@ -1,6 +1,10 @@
+import hashlib
 import math
+import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tallyspark.llm import mixing
 from tests.llm.conftest import SF
 
@@ -31,6 +35,65 @@ def test_flattest_within_the_repeats(spark, documents):
         assert tokens <= shown <= repeats * tokens + 1e-6
 
 
+def brute_plan(spark, rows, budget=None, most=2.0, seed=17):
+    """The rows (id, source, epoch, block, block_rank) that are shown of (id, text, source); only hashes come from Spark."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    tokens = defaultdict(int)
+    for i, _, s in rows:
+        tokens[s] += size[i]
+    total, top = sum(tokens.values()), max(tokens.values())
+    low, high = 0.0, 1.0
+
+    def worst(a):
+        """The most that a source is repeated."""
+        z = sum((n / top) ** a for n in tokens.values() if n)
+        all_shown = top * z if budget is None else budget
+        return max(all_shown * (n / top) ** a / z / n for n in tokens.values() if n)
+
+    for _ in range(100):
+        a = (low + high) / 2
+        low, high = (low, a) if worst(a) <= most + 1e-12 else (a, high)
+    a = 0.0 if worst(0.0) <= most + 1e-12 else high
+    z = sum((n / top) ** a for n in tokens.values() if n)
+    weight = {s: (n / top) ** a / z if n else 0.0 for s, n in tokens.items()}
+    repeats = {s: (top * z if budget is None else max(0.0, budget)) * weight[s] / n if n else 1.0 for s, n in tokens.items()}
+    bodies = [(i, hashlib.md5((t or "").encode()).digest()) for i, t, _ in rows]
+    hashed = spark.createDataFrame(bodies, "id long, body binary").select("id", F.xxhash64(F.lit(seed), "id", "body").alias("h"))
+    h = {r.id: r.h for r in hashed.collect()}
+    count = {s: min(mixing.MAX_BLOCKS, max(1, math.ceil(n / mixing.BLOCK_TOKENS))) for s, n in tokens.items()}
+    block = {i: h[i] % count[s] for i, _, s in rows}
+    cells = {(s, e, block[i]) for i, _, s in rows for e in range(math.ceil(round(repeats[s], 9)))}
+    keyed = spark.createDataFrame(sorted(cells, key=str), "source string, epoch int, block int").withColumn("h", F.xxhash64(F.lit(seed), F.lit("order"), "source", "epoch", "block"))
+    order = defaultdict(list)
+    for r in keyed.collect():
+        order[r.source, r.epoch].append((r.h, r.block))
+    inside, out = defaultdict(int), set()
+    for i, _, s in rows:
+        inside[s, block[i]] += size[i]
+    for (s, epoch), found in order.items():
+        spent = 0
+        for rank, (_, b) in enumerate(sorted(found), 1):
+            spent += inside[s, b]
+            left = round(repeats[s], 9) - epoch
+            if left >= 1 or spent <= left * tokens[s]:
+                out |= {(i, s, epoch, b, rank) for i, _, t in rows if t == s and block[i] == b}
+    return out
+
+
+def test_plan_by_force(spark, documents):
+    rows = [(d["doc_id"], d["text"], d["source"]) for d in documents]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    total = sum(r.n for r in docs.select(mixing.tokens().alias("n")).collect())
+    for budget in (None, 0.4 * total, 3.0 * total):
+        got = {(r.id, r.source, r.epoch, r.block, r.block_rank) for r in mixing.plan(docs, budget=budget, max_repeats=4.0 if budget else 2.0).collect()}
+        assert got == brute_plan(spark, rows, budget, 4.0 if budget else 2.0), budget
+
+
+def test_small_budgets_show_nothing(spark, documents):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert all(mixing.plan(docs, budget=b).count() == 0 for b in (0.0, 1e-9, -5.0))
+
+
 def test_epochs_are_permutations_of_blocks(spark, documents):
     rows = mixing.plan(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     ranks = defaultdict(set)
