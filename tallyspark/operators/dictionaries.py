@@ -57,10 +57,16 @@ BANK_KEYWORDS = [
     ("utilit", "Utilities"), ("shop", "Shopping"), ("entertain", "Entertainment"), ("fee", "Fees"), ("income", "Income"), ("transport", "Transport"),
 ]
 MASTERS = [
-    ("coffee", "DINING"), ("dining", "DINING"), ("food", "DINING"), ("grocer", "GROCERIES"), ("gas", "TRANSPORT"), ("transport", "TRANSPORT"), ("travel", "TRAVEL"),
-    ("hous", "HOME"), ("rent", "HOME"), ("utilit", "HOME"), ("insur", "FINANCIAL"), ("fee", "FINANCIAL"), ("health", "WELLNESS"), ("shop", "SHOPPING"),
-    ("entertain", "FUN"), ("subscr", "FUN"),
+    ("coffee", "COFFEE"), ("fast food", "FAST_FOOD"), ("dining", "FOOD"), ("food", "FOOD"), ("grocer", "GROCERY"), ("gas", "TRANSPORT"), ("transport", "TRANSPORT"), ("travel", "TRAVEL"),
+    ("hous", "HOME"), ("rent", "HOME"), ("utilit", "HOME"), ("insur", "FINANCIAL"), ("fee", "FINANCIAL"), ("health", "HEALTH"), ("care", "PERSONAL_CARE"), ("shop", "SHOPPING"),
+    ("entertain", "ENTERTAINMENT"), ("subscr", "DIGITAL"), ("educat", "EDUCATION"), ("pet", "PETS"), ("gift", "SOCIAL"), ("business", "BUSINESS"),
 ]
+# The trait of the first category that is a matter of choice.
+TRAITS = {
+    "FOOD": "margin_eater", "GROCERY": "cash_casserole", "FAST_FOOD": "drive_thru_cfo", "ALCOHOL": "dollar_shots", "COFFEE": "daily_grind", "ENTERTAINMENT": "never_home",
+    "SHOPPING": "delivery_doorstep", "HEALTH": "wellness_bill", "DIGITAL": "free_trial_life", "PERSONAL_CARE": "glowing_broke", "EDUCATION": "degree_debt", "TRAVEL": "mail_goes_home",
+    "PETS": "corner_office", "TOBACCO": "burn_rate", "SOCIAL": "heaven_sent", "TRANSPORT": "currency_combustion", "BUSINESS": "grind_setter", "LIFESTYLE": "corner_office",
+}
 # Names of categories that say nothing.
 NOISY_CATEGORIES = ["other", "uncategorized", "miscellaneous", "misc", "general", "transfer", "income", "unknown"]
 CANONICAL = [
@@ -113,3 +119,11 @@ def canonical_merchant(rows: DataFrame, raw: Column, canonical: DataFrame | None
         "merchant_confidence": F.when(F.col("canonical").isNotNull(), "high").otherwise("low"), "canonical": F.coalesce("canonical", f.normalize_merchant(F.col("__bare"))),
         "merchant_type": F.coalesce("merchant_type", F.lit("unknown")),
     }).drop("__bare")
+
+
+def traits(categories: DataFrame, masters: DataFrame | None = None) -> DataFrame:
+    """(user_id, year, month, trait): that of the largest category of a month (category, spending_cents) whose master is neither HOME nor FINANCIAL."""
+    free = master_category(categories.where("spending_cents > 0"), F.col("category"), masters).where("master IS NOT NULL AND master NOT IN ('HOME', 'FINANCIAL')")
+    named = F.create_map(*(F.lit(x) for pair in TRAITS.items() for x in pair))
+    top = free.groupBy("user_id", "year", "month").agg(F.min_by("master", F.struct(-F.col("spending_cents"), F.col("category"))).alias("master"))
+    return top.select("user_id", "year", "month", F.try_element_at(named, F.col("master")).alias("trait"))

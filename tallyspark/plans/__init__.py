@@ -1,5 +1,5 @@
 """Registered queries and their SQL, one module an area."""
 
-from tallyspark.plans import cards, checks, lists, months, recurring, rules, scalars, staging, statements
+from tallyspark.plans import cards, checks, lists, months, recurring, reports, rules, scalars, staging, statements
 
-MODULES = [months, recurring, checks, scalars, cards, rules, statements, staging, lists]
+MODULES = [months, recurring, checks, scalars, cards, rules, statements, staging, lists, reports]

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import dictionaries as dic
 from tallyspark.operators import staging as st
+from tallyspark.plans.months import BASE, _cats
 from tallyspark.sources import ledgers
 
+KINDS = ["Food", "Rent", "Coffee", "Other", "Travel"]
+
 # names, and by hand what the compact dictionaries make of them
 NAMES = [
     "SQ *Blue Bottle Coffee", "WHOLE FOODS 4321", "Uber Eats", "PAYROLL ACME", "Online Payment thank", "Netflix.com", "Corner Shop NY", "PAYPAL *AMZN Mktp", "Zelle to Ann Lee",
@@ -100,9 +103,15 @@ QUERIES = {
         SELECT g.user_id, g.merchant, g.amount_cents, tx_id, CASE WHEN e.c IS NOT NULL THEN e.c WHEN cat = 'click' THEN 'Other' ELSE cat END AS app_category, is_transfer, is_excluded, reviewed, e.c IS NOT NULL AS edited
         FROM g LEFT JOIN e ON g.user_id = e.user_id AND g.merchant = e.merchant AND g.amount_cents = e.amount_cents""",
     ),
+    "d17_traits": (
+        lambda s, d: dic.traits(_cats(s, d).withColumn("category", F.get(F.array(*(F.lit(x) for x in KINDS)), (F.length("category") % 5).cast("int"))).groupBy("user_id", "year", "month", "category").agg(F.sum("spending_cents").alias("spending_cents"))),
+        BASE + f""", k AS (SELECT user_id, year, month, {KINDS}[length(category) % 5 + 1] AS kind, CAST(sum(spending_cents) AS BIGINT) AS s FROM cats GROUP BY ALL)
+        SELECT user_id, year, month, ['margin_eater', NULL, 'daily_grind', NULL, 'mail_goes_home'][list_position({KINDS}, kind)] AS trait FROM k WHERE s > 0 AND kind NOT IN ('Rent', 'Other')
+        QUALIFY row_number() OVER (PARTITION BY user_id, year, month ORDER BY s DESC, kind) = 1""",
+    ),
     "f22_master_category": (
         lambda s, d: dic.master_category(ledgers.table(s, d, "part").select("p_partkey", _of_part(["Food & Dining", "Housing", "Other", "misc", "Coffee Shops", "Gas & Fuel", "Nothing", " Transfer "]).alias("name")), F.col("name")),
-        "SELECT p_partkey, ['Food & Dining', 'Housing', 'Other', 'misc', 'Coffee Shops', 'Gas & Fuel', 'Nothing', ' Transfer '][p_partkey % 8 + 1] AS name, ['DINING', 'HOME', NULL, NULL, 'DINING', 'TRANSPORT', NULL, NULL][p_partkey % 8 + 1] AS master FROM part",
+        "SELECT p_partkey, ['Food & Dining', 'Housing', 'Other', 'misc', 'Coffee Shops', 'Gas & Fuel', 'Nothing', ' Transfer '][p_partkey % 8 + 1] AS name, ['FOOD', 'HOME', NULL, NULL, 'COFFEE', 'TRANSPORT', NULL, NULL][p_partkey % 8 + 1] AS master FROM part",
     ),
 }
 
