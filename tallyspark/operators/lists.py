@@ -117,7 +117,7 @@ def csv_lines(rows: DataFrame, columns: list[str] = EXPORT) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] = EXPORT) -> None:
-    """A folder of CSV files for each user, in the order of the list, under a header."""
+    """A folder of CSV files for each user, in the order of the list, under a header. Lines end with CRLF, within cells too."""
     ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "place")
     ordered.select("user_id", *columns).write.partitionBy("user_id").mode("overwrite").csv(path, header=True, lineSep="\r\n", quote='"', escape='"', emptyValue="")
 
