@@ -90,8 +90,8 @@ def _occurrences(sign: str):
     return lambda line: F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
 
 
-def _matches(pattern: str):
-    return lambda header: _trim(F.lower(header)).rlike(pattern)
+def _matches(pattern: str, low: Column):
+    return lambda _, i: F.get(low, i).rlike(pattern)
 
 
 def _holds(part: str):
@@ -140,11 +140,11 @@ def _header(cell: Column) -> Column:
     return F.regexp_replace(_trim(cell), "^[\"']|[\"']$", "")
 
 
-def _mapped(headers: Column) -> Column:
-    """struct of the headers that match each field."""
+def _mapped(headers: Column, low: Column) -> Column:
+    """struct of the headers that match each field; low: the headers in lower case."""
     found = []
     for field, patterns in HEADER_PATTERNS.items():
-        found.append(F.filter(headers, _matches("^(" + "|".join(patterns) + ")$")).alias(field))
+        found.append(F.filter(headers, _matches("^(" + "|".join(patterns) + ")$", low)).alias(field))
     return F.struct(*found)
 
 
@@ -157,13 +157,11 @@ def with_header(read: DataFrame) -> DataFrame:
     """
 
     def judged(row: Column, at: Column) -> Column:
-        headers = F.transform(row, _header)
-
-        def of(m: Column) -> Column:
+        def of(m: Column, headers: Column) -> Column:
             one = lambda *names: F.greatest(*(F.size(m[n]) == 1 for n in names)) if len(names) > 1 else F.size(m[names[0]]) == 1
             points = sum((F.when(F.size(m[n]) == 1, 1.0).when(F.size(m[n]) > 1, 0.5).otherwise(0.0) for n in HEADER_PATTERNS), F.lit(0.0))
             score = points + F.when(one("description"), 1.0).otherwise(0.0) + F.when(F.size(row) >= 4, 0.5).otherwise(0.0)
-            fits = (F.size(row) >= 2) & one("date", "postedDate", "transactionDate") & one("amount", "debit", "credit")
+            fits = one("date", "postedDate", "transactionDate") & one("amount", "debit", "credit")
             pairs = lambda keep: F.filter(F.array(*(F.struct(F.lit(n).alias("field"), m[n].alias("found")) for n in HEADER_PATTERNS)), keep)
             mapping = F.map_from_entries(F.transform(pairs(lambda p: F.size(p["found"]) == 1), lambda p: F.struct(p["field"], F.get(p["found"], F.lit(0)))))
             return F.when(
@@ -176,7 +174,11 @@ def with_header(read: DataFrame) -> DataFrame:
                 ),
             )
 
-        return f.let(_mapped(headers), of)
+        def mapped(headers: Column) -> Column:
+            low = lambda lowered: f.let(_mapped(headers, lowered), lambda m: of(m, headers))
+            return f.let(F.transform(headers, lambda h: _trim(F.lower(h))), low)
+
+        return F.when(F.size(row) >= 2, f.let(F.transform(row, _header), mapped))
 
     first = F.transform(F.slice("lines", 1, HEADER_ROWS), lambda x: cells(x, F.col("delimiter")))
     best = F.array_max(F.filter(F.transform(first, judged), lambda s: s.isNotNull()))
