@@ -299,6 +299,17 @@ def month_pace(totals: DataFrame, as_of: Column) -> DataFrame:
         "projected_cents", F.when(current & F.col("is_partial"), F.col("daily_cents") * F.col("days_in_month")))
 
 
+def metrics(paced: DataFrame, subscribed: DataFrame, small: DataFrame, threshold: DataFrame) -> DataFrame:
+    """What cards are made of, one row a month: pace, fixed costs (subscriptions of high or medium confidence), what is left to choose, the mean of all
+    transactions, small purchases and the user's threshold of large ones."""
+    fixed = subscribed.where("confidence IN ('high', 'medium')").groupBy("user_id").agg(F.sum("price_cents").alias("fixed_cents"), F.count("*").alias("subscriptions"))
+    few = small.select(*MONTH, F.col("tx_count").alias("small_count"), F.col("total_cents").alias("small_cents"))
+    joined = paced.join(fixed, "user_id", "left").join(few, MONTH, "left").join(threshold, "user_id", "left").fillna(0, ["fixed_cents", "subscriptions", "small_count", "small_cents"])
+    return joined.withColumns({
+        "discretionary_cents": F.greatest(F.lit(0), F.col("spending_cents") - F.col("fixed_cents")), "mean_cents": half_up(F.col("spending_cents") / F.col("tx_count")),
+    })
+
+
 def personality(signals: DataFrame) -> DataFrame:
     """signals (income_cents, spending_cents, net_cents, top_percent, second_percent, subscriptions, anomalies, statement_type, utilization,
     interest, balance_carried) with personality: the first rule that holds. Without income the ratio is 1 and savings are 0."""

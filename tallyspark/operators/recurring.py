@@ -96,7 +96,9 @@ def subscriptions(ledger: DataFrame, months: int = 12) -> DataFrame:
     """
     spent = ledger.where(~F.coalesce("is_excluded", F.lit(False)) & (F.col("amount_cents") < 0) & (F.coalesce("merchant", F.lit("")) != ""))
     rows = spent.withColumns({"x": -F.col("amount_cents"), "at": month_index_of("tx_date")})
-    rows = rows.withColumn("last_at", F.max("at").over(Window.partitionBy("user_id"))).where(F.col("at") > F.col("last_at") - months)
+    # one row a user, joined, so that no user's rows meet in one task
+    last = rows.groupBy("user_id").agg(F.max("at").alias("last_at"))
+    rows = rows.join(last, "user_id").where(F.col("at") > F.col("last_at") - months)
     in_month = Window.partitionBy(*KEY, "at").orderBy("x")
     placed = rows.withColumns({"k": F.row_number().over(in_month), "m": F.count("*").over(Window.partitionBy(*KEY, "at"))})
     monthly = placed.groupBy(*KEY, "at").agg(

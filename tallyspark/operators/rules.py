@@ -50,6 +50,14 @@ def weak_categories(ledger: DataFrame) -> DataFrame:
     return ledger.where(~F.coalesce("reviewed", F.lit(False)) & ((F.col("category") == "Other") | (F.col("confidence") < 0.6)))
 
 
+def in_scope(dimension: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id of users, the dimension's columns): each user's own rows (owner_id) and the system's (owner_id null)."""
+    system = F.lit("system")
+    asked = users.withColumn("__key", F.explode(F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), system)))
+    kept = d.checked(dimension).withColumn("__key", F.coalesce(F.concat(F.lit("u"), F.col("owner_id").cast("string")), system))
+    return asked.join(kept, "__key").drop("__key")
+
+
 def _fits_amount(size: Column) -> Column:
     """Whether the rule's own test holds; rules of unknown types always do."""
     kind = F.col("match_type")

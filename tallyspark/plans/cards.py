@@ -205,6 +205,16 @@ QUERIES = {
         BASE + f"""SELECT user_id, year, month, CAST(day(last_day(make_date(year, month, 1))) AS BIGINT) AS days_in_month, CASE WHEN year = 2001 AND month = 7 THEN 20 ELSE day(last_day(make_date(year, month, 1))) END::BIGINT AS elapsed,
             {CUT.format("CAST(spending_cents AS DOUBLE) / CASE WHEN year = 2001 AND month = 7 THEN 20 ELSE day(last_day(make_date(year, month, 1))) END")} AS daily_cents, CASE WHEN year = 2001 AND month = 7 THEN {CUT.format("CAST(spending_cents AS DOUBLE) / 20 * 31")} END AS projected_cents FROM totals""",
     ),
+    "d15_metrics": (
+        lambda s, d: m.metrics(_paced(s, d), _subscribed(s, d), m.small_purchases(_base(s, d), 500_000)[0], m.large_threshold(ledgers.ledger_li(s, d))).select(
+            "user_id", "year", "month", "fixed_cents", "subscriptions", "discretionary_cents", "mean_cents", "small_count", "small_cents", "threshold_cents"),
+        BOTH + """, fx AS (SELECT user_id, CAST(sum(price_cents) AS BIGINT) AS fixed_cents, count(*) AS subscriptions FROM sb WHERE confidence IN ('high', 'medium') GROUP BY user_id),
+        sm AS (SELECT user_id, year, month, count(*) AS small_count, CAST(sum(-amount_cents) AS BIGINT) AS small_cents FROM base WHERE amount_cents < 0 AND amount_cents > -500000 GROUP BY ALL),
+        th AS (SELECT user_id, greatest(50000, (list_sort(list(-amount_cents)))[CAST(floor(count(*) * 0.95::DOUBLE) AS INT) + 1]) AS threshold_cents FROM ledger_li WHERE amount_cents < 0 GROUP BY user_id)
+        SELECT t.user_id, t.year, t.month, coalesce(fixed_cents, 0) AS fixed_cents, coalesce(subscriptions, 0) AS subscriptions, greatest(0, spending_cents - coalesce(fixed_cents, 0)) AS discretionary_cents,
+          CAST(floor(CAST(spending_cents AS DOUBLE) / tx_count + 0.5) AS BIGINT) AS mean_cents, coalesce(small_count, 0) AS small_count, coalesce(small_cents, 0) AS small_cents, threshold_cents
+        FROM totals t LEFT JOIN fx ON t.user_id = fx.user_id LEFT JOIN sm ON t.user_id = sm.user_id AND t.year = sm.year AND t.month = sm.month LEFT JOIN th ON t.user_id = th.user_id""",
+    ),
     "d17_personality": (
         lambda s, d: m.personality(_signals(s, d)).select("user_id", "year", "month", "personality"),
         BASE + """, g AS (SELECT t.user_id, t.year, t.month, income_cents AS i, net_cents AS n, spending_cents AS s, top_share * 100 AS tp, (top3_share - top_share) * 50 AS sp, t.month % 7 AS subs, t.year % 6 AS a,

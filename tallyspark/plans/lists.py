@@ -8,6 +8,7 @@ from tallyspark.operators import checks as c
 from tallyspark.operators import lists as l
 from tallyspark.operators import months as m
 from tallyspark.operators import recurring as r
+from tallyspark.operators import rules
 from tallyspark.plans import recurring as r_sql
 from tallyspark.plans.months import BASE, _base, _cats, _totals, budgets
 from tallyspark.sources import ledgers
@@ -131,6 +132,15 @@ QUERIES = {
             || ',' || CASE WHEN is_transfer THEN 'transfer' WHEN amount_cents >= 0 THEN 'income' ELSE 'expense' END || ',' || coalesce(override_category, category, app_category, '') || ',' || bank_category || ',Account ' || account_id[2:] || ',' || CASE WHEN account_id = 'a2' THEN '' ELSE '"First, Bank"' END
             || ',' || status || ',' || is_possible_duplicate || ',' || CASE WHEN upload_id % 2 = 0 THEN 'f' || upload_id || '.csv' ELSE '' END AS line FROM w""",
     ),
+    "t07_newest": (
+        lambda s, d: l.newest(_wide(s, d).groupBy("user_id", "upload_id").agg(F.max("tx_date").alias("last_date")), ["user_id"], [F.desc("last_date"), F.desc("upload_id")], 5).select("user_id", "upload_id", "place"),
+        WIDE + ", u AS (SELECT user_id, upload_id, max(tx_date) AS last_date FROM w GROUP BY ALL) SELECT user_id, upload_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_date DESC, upload_id DESC) AS INT) AS place FROM u QUALIFY place <= 5",
+    ),
+    "k16_rules_in_scope": (
+        lambda s, d: rules.in_scope(
+            s.range(200).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("owner_id"), F.col("id").alias("rule_id")), ledgers.ledger_ev(s, d).select("user_id").distinct()).select("user_id", "rule_id"),
+        "WITH r AS (SELECT CASE WHEN id % 3 > 0 THEN id % 50 END AS owner_id, id AS rule_id FROM range(200) t(id)), u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, rule_id FROM u JOIN r ON owner_id IS NULL OR owner_id = user_id",
+    ),
     "p11_upcoming": (
         _upcoming,
         r_sql.QUERIES["d13_recurring_charges"][1].replace("SELECT user_id, merchant, usual_category", ", u AS (SELECT user_id, merchant, usual_category", 1)
