@@ -52,6 +52,11 @@ def chain_before(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumns({"expected_cents": expected, "is_valid": F.col("balance_cents") == expected})
 
 
+def with_parse_order(rows: DataFrame, raw: DataFrame) -> DataFrame:
+    """rows with the parse_order of their raw rows (raw_id, parse_order); 0 where there is none."""
+    return rows.join(raw.select("raw_id", "parse_order"), "raw_id", "left").withColumn("parse_order", F.coalesce("parse_order", F.lit(0)))
+
+
 def export_direction(rows: DataFrame, by: list[str]) -> DataFrame:
     """ascending or descending: whether the first row of a file, in the order it was read, is older than the last. Equal or missing dates: ascending."""
     ends = rows.groupBy(*by).agg(F.min_by("tx_date", "parse_order").alias("first"), F.max_by("tx_date", "parse_order").alias("last"))

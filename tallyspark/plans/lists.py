@@ -56,6 +56,19 @@ cand AS (SELECT *, (confidence + (CASE WHEN date IS NULL THEN 0 ELSE 1 END + CAS
 """
 
 
+def _pages(spark, d):
+    """Each customer's orders as a page of text: page numbers, blank lines, lines that go on with a transaction, and notes."""
+    k = F.col("o_orderkey")
+    amount = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")
+    line = F.concat(
+        F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" "), "o_orderpriority", F.lit(" $"), F.floor(amount / 100).cast("string"), F.lit("."), F.lpad((amount % 100).cast("string"), 2, "0"), F.lit("  \nPage 1 of 2\n"),
+        F.when(k % 2 == 0, F.concat(F.lit("   ref "), k.cast("string"), F.lit("\n"))).otherwise(""), F.when(k % 3 == 0, "\n\nNotes 1.50\n=====\n").otherwise(""),
+    )
+    orders = ledgers.table(spark, d, "orders").select("o_custkey", k, line.alias("line"))
+    body = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "").alias("body"))
+    return body.select(F.col("o_custkey").alias("file"), F.concat(F.lit("\n7\nStatement of "), F.col("o_custkey").cast("string"), F.lit("\n \n\n"), "body").alias("text"))
+
+
 def _files(spark, d):
     """Uploads of the month's ledger, every other one listed newest first; some dates are missing."""
     ev, k = ledgers.ledger_ev(spark, d), F.col("tx_id")
@@ -184,6 +197,16 @@ QUERIES = {
         SELECT upload_id, CASE WHEN upload_id % 3 = 0 THEN CASE WHEN upload_id % 9 = 0 THEN 7 ELSE 0 END END::BIGINT AS discrepancy_cents,
           CASE WHEN upload_id % 4 >= 2 AND upload_id % 3 > 0 THEN 'UNVERIFIABLE' WHEN (upload_id % 4 = 1 AND db <> -5) OR upload_id % 9 = 0 THEN 'FAIL' WHEN upload_id % 5 > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status FROM s""",
     ),
+    "s19_preprocessed": (
+        lambda s, d: pdf.preprocessed(_pages(s, d), ["file"]),
+        """WITH o AS (SELECT o_custkey AS file, o_orderkey AS key, o_orderpriority AS said, CAST(o_orderdate AS DATE) AS dt, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders)
+        SELECT file, 'Statement of ' || file || chr(10) || chr(10) || string_agg('[DATE]' || strftime(dt, '%m/%d/%Y') || ' ' || said || ' [AMT:$' || CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || ']'
+          || CASE WHEN key % 2 = 0 THEN ' ref ' || key ELSE '' END || CASE WHEN key % 3 = 0 THEN chr(10) || chr(10) || 'Notes [AMT:1.50]' ELSE '' END, chr(10) ORDER BY key) AS text FROM o GROUP BY file""",
+    ),
+    "j03_parse_order": (
+        lambda s, d: c.with_parse_order(_files(s, d).drop("parse_order").withColumnRenamed("tx_id", "raw_id"), _files(s, d).where("tx_id % 5 > 0").select(F.col("tx_id").alias("raw_id"), "parse_order")).select("raw_id", "parse_order"),
+        FILES + "SELECT tx_id AS raw_id, CASE WHEN tx_id % 5 > 0 THEN parse_order ELSE 0 END AS parse_order FROM fl",
+    ),
     "s22_candidates": (
         lambda s, d: pdf.deduplicated(_candidates(s, d), ["file_id"]).select("file_id", "position", "combined"),
         CANDIDATES + "SELECT file_id, position, combined FROM cand QUALIFY row_number() OVER (PARTITION BY file_id, date, amount_cents, description ORDER BY combined DESC, position) = 1",

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 MOST_PAGES, SURE = 30, 0.75
 
+# Lines that say nothing, and what dates and amounts look like.
+BOILERPLATE = [
+    r"page\s+\d+\s+of\s+\d+$", r"-\s*\d+\s*-$", r"\d+\s*$", r"this\s+statement\s+is\s+provided\s+", r"please\s+review\s+this\s+statement\s+",
+    r"if\s+you\s+have\s+questions\s+", "member\\s+fdic", r"equal\s+housing\s+(lender|opportunity)", r"continued\s+on\s+next\s+page$",
+    r"continued\s+from\s+previous\s+page$", r"\*+\s*$", r"-+\s*$", r"={3,}\s*$",
+]
+DATE_AT_START, A_DATE = r"^(\s*)(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2})", r"\b(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2})\b"
+AN_AMOUNT = r"(\$[\d,]+\.\d{2}|[\d,]+\.\d{2}\s*[CDR]?)"
+
 
 def classified(files: DataFrame) -> DataFrame:
     """files (content) with is_encrypted, pages, has_text, reason (null: readable): encrypted, no text, or more than 30 pages."""
@@ -17,6 +26,28 @@ def classified(files: DataFrame) -> DataFrame:
     return seen.withColumn("reason", F.when(F.col("is_encrypted"), "encrypted").when(~F.col("has_text"), "no text").when(F.col("pages") > MOST_PAGES, "too many pages"))
 
 
+def preprocessed(pages: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
+    """(by, text): pages without lines that say nothing, with dates and amounts marked, and lines that go on with a transaction joined to it.
+
+    After the first line with a date, one without joins the line above, unless that is blank. Blank lines stand
+    alone, one at a time.
+    """
+    lines = pages.select(*by, F.posexplode(F.split(text_col, "\n")).alias("pos", "raw")).withColumns({"line": F.regexp_replace("raw", r"\s+$", ""), "bare": F.regexp_replace("raw", r"^\s+|\s+$", "")})
+    lines = lines.where(~F.col("bare").rlike(f"(?i)^({'|'.join(BOILERPLATE)})"))
+    kind = F.when(F.col("bare").startswith("--- PAGE"), "page").when(F.col("bare") == "", "blank").when(F.substring("bare", 1, 12).rlike(A_DATE), "date").otherwise("other")
+    order = Window.partitionBy(*by).orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    seen = lines.withColumn("kind", kind).withColumns({"last": F.lag("kind").over(order), "dated": F.coalesce(F.max(F.col("kind") == "date").over(before), F.lit(False))})
+    seen = seen.where((F.col("kind") != "blank") | (F.col("last") != "blank"))
+    starts = (F.col("kind") != "other") | ~F.col("dated") | F.coalesce(F.col("last") == "blank", F.lit(True)) | F.col("bare").startswith("---")
+    marked = F.regexp_replace(F.regexp_replace("line", DATE_AT_START, "[DATE]$1$2"), AN_AMOUNT, "[AMT:$1]")
+    shown = F.when(~F.col("starts"), F.col("bare")).when(F.col("kind").isin("page", "blank"), F.col("line")).otherwise(marked)
+    grouped = seen.withColumn("starts", starts).withColumn("at", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct(c, "shown"))), lambda x: x["shown"])
+    joined = grouped.withColumn("shown", shown).groupBy(*by, "at").agg(F.array_join(ordered("pos"), " ").alias("shown"))
+    return joined.groupBy(*by).agg(F.regexp_replace(F.array_join(ordered("at"), "\n"), r"^\s+|\s+$", "").alias("text"))
+
+
 def validated(candidates: DataFrame) -> DataFrame:
     """candidates (date, description, amount_cents, direction, confidence) with combined: the mean of their own confidence, between 0 and 1, and the share of
     four things that are there: a date, a description, an amount and a direction."""
