@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 REMEMBERED = 700_000
 
 
+# Fixed value: the pattern of which no match goes past a space between two characters that are not white space.
+CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class RankQueue:
     """The bitmap's three levels and the buckets; empty between two pre-tokens."""
 
@@ -60,6 +64,7 @@ class Encoder(dict):
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.split = regex.compile(pattern).findall
         self.chunks = Chunks(self)
+        self.cuts = pattern == CUT_AT_SPACES
         self.near_space = regex.compile(r"\s[ ]|[ ]\s|\x00").search
 
     def __missing__(self, piece: str) -> bytes:
@@ -142,9 +147,9 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        """No match of the pattern goes past a space between two characters that are not white space:
-        it ends before it. Such texts are cut there, and the chunks are remembered."""
-        if self.near_space(text):
+        """No match of CUT_AT_SPACES goes past a space between two characters that are not white space:
+        it ends before it. Such texts are cut there, and the chunks are remembered. Other patterns split the whole text."""
+        if not self.cuts or self.near_space(text):
             return b"".join(map(self.__getitem__, self.split(text)))
         return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 

@@ -42,3 +42,16 @@ def test_odd_rows(spark, odd, none, library):
     for r in byte_bpe.decode(out, *path).collect():
         assert r.token_ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.encode(spark.read.parquet(none), *path).count() == 0
+
+
+def test_patterns_that_cross_spaces(spark):
+    """A pattern whose matches hold spaces is not cut at them."""
+    import tiktoken
+
+    path, pattern = byte_bpe.public_ranks()
+    assert byte_bpe.encoder(path, pattern).cuts
+    crossing = r"\w+ \w+|\w+|\W+"
+    library = tiktoken.Encoding("own", pat_str=crossing, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    texts = ["one two three four", "a b", " x y z ", ""]
+    rows = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), path, crossing).collect()
+    assert {r.i: list(r.token_ids) for r in rows} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
