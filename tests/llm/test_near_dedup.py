@@ -44,6 +44,18 @@ def test_chains_in_large_buckets_lose_nothing(spark):
     assert all(n == 14 for _, n in got.values())
 
 
+def test_blocks_shared_with_one_copy_lose_nothing(spark):
+    """Many near copies of a text, one of them with a block of words that only one other text has: the two are linked, and no other is."""
+    rng, rows = random.Random(11), []
+    for group in range(24):
+        base, block = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (100, 14))
+        rows += [(1000 * group + i, " ".join([*base[:50], f"mid{group}x{i}", *base[50:]])) for i in range(30)]
+        rows += [(1000 * group + 500, " ".join([*base, *block])), (1000 * group + 501, " ".join([*base[10 + group % 4 :], *block]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.group_size) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == near_classes(rows, near_dedup.inverse_frequencies(docs))
+
+
 def test_prefix_pairs_cross_classes_only(spark, monkeypatch):
     """All pairs between classes, none within, however the holders of a shingle are dealt to cells."""
     monkeypatch.setattr(near_dedup, "CELL", 3)

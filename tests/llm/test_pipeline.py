@@ -70,3 +70,15 @@ def test_run(spark, steps):
     assert sorted((r.doc_id, r.decoded_sha256) for r in got.select("doc_id", "decoded_sha256").collect()) == sorted(
         (r.doc_id, r.decoded_sha256) for r in steps[5].select("doc_id", "decoded_sha256").collect())
     assert line_dedup.SQL
+
+
+def test_odd_and_empty_tables(spark, odd, none, monkeypatch):
+    """Every stage takes nulls, empty and very long texts, repeated rows and clashing columns, and no rows at all."""
+    docs = spark.read.parquet(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        found, ids = out.collect(), {r.doc_id for r in docs.collect()}
+        assert {r.doc_id for r in found} <= ids and (name == "quality classifier" or found)
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns, name
+    empty = spark.read.parquet(none)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
