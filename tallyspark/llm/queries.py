@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, embedding_dedup, exact_dedup, fill_middle, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding
+from tallyspark.llm import byte_bpe, divergence, embedding_dedup, exact_dedup, fill_middle, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding
 from tallyspark.llm.common import table
 
 
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_embedding_dedup": lambda spark, d: embedding_dedup.query(table(spark, d, "embeddings")),
         "op10_byte_bpe": lambda spark, d: byte_bpe.query(table(spark, d, "documents")),
+        "op11_source_divergence": divergence.query,
         "op13_fill_middle": lambda spark, d: fill_middle.query(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op6_line_dedup": line_dedup.SQL, "op13_fill_middle": fill_middle.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op6_line_dedup": line_dedup.SQL, "op11_source_divergence": divergence.SQL, "op13_fill_middle": fill_middle.SQL}
