@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import byte_bpe, divergence, embedding_dedup, exact_dedup, fill_middle, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding
+from tallyspark.llm import byte_bpe, divergence, embedding_dedup, exact_dedup, fill_middle, license_scan, line_dedup, lm_score, mixing, near_dedup, private_data, quality, sharding
 from tallyspark.llm.common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_embedding_dedup": lambda spark, d: embedding_dedup.query(table(spark, d, "embeddings")),
         "op10_byte_bpe": lambda spark, d: byte_bpe.query(table(spark, d, "documents")),
         "op11_source_divergence": divergence.query,
+        "op12_private_data": lambda spark, d: private_data.query(table(spark, d, "documents")),
         "op13_fill_middle": lambda spark, d: fill_middle.query(table(spark, d, "documents")),
     }
 
