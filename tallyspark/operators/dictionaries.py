@@ -1,4 +1,4 @@
-"""Ordered dictionaries: tables of patterns whose first match gives a value, met by distinct texts only."""
+"""Ordered dictionaries: tables of patterns, of any size, whose first match gives a value; met by distinct texts only."""
 
 from __future__ import annotations
 
@@ -6,30 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
-
-#: A dictionary goes to every task; one with more rows is refused.
-MOST_PATTERNS = 10_000
-
-
-def checked(dictionary: DataFrame, most: int = MOST_PATTERNS) -> DataFrame:
-    """The dictionary, to be sent to every task, if it has at most so many rows."""
-    if dictionary.limit(most + 1).count() > most:
-        raise ValueError(f"a dictionary has more than {most} patterns")
-    return F.broadcast(dictionary)
+from tallyspark.operators import word_lists as w
+from tallyspark.operators.substrings import holding, required_words
 
 
 def first_match(rows: DataFrame, text: Column, dictionary: DataFrame, values: list[str], regex: bool = False) -> DataFrame:
     """rows with the values of the first pattern, by rank, that the text holds in any case; null if it holds none, or is null.
 
-    dictionary: rank, pattern, values. Patterns are expressions if regex, else parts of the text.
+    dictionary: rank, pattern, values; of any size. Patterns are expressions if regex, else parts of the text. Distinct
+    texts meet the words of the patterns through an index; an expression without a sure word is tried on every distinct text.
     """
     keyed = rows.withColumn("__key", F.lower(text))
-    pattern = F.col("__pattern")
-    hit = F.regexp_like(F.col("__key"), F.concat(F.lit("(?i)"), pattern)) if regex else F.contains(F.col("__key"), F.lower(pattern))
-    asked = checked(dictionary.select(F.col("rank").alias("__rank"), F.col("pattern").alias("__pattern"), *(F.col(v).alias(f"__{v}") for v in values)))
-    found = keyed.select("__key").where("__key IS NOT NULL").distinct().join(asked, hit).groupBy(F.col("__key").alias("__of")).agg(
-        F.min_by(F.struct(*(F.col(f"__{v}").alias(v) for v in values)), "__rank").alias("__v")
-    )
+    asked = dictionary.where("pattern IS NOT NULL").select(F.col("rank").alias("__rank"), F.col("pattern").alias("__pattern"), *(F.col(v).alias(f"__{v}") for v in values))
+    asked = asked.withColumn("word", F.explode(required_words(F.col("__pattern"))) if regex else F.lower("__pattern"))
+    texts = keyed.select(F.col("__key").alias("text")).where("text IS NOT NULL").distinct()
+    met = holding(texts, asked.select("word").distinct()).join(asked, "word")
+    if regex:
+        met = met.where(F.regexp_like(F.col("text"), F.concat(F.lit("(?i)"), F.col("__pattern"))))
+    found = met.groupBy(F.col("text").alias("__of")).agg(F.min_by(F.struct(*(F.col(f"__{v}").alias(v) for v in values)), "__rank").alias("__v"))
     joined = keyed.join(found, F.col("__key") == F.col("__of"), "left")
     return joined.select(*(keyed[c] for c in rows.columns if c not in values), *(F.col(f"__v.{v}").alias(v) for v in values))
 
@@ -39,28 +33,12 @@ def table_of(spark: SparkSession, rows: list[tuple], values: str) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"rank int, pattern string, {values}")
 
 
-# Compact dictionaries to begin with; longer ones are given as tables of the same columns.
-CATEGORY_KEYWORDS = [
-    ("whole foods", "Groceries", "high"), ("supermarket", "Groceries", "high"), ("grocer", "Groceries", "medium"), ("coffee", "Food & Dining", "high"),
-    ("restaurant", "Food & Dining", "high"), ("pizza", "Food & Dining", "high"), ("uber eats", "Food & Dining", "high"), ("uber", "Transport", "high"),
-    ("fuel", "Gas & Fuel", "medium"), ("shell", "Gas & Fuel", "high"), ("airline", "Travel", "high"), ("hotel", "Travel", "high"), ("pharmacy", "Health", "high"),
-    ("insurance", "Insurance", "high"), ("rent", "Housing", "medium"), ("electric", "Utilities", "high"), ("water", "Utilities", "low"), ("netflix", "Entertainment", "high"),
-    ("amazon", "Shopping", "medium"), ("market", "Groceries", "low"), ("store", "Shopping", "low"), ("payroll", "Income", "high"), ("fee", "Fees", "low"),
-]
+# Some of the banks' own category names; a longer list is given as a table.
 BANK_CATEGORIES = {
-    "groceries": "Groceries", "food and drink": "Food & Dining", "restaurants": "Food & Dining", "gas": "Gas & Fuel", "travel": "Travel", "airfare": "Travel",
-    "health and wellness": "Health", "bills and utilities": "Utilities", "merchandise": "Shopping", "entertainment": "Entertainment", "fees and adjustments": "Fees",
-    "paycheck": "Income", "automotive": "Transport", "personal": "Personal Care", "home": "Housing", "education": "Education", "other services": "Other",
+    "groceries": "Groceries", "food and drink": "Food & Dining", "restaurants": "Food & Dining", "gas": "Transport", "travel": "Travel",
+    "health and wellness": "Health", "bills and utilities": "Utilities", "merchandise": "Shopping", "entertainment": "Entertainment", "fees and adjustments": "Fees & Charges",
+    "automotive": "Transport", "education": "Education", "transfers": "Transfer", "other": "Other", "personal": "Other",
 }
-BANK_KEYWORDS = [
-    ("grocer", "Groceries"), ("dining", "Food & Dining"), ("restaurant", "Food & Dining"), ("fuel", "Gas & Fuel"), ("travel", "Travel"), ("medical", "Health"),
-    ("utilit", "Utilities"), ("shop", "Shopping"), ("entertain", "Entertainment"), ("fee", "Fees"), ("income", "Income"), ("transport", "Transport"),
-]
-MASTERS = [
-    ("coffee", "COFFEE"), ("fast food", "FAST_FOOD"), ("dining", "FOOD"), ("food", "FOOD"), ("grocer", "GROCERY"), ("gas", "TRANSPORT"), ("transport", "TRANSPORT"), ("travel", "TRAVEL"),
-    ("hous", "HOME"), ("rent", "HOME"), ("utilit", "HOME"), ("insur", "FINANCIAL"), ("fee", "FINANCIAL"), ("health", "HEALTH"), ("care", "PERSONAL_CARE"), ("shop", "SHOPPING"),
-    ("entertain", "ENTERTAINMENT"), ("subscr", "DIGITAL"), ("educat", "EDUCATION"), ("pet", "PETS"), ("gift", "SOCIAL"), ("business", "BUSINESS"),
-]
 # The trait of the first category that is a matter of choice.
 TRAITS = {
     "FOOD": "margin_eater", "GROCERY": "cash_casserole", "FAST_FOOD": "drive_thru_cfo", "ALCOHOL": "dollar_shots", "COFFEE": "daily_grind", "ENTERTAINMENT": "never_home",
@@ -69,10 +47,6 @@ TRAITS = {
 }
 # Names of categories that say nothing.
 NOISY_CATEGORIES = ["other", "uncategorized", "miscellaneous", "misc", "general", "transfer", "income", "unknown"]
-CANONICAL = [
-    (r"\bamazon\b|\bamzn\b", "Amazon", "retail"), (r"\bstarbucks\b", "Starbucks", "food"), (r"\buber\s*eats\b", "Uber Eats", "food"), (r"\buber\b", "Uber", "transport"),
-    (r"\bnetflix\b", "Netflix", "subscription"), (r"\bspotify\b", "Spotify", "subscription"), (r"\bpayroll\b|\bdirect deposit\b", "Payroll", "income"), (r"\btransfer\b", "Transfer", "transfer"),
-]
 # What payment services and banks put before a merchant's name.
 AGGREGATORS = (
     r"(?i)^(paypal\s*\*|sq\s*\*|tst\s*\*|ach\s+(credit|debit)\s+|pos\s+(debit|purchase)\s+|visa\s+purchase\s+|checkcard\s+|debit\s+card\s+"
@@ -89,7 +63,7 @@ def map_bank_category(rows: DataFrame, raw: Column, exact: DataFrame | None = No
     """rows with bank_mapped: the category of a bank's category name, by its whole key, else by the first keyword in it, else null."""
     spark = rows.sparkSession
     exact = spark.createDataFrame(list(BANK_CATEGORIES.items()), "key string, category string") if exact is None else exact
-    keywords = table_of(spark, BANK_KEYWORDS, "category string") if keywords is None else keywords
+    keywords = table_of(spark, w.rows(w.BANK_KEYWORDS), "category string") if keywords is None else keywords
     keyed = rows.drop("bank_mapped").withColumn("__bank_key", bank_category_key(raw))
     whole = exact.select(F.col("key").alias("__k"), F.col("category").alias("__whole"))
     found = first_match(keyed, F.col("__bank_key"), keywords.withColumnRenamed("category", "__part"), ["__part"])
@@ -99,18 +73,32 @@ def map_bank_category(rows: DataFrame, raw: Column, exact: DataFrame | None = No
 
 def master_category(rows: DataFrame, name: Column, masters: DataFrame | None = None) -> DataFrame:
     """rows with master: the master key of a category's name; names that say nothing have none."""
-    masters = table_of(rows.sparkSession, MASTERS, "master string") if masters is None else masters
+    masters = table_of(rows.sparkSession, w.rows(w.MASTERS), "master string") if masters is None else masters
     low = f.squeeze(F.lower(name))
     return first_match(rows, F.when(~low.isin(NOISY_CATEGORIES), low), masters, ["master"])
 
 
+def category_styles(rows: DataFrame, name: Column, styles: DataFrame | None = None) -> DataFrame:
+    """rows with is_income, color, icon and master of a display category's name, as it is written; other names have the plain ones.
+
+    styles: category, is_income, color, icon, master; without repeats, of any size. One join on the name.
+    """
+    fields = "category string, is_income boolean, color string, icon string, master string"
+    styles = rows.sparkSession.createDataFrame(w.CATEGORY_STYLES, fields) if styles is None else styles
+    new = ["is_income", "color", "icon", "master"]
+    known = styles.select(F.col("category").alias("__name"), F.struct(*new).alias("__style"))
+    plain = F.struct(*(F.lit(v).cast("boolean" if n == "is_income" else "string").alias(n) for n, v in zip(new, w.PLAIN_STYLE, strict=True)))
+    joined = rows.drop(*new).withColumn("__of", name).join(known, F.col("__of") == F.col("__name"), "left")
+    return joined.withColumn("__style", F.coalesce("__style", plain)).select(*(c for c in rows.columns if c not in new), *(F.col(f"__style.{n}").alias(n) for n in new))
+
+
 def canonical_merchant(rows: DataFrame, raw: Column, canonical: DataFrame | None = None) -> DataFrame:
     """rows with canonical, merchant_type, merchant_confidence and has_aggregator.
 
     A payment service's prefix goes first. The first expression that matches names the merchant (high); else it is
     the display name, of unknown type (low).
     """
-    canonical = table_of(rows.sparkSession, CANONICAL, "canonical string, merchant_type string") if canonical is None else canonical
+    canonical = table_of(rows.sparkSession, w.CANONICAL, "canonical string, merchant_type string") if canonical is None else canonical
     text = F.regexp_replace(raw, r"^\s+|\s+$", "")
     bare = F.regexp_replace(F.regexp_replace(text, AGGREGATORS, ""), r"^\s+|\s+$", "")
     named = rows.withColumns({"has_aggregator": F.coalesce(text.rlike(AGGREGATORS), F.lit(False)), "__bare": F.when(bare != "", bare).otherwise(text)})

@@ -7,35 +7,57 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
 from tallyspark.operators import dictionaries as d
+from tallyspark.operators import word_lists as w
+from tallyspark.operators.substrings import holding, required_words
 
 
-def apply_ordered_rules(texts: DataFrame, rules: DataFrame, text_col: str = "description") -> DataFrame:
+def _met(texts: DataFrame, rules: DataFrame, scope: list[str]) -> DataFrame:
+    """texts (scope, __text) with the rules (scope, match_type, match_value) that match them."""
+    kind, low = F.col("match_type"), F.lower("__text")
+    same = rules.where(kind == "exact").withColumn("__low", F.lower("match_value"))
+    whole = texts.withColumn("__low", low).join(same, [*scope, "__low"]).drop("__low")
+    words = F.when(kind == "contains", F.array(F.lower("match_value"))).otherwise(required_words(F.col("match_value")))
+    part = rules.where(kind.isin("contains", "regex") & F.col("match_value").isNotNull()).withColumn("word", F.explode(words))
+    lows = texts.select(*scope, low.alias("text")).distinct()
+    near = holding(lows, part.select(*scope, "word").distinct(), scope).join(part, [*scope, "word"])
+    near = texts.withColumn("text", low).join(near, [*scope, "text"])
+    inside = (kind == "contains") | F.regexp_like(F.col("__text"), F.concat(F.lit("(?i)"), F.col("match_value")))
+    return whole.unionByName(near.where(inside).drop("text", "word"))
+
+
+def apply_ordered_rules(texts: DataFrame, rules: DataFrame, text_col: str = "description", user_col: str | None = None) -> DataFrame:
     """texts with category and rule_id of the first rule that matches; null if none does.
 
     rules: rule_id, match_type (exact, contains, regex), match_value, category, owner_rank
-    (0: the user's own), priority (higher first). Exact rules are joined by their text; the others are a
-    dictionary of a checked size. All meet the distinct texts only. Null texts match nothing.
+    (0: the user's own), priority (higher first). With user_col rules have owner_id too: a user's texts
+    meet the user's own rules and those without an owner. Exact rules are joined by their text, the others by an
+    index of their words; rules may be any number. All meet the distinct texts only. Null texts match nothing.
     """
-    distinct = texts.select(F.col(text_col).alias("__text")).where(F.col(text_col).isNotNull()).distinct()
-    same = rules.where("match_type = 'exact'").withColumn("__value", F.lower("match_value"))
-    whole = distinct.join(same, F.lower("__text") == F.col("__value")).drop("__value")
-    part = d.checked(rules.where("match_type IN ('contains', 'regex')"))
-    inside = F.when(F.col("match_type") == "contains", F.contains(F.lower("__text"), F.lower("match_value"))).otherwise(
-        F.regexp_like(F.col("__text"), F.concat(F.lit("(?i)"), F.col("match_value")))
-    )
-    found = whole.unionByName(distinct.join(part, inside)).groupBy("__text").agg(
-        F.min_by(F.struct("category", "rule_id"), F.struct(F.col("owner_rank"), -F.col("priority"), F.col("rule_id"))).alias("__r")
-    )
-    joined = texts.join(found, F.col(text_col) == F.col("__text"), "left")
-    return joined.select(*[texts[c] for c in texts.columns], F.col("__r.category").alias("category"), F.col("__r.rule_id").alias("rule_id"))
+    named = texts.where(F.col(text_col).isNotNull())
+    kept = rules.select("rule_id", "match_type", "match_value", "category", "owner_rank", "priority", *(["owner_id"] if user_col else []))
+    everyone = kept.where("owner_id IS NULL").drop("owner_id") if user_col else kept
+    found = _met(named.select(F.col(text_col).alias("__text")).distinct(), everyone, [])
+    best = F.min(F.struct("owner_rank", (-F.col("priority")).alias("order"), "rule_id", "category")).alias("__r")
+    found = found.groupBy("__text").agg(best)
+    if not user_col:
+        joined = texts.join(found, F.col(text_col) == F.col("__text"), "left")
+        first = F.col("__r")
+    else:
+        owned = kept.where("owner_id IS NOT NULL").withColumnRenamed("owner_id", "__user")
+        mine = named.select(F.col(user_col).alias("__user"), F.col(text_col).alias("__text")).distinct()
+        own = _met(mine, owned, ["__user"]).groupBy(F.col("__user").alias("__u"), F.col("__text").alias("__t")).agg(best.alias("__own"))
+        joined = texts.join(found, F.col(text_col) == F.col("__text"), "left")
+        joined = joined.join(own, (F.col(user_col) == F.col("__u")) & (F.col(text_col) == F.col("__t")), "left")
+        first = F.least("__r", "__own")
+    return joined.select(*[texts[c] for c in texts.columns], first["category"].alias("category"), first["rule_id"].alias("rule_id"))
 
 
 def categorize(rows: DataFrame, rules: DataFrame, text_col: str = "description", amount_col: str = "amount_cents", keywords: DataFrame | None = None) -> DataFrame:
     """Rules first (confidence 1), then income for positive amounts (0.75), then keywords (0.85), else Other (0).
 
-    keywords: rank, pattern, category; without them the compact dictionary is taken.
+    keywords: rank, pattern, category; without them the staged rows' words are taken.
     """
-    keywords = d.table_of(rows.sparkSession, d.CATEGORY_KEYWORDS, "category string, sure string") if keywords is None else keywords
+    keywords = d.table_of(rows.sparkSession, w.rows(w.CATEGORY_KEYWORDS), "category string, sure string") if keywords is None else keywords
     found = apply_ordered_rules(rows, rules, text_col)
     found = d.first_match(found, F.col(text_col), keywords.withColumnRenamed("category", "keyword_category"), ["keyword_category"])
     paid, ruled, said = F.col(amount_col) > 0, F.col("rule_id").isNotNull(), F.col("keyword_category").isNotNull()
@@ -50,12 +72,20 @@ def weak_categories(ledger: DataFrame) -> DataFrame:
     return ledger.where(~F.coalesce("reviewed", F.lit(False)) & ((F.col("category") == "Other") | (F.col("confidence") < 0.6)))
 
 
+#: The system's rows are met in so many parts of the users.
+PARTS = 64
+
+
 def in_scope(dimension: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id of users, the dimension's columns): each user's own rows (owner_id) and the system's (owner_id null)."""
-    system = F.lit("system")
-    asked = users.withColumn("__key", F.explode(F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), system)))
-    kept = d.checked(dimension).withColumn("__key", F.coalesce(F.concat(F.lit("u"), F.col("owner_id").cast("string")), system))
-    return asked.join(kept, "__key").drop("__key")
+    """(user_id of users, the dimension's columns): each user's own rows (owner_id) and the system's (owner_id null).
+
+    Own rows are joined by their owner. Every user gets the system's: those are dealt to parts of the users, so
+    that no task joins all users.
+    """
+    own = users.join(dimension, F.col("user_id") == F.col("owner_id"))
+    system = dimension.where("owner_id IS NULL").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    given = users.withColumn("__part", F.pmod(F.hash("user_id"), F.lit(PARTS))).join(system, "__part").drop("__part")
+    return own.unionByName(given.select(own.columns))
 
 
 def _fits_amount(size: Column) -> Column:
@@ -110,14 +140,20 @@ def apply_to_upload(rows: DataFrame, rules: DataFrame) -> DataFrame:
     conflict, none skips.
 
     rules: user_id, rule_id, match_type (vendor_exact, vendor_exact_amount, contains), value, account_id, amount_exact (signed), category, mode.
-    Exact rules are joined by key; those by part, either way round, meet the distinct keys of their user.
+    Exact rules are joined by key; those by part, either way round, through indexes of each user's keys and values. Users may
+    have any number of rules together.
     """
     keyed = rows.withColumn("__k", f.rule_key(F.col("vendor")))
     r = rules.select(F.col("user_id").alias("__u"), F.lower(F.trim("value")).alias("__v"), "rule_id", "match_type", F.col("account_id").alias("__a"), "amount_exact", "category", "mode")
     exact = keyed.join(r.where("match_type <> 'contains'"), (F.col("user_id") == F.col("__u")) & (F.col("__k") == F.col("__v"))).where(
         (F.col("match_type") == "vendor_exact") | (F.col("amount_exact") == F.col("amount_cents")))
-    keys = keyed.select(F.col("user_id").alias("__of"), F.col("__k").alias("__key")).distinct()
-    part = keys.join(d.checked(r.where("match_type = 'contains'")), (F.col("__of") == F.col("__u")) & (F.contains("__key", "__v") | F.contains("__v", "__key"))).drop("__u")
+    parts = r.where("match_type = 'contains'")
+    keys, values = keyed.select("user_id", F.col("__k").alias("x")).distinct(), parts.select(F.col("__u").alias("user_id"), F.col("__v").alias("x")).distinct()
+    pairs = [
+        holding(a.withColumnRenamed("x", "text"), b.withColumnRenamed("x", "word"), ["user_id"], few).select(F.col("user_id").alias("__of"), F.col(k).alias("__key"), F.col(v).alias("__value"))
+        for a, b, k, v, few in ((keys, values, "text", "word", True), (values, keys, "word", "text", False))
+    ]
+    part = pairs[0].unionByName(pairs[1]).distinct().join(parts, (F.col("__of") == F.col("__u")) & (F.col("__value") == F.col("__v"))).drop("__u", "__value")
     inside = keyed.join(part, (F.col("user_id") == F.col("__of")) & (F.col("__k") == F.col("__key"))).drop("__of", "__key")
     both = exact.drop("__u").unionByName(inside).where(F.col("__a").isNull() | (F.col("__a") == F.col("account_id")))
     by = both.groupBy("tx_id").agg(F.count("*").alias("matches"), F.min(F.struct("rule_id", "category", "mode")).alias("r"))

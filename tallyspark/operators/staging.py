@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators import dictionaries as d
+from tallyspark.operators import word_lists as w
 from tallyspark.operators.checks import is_transfer_description
 
 UPLOAD = "upload_id"
@@ -39,7 +40,7 @@ def suggestions(rows: DataFrame, keywords: DataFrame | None = None) -> DataFrame
     A transfer's words first, then the bank's category (medium if Other), then keywords, then income
     for money that comes in (low); else Uncategorized.
     """
-    keywords = d.table_of(rows.sparkSession, d.CATEGORY_KEYWORDS, "keyword_category string, keyword_confidence string") if keywords is None else keywords
+    keywords = d.table_of(rows.sparkSession, w.rows(w.CATEGORY_KEYWORDS), "keyword_category string, keyword_confidence string") if keywords is None else keywords
     found = d.map_bank_category(d.first_match(rows, F.col("vendor_raw"), keywords, ["keyword_category", "keyword_confidence"]), F.col("bank_category"))
     comes_in = F.when(F.col("expenses_are_negative"), F.col("amount_cents") > 0).otherwise(F.col("amount_cents") <= 0)
     transfer, bank, word = is_transfer_description(F.col("vendor_raw")), F.col("bank_mapped").isNotNull(), F.col("keyword_category").isNotNull()

@@ -20,6 +20,24 @@ MATCH = """CASE match_type WHEN 'exact' THEN lower(merchant) = lower(match_value
            ELSE regexp_matches(merchant, match_value, 'i') END"""
 
 
+def _owned_rules(spark, d):
+    """Four rules a user, two of them by part and one an expression, and three of the system."""
+    own = ledgers.ledger_ev(spark, d).select("user_id").distinct().select(F.col("user_id").alias("owner_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    kind, who = F.get(F.array(*map(F.lit, ("contains", "exact", "regex", "contains"))), F.col("k")), F.col("owner_id")
+    word = F.get(F.array(*map(F.lit, ("URCH", "click", "^(view|sig).* [1-9]$", "n 1"))), F.col("k"))
+    value = F.when(F.col("k") == 1, F.concat(word, F.lit(" "), (who % 9).cast("string"))).otherwise(word)
+    own = own.select("owner_id", (who * 4 + F.col("k")).cast("int").alias("rule_id"), kind.alias("match_type"), value.alias("match_value"),
+                     F.concat(F.lit("U"), (who % 5).cast("string"), F.lit("-"), F.col("k").cast("string")).alias("category"), F.lit(0).alias("owner_rank"), ((who + F.col("k") * 7) % 4).cast("int").alias("priority"))
+    system = spark.createDataFrame(RULES[1:4], RULE_FIELDS).select(F.lit(None).cast("long").alias("owner_id"), (-F.col("rule_id")).alias("rule_id"), "match_type", "match_value", "category", F.lit(1).alias("owner_rank"), "priority")
+    return own.unionByName(system)
+
+
+OWNED_SQL = """rules AS (SELECT user_id AS owner_id, user_id * 4 + k AS rule_id, ['contains', 'exact', 'regex', 'contains'][k + 1] AS match_type,
+    CASE WHEN k = 1 THEN 'click ' || (user_id % 9) ELSE ['URCH', 'click', '^(view|sig).* [1-9]$', 'n 1'][k + 1] END AS match_value, 'U' || (user_id % 5) || '-' || k AS category, 0 AS owner_rank, (user_id + k * 7) % 4 AS priority
+    FROM (SELECT DISTINCT user_id FROM events), range(4) t(k)
+  UNION ALL SELECT NULL, -rule_id, match_type, match_value, category, 1, priority FROM (VALUES """ + ", ".join(map(str, RULES[1:4])) + """) v(rule_id, match_type, match_value, category, owner_rank, priority))"""
+
+
 def _vendor_rules(spark):
     rows = [(k, t, f"m{k % 10}", None if k % 3 else "1-URGENT", -(500 + 100 * (k % 10) + 1), [500 + 100 * (k % 10) + 2], f"C{k % 4}", "always" if k % 5 else "suggest")
             for k in range(30) for t in [("vendor_exact", "vendor_exact_amount", "vendor_smart")[k % 3]]]
@@ -77,6 +95,12 @@ QUERIES = {
             QUALIFY row_number() OVER (PARTITION BY tx_id ORDER BY owner_rank, priority DESC, rule_id) = 1)
             SELECT l.tx_id, merchant, category, rule_id FROM ledger_ev l LEFT JOIN f ON l.tx_id = f.tx_id""",
     ),
+    "k01_user_rules": (
+        lambda s, d: r.apply_ordered_rules(ledgers.ledger_ev(s, d).select("tx_id", "user_id", "merchant"), _owned_rules(s, d), "merchant", "user_id"),
+        f"""WITH {ledgers.SQL}, {OWNED_SQL}, f AS (SELECT tx_id, category, rule_id FROM ledger_ev JOIN rules ON (owner_id IS NULL OR owner_id = user_id) AND {MATCH}
+            QUALIFY row_number() OVER (PARTITION BY tx_id ORDER BY owner_rank, priority DESC, rule_id) = 1)
+            SELECT l.tx_id, user_id, merchant, category, rule_id FROM ledger_ev l LEFT JOIN f ON l.tx_id = f.tx_id""",
+    ),
     "k03_categorize": (
         lambda s, d: r.categorize(ledgers.ledger_ev(s, d).select("tx_id", "merchant", "amount_cents"), s.createDataFrame(RULES[1:4], RULE_FIELDS), "merchant", keywords=dictionaries.table_of(s, [("ERR", "Fees"), ("or 2", "Twos")], "category string"))
         .groupBy("category", "confidence").agg(F.count("*").alias("tx_count"), F.sum("amount_cents").alias("net_cents")),
@@ -111,11 +135,11 @@ QUERIES = {
           CASE WHEN status = 'matched' AND mode = 'always' AND confidence = 'high' THEN 'auto' WHEN coalesce(status, 'unmatched') = 'unmatched' THEN 'unmatched' ELSE 'needs_review' END AS outcome FROM t LEFT JOIN m USING (tx_id)""",
     ),
     "k07_apply_to_upload": (
-        lambda s, d: r.apply_to_upload(_charges(s, d), _user_rules(s).where("rule_id % 9 < 2").select(
+        lambda s, d: r.apply_to_upload(_charges(s, d), _user_rules(s).select(
             "user_id", "rule_id", F.when(F.col("rule_id") % 4 == 0, "contains").when(F.col("rule_id") % 4 == 1, "vendor_exact").otherwise("vendor_exact_amount").alias("match_type"),
             F.col("match_value").alias("value"), "account_id", (-F.col("amount_exact")).alias("amount_exact"), "category", "mode")),
         CHARGES + """, m AS (SELECT t.tx_id, count(*) AS matches, min(rule_id) AS rule_id, any_value(category) AS category, any_value(mode) AS mode FROM t JOIN u ON t.user_id = u.user_id AND (u.account_id IS NULL OR u.account_id = t.account_id)
-            AND rule_id % 9 < 2 AND CASE WHEN rule_id % 4 = 0 THEN contains(t.merchant, vendor) OR contains(vendor, t.merchant) WHEN rule_id % 4 = 1 THEN t.merchant = vendor ELSE t.merchant = vendor AND -t.amount_cents = base + 1 END GROUP BY t.tx_id)
+            AND CASE WHEN rule_id % 4 = 0 THEN contains(t.merchant, vendor) OR contains(vendor, t.merchant) WHEN rule_id % 4 = 1 THEN t.merchant = vendor ELSE t.merchant = vendor AND -t.amount_cents = base + 1 END GROUP BY t.tx_id)
         SELECT t.tx_id, coalesce(matches, 0) AS matches, CASE WHEN matches IS NULL THEN 'skipped' WHEN matches > 1 THEN 'conflict' WHEN mode = 'always' THEN 'assigned' ELSE 'review' END AS outcome,
           CASE WHEN matches = 1 THEN rule_id END AS rule_id, CASE WHEN matches = 1 AND mode = 'always' THEN category END AS category FROM t LEFT JOIN m USING (tx_id)""",
     ),

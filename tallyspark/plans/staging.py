@@ -12,17 +12,20 @@ from tallyspark.sources import ledgers
 
 KINDS = ["Food", "Rent", "Coffee", "Other", "Travel"]
 
-# names, and by hand what the compact dictionaries make of them
+# names, and by hand what the word lists make of them
 NAMES = [
     "SQ *Blue Bottle Coffee", "WHOLE FOODS 4321", "Uber Eats", "PAYROLL ACME", "Online Payment thank", "Netflix.com", "Corner Shop NY", "PAYPAL *AMZN Mktp", "Zelle to Ann Lee",
-    "City Water Dept", "Mystery 99", "Grand Hotel",
+    "City Water Dept", "SHELL OIL 12", "Employer Hilton Annual Fee",
 ]
-WORD = ["Food & Dining", "Groceries", "Food & Dining", "Income", "Transfer", "Entertainment", None, None, None, "Utilities", None, "Travel"]
-SURE = ["high", "high", "high", "high", "high", "high", None, None, None, "low", None, "high"]
-SHOWN = ["Blue Bottle Coffee", "Whole Foods", "Uber Eats", "Payroll", "Online Payment Thank", "Netflix", "Corner Shop", "Amazon", "Ann Lee", "City Water Dept", "Mystery 99", "Grand Hotel"]
-KIND = ["unknown", "unknown", "food", "income", "unknown", "subscription", "unknown", "retail", "unknown", "unknown", "unknown", "unknown"]
-BANK = [None, "Groceries", "Food & Drink", "Gas/Automotive", "Other services", "Weird", "Fees & Adjustments"]
-MAPPED = [None, "Groceries", "Food & Dining", None, "Other", None, "Fees"]
+WORD = [None, "Groceries", "Food & Dining", "Income", None, "Entertainment", None, "Transfer", "Transfer", None, "Transport", "Travel"]
+SURE = [None, "high", "high", "high", None, "high", None, "medium", "high", None, "high", "high"]
+SHOWN = ["Blue Bottle Coffee", "Whole Foods", "Uber Eats", "Payroll", "Online Payment Thank", "Netflix", "Corner Shop", "Amazon", "Ann Lee", "City Water Dept", "Shell", "Hilton"]
+KIND = ["unknown", "grocery", "restaurant", "income", "unknown", "subscription", "unknown", "shopping", "unknown", "unknown", "gas", "travel"]
+BANK = [None, "Groceries", "Food & Drink", "Gas/Automotive", "Other services", "Online Payment Fee", "Fees & Adjustments"]
+MAPPED = [None, "Groceries", "Food & Dining", "Transport", None, "Fees & Charges", "Fees & Charges"]
+MASTER_NAMES = ["Food & Dining", "Housing", "Other", "misc", "Coffee Shops", "Gas & Fuel", "Nothing", " Transfer ", "Steakhouse", "Barber", "Spanish course", "Rental cars", "Apparel", "LOTTERY"]
+MASTER_OF = ["FOOD", "HOME", None, None, "COFFEE", "TRANSPORT", None, None, "COFFEE", "FOOD", "PERSONAL_CARE", "HOME", "DIGITAL", "LIFESTYLE"]
+STYLE_NAMES = ["Food & Dining", "Utilities", "Income", "food & dining", "Pets", None, "Transfer", "Books"]
 
 
 def _of(values: list, n: int):
@@ -66,11 +69,22 @@ def _edited(spark, d):
     return st.removed_category(st.apply_to_all(done, edits), F.col("app_category") == "click")
 
 
+def _names(spark, d) -> DataFrame:
+    return ledgers.table(spark, d, "part").select("p_partkey", "p_name")
+
+
+def _name_words(spark, d) -> DataFrame:
+    """Two words a part: two to eight characters of its name, in capitals, and one that no name holds."""
+    k = F.col("p_partkey")
+    cut = _names(spark, d).select(k.alias("rank"), F.upper(F.substring("p_name", 1 + k % 5, 2 + k % 7)).alias("pattern"), F.concat(F.lit("C"), k.cast("string")).alias("category"))
+    return cut.unionByName(_names(spark, d).select((-k).alias("rank"), F.concat(F.lit("none "), k.cast("string")).alias("pattern"), F.lit("X").alias("category")))
+
+
 QUERIES = {
     "k13_scrubbed": (
         lambda s, d: st.scrub(staged(s, d)).select("tx_id", "category", "confidence", "category_source", "canonical", "merchant_type", "merchant_confidence", "is_duplicate", "is_recurring", "is_transfer", "is_income", F.array_join("review_flags", ",").alias("flags")),
         STAGED + """SELECT tx_id, category, confidence, CASE WHEN v <> 4 AND bank IS NOT NULL THEN 'bank' ELSE 'engine' END AS category_source, canonical, kind AS merchant_type,
-            CASE WHEN v IN (2, 3, 5, 7) THEN 'high' ELSE 'low' END AS merchant_confidence, is_duplicate, is_recurring, is_transfer, is_income,
+            CASE WHEN kind <> 'unknown' THEN 'high' ELSE 'low' END AS merchant_confidence, is_duplicate, is_recurring, is_transfer, is_income,
             array_to_string(list_filter([CASE WHEN v IN (0, 7, 8) THEN 'aggregator_prefix' END, CASE WHEN kind = 'unknown' THEN 'unclear_merchant' END, CASE WHEN is_transfer THEN 'possible_transfer' END,
               CASE WHEN is_income THEN 'possible_income' END, CASE WHEN confidence = 'low' AND NOT is_transfer AND NOT is_income THEN 'needs_manual_review' END], lambda x: x IS NOT NULL), ',') AS flags FROM scr""",
     ),
@@ -110,8 +124,27 @@ QUERIES = {
         QUALIFY row_number() OVER (PARTITION BY user_id, year, month ORDER BY s DESC, kind) = 1""",
     ),
     "f22_master_category": (
-        lambda s, d: dic.master_category(ledgers.table(s, d, "part").select("p_partkey", _of_part(["Food & Dining", "Housing", "Other", "misc", "Coffee Shops", "Gas & Fuel", "Nothing", " Transfer "]).alias("name")), F.col("name")),
-        "SELECT p_partkey, ['Food & Dining', 'Housing', 'Other', 'misc', 'Coffee Shops', 'Gas & Fuel', 'Nothing', ' Transfer '][p_partkey % 8 + 1] AS name, ['FOOD', 'HOME', NULL, NULL, 'COFFEE', 'TRANSPORT', NULL, NULL][p_partkey % 8 + 1] AS master FROM part",
+        lambda s, d: dic.master_category(ledgers.table(s, d, "part").select("p_partkey", _of_part(MASTER_NAMES).alias("name")), F.col("name")),
+        f"SELECT p_partkey, {_sql(MASTER_NAMES)}[p_partkey % 14 + 1] AS name, {_sql(MASTER_OF)}[p_partkey % 14 + 1] AS master FROM part",
+    ),
+    "f31_category_styles": (
+        lambda s, d: dic.category_styles(ledgers.table(s, d, "part").select("p_partkey", _of_part(STYLE_NAMES).alias("name")), F.col("name")),
+        f"""SELECT p_partkey, {_sql(STYLE_NAMES)}[p_partkey % 8 + 1] AS name, p_partkey % 8 = 2 AS is_income,
+            ['#f97316', '#6366f1', '#16a34a', '#94a3b8', '#a3e635', '#94a3b8', '#64748b', '#94a3b8'][p_partkey % 8 + 1] AS color,
+            ['UtensilsCrossed', 'Zap', 'TrendingUp', '📦', 'PawPrint', '📦', 'ArrowLeftRight', '📦'][p_partkey % 8 + 1] AS icon,
+            ['FOOD', 'HOME', NULL, NULL, 'PETS', NULL, NULL, NULL][p_partkey % 8 + 1] AS master FROM part""",
+    ),
+    "j09_first_word": (
+        lambda s, d: dic.first_match(_names(s, d), F.col("p_name"), _name_words(s, d), ["category"]),
+        """WITH words AS (SELECT p_partkey AS rank, upper(substr(p_name, 1 + p_partkey % 5, 2 + p_partkey % 7)) AS pattern, 'C' || p_partkey AS category FROM part
+             UNION ALL SELECT -p_partkey, 'none ' || p_partkey, 'X' FROM part)
+           SELECT p_partkey, p_name, (SELECT min_by(category, rank) FROM words w WHERE contains(lower(p.p_name), lower(w.pattern))) AS category FROM part p""",
+    ),
+    "j09_first_expression": (
+        lambda s, d: dic.first_match(_names(s, d), F.col("p_name"), _name_words(s, d).withColumn("pattern", F.concat(F.lit(r"\b"), F.regexp_replace("pattern", " ", r"\\s+"), F.lit("[a-z]?|z{3}$"))), ["category"], regex=True),
+        r"""WITH words AS (SELECT p_partkey AS rank, '\b' || regexp_replace(upper(substr(p_name, 1 + p_partkey % 5, 2 + p_partkey % 7)), ' ', '\\s+', 'g') || '[a-z]?|z{3}$' AS pattern, 'C' || p_partkey AS category FROM part
+             UNION ALL SELECT -p_partkey, '\bnone\s+' || p_partkey || '[a-z]?|z{3}$', 'X' FROM part)
+           SELECT p_partkey, p_name, (SELECT min_by(category, rank) FROM words w WHERE regexp_matches(lower(p.p_name), w.pattern, 'i')) AS category FROM part p""",
     ),
 }
 

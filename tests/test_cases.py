@@ -3,11 +3,10 @@
 import datetime
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
-from tallyspark.operators import checks, dictionaries
+from tallyspark.operators import checks
 from tallyspark.sources import csv_statements as csv
 
 
@@ -53,12 +52,6 @@ def test_transfers(spark):
     assert results(spark, yes + no, checks.is_transfer_description) == [True] * len(yes) + [False] * len(no)
 
 
-def test_dictionaries_are_bounded(spark):
-    many = spark.range(dictionaries.MOST_PATTERNS + 1).selectExpr("cast(id as int) rank", "cast(id as string) pattern", "'x' v")
-    with pytest.raises(ValueError):
-        dictionaries.first_match(spark.createDataFrame([("a",)], "t string"), F.col("t"), many, ["v"])
-
-
 def read(spark, texts):
     files = spark.createDataFrame(list(enumerate(texts)), "file int, text string")
     return csv.with_header(csv.records(files))
