@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
 from tallyspark.operators.months import display_category
+from tallyspark.operators.scans import placed
 
 FLAGGED = ["UNRESOLVED", "WARNING"]
 PAGE, UNCATEGORIZED_PAGE, EXPORT_ROWS, MONTH_ROWS = 500, 5000, 50_000, 500
@@ -56,6 +57,22 @@ def paged(rows: DataFrame, sort_by: str = "date", descending: bool = True, page:
     return placed.where(F.col("place").between((page - 1) * size + 1, page * size))
 
 
+def queued(rows: DataFrame, sort_by: str = "date", descending: bool = True) -> DataFrame:
+    """rows (user_id, tx_id, tx_date, amount_cents, merchant, description) with place, from 1, in each user's queue by date, amount or vendor.
+
+    The vendor is the merchant, or the description if there is none, in any case; rows without either come last both ways. Ties go
+    by date, newest first, then by tx_id. A user's queue may be of any length: it is placed in ranges.
+    """
+    if sort_by == "vendor":
+        merchant, said = (F.coalesce(c, F.lit("")) for c in ("merchant", "description"))
+        vendor = F.lower(F.when(merchant != "", merchant).otherwise(said))
+        keyed = rows.withColumns({"__empty": vendor == "", "__key": vendor})
+    else:
+        keyed = rows.withColumns({"__empty": F.lit(False), "__key": F.col("amount_cents" if sort_by == "amount" else "tx_date")})
+    order = [F.col("__empty").asc(), F.col("__key").desc() if descending else F.col("__key").asc(), F.col("tx_date").desc(), F.col("tx_id").asc()]
+    return placed(keyed, ["user_id"], order).drop("__empty", "__key")
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """One row a user: all, flagged, possible duplicates, uncategorized, and rows whose amount the user has more than once."""
     amounts = rows.groupBy("user_id", "amount_cents").agg(

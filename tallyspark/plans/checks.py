@@ -28,23 +28,48 @@ UPLOADS = EV + """, uploads AS (
 
 
 def statement(spark, d) -> DataFrame:
-    """A running balance for each account and user, missing on some rows and broken on others."""
+    """A running balance for each account and user, missing on some rows and broken on others; some users' stand before their rows, some have none."""
     ev = ledgers.ledger_ev(spark, d)
-    run = F.sum("amount_cents").over(Window.partitionBy("user_id", "account_id").orderBy("tx_date", "tx_id"))
-    balance = F.when(F.col("tx_id") % 5 == 0, F.lit(None)).otherwise(100_000 + run + F.when(F.col("tx_id") % 97 == 0, 500).otherwise(0))
+    run = F.sum("amount_cents").over(Window.partitionBy("user_id", "account_id").orderBy("tx_date", "tx_id")) - F.when(F.col("user_id") % 13 == 5, F.col("amount_cents")).otherwise(0)
+    balance = F.when((F.col("tx_id") % 5 == 0) | (F.col("user_id") % 11 == 3), F.lit(None)).otherwise(100_000 + run + F.when(F.col("tx_id") % 97 == 0, 500).otherwise(0))
     return ev.select("user_id", "account_id", "tx_id", "tx_date", "amount_cents", balance.cast("long").alias("balance_cents"))
 
 
 STATEMENT = EV + """, stm AS (
   SELECT user_id, account_id, tx_id, tx_date, amount_cents,
-         CASE WHEN tx_id % 5 = 0 THEN NULL ELSE CAST(100000 + sum(amount_cents) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id) + CASE WHEN tx_id % 97 = 0 THEN 500 ELSE 0 END AS BIGINT) END AS balance_cents
+         CASE WHEN tx_id % 5 = 0 OR user_id % 11 = 3 THEN NULL ELSE CAST(100000 + sum(amount_cents) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id) - CASE WHEN user_id % 13 = 5 THEN amount_cents ELSE 0 END
+           + CASE WHEN tx_id % 97 = 0 THEN 500 ELSE 0 END AS BIGINT) END AS balance_cents
   FROM ledger_ev
 ),
-after AS (
-  SELECT *, last_value(balance_cents IGNORE NULLS) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + amount_cents AS expected_cents FROM stm
+known AS (
+  SELECT *, last_value(balance_cents IGNORE NULLS) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known,
+    lag(amount_cents) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id) AS prior FROM stm
 ),
-chain AS (SELECT *, balance_cents = expected_cents AS is_valid FROM after)
+pairs AS (SELECT *, balance_cents - lag(balance_cents) OVER w AS delta, lag(amount_cents) OVER w AS before, row_number() OVER w AS k FROM stm WHERE balance_cents IS NOT NULL WINDOW w AS (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id)),
+votes AS (SELECT user_id, account_id, count(*) FILTER (delta = amount_cents) AS after_votes, count(*) FILTER (delta = before) AS before_votes, count(*) AS pairs FROM pairs WHERE k BETWEEN 2 AND 21 GROUP BY ALL),
+models AS (SELECT f.user_id, f.account_id, coalesce(after_votes, 0) AS after_votes, coalesce(before_votes, 0) AS before_votes, coalesce(pairs, 0) AS pairs, CASE WHEN pairs >= 2 AND before_votes > after_votes THEN 'BEFORE' ELSE 'AFTER' END AS model,
+    coalesce(pairs, 0) < 2 OR after_votes = before_votes OR pairs - greatest(after_votes, before_votes) > pairs * 0.3::DOUBLE AS needs_review FROM (SELECT DISTINCT user_id, account_id FROM stm) f LEFT JOIN votes v ON f.user_id = v.user_id AND f.account_id = v.account_id)
 """
+
+
+def said(spark, d) -> DataFrame:
+    """What statements say: by user credits and debits, wrong for some; both balances; only an opening one; nothing, or no row at all."""
+    sums = statement(spark, d).groupBy("user_id", "account_id").agg(
+        F.sum(F.when(F.col("amount_cents") > 0, F.col("amount_cents")).otherwise(0)).alias("plus"), F.sum(F.when(F.col("amount_cents") < 0, F.col("amount_cents")).otherwise(0)).alias("minus"))
+    u = F.col("user_id") % 8
+    return sums.where(u < 7).select(
+        "user_id", "account_id", F.when(u == 0, F.col("plus")).when(u == 1, F.col("plus") + F.col("user_id") % 2 + 1).alias("total_credits"), F.when(u < 2, -F.col("minus")).alias("total_debits"),
+        F.when(u.isin(2, 3, 4), 100_000).cast("long").alias("opening"), F.when(u == 2, 100_000 + F.col("plus") + F.col("minus")).when(u == 3, 100_000 + F.col("plus")).alias("closing"),
+    )
+
+
+def _redated(spark, d):
+    """The statement with some dates of the month's second half moved by a day, and its chain made anew from that of before."""
+    now = statement(spark, d).withColumn("tx_date", F.when((F.dayofmonth("tx_date") > 15) & (F.col("tx_id") % 31 == 0), F.date_add("tx_date", 1)).otherwise(F.col("tx_date")))
+    week = F.trunc("tx_date", "week")
+    return c.rechained_after(c.chain_after(statement(spark, d), BY, ORDER, span=week), now, BY, ORDER, ["tx_id"], week)
+
+
 BY, ORDER = ["user_id", "account_id"], ["tx_date", "tx_id"]
 
 
@@ -92,32 +117,33 @@ QUERIES = {
                CASE WHEN u AND t > 1 THEN 1.0::DOUBLE WHEN fp IS NOT NULL AND t2 > 1 THEN 0.9::DOUBLE END AS confidence FROM e""",
     ),
     "w04_chain_after": (
-        lambda s, d: c.chain_after(statement(s, d), BY, ORDER),
-        STATEMENT + "SELECT * FROM chain",
+        lambda s, d: c.chain_after(statement(s, d), BY, ORDER, span=F.trunc("tx_date", "week")),
+        STATEMENT + "SELECT user_id, account_id, tx_id, tx_date, amount_cents, balance_cents, CASE WHEN balance_cents IS NOT NULL THEN known + amount_cents END AS expected_cents, balance_cents = known + amount_cents AS is_valid FROM known",
     ),
     "w05_chain_before": (
-        lambda s, d: c.chain_before(statement(s, d), BY, ORDER),
-        STATEMENT + """, b AS (SELECT *, last_value(balance_cents IGNORE NULLS) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-          + lag(amount_cents) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id) AS expected_cents FROM stm)
-        SELECT *, balance_cents = expected_cents AS is_valid FROM b""",
+        lambda s, d: c.chain_before(statement(s, d), BY, ORDER, span=F.trunc("tx_date", "week")),
+        STATEMENT + "SELECT user_id, account_id, tx_id, tx_date, amount_cents, balance_cents, CASE WHEN balance_cents IS NOT NULL THEN known + prior END AS expected_cents, balance_cents = known + prior AS is_valid FROM known",
     ),
-    "w03_balance_model": (
-        lambda s, d: c.balance_model(statement(s, d), BY, ORDER),
-        STATEMENT + """, s AS (SELECT *, balance_cents - lag(balance_cents) OVER w AS delta, lag(amount_cents) OVER w AS prior, row_number() OVER w AS k FROM stm WHERE balance_cents IS NOT NULL
-            WINDOW w AS (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id)),
-        v AS (SELECT user_id, account_id, count(*) FILTER (delta = amount_cents) AS after_votes, count(*) FILTER (delta = prior) AS before_votes, count(*) AS pairs FROM s WHERE k BETWEEN 2 AND 21 GROUP BY ALL)
-        SELECT *, CASE WHEN before_votes > after_votes THEN 'BEFORE' ELSE 'AFTER' END AS model,
-               after_votes = before_votes OR pairs < 2 OR greatest(after_votes, before_votes) < 0.7::DOUBLE * pairs AS needs_review FROM v""",
+    "w04_rechained": (
+        _redated,
+        STATEMENT + """, now AS (SELECT * REPLACE (CASE WHEN day(tx_date) > 15 AND tx_id % 31 = 0 THEN tx_date + 1 ELSE tx_date END AS tx_date) FROM stm),
+        k AS (SELECT *, last_value(balance_cents IGNORE NULLS) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + amount_cents AS e FROM now)
+        SELECT * EXCLUDE (e), CASE WHEN balance_cents IS NOT NULL THEN e END AS expected_cents, balance_cents = e AS is_valid FROM k""",
     ),
+    "w03_balance_model": (lambda s, d: c.balance_model(statement(s, d), BY, ORDER), STATEMENT + "SELECT * FROM models"),
     "d04_reconcile": (
-        lambda s, d: c.reconcile(c.chain_after(statement(s, d), BY, ORDER), BY),
-        STATEMENT + """, m AS (SELECT *, CASE WHEN NOT is_valid THEN balance_cents - expected_cents END AS delta FROM chain),
+        lambda s, d: c.reconcile(statement(s, d).withColumn("is_unresolved", (F.col("user_id") % 3 == 0) & (F.col("tx_id") % 4 == 0)), said(s, d), BY, ORDER),
+        STATEMENT + """, chain AS (SELECT k.*, model, needs_review, CASE WHEN model = 'BEFORE' THEN known + prior ELSE coalesce(known, CASE WHEN user_id % 8 IN (2, 3, 4) THEN 100000 END) + amount_cents END AS expected FROM known k JOIN models USING (user_id, account_id)),
+        m AS (SELECT *, balance_cents = expected AS ok, CASE WHEN balance_cents <> expected THEN balance_cents - expected END AS delta FROM chain),
         f AS (SELECT *, first_value(delta IGNORE NULLS) OVER (PARTITION BY user_id, account_id ORDER BY tx_date, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fd FROM m),
-        g AS (SELECT user_id, account_id, count(*) AS tx_count, CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS BIGINT) AS credit_cents,
-              CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS BIGINT) AS debit_cents, count(*) FILTER (is_valid) AS valid, count(*) FILTER (NOT is_valid) AS breaks,
-              count(*) FILTER (delta = fd) AS same_offset, count(balance_cents) AS balances FROM f GROUP BY ALL)
-        SELECT *, breaks > 0 AND same_offset >= 0.8::DOUBLE * breaks AS constant_offset, floor(CAST(balances * 1000 AS DOUBLE) / tx_count + 0.5) / 10 AS coverage_percent,
-               CASE WHEN balances = 0 THEN 'UNVERIFIABLE' WHEN breaks = 0 THEN 'PASS' WHEN breaks <= valid * 0.05::DOUBLE THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END AS status FROM g""",
+        g AS (SELECT user_id, account_id, count(*) AS tx_count, CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS BIGINT) AS credit_cents, CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS BIGINT) AS debit_cents,
+              CAST(sum(amount_cents) AS BIGINT) AS net_cents, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS breaks, count(*) FILTER (delta = fd) AS same_offset, count(balance_cents) AS balances,
+              count(*) FILTER (user_id % 3 = 0 AND tx_id % 4 = 0) AS unresolved, any_value(model) AS model, any_value(needs_review) AS needs_review, user_id % 8 AS u FROM f GROUP BY ALL),
+        h AS (SELECT *, CASE WHEN u < 4 THEN 'STATEMENT_TOTALS' WHEN balances >= 2 THEN 'RUNNING_BALANCE' ELSE 'UNVERIFIABLE' END AS mode FROM g),
+        i AS (SELECT *, CASE WHEN u < 2 THEN 2 WHEN u < 4 OR mode = 'RUNNING_BALANCE' THEN 1 ELSE 0 END AS checks, CASE WHEN u = 1 THEN 1 WHEN u = 3 THEN CAST(debit_cents <> 0 AS INT) WHEN mode = 'RUNNING_BALANCE' THEN CAST(breaks > 0 AS INT) ELSE 0 END AS failed FROM h)
+        SELECT user_id, account_id, mode, CASE WHEN mode = 'UNVERIFIABLE' THEN mode WHEN failed > 0 THEN 'FAIL' WHEN unresolved > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status, checks, failed, tx_count, credit_cents, debit_cents, net_cents, balances,
+          CASE WHEN mode = 'RUNNING_BALANCE' THEN model END AS model, CASE WHEN mode = 'RUNNING_BALANCE' THEN needs_review END AS needs_review, CASE WHEN mode = 'RUNNING_BALANCE' THEN valid END AS valid, CASE WHEN mode = 'RUNNING_BALANCE' THEN breaks END AS breaks,
+          CASE WHEN mode = 'RUNNING_BALANCE' THEN breaks > 0 AND same_offset >= 0.8::DOUBLE * breaks END AS constant_offset, CASE WHEN mode = 'RUNNING_BALANCE' THEN floor(CAST(breaks * 1000 AS DOUBLE) / tx_count + 0.5) / 10 END AS break_percent FROM i""",
     ),
     "d07_transfer_pairs": (
         lambda s, d: c.transfer_pairs(transfers(s, d)),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from tallyspark.operators import dictionaries
+from tallyspark.operators import dictionaries, lists
 from tallyspark.operators import rules as r
 from tallyspark.sources import ledgers, statements
 from tallyspark.sources.ledgers import table
@@ -88,6 +89,16 @@ def _ofx(spark, d):
     return texts.select(F.col("o_custkey").alias("file"), F.concat(F.lit("OFXHEADER:100\n<OFX><CURDEF>EUR\n<ACCTID>"), F.col("o_custkey").cast("string"), F.lit("\n<ACCTTYPE>SAVINGS\n<DTSTART>20010203\n<BALAMT>"), F.col("o_custkey").cast("string"), F.lit(".5\n"), F.col("body"), F.lit("</OFX>")).alias("text"))
 
 
+def _queue(spark, d):
+    """One row for each id of the order lines; some without a merchant, some without either name."""
+    one = ledgers.ledger_li(spark, d).groupBy("tx_id").agg(*(F.min(c).alias(c) for c in ("user_id", "tx_date", "amount_cents", "merchant", "app_category")))
+    return one.select("tx_id", "user_id", "tx_date", "amount_cents", F.when(F.col("tx_id") % 3 > 0, F.initcap("merchant")).alias("merchant"), F.trim("app_category").alias("description"))
+
+
+QUEUE_SQL = """one AS (SELECT tx_id, min(user_id) AS user_id, min(tx_date) AS tx_date, min(amount_cents) AS amount_cents, min(merchant) AS merchant, min(app_category) AS app_category FROM ledger_li GROUP BY tx_id),
+queue AS (SELECT tx_id, user_id, tx_date, amount_cents, lower(CASE WHEN tx_id % 3 > 0 THEN merchant ELSE coalesce(trim(app_category), '') END) AS vendor FROM one)"""
+
+
 QUERIES = {
     "k01_ordered_rules": (
         lambda s, d: r.apply_ordered_rules(ledgers.ledger_ev(s, d).select("tx_id", "merchant"), s.createDataFrame(RULES, RULE_FIELDS), "merchant"),
@@ -176,9 +187,14 @@ QUERIES = {
            WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey)""",
     ),
     "t04_queue_sort": (
-        lambda s, d: ledgers.ledger_li(s, d).select(
-            "tx_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.coalesce("app_category", F.lit("")) == "", F.lower(F.coalesce("app_category", F.lit(""))), F.desc("tx_date"), "tx_id", "amount_cents")).alias("place")),
-        f"""WITH {ledgers.SQL} SELECT tx_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(app_category, '') = '', lower(coalesce(app_category, '')), tx_date DESC, tx_id, amount_cents) AS INT) AS place
-            FROM ledger_li""",
+        lambda s, d: lists.queued(_queue(s, d), "vendor", False).select("tx_id", "place"),
+        f"""WITH {ledgers.SQL}, {QUEUE_SQL} SELECT tx_id, row_number() OVER (PARTITION BY user_id ORDER BY vendor = '', vendor, tx_date DESC, tx_id) AS place FROM queue""",
+    ),
+    "t04_queue_orders": (
+        lambda s, d: reduce(lambda a, b: a.unionByName(b), (lists.queued(_queue(s, d), by, down).select(F.lit(f"{by} {down}").alias("sorted"), "user_id", "tx_id", "place") for by in ("date", "amount", "vendor") for down in (False, True))),
+        f"WITH {ledgers.SQL}, {QUEUE_SQL} " + " UNION ALL ".join(
+            f"SELECT '{by} {down}' AS sorted, user_id, tx_id, row_number() OVER (PARTITION BY user_id ORDER BY {first}{key} {'DESC' if down else 'ASC'}, tx_date DESC, tx_id) AS place FROM queue"
+            for by, first, key in (("date", "", "tx_date"), ("amount", "", "amount_cents"), ("vendor", "vendor = '', ", "vendor")) for down in (False, True)
+        ),
     ),
 }
