@@ -14,18 +14,6 @@ def test_rows_come_once(spark, tmp_path):
     assert sorted(r.row_hash for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
 
 
-def test_only_touched_months(spark, tmp_path):
-    source, checkpoint, seen = str(tmp_path / "in"), str(tmp_path / "state"), []
-
-    def recompute(rows, keys, batch):
-        seen.append(sorted((r.user_id, r.month, r.cents) for r in rows.groupBy("user_id", "month").agg(F.sum("cents").alias("cents")).collect()))
-
-    for rows in ([(1, 1, 5, "a"), (1, 2, 6, "b")], [(1, 2, 4, "c")]):
-        spark.createDataFrame(rows, FIELDS).coalesce(1).write.mode("append").parquet(source)
-        ingest.refresh_touched(spark, source, FIELDS, checkpoint, ["user_id", "month"], recompute)
-    assert seen == [[(1, 1, 5), (1, 2, 6)], [(1, 2, 10)]]
-
-
 def test_accept_and_decode(spark):
     files = [("a.csv", b"x,y"), ("b.pdf", b"%PDF-1"), ("c.xlsx", b"PK\x03\x04.."), ("d.txt", b"OFXHEADER\n<OFX>"), ("e.csv", b""), ("f.csv", "é".encode("utf-16")), ("g.csv", b"\n<STMTTRN>"), ("h.qbo", b"a,b"), ("i.csv", b'a,"b'), ("k.bin", b"abc")]
     df = spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in files], "path string, length long, content binary")
