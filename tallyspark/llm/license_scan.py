@@ -56,14 +56,15 @@ class Matcher:
         share = np.bincount(self._owner[at], self._weight[at], len(self.norms))
         return np.flatnonzero(np.sqrt(share) >= (threshold - 1e-9) * self.norms)
 
-    def stretches(self, words: list[str], threshold: float) -> list[tuple[int, int, int, float, float, list[tuple[str, int]]]]:
+    def stretches(self, words: list[str], threshold: float, all_files: int) -> list[tuple[int, int, int, float, float, list[tuple[str, int]]]]:
         """(template, first word, words, dot product by the template's norm, square norm of the words that templates have, other words and
-        how often) of stretches that may be as similar as the threshold.
+        how often) of stretches that may be a template's most similar one, and as similar as the threshold.
 
-        A stretch has the template's length, or the text's if that is shorter. Words that no template
-        has weigh 1 at least, which bounds the cosine; of stretches that overlap, the one with
-        the largest bound is taken, the first of equals.
+        A stretch has the template's length, or the text's if that is shorter. A word that no template has weighs 1
+        at least, and at most what a word of one file of all does: this bounds the cosine from above and below.
+        Left out is only what another stretch beats whatever its other words weigh.
         """
+        rarest = float(inverse(np.float64(1), all_files))
         terms = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
         present = np.unique(terms)
         present = present[present >= 0]
@@ -80,11 +81,17 @@ class Matcher:
             # repeated words only make a stretch's norm larger than this
             bound = dot / np.sqrt(known[n:] - known[:-n]) / self.norms[i]
             some = np.flatnonzero(bound >= threshold - 1e-9)
-            for run in np.split(some, np.flatnonzero(np.diff(some) >= n) + 1) if len(some) else []:
-                at = int(run[np.argmax(np.round(bound[run], 12))])
+            best, kept = 0.0, []
+            for at in some[np.argsort(-bound[some], kind="stable")].tolist():
+                if bound[at] < best - 1e-9:
+                    break
                 inside = Counter(words[at : at + n])
                 own = sum((k * self.idf[self.vocabulary[w]]) ** 2 for w, k in inside.items() if w in self.vocabulary)
-                found.append((int(i), at, n, float(dot[at] / self.norms[i]), float(own), [(w, k) for w, k in inside.items() if w not in self.vocabulary]))
+                others = [(w, k) for w, k in inside.items() if w not in self.vocabulary]
+                least, most = (dot[at] / self.norms[i] / np.sqrt(own + sum((k * weight) ** 2 for _, k in others)) for weight in (rarest, 1.0))
+                best = max(best, least)
+                kept.append((most, (int(i), at, n, float(dot[at] / self.norms[i]), float(own), others)))
+            found += [s for most, s in kept if most >= max(best, threshold) - 1e-9]
         return found
 
 
@@ -126,7 +133,7 @@ def fit(found: DataFrame, all_files: int, templates: list[tuple[str, str]] | Non
 STRETCHES = "array<struct<template:int,first:int,words:int,dot:double,own:double,others:array<struct<word:string,times:int>>>>"
 
 
-def _candidates(matcher: Matcher, threshold: float, text_col: str, batches):
+def _candidates(matcher: Matcher, threshold: float, all_files: int, text_col: str, batches):
     fields = [("template", pa.int32()), ("first", pa.int32()), ("words", pa.int32()), ("dot", pa.float64()), ("own", pa.float64()),
               ("others", pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())])))]
     for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
@@ -134,7 +141,7 @@ def _candidates(matcher: Matcher, threshold: float, text_col: str, batches):
         for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
             words = words_of(text)
             sizes.append(len(words))
-            found.append([(*s[:5], [{"word": w, "times": k} for w, k in s[5]]) for s in matcher.stretches(words, threshold)])
+            found.append([(*s[:5], [{"word": w, "times": k} for w, k in s[5]]) for s in matcher.stretches(words, threshold, all_files)])
         listed = pa.array([[dict(zip([f for f, _ in fields], s, strict=True)) for s in of] for of in found], pa.list_(pa.struct(fields)))
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != text_col]
         yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(sizes, pa.int32()), listed], [*(n for n, _ in kept), "words", "__found"])
@@ -153,7 +160,7 @@ def own_licences(files: DataFrame, text_col: str = "text", threshold: float = TH
     kept = files.drop(*(n for n in new if n != text_col))
     names = F.array(*(F.lit(n) for n in matcher.names))
     out = kept.drop(text_col).withColumns({"words": F.lit(0), "__found": F.lit(None).cast(STRETCHES)})
-    rows = kept.mapInArrow(partial(_candidates, matcher, threshold, text_col), out.schema)
+    rows = kept.mapInArrow(partial(_candidates, matcher, threshold, all_files, text_col), out.schema)
     rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "licence-candidates")
 
     each = rows.where(F.size("__found") > 0).select("__row", F.posexplode("__found").alias("at", "s")).select("__row", "at", "s.*")

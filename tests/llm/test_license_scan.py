@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from tallyspark.llm import license_scan, licence_texts
@@ -6,36 +7,63 @@ from tests.llm.conftest import SF
 
 
 def by_force(texts, templates, threshold=0.8):
-    """For each text (licence, score) of its most similar stretch, from dictionaries; None below the threshold."""
+    """For each text (licence, score) of the most similar of all its stretches, from dictionaries; None below the threshold."""
     split = [[w.strip(license_scan._EDGES) for w in (t or "").lower().split()] for t in texts]
     files = Counter(w for words in split for w in set(words))
-    idf = lambda w: 1 + math.log((1 + len(texts)) / (1 + files[w]))
-    size = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
-    sought = [(name, words, Counter(words), size(Counter(words))) for name, words in ((n, license_scan.words_of(t)) for n, t in templates)]
-    of_templates = {w for _, words, *_ in sought for w in words}
+    weight = lambda w: 1 + math.log((1 + len(texts)) / (1 + files[w]))
+    sought = [(name, words, Counter(words)) for name, words in ((n, license_scan.words_of(t)) for n, t in templates)]
     out = []
     for words in split:
-        best = (None, None)
-        for name, length, counted, norm in ((n, len(w), c, s) for n, w, c, s in sought):
-            if math.sqrt(sum((k * idf(w)) ** 2 for w, k in counted.items() if w in set(words))) < threshold * norm:
+        best, idf = (None, None), {w: weight(w) for w in {*words, *(w for _, t, _ in sought for w in t)}}
+        for name, template, counted in sought:
+            norm = math.sqrt(sum((k * idf[w]) ** 2 for w, k in counted.items()))
+            # no stretch has more of the template than the whole text
+            if math.sqrt(sum((k * idf[w]) ** 2 for w, k in counted.items() if w in set(words))) < threshold * norm:
                 continue
-            n, runs = min(length, len(words)), []
+            n = min(len(template), len(words))
+            inside = Counter(words[:n])
             for at in range(len(words) - n + 1):
-                part = words[at : at + n]
-                dot = sum(counted[w] * idf(w) ** 2 for w in part) / norm
-                bound = dot / math.sqrt(sum(idf(w) ** 2 if w in of_templates else 1 for w in part))
-                if bound >= threshold - 1e-9:
-                    if not runs or at - runs[-1][-1][0] >= n:
-                        runs.append([])
-                    runs[-1].append((at, round(bound, 12), dot / size(Counter(part))))
-            for run in runs:
-                cosine = max(run, key=lambda r: (r[1], -r[0]))[2]
-                if cosine >= threshold and cosine > (best[1] or 0) + 1e-9:
-                    best = (name, cosine)
+                if at:
+                    inside[words[at - 1]] -= 1
+                    inside[words[at + n - 1]] += 1
+                dot = sum(k * inside[w] * idf[w] ** 2 for w, k in counted.items())
+                if dot >= 0.5 * norm:
+                    size = math.sqrt(sum((k * idf[w]) ** 2 for w, k in inside.items()))
+                    cosine = dot / norm / size if size else 0
+                    if cosine >= threshold and cosine > (best[1] or 0) + 1e-9:
+                        best = (name, cosine)
         out.append(best)
     return out
 
 
+def test_rare_words_at_either_end(spark):
+    """The stretch with the rarer word beside it loses to the one without, on whichever side it stands."""
+    template = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    fill = [f"zeta common{i % 3} word{i}" for i in range(200)]
+    texts = [" ".join(["rarewordqqq", *template[1:], "zeta"]), " ".join(["zeta", *template[1:], "rarewordqqq"]), " ".join(template), *fill]
+    files = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.licence, r.score) for r in license_scan.own_licences(files, templates=[("X-1", " ".join(template))]).collect()}
+    expected = by_force(texts, [("X-1", " ".join(template))])
+    assert [got[i][0] for i in range(3)] == ["X-1"] * 3
+    for i, (name, score) in enumerate(expected):
+        assert got[i][0] == name and (name is None or math.isclose(got[i][1], score, rel_tol=1e-9))
+
+
+def test_random_stretches(spark):
+    """Words of a template among rare and common ones, in every order: the best of all stretches, as by force."""
+    rng = random.Random(6)
+    templates = [("A-1", "a b c d e f g h"), ("B-1", "c d e x y"), ("C-1", "a a b b")]
+    words = list("abcdefghxy") * 3 + ["common"] * 6
+    texts = [" ".join(rng.choice([*words, f"rare{i}", f"rare{i}-{k}"]) for k in range(rng.randint(0, 25))) for i in range(400)]
+    texts += [f"{f'only{i} ' * (i % 3)}a b c d e f g h{f' only{i}' * (i % 2)}" for i in range(30)]
+    files = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.licence, r.score) for r in license_scan.own_licences(files, templates=templates).collect()}
+    expected = by_force(texts, templates)
+    assert sum(n is not None for n, _ in expected) > 40
+    for i, (_, score) in enumerate(expected):
+        assert (got[i][1] is None) == (score is None) and (score is None or math.isclose(got[i][1], score, rel_tol=1e-9)), (texts[i], got[i], expected[i])
+
+
 def test_query_by_force(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in license_scan.query(docs).collect()}
