@@ -15,14 +15,14 @@ def _day(y: Column, m: Column, d: Column) -> Column:
     return F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
 
 
-# English month names.
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+# English month names; each has its first three letters too, and September four.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def _month_number(name: Column) -> Column:
-    short = F.lower(F.substring(name, 1, 3))
-    at = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), short)
-    return F.when(at > 0, at.cast("string")).otherwise(F.lit("0"))
+    names = {short: i + 1 for i, month in enumerate(MONTHS) for short in (month, month[:3])} | {"sept": 9}
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in (pair[0], str(pair[1]))))
+    return F.coalesce(F.try_element_at(known, F.lower(name)), F.lit("0"))
 
 
 def let(value: Column, body) -> Column:
@@ -33,26 +33,26 @@ def let(value: Column, body) -> Column:
 def normalize_date(raw: Column, order: Column | None = None) -> Column:
     """struct(date, status, option_a, option_b) of a written date.
 
-    ISO, year first, eight digits, month names before or after the day, then numeric dates: valid
-    one way only, equal both ways, or by the file's order (MDY or DMY); else AMBIGUOUS with both
+    Year first with - or / and two digits each, eight digits, month names before or after the day, then numeric
+    dates: valid one way only, equal both ways, or by the file's order (MDY or DMY); else AMBIGUOUS with both
     readings. Empty is MISSING, anything else INVALID.
     """
-    iso, flat = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ].*)?$", r"^(\d{4})(\d{2})(\d{2})$"
-    named, named2 = r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})$"
-    numeric = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})$"
+    iso, flat = r"^(\d{4})(?:-(?=\d\d-)|/(?=\d\d/))(\d{2})[-/](\d{2})$", r"^(\d{4})(\d{2})(\d{2})$"
+    named, named2 = r"^([A-Za-z]+)[\s/,-]+(\d{1,2})[\s,]+(\d{2,4})$", r"^(\d{1,2})[\s/-]+([A-Za-z]+)[\s/-]+(\d{2,4})$"
+    numeric = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$"
     order = F.lit(None).cast("string") if order is None else order
 
     def parts(text: Column) -> Column:
         """The text's year, month and day as written, and for a numeric date those of the month-first reading."""
         g = lambda p, k: F.regexp_extract(text, p, k)
         of = lambda y, m, d, n: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(n).alias("numeric"), text.alias("text"))
-        year = F.regexp_replace(g(numeric, 3), r"^(\d{2})$", "20$1")
+        full = lambda y: F.lpad(F.regexp_replace(y, r"^(\d{2})$", "20$1"), 4, "0")
         nothing = F.lit(None).cast("string")
         return (
-            F.when(text.rlike(numeric), of(year, g(numeric, 1), g(numeric, 2), True))
+            F.when(text.rlike(numeric), of(full(g(numeric, 3)), g(numeric, 1), g(numeric, 2), True))
             .when(text.rlike(iso), of(g(iso, 1), g(iso, 2), g(iso, 3), False)).when(text.rlike(flat), of(g(flat, 1), g(flat, 2), g(flat, 3), False))
-            .when(text.rlike(named), of(g(named, 3), _month_number(g(named, 1)), g(named, 2), False))
-            .when(text.rlike(named2), of(g(named2, 3), _month_number(g(named2, 2)), g(named2, 1), False))
+            .when(text.rlike(named), of(full(g(named, 3)), _month_number(g(named, 1)), g(named, 2), False))
+            .when(text.rlike(named2), of(full(g(named2, 3)), _month_number(g(named2, 2)), g(named2, 1), False))
             .otherwise(of(nothing, nothing, nothing, False))
         )
 
@@ -98,7 +98,8 @@ def normalize_amount(raw: Column) -> Column:
 
     In this order: a currency sign in front or behind goes, else a $ in front; parentheses or a trailing minus
     as negative; comma as decimal sign after dots, commas between thousands, comma before two last digits as
-    decimal sign. A sign before the currency, as in -$5 or ($5), gives null.
+    decimal sign. A sign before the currency, as in -$5 or ($5), gives null. Powers of ten (1e5) and hexadecimal
+    numbers (0x1F) count. Digits past the second are rounded, half away from zero.
     """
 
     def parsed(text: Column) -> Column:
@@ -113,7 +114,9 @@ def normalize_amount(raw: Column) -> Column:
             .when(signed.rlike(r"^-?\d+,\d{2}$"), F.replace(signed, F.lit(","), F.lit(".")))
             .otherwise(signed)
         )
-        return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(18,2)"))
+        hexed = F.when(plain.rlike("^0[xX][0-9a-fA-F]{1,12}$"), F.conv(F.substring(plain, 3, 12), 16, 10))
+        raised = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d{1,3}$"), plain.try_cast("double"))
+        return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(18,2)")).otherwise(F.coalesce(raised.try_cast("decimal(18,2)"), hexed.try_cast("decimal(18,2)")))
 
     return let(_trimmed(raw), parsed)
 
@@ -259,7 +262,9 @@ def currency(raw: Column, code: Column) -> Column:
 
 
 def money(cents: Column) -> Column:
-    return F.concat(F.when(cents < 0, "-").otherwise(""), F.lit("$"), from_cents(F.abs(cents)))
+    """$1,234.50, of a size with a minus in front if it is below 0."""
+    whole = F.format_number(F.floor(F.abs(cents) / 100), 0)
+    return F.concat(F.when(cents < 0, "-").otherwise(""), F.lit("$"), whole, F.lit("."), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0"))
 
 
 def first_present(fields: Column, keys: list[str]) -> Column:

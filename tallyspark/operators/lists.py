@@ -113,24 +113,33 @@ def quoted(value: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-EXPORT = ["date", "description", "merchant", "amount", "type", "category", "bank_category", "account", "institution", "status", "is_duplicate", "source_file"]
+# The columns of an export, in order.
+EXPORT = [
+    "Date", "Description", "Original Description", "Amount", "Currency", "Type", "Category", "Categorization Source", "Account", "Upload File", "Ingestion Status", "Is Pending", "Is Transfer",
+    "Is Foreign Currency", "Foreign Currency", "Running Balance", "Check Number", "Bank Transaction ID",
+]
 
 
 def exported(ledger: DataFrame, accounts: DataFrame, uploads: DataFrame) -> DataFrame:
-    """(user_id, place, EXPORT) for each user's newest 50,000 rows. accounts: account_id, account_name, institution; uploads: upload_id, filename."""
+    """(user_id, place, EXPORT) for each user's newest 50,000 rows. accounts: account_id, account_name; uploads: upload_id, filename.
+
+    ledger: what lists have, and description_raw, currency, source, is_pending, foreign_currency, balance_cents, check_number, bank_id. The
+    category is the user's own, else the one given; null cells are empty.
+    """
     joined = ledger.join(accounts, "account_id", "left").join(uploads, "upload_id", "left")
     newest = paged(joined, limit=EXPORT_ROWS, most=EXPORT_ROWS)
     transfer = F.coalesce("is_transfer", F.lit(False))
-    return newest.select(
-        "user_id", "place", F.col("tx_date").alias("date"), "description", "merchant", f.from_cents(F.col("amount_cents")).alias("amount"), f.transaction_type(F.col("amount_cents"), transfer).alias("type"),
-        F.coalesce("override_category", "category", "app_category").alias("category"), "bank_category", F.col("account_name").alias("account"), "institution", "status",
-        F.col("is_possible_duplicate").alias("is_duplicate"), F.col("filename").alias("source_file"),
-    )
+    cells = [
+        F.col("tx_date"), F.coalesce(F.nullif("merchant", F.lit("")), "description"), F.col("description_raw"), f.from_cents(F.col("amount_cents")), F.col("currency"), f.transaction_type(F.col("amount_cents"), transfer),
+        F.coalesce("override_category", "category"), F.when(F.col("override_category").isNotNull(), "user").otherwise(F.col("source")), F.col("account_name"), F.col("filename"), F.col("status"),
+        F.coalesce("is_pending", F.lit(False)), transfer, F.coalesce("is_foreign", F.lit(False)), F.col("foreign_currency"), f.from_cents(F.col("balance_cents")), F.col("check_number"), F.col("bank_id"),
+    ]
+    return newest.select("user_id", "place", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(cells, EXPORT, strict=True)))
 
 
 def csv_lines(rows: DataFrame, columns: list[str] = EXPORT) -> DataFrame:
     """(user_id, place, line): rows as CSV lines; their file ends lines with CRLF."""
-    return rows.select("user_id", "place", F.concat_ws(",", *(quoted(F.col(c)) for c in columns)).alias("line"))
+    return rows.select("user_id", "place", F.concat_ws(",", *(quoted(F.col(f"`{c}`")) for c in columns)).alias("line"))
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] = EXPORT) -> None:

@@ -214,18 +214,29 @@ def concentration(categories: DataFrame) -> DataFrame:
     return spent.withColumn("rank", rank).groupBy(*MONTH).agg(
         at(1).alias("top_category"), at(2).alias("second_category"),
         (F.sum(F.when(F.col("rank") == 1, F.col("spending_cents"))) / F.sum("spending_cents")).alias("top_share"),
+        (F.sum(F.when(F.col("rank") == 2, F.col("spending_cents"))) / F.sum("spending_cents")).alias("second_share"),
         (F.sum(F.when(F.col("rank") <= 3, F.col("spending_cents"))) / F.sum("spending_cents")).alias("top3_share"),
     )
 
 
-def month_summary(ledger: DataFrame) -> DataFrame:
-    """Totals, average of the trailing quarter, leading categories and the kind of month."""
+# What descriptions on a credit card's statement say, and those of interest.
+CREDIT_WORDS = "(?i)credit card payment|card payment|visa payment|mastercard|amex payment"
+INTEREST_WORDS = "(?i)interest charge|finance charge|interest fee"
+
+
+def statement_signs(base: DataFrame, text_col: str = "merchant") -> DataFrame:
+    """(month, statement_type credit or unknown, interest_detected): what any description of a month says."""
+    said = lambda words: F.coalesce(F.bool_or(F.col(text_col).rlike(words)), F.lit(False))
+    return base.groupBy(*MONTH).agg(F.when(said(CREDIT_WORDS), "credit").otherwise("unknown").alias("statement_type"), said(INTEREST_WORDS).alias("interest_detected"))
+
+
+def month_summary(ledger: DataFrame, text_col: str = "merchant") -> DataFrame:
+    """Totals, average of the trailing quarter, leading categories with the first two's shares, the kind of statement and whether interest is charged."""
     base = analytic_base(ledger)
     totals = month_totals(base)
-    kind = F.when(F.col("net_cents") < 0, "deficit").when(F.col("net_cents") < F.col("income_cents") * F.lit(0.05), "tight").otherwise("surplus")
     return (
         totals.join(rolling_average(totals).drop("months_found"), MONTH)
-        .join(concentration(category_totals(base)), MONTH, "left").withColumn("statement_kind", kind)
+        .join(concentration(category_totals(base)), MONTH, "left").join(statement_signs(base, text_col), MONTH)
     )
 
 
@@ -337,26 +348,30 @@ def personality(signals: DataFrame) -> DataFrame:
     return out.withColumn("personality", named).drop("__ratio", "__saved", "__spread")
 
 
-def panel_insights(totals: DataFrame, categories: DataFrame) -> DataFrame:
-    """What a month's panel says: leading category if it has 15 % or more, the share of three, the band of spending against income, and income's
-    change of a tenth or more."""
+def panel_insights(totals: DataFrame, categories: DataFrame, base: DataFrame) -> DataFrame:
+    """What a month's panel says: the leading category if it has 15 % or more, the share of three if there are three, the largest expense, the band of
+    spending against income by whole percents, and spending's change by ten whole percents or more. Months without spending have no row."""
+    expenses = base.where("amount_cents < 0").groupBy(*MONTH).agg(F.min_by(F.struct("merchant", (-F.col("amount_cents")).alias("cents")), F.struct("amount_cents", "tx_date", "tx_id", "merchant")).alias("largest"))
+    third = categories.where("spending_cents > 0").groupBy(*MONTH).agg(F.count("*").alias("categories"))
     tops = concentration(categories)
     before = totals.select("user_id", (month_index() + 1).alias("at"), F.col("spending_cents").alias("before_cents"))
     joined = totals.withColumn("at", month_index()).join(before, ["user_id", "at"], "left").join(tops, MONTH, "left")
-    ratio = F.when(F.col("income_cents") > 0, F.col("spending_cents") / F.col("income_cents"))
-    change = (F.col("spending_cents") - F.col("before_cents")) / F.when(F.col("before_cents") > 0, F.col("before_cents"))
-    return joined.select(
-        *MONTH, F.when(F.col("top_share") >= 0.15, F.col("top_category")).alias("leading_category"), half_up(F.col("top3_share") * 100).alias("top3_percent"),
-        F.when(ratio.isNull(), "no income").when(ratio > 1, "over").when(ratio > 0.8, "tight").otherwise("comfortable").alias("ratio_band"),
-        F.when(F.abs(change) >= 0.1, half_up(change * 100)).alias("change_percent"),
+    ratio = F.when(F.col("income_cents") > 0, half_up(F.col("spending_cents") / F.col("income_cents") * 100))
+    change = half_up((F.col("spending_cents") - F.col("before_cents")) / F.when(F.col("before_cents") > 0, F.col("before_cents")) * 100)
+    return joined.join(expenses, MONTH).join(third, MONTH).select(
+        *MONTH, F.when(F.col("top_share") >= 0.15, F.col("top_category")).alias("leading_category"), F.when(F.col("categories") >= 3, half_up(F.col("top3_share") * 100)).alias("top3_percent"),
+        F.col("largest.merchant").alias("largest_merchant"), F.col("largest.cents").alias("largest_cents"), ratio.alias("ratio_percent"),
+        F.when(ratio.isNull(), "no income").when(ratio > 95, "over").when(ratio > 80, "elevated").when(ratio < 55, "strong").otherwise("healthy").alias("ratio_band"),
+        F.when(F.abs(change) >= 10, change).alias("change_percent"),
     )
 
 
 def merchant_visits(base: DataFrame, asked: Column) -> DataFrame:
-    """Visits of each user's merchants that asked picks: number, total, mean, visits a week to one place, and the days in order."""
+    """Visits a month of each user's merchants that asked picks: number, total, mean, tenths of visits a week of the whole month, the days in order, and
+    the first visit's category."""
     spent = base.where((F.col("amount_cents") < 0) & asked)
-    by = spent.groupBy("user_id", "merchant").agg(
-        F.count("*").alias("visits"), F.sum(-F.col("amount_cents")).alias("total_cents"), F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date"),
+    by = spent.groupBy(*MONTH, "merchant").agg(
+        F.count("*").alias("visits"), F.sum(-F.col("amount_cents")).alias("total_cents"), F.sort_array(F.collect_list("tx_date")).alias("dates"), F.min_by("category", F.struct("tx_date", "tx_id", "category")).alias("category"),
     )
-    weeks = F.greatest(F.lit(1.0), (F.datediff("last_date", "first_date") + 1) / 7)
+    weeks = F.day(F.last_day(F.make_date("year", "month", F.lit(1)))) / 7
     return by.withColumns({"mean_cents": half_up(F.col("total_cents") / F.col("visits")), "weekly_tenths": half_up(F.col("visits") / weeks * 10)})

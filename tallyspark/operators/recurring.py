@@ -49,7 +49,9 @@ def month_index_of(date: str) -> Column:
     return F.year(date) * 12 + F.month(date) - 1
 
 
-RECURRING_CATEGORIES = ["subscriptions", "utilities", "insurance", "rent", "housing", "memberships"]
+# Categories whose charges recur, and those of them that name a subscription the user knows of.
+RECURRING_CATEGORIES = ["subscriptions", "entertainment", "utilities", "health", "insurance", "memberships", "housing", "loans", "internet", "phone", "cable", "recurring"]
+KNOWN_CATEGORIES = ["subscriptions", "utilities", "insurance", "memberships", "housing", "loans", "internet", "phone", "cable", "recurring"]
 
 
 def recurring_charges(ledger: DataFrame) -> DataFrame:
@@ -132,6 +134,12 @@ def subscriptions(ledger: DataFrame, months: int = 12) -> DataFrame:
     )
 
 
+def known_subscriptions(ledger: DataFrame) -> DataFrame:
+    """Subscriptions of merchants that the user has an expense of in a category that names subscriptions, in any case."""
+    chosen = ledger.where(F.lower("app_category").isin(KNOWN_CATEGORIES) & (F.col("amount_cents") < 0) & ~F.coalesce("is_excluded", F.lit(False)))
+    return subscriptions(ledger).join(chosen.select(*KEY).distinct(), KEY, "left_semi")
+
+
 # Words of trials.
 TRIAL_KEYWORDS = ["trial", "free", "30day", "14day", "7day", "freetrial", "free trial"]
 

@@ -19,10 +19,11 @@ def _ranked(rows: DataFrame, name: str, order: list[Column], shown: list[str], m
     return placed.groupBy(UPLOAD).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", *shown))), lambda x: F.struct(*(x[c].alias(c) for c in shown))).alias(name))
 
 
-def scan_report(rows: DataFrame, issues: DataFrame, most: int = 10) -> DataFrame:
-    """rows (upload_id, tx_id, merchant, category, amount_cents, fingerprint, is_possible_duplicate, balance_valid) and issues (upload_id, severity) to one row an
-    upload: totals, duplicate groups, leading merchants and categories (a whole percent of spending each), balance breaks, issues
-    by severity (errors high, warnings medium, others low)."""
+def scan_report(rows: DataFrame, issues: DataFrame, recurring: DataFrame, alerts: DataFrame, most: int = 10) -> DataFrame:
+    """rows (upload_id, tx_id, merchant, category, amount_cents, fingerprint, is_possible_duplicate, balance_valid), issues (upload_id, severity), recurring charges
+    (upload_id, merchant, mean_cents) and alerts (upload_id, kind, subject) to one row an upload: totals, duplicate groups, leading merchants and
+    categories (a whole percent of spending each), balance breaks, issues by severity (errors high, warnings medium, others low), recurring charges,
+    the largest first, with their sum, and alerts with their number."""
     spent = F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(0)
     same = F.when(F.col("is_possible_duplicate"), F.when(F.coalesce("fingerprint", F.lit("")) != "", F.col("fingerprint")).otherwise(F.concat(F.lit("tx"), F.col("tx_id").cast("string"))))
     totals = rows.groupBy(UPLOAD).agg(
@@ -36,21 +37,41 @@ def scan_report(rows: DataFrame, issues: DataFrame, most: int = 10) -> DataFrame
     categories = categories.withColumn("percent", half_up(F.col("cents") * 100 / F.sum("cents").over(Window.partitionBy(UPLOAD))))
     found = issues.groupBy(UPLOAD).agg(
         F.count_if(F.upper("severity") == "ERROR").alias("high"), F.count_if(F.upper("severity") == "WARNING").alias("medium"), F.count_if(~F.upper("severity").isin("ERROR", "WARNING")).alias("low"))
-    out = totals.join(groups, UPLOAD, "left").join(found, UPLOAD, "left").fillna(0, ["duplicate_groups", "high", "medium", "low"])
+    charged = recurring.groupBy(UPLOAD).agg(F.count("*").alias("recurring_count"), F.sum("mean_cents").alias("recurring_cents"))
+    alerted = alerts.groupBy(UPLOAD).agg(F.count("*").alias("alert_count"))
+    out = totals.join(groups, UPLOAD, "left").join(found, UPLOAD, "left").join(charged, UPLOAD, "left").join(alerted, UPLOAD, "left")
+    out = out.fillna(0, ["duplicate_groups", "high", "medium", "low", "recurring_count", "recurring_cents", "alert_count"])
+    out = out.join(_ranked(recurring, "recurring", [F.desc("mean_cents"), F.col("merchant")], ["merchant", "mean_cents"]), UPLOAD, "left")
+    out = out.join(_ranked(alerts, "alerts", [F.col("kind"), F.col("subject")], ["kind", "subject"]), UPLOAD, "left")
     out = out.join(_ranked(merchants, "merchants", [F.desc("cents"), F.col("merchant")], ["merchant", "cents", "visits"], most), UPLOAD, "left")
     return out.join(_ranked(categories, "categories", [F.desc("cents"), F.col("category")], ["category", "cents", "percent"]), UPLOAD, "left")
 
 
+# The sentences of a scan's summary; {} stand for a count with its noun, or an amount.
+SAID = {
+    "first": "This statement contains {} with {} in income and {} in spending, resulting in {}.", "recurring": "{} were detected totaling an estimated {} per month.",
+    "flags": "The scan flagged {} that may need your review.", "top": "Your top merchant by spending was {} at {}.", "grave": "There {} that could affect accuracy.",
+}
+
+
+def _said(name: str, *values: Column) -> Column:
+    parts = SAID[name].split("{}")
+    return F.concat(F.lit(parts[0]), *(x for value, part in zip(values, parts[1:], strict=True) for x in (value, F.lit(part))))
+
+
 def narrative(report: DataFrame) -> DataFrame:
     """scan_report with a text that says it."""
-    n, high, top = F.col("tx_count"), F.col("high"), F.get("merchants", F.lit(0))
-    several = lambda c, one, many: F.concat(c.cast("string"), F.when(c == 1, one).otherwise(many))
+    several = lambda c, one, many: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, one).otherwise(many))
     net = F.concat(F.when(F.col("net_cents") >= 0, "a surplus of ").otherwise("a deficit of "), f.money(F.abs("net_cents")))
-    first = F.concat(F.lit("This statement contains "), several(n, " transaction", " transactions"), F.lit(" with "), f.money(F.col("income_cents")), F.lit(" in income and "), f.money(F.col("spending_cents")), F.lit(" in spending, resulting in "), net, F.lit("."))
-    doubled = F.when(F.col("duplicate_groups") > 0, F.concat(F.lit("The scan flagged "), several(F.col("duplicate_groups"), " possible duplicate", " possible duplicates"), F.lit(" that may need your review.")))
-    leading = F.when(top.isNotNull(), F.concat(F.lit("Your top merchant by spending was "), top["merchant"], F.lit(" at "), f.money(top["cents"]), F.lit(".")))
-    grave = F.when(high > 0, F.concat(F.when(high == 1, "There is ").otherwise("There are "), several(high, " high-severity ingestion issue", " high-severity ingestion issues"), F.lit(" that could affect accuracy.")))
-    return report.withColumn("narrative", F.concat_ws(" ", first, doubled, leading, grave))
+    top = F.get("merchants", F.lit(0))
+    flags = F.concat_ws(
+        " and ", F.when(F.col("duplicate_groups") > 0, several("duplicate_groups", " possible duplicate", " possible duplicates")), F.when(F.col("alert_count") > 0, several("alert_count", " anomaly", " anomalies")))
+    grave = F.concat(F.when(F.col("high") == 1, "is ").otherwise("are "), several("high", " high-severity ingestion issue", " high-severity ingestion issues"))
+    return report.withColumn("narrative", F.concat_ws(
+        " ", _said("first", several("tx_count", " transaction", " transactions"), f.money(F.col("income_cents")), f.money(F.col("spending_cents")), net),
+        F.when(F.col("recurring_count") > 0, _said("recurring", several("recurring_count", " recurring subscription", " recurring subscriptions"), f.money(F.col("recurring_cents")))),
+        F.when(flags != "", _said("flags", flags)), F.when(top.isNotNull(), _said("top", top["merchant"], f.money(top["cents"]))), F.when(F.col("high") > 0, _said("grave", grave)),
+    ))
 
 
 def import_report(rows: DataFrame) -> DataFrame:
@@ -87,6 +108,7 @@ COMMITMENTS = {
     "membership": r"\b(gym|fitness|planet fitness|car wash|wash|costco|sam.?s|membership|club|association|anytime|equinox|ymca|crossfit|amazon|apple|google one)\b",
     "insurance": r"\b(insurance|insur|geico|allstate|state farm|progressive|nationwide|usaa|aaa|travelers|liberty mutual|farmers|hartford)\b",
 }
+# Categories of commitments.
 CATEGORY_COMMITMENTS = {"loan": "loan|mortgage", "utility": "utility|phone|internet|cable", "streaming": "entertainment|streaming", "membership": "membership|subscription", "insurance": "insurance"}
 
 

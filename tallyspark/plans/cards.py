@@ -217,7 +217,7 @@ QUERIES = {
     ),
     "d17_personality": (
         lambda s, d: m.personality(_signals(s, d)).select("user_id", "year", "month", "personality"),
-        BASE + """, g AS (SELECT t.user_id, t.year, t.month, income_cents AS i, net_cents AS n, spending_cents AS s, top_share * 100 AS tp, (top3_share - top_share) * 50 AS sp, t.month % 7 AS subs, t.year % 6 AS a,
+        BASE + """, g AS (SELECT t.user_id, t.year, t.month, income_cents AS i, net_cents AS n, spending_cents AS s, top_share * 100 AS tp, second_share * 100 AS sp, t.month % 7 AS subs, t.year % 6 AS a,
             CASE WHEN t.month % 2 = 0 THEN 'bank' ELSE 'credit' END AS k, (t.user_id % 10) / 10::DOUBLE AS u, t.user_id % 3 = 0 AS it, t.user_id % 4 = 0 AS bc FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month),
         h AS (SELECT *, CASE WHEN i > 0 THEN CAST(s AS DOUBLE) / i ELSE 1 END AS r, CASE WHEN i > 0 THEN CAST(n AS DOUBLE) / i ELSE 0 END AS sv, coalesce(tp, 0) - coalesce(sp, 0) AS spread FROM g)
         SELECT user_id, year, month, CASE WHEN i >= 1000000 AND r < 0.5::DOUBLE AND sv > 0.4::DOUBLE THEN 'quiet_millionaire' WHEN r BETWEEN 0.85::DOUBLE AND 0.95::DOUBLE AND a = 0 AND spread < 10 THEN 'strategic_deployer'
@@ -230,17 +230,21 @@ QUERIES = {
           WHEN n > 0 AND r < 0.9::DOUBLE THEN 'savvy_spender' ELSE 'steady_builder' END AS personality FROM h""",
     ),
     "d19_panel_insights": (
-        lambda s, d: m.panel_insights(_totals(s, d), _cats(s, d)),
+        lambda s, d: m.panel_insights(_totals(s, d), _cats(s, d), _base(s, d)),
         BASE + f""", j AS (SELECT t.*, top_category, top_share, top3_share, CAST(t.spending_cents - b.spending_cents AS DOUBLE) / nullif(b.spending_cents, 0) AS change FROM totals t LEFT JOIN totals b ON t.user_id = b.user_id AND t.mi = b.mi + 1
             LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month)
-        SELECT user_id, year, month, CASE WHEN top_share >= 0.15::DOUBLE THEN top_category END AS leading_category, {CUT.format("top3_share * 100")} AS top3_percent,
-          CASE WHEN income_cents <= 0 THEN 'no income' WHEN spending_cents > income_cents THEN 'over' WHEN CAST(spending_cents AS DOUBLE) / income_cents > 0.8::DOUBLE THEN 'tight' ELSE 'comfortable' END AS ratio_band,
-          CASE WHEN abs(change) >= 0.1::DOUBLE THEN {CUT.format("change * 100")} END AS change_percent FROM j""",
+, x AS (SELECT user_id, year(tx_date) AS year, month(tx_date) AS month, -amount_cents AS largest_cents, merchant AS largest_merchant FROM base WHERE amount_cents < 0 QUALIFY row_number() OVER (PARTITION BY user_id, year(tx_date), month(tx_date) ORDER BY amount_cents, tx_date, tx_id, merchant) = 1),
+        n AS (SELECT user_id, year, month, count(*) AS n FROM cats WHERE spending_cents > 0 GROUP BY ALL),
+        k AS (SELECT j.*, largest_cents, largest_merchant, n, CASE WHEN income_cents > 0 THEN {CUT.format("CAST(spending_cents AS DOUBLE) / income_cents * 100")} END AS ratio_percent, {CUT.format("change * 100")} AS pct FROM j JOIN x ON j.user_id = x.user_id AND j.year = x.year AND j.month = x.month JOIN n ON j.user_id = n.user_id AND j.year = n.year AND j.month = n.month)
+        SELECT user_id, year, month, CASE WHEN top_share >= 0.15::DOUBLE THEN top_category END AS leading_category, CASE WHEN n >= 3 THEN {CUT.format("top3_share * 100")} END AS top3_percent, largest_merchant, largest_cents, ratio_percent,
+          CASE WHEN ratio_percent IS NULL THEN 'no income' WHEN ratio_percent > 95 THEN 'over' WHEN ratio_percent > 80 THEN 'elevated' WHEN ratio_percent < 55 THEN 'strong' ELSE 'healthy' END AS ratio_band,
+          CASE WHEN abs(pct) >= 10 THEN pct END AS change_percent FROM k""",
     ),
     "d26_merchant_visits": (
-        lambda s, d: m.merchant_visits(_base(s, d), F.col("merchant").ilike("%e%")).select("user_id", "merchant", "visits", "total_cents", "first_date", "last_date", "mean_cents", "weekly_tenths"),
-        BASE + f""", v AS (SELECT user_id, merchant, count(*) AS visits, CAST(sum(-amount_cents) AS BIGINT) AS total_cents, min(tx_date) AS first_date, max(tx_date) AS last_date FROM base WHERE amount_cents < 0 AND merchant ILIKE '%e%' GROUP BY ALL)
-        SELECT *, {CUT.format("CAST(total_cents AS DOUBLE) / visits")} AS mean_cents, {CUT.format("visits / greatest(1, CAST(last_date - first_date + 1 AS DOUBLE) / 7) * 10")} AS weekly_tenths FROM v""",
+        lambda s, d: m.merchant_visits(_base(s, d), F.col("merchant").ilike("%e%")).withColumn("dates", F.array_join("dates", ",")),
+        BASE + f""", v AS (SELECT user_id, CAST(year(tx_date) AS INT) AS year, CAST(month(tx_date) AS INT) AS month, merchant, count(*) AS visits, CAST(sum(-amount_cents) AS BIGINT) AS total_cents, string_agg(CAST(tx_date AS VARCHAR), ',' ORDER BY tx_date) AS dates, arg_min(category, (tx_date, tx_id, category)) AS category,
+          any_value(day(last_day(tx_date))) AS days FROM base WHERE amount_cents < 0 AND merchant ILIKE '%e%' GROUP BY ALL)
+        SELECT * EXCLUDE (days), {CUT.format("CAST(total_cents AS DOUBLE) / visits")} AS mean_cents, {CUT.format("visits / (CAST(days AS DOUBLE) / 7) * 10")} AS weekly_tenths FROM v""",
     ),
 }
 
@@ -249,7 +253,7 @@ def _signals(spark, d):
     """Months' totals with made-up signs of statements."""
     totals, tops = _totals(spark, d), m.concentration(_cats(spark, d))
     return totals.join(tops, ["user_id", "year", "month"], "left").select(
-        "user_id", "year", "month", "income_cents", "spending_cents", "net_cents", (F.col("top_share") * 100).alias("top_percent"), ((F.col("top3_share") - F.col("top_share")) * 50).alias("second_percent"),
+        "user_id", "year", "month", "income_cents", "spending_cents", "net_cents", (F.col("top_share") * 100).alias("top_percent"), (F.col("second_share") * 100).alias("second_percent"),
         (F.col("month") % 7).alias("subscriptions"), (F.col("year") % 6).alias("anomalies"), F.when(F.col("month") % 2 == 0, "bank").otherwise("credit").alias("statement_type"),
         ((F.col("user_id") % 10) / 10).alias("utilization"), (F.col("user_id") % 3 == 0).alias("interest"), (F.col("user_id") % 4 == 0).alias("balance_carried"),
     )

@@ -32,8 +32,21 @@ WIDE = f"""WITH {ledgers.SQL}, w AS (SELECT tx_id, user_id, account_id, tx_date,
 PLACE = "CAST(row_number() OVER (PARTITION BY user_id ORDER BY {0}) AS INT)"
 
 
+def _exportable(spark, d):
+    """The month's ledger with all that an export says."""
+    k = F.col("tx_id")
+    return _wide(spark, d).withColumns({
+        "merchant": F.when(k % 10 == 0, "").when(k % 10 > 1, F.col("merchant")), "description_raw": F.when(k % 12 > 0, F.concat(F.lit("raw, "), k.cast("string"))), "currency": F.lit("USD"), "source": F.lit("rule"),
+        "is_pending": k % 13 == 0, "foreign_currency": F.when(k % 59 == 0, "EUR"), "balance_cents": F.when(k % 4 > 0, F.col("amount_cents") - 12345), "check_number": F.when(k % 15 == 0, F.concat(F.lit("00"), k.cast("string"))),
+        "bank_id": F.when(k % 3 == 0, F.concat(F.lit("b"), k.cast("string"))),
+    })
+
+
+DECIMAL = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || CAST(abs({0}) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({0}) % 100 AS VARCHAR), 2, '0')"
+
+
 def _dims(spark):
-    accounts = spark.range(3).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("account_id"), F.concat(F.lit("Account "), F.col("id").cast("string")).alias("account_name"), F.when(F.col("id") < 2, "First, Bank").alias("institution"))
+    accounts = spark.range(3).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("account_id"), F.concat(F.lit("Account "), F.col("id").cast("string")).alias("account_name"))
     uploads = spark.range(0, 100_000, 2).select(F.col("id").alias("upload_id"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".csv")).alias("filename"))
     return accounts, uploads
 
@@ -140,10 +153,12 @@ QUERIES = {
         SELECT user_id, tx_id, tx_date, merchant, -amount_cents AS size_cents, 'C2' AS shown_category FROM a WHERE place <= 500 AND override_category = 'C2'""",
     ),
     "s28_export_lines": (
-        lambda s, d: l.csv_lines(l.exported(_wide(s, d), *_dims(s))),
-        WIDE + f"""SELECT user_id, {PLACE.format("tx_date DESC, tx_id")} AS place, CAST(tx_date AS VARCHAR) || ',"' || replace(description, '"', '""') || '",' || merchant || ',' || CASE WHEN amount_cents < 0 THEN '-' ELSE '' END || CAST(abs(amount_cents) // 100 AS VARCHAR) || '.' || lpad(CAST(abs(amount_cents) % 100 AS VARCHAR), 2, '0')
-            || ',' || CASE WHEN is_transfer THEN 'transfer' WHEN amount_cents >= 0 THEN 'income' ELSE 'expense' END || ',' || coalesce(override_category, category, app_category, '') || ',' || bank_category || ',Account ' || account_id[2:] || ',' || CASE WHEN account_id = 'a2' THEN '' ELSE '"First, Bank"' END
-            || ',' || status || ',' || is_possible_duplicate || ',' || CASE WHEN upload_id % 2 = 0 THEN 'f' || upload_id || '.csv' ELSE '' END AS line FROM w""",
+        lambda s, d: l.csv_lines(l.exported(_exportable(s, d), *_dims(s))),
+        WIDE + f""", c AS (SELECT *, {PLACE.format("tx_date DESC, tx_id")} AS place FROM w)
+            SELECT user_id, place, CAST(tx_date AS VARCHAR) || ',' || CASE WHEN tx_id % 10 > 1 THEN merchant ELSE '"' || replace(description, '"', '""') || '"' END || ',' || CASE WHEN tx_id % 12 = 0 THEN '' ELSE '"raw, ' || tx_id || '"' END
+            || ',' || {DECIMAL.format("amount_cents")} || ',USD,' || CASE WHEN is_transfer THEN 'transfer' WHEN amount_cents >= 0 THEN 'income' ELSE 'expense' END || ',' || coalesce(override_category, category, '') || ',' || CASE WHEN override_category IS NOT NULL THEN 'user' ELSE 'rule' END
+            || ',Account ' || account_id[2:] || ',' || CASE WHEN upload_id % 2 = 0 THEN 'f' || upload_id || '.csv' ELSE '' END || ',' || status || ',' || (tx_id % 13 = 0) || ',' || is_transfer || ',' || (tx_id % 59 = 0) || ',' || CASE WHEN tx_id % 59 = 0 THEN 'EUR' ELSE '' END
+            || ',' || CASE WHEN tx_id % 4 = 0 THEN '' ELSE {DECIMAL.format("amount_cents - 12345")} END || ',' || CASE WHEN tx_id % 15 = 0 THEN '00' || tx_id ELSE '' END || ',' || CASE WHEN tx_id % 3 = 0 THEN 'b' || tx_id ELSE '' END AS line FROM c""",
     ),
     "t07_newest": (
         lambda s, d: l.newest(_wide(s, d).groupBy("user_id", "upload_id").agg(F.max("tx_date").alias("last_date")), ["user_id"], [F.desc("last_date"), F.desc("upload_id")], 5).select("user_id", "upload_id", "place"),

@@ -37,6 +37,7 @@ ranked AS (
 tops AS (
   SELECT user_id, year, month, max(CASE WHEN k = 1 THEN category END) AS top_category, max(CASE WHEN k = 2 THEN category END) AS second_category,
          CAST(sum(CASE WHEN k = 1 THEN spending_cents END) AS DOUBLE) / CAST(sum(spending_cents) AS DOUBLE) AS top_share,
+         CAST(sum(CASE WHEN k = 2 THEN spending_cents END) AS DOUBLE) / CAST(sum(spending_cents) AS DOUBLE) AS second_share,
          CAST(sum(CASE WHEN k <= 3 THEN spending_cents END) AS DOUBLE) / CAST(sum(spending_cents) AS DOUBLE) AS top3_share
   FROM ranked GROUP BY user_id, year, month
 ),
@@ -47,6 +48,13 @@ rolling AS (
 """
 
 
+def _described(spark, d):
+    """The order lines with descriptions, of which a few speak of cards or of interest."""
+    lines = ledgers.ledger_li(spark, d, keep=["l_partkey"])
+    k = F.col("l_partkey")
+    return lines.withColumn("description", F.when(k % 401 == 5, "VISA Payment 12").when(k % 311 == 7, "Purchase Interest Charge").otherwise(F.col("merchant"))).drop("l_partkey")
+
+
 def _base(spark, d):
     return m.analytic_base(ledgers.ledger_li(spark, d))
 
@@ -145,12 +153,13 @@ QUERIES = {
             FROM ledger_ev JOIN t ON user_id = u WHERE {KEEP} AND amount_cents < 0 AND -amount_cents > threshold_cents QUALIFY rank <= 10""",
     ),
     "d05_month_summary": (
-        lambda s, d: m.month_summary(ledgers.ledger_li(s, d)),
+        lambda s, d: m.month_summary(_described(s, d), "description"),
         BASE + """SELECT t.user_id, t.year, t.month, income_cents, spending_cents, net_cents, tx_count, income_count, first_date, last_date,
                   date_diff('day', first_date, last_date) + 1 < 0.9::DOUBLE * day(last_day(last_date)) AS is_partial,
-                  CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n ELSE 0.0::DOUBLE END AS avg_cents, top_category, second_category, top_share, top3_share,
-                  CASE WHEN net_cents < 0 THEN 'deficit' WHEN net_cents < income_cents * 0.05::DOUBLE THEN 'tight' ELSE 'surplus' END AS statement_kind
-                  FROM totals t JOIN rolling r ON t.user_id = r.user_id AND t.mi = r.mi LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month""",
+                  CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n ELSE 0.0::DOUBLE END AS avg_cents, top_category, second_category, top_share, second_share, top3_share, statement_type, interest_detected
+                  FROM totals t JOIN (SELECT user_id, year, month, CASE WHEN bool_or(l_partkey % 401 = 5) THEN 'credit' ELSE 'unknown' END AS statement_type, bool_or(l_partkey % 311 = 7) AS interest_detected FROM (SELECT user_id, year(tx_date) AS year, month(tx_date) AS month, l_partkey
+                    FROM (SELECT o_custkey % 20 AS user_id, CAST(o_orderdate AS DATE) AS tx_date, l_partkey, l_suppkey, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) AS x FROM lines) WHERE l_suppkey % 37 <> 0 AND l_suppkey % 41 <> 0 AND l_partkey % 53 <> 0 AND l_partkey % 59 <> 0 AND x <> 0)
+                    GROUP BY ALL) g ON t.user_id = g.user_id AND t.year = g.year AND t.month = g.month JOIN rolling r ON t.user_id = r.user_id AND t.mi = r.mi LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month""",
     ),
     "d08_month_comparison": (
         lambda s, d: m.compare(_cats(s, d)),

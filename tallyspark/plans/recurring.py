@@ -119,7 +119,7 @@ QUERIES = {
     ),
     "d13_recurring_charges": (
         lambda s, d: r.recurring_charges(ledgers.ledger_rec(s, d)),
-        STATS + """, f AS (SELECT *, coalesce(lower(usual_category) IN ('subscriptions', 'utilities', 'insurance', 'rent', 'housing', 'memberships'), false) AS in_category,
+        STATS + """, f AS (SELECT *, coalesce(lower(usual_category) IN ('subscriptions', 'entertainment', 'utilities', 'health', 'insurance', 'memberships', 'housing', 'loans', 'internet', 'phone', 'cable', 'recurring'), false) AS in_category,
             coalesce(pattern IS NOT NULL AND cv <= 40 AND (cv <= 15 OR gap_cv <= 25), false) AS recurs FROM stats WHERE mean >= 200)
         SELECT user_id, merchant, usual_category, n, months, CAST(floor(mean + 0.5) AS BIGINT) AS mean_cents, pattern,
           CASE WHEN cv <= 15 THEN 'high' WHEN cv <= 40 THEN 'variable' ELSE 'low' END AS amount_kind,

@@ -37,13 +37,24 @@ cg AS (SELECT upload_id, coalesce(category, 'Uncategorized') AS category, CAST(s
 cr AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY cents DESC, category) AS k, CAST(floor(CAST(cents * 100 AS DOUBLE) / sum(cents) OVER (PARTITION BY upload_id) + 0.5) AS BIGINT) AS pct FROM cg),
 cc AS (SELECT upload_id, string_agg(category || ':' || cents || ':' || pct, ',' ORDER BY k) AS categories FROM cr GROUP BY upload_id)
 """
-MONEY = "('$' || CAST(({0}) // 100 AS VARCHAR) || '.' || lpad(CAST(({0}) % 100 AS VARCHAR), 2, '0'))"
+MONEY = "('$' || format('{{:,}}', ({0}) // 100) || '.' || lpad(CAST(({0}) % 100 AS VARCHAR), 2, '0'))"
 
 
 def _joined(name, *parts):
     return F.array_join(F.transform(name, lambda x: F.concat_ws(":", *(x[p].cast("string") for p in parts))), ",")
 
 
+def _charges(spark, d):
+    """Merchants of an upload with many expenses as its recurring charges; some uploads have none."""
+    upload = F.floor(F.col("tx_id") / 500).cast("long")
+    by = ledgers.ledger_ev(spark, d).where("amount_cents < 0").withColumn("upload_id", upload).where("upload_id % 4 > 0").groupBy("upload_id", "merchant").agg(F.max(-F.col("amount_cents")).alias("mean_cents"), F.count("*").alias("n"))
+    return by.where("n > 12 + upload_id % 4").select("upload_id", "merchant", "mean_cents")
+
+
+def _alerts(spark, d):
+    return ledgers.ledger_ev(spark, d).where("tx_id % 211 = 0").select(F.floor(F.col("tx_id") / 500).cast("long").alias("upload_id"), F.col("app_category").alias("kind"), F.col("tx_id").cast("string").alias("subject"))
+
+
 def _imported(spark, d):
     k = F.col("tx_id")
     return ledgers.ledger_ev(spark, d).select(
@@ -53,25 +64,30 @@ def _imported(spark, d):
 
 
 def _known(spark, d):
-    """Subscriptions of merchants that the user has put into a category."""
     from tallyspark.operators import recurring
 
-    chosen = ledgers.ledger_rec(spark, d).where("app_category IS NOT NULL").select("user_id", "merchant").distinct()
-    return recurring.subscriptions(ledgers.ledger_rec(spark, d)).join(chosen, ["user_id", "merchant"], "left_semi").select("user_id", "merchant", "price_cents")
+    return recurring.known_subscriptions(ledgers.ledger_rec(spark, d)).select("user_id", "merchant", "price_cents")
 
 
 QUERIES = {
     "r01_scan_report": (
-        lambda s, d: rep.narrative(rep.scan_report(_rows(s, d), _issues(s, d))).select(
-            "upload_id", "tx_count", "income_cents", "spending_cents", "net_cents", "balance_breaks", "duplicate_groups", "high", "medium", "low", _joined("merchants", "merchant", "cents", "visits").alias("merchants"),
-            _joined("categories", "category", "cents", "percent").alias("categories"), "narrative"),
-        ROWS + f"""SELECT upload_id, tx_count, income_cents, spending_cents, income_cents - spending_cents AS net_cents, balance_breaks, duplicate_groups, high, medium, low, merchants, categories,
+        lambda s, d: rep.narrative(rep.scan_report(_rows(s, d), _issues(s, d), _charges(s, d), _alerts(s, d))).select(
+            "upload_id", "tx_count", "income_cents", "spending_cents", "net_cents", "balance_breaks", "duplicate_groups", "high", "medium", "low", "recurring_count", "recurring_cents", "alert_count",
+            _joined("merchants", "merchant", "cents", "visits").alias("merchants"), _joined("categories", "category", "cents", "percent").alias("categories"), _joined("recurring", "merchant", "mean_cents").alias("recurring"),
+            _joined("alerts", "kind", "subject").alias("alerts"), "narrative"),
+        ROWS + f""", rc AS (SELECT upload_id, count(*) AS recurring_count, CAST(sum(mean_cents) AS BIGINT) AS recurring_cents, string_agg(merchant || ':' || mean_cents, ',' ORDER BY mean_cents DESC, merchant) AS recurring FROM
+            (SELECT tx_id // 500 AS upload_id, merchant, CAST(max(-amount_cents) AS BIGINT) AS mean_cents FROM ledger_ev WHERE amount_cents < 0 AND (tx_id // 500) % 4 > 0 GROUP BY ALL HAVING count(*) > 12 + (tx_id // 500) % 4) GROUP BY upload_id),
+          al AS (SELECT tx_id // 500 AS upload_id, count(*) AS alert_count, string_agg(app_category || ':' || tx_id, ',' ORDER BY app_category, CAST(tx_id AS VARCHAR)) AS alerts FROM ledger_ev WHERE tx_id % 211 = 0 GROUP BY ALL)
+          SELECT upload_id, tx_count, income_cents, spending_cents, income_cents - spending_cents AS net_cents, balance_breaks, duplicate_groups, high, medium, low, coalesce(recurring_count, 0) AS recurring_count, coalesce(recurring_cents, 0) AS recurring_cents,
+          coalesce(alert_count, 0) AS alert_count, merchants, categories, recurring, alerts,
           'This statement contains ' || tx_count || CASE WHEN tx_count = 1 THEN ' transaction' ELSE ' transactions' END || ' with ' || {MONEY.format("income_cents")} || ' in income and ' || {MONEY.format("spending_cents")} || ' in spending, resulting in '
             || CASE WHEN income_cents >= spending_cents THEN 'a surplus of ' ELSE 'a deficit of ' END || {MONEY.format("abs(income_cents - spending_cents)")} || '.'
-            || CASE WHEN duplicate_groups > 0 THEN ' The scan flagged ' || duplicate_groups || CASE WHEN duplicate_groups = 1 THEN ' possible duplicate' ELSE ' possible duplicates' END || ' that may need your review.' ELSE '' END
+            || CASE WHEN recurring_count > 0 THEN ' ' || recurring_count || CASE WHEN recurring_count = 1 THEN ' recurring subscription' ELSE ' recurring subscriptions' END || ' were detected totaling an estimated ' || {MONEY.format("recurring_cents")} || ' per month.' ELSE '' END
+            || CASE WHEN duplicate_groups > 0 OR alert_count > 0 THEN ' The scan flagged ' || concat_ws(' and ', CASE WHEN duplicate_groups > 0 THEN duplicate_groups || CASE WHEN duplicate_groups = 1 THEN ' possible duplicate' ELSE ' possible duplicates' END END,
+                CASE WHEN alert_count > 0 THEN alert_count || CASE WHEN alert_count = 1 THEN ' anomaly' ELSE ' anomalies' END END) || ' that may need your review.' ELSE '' END
             || ' Your top merchant by spending was ' || top || ' at ' || {MONEY.format("top_cents")} || '.'
             || CASE WHEN high > 0 THEN CASE WHEN high = 1 THEN ' There is ' ELSE ' There are ' END || high || CASE WHEN high = 1 THEN ' high-severity ingestion issue' ELSE ' high-severity ingestion issues' END || ' that could affect accuracy.' ELSE '' END AS narrative
-          FROM tt JOIN mm USING (upload_id) JOIN cc USING (upload_id)""",
+          FROM tt JOIN mm USING (upload_id) JOIN cc USING (upload_id) LEFT JOIN rc USING (upload_id) LEFT JOIN al USING (upload_id)""",
     ),
     "r02_import_report": (
         lambda s, d: rep.import_report(_imported(s, d)),
@@ -112,7 +128,7 @@ QUERIES = {
     ),
     "j13_known_subscriptions": (
         _known,
-        SUBS + f""", o AS ({SUBS_OUT}) SELECT user_id, merchant, price_cents FROM o SEMI JOIN (SELECT user_id, merchant FROM ledger_rec WHERE app_category IS NOT NULL) USING (user_id, merchant)""",
+        SUBS + f""", o AS ({SUBS_OUT}) SELECT user_id, merchant, price_cents FROM o SEMI JOIN (SELECT user_id, merchant FROM ledger_rec WHERE NOT is_excluded AND amount_cents < 0 AND lower(app_category) IN ('subscriptions', 'utilities', 'insurance', 'memberships', 'housing', 'loans', 'internet', 'phone', 'cable', 'recurring')) USING (user_id, merchant)""",
     ),
     "k09_weak_categories": (
         lambda s, d: r.weak_categories(ledgers.ledger_ev(s, d).select("tx_id", F.when(F.col("tx_id") % 7 == 0, "Other").otherwise("Food").alias("category"), (F.col("tx_id") % 10 / 10).alias("confidence"), F.when(F.col("tx_id") % 3 > 0, F.col("tx_id") % 3 == 1).alias("reviewed"))).select("tx_id"),

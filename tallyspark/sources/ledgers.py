@@ -27,7 +27,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def ledger_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_li(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """80 months, 20 users: order lines as spending, returned ones as income."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     lines = _lines(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -40,10 +40,14 @@ def ledger_li(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("merchant"),
         F.when(F.col("l_partkey") % 23 == 0, F.lit(None)).when(F.col("l_partkey") % 29 == 0, F.lit("  ")).otherwise(F.col("p_type")).alias("app_category"),
         F.when(F.col("l_returnflag") == "R", cents).otherwise(-cents).alias("amount_cents"),
-        *[c.alias(n) for n, c in _flags("l_suppkey", "l_partkey").items()],
+        *[c.alias(n) for n, c in _flags("l_suppkey", "l_partkey").items()], *(keep or []),
     )
 
 
+#: Categories of the recurring ledger's merchants 10 to 19.
+KINDS = ["Groceries", "Entertainment", "health", "LOANS", "Internet", "Phone", "Cable", "Recurring", "Rent", "Housing"]
+
+
 def ledger_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring charges: 50 merchants a user, most with a fixed price."""
     fixed = (500 + 100 * (F.col("l_partkey") % 50) + F.col("l_linenumber")).cast("long")
@@ -54,7 +58,7 @@ def ledger_rec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("account_id"),
         F.col("o_orderdate").cast("date").alias("tx_date"),
         F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("merchant"),
-        F.when(F.col("l_partkey") % 50 < 10, F.lit("Subscriptions")).when(F.col("l_partkey") % 50 < 20, F.lit("Groceries")).alias("app_category"),
+        F.when(F.col("l_partkey") % 50 < 10, F.lit("Subscriptions")).when(F.col("l_partkey") % 50 < 20, F.get(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % 50 - 10).cast("int"))).alias("app_category"),
         (-F.when(F.col("l_partkey") % 5 == 0, varied).otherwise(fixed)).alias("amount_cents"),
         *[c.alias(n) for n, c in _flags("l_suppkey", "l_partkey").items()],
     )
@@ -89,7 +93,7 @@ ledger_li AS (
 ledger_rec AS (
   SELECT l_orderkey * 100 + l_linenumber AS tx_id, o_custkey % 20 AS user_id, o_orderpriority AS account_id,
          CAST(o_orderdate AS DATE) AS tx_date, 'm' || CAST(l_partkey % 50 AS VARCHAR) AS merchant,
-         CASE WHEN l_partkey % 50 < 10 THEN 'Subscriptions' WHEN l_partkey % 50 < 20 THEN 'Groceries' END AS app_category,
+         CASE WHEN l_partkey % 50 < 10 THEN 'Subscriptions' WHEN l_partkey % 50 < 20 THEN ['Groceries', 'Entertainment', 'health', 'LOANS', 'Internet', 'Phone', 'Cable', 'Recurring', 'Rent', 'Housing'][l_partkey % 50 - 9] END AS app_category,
          -CASE WHEN l_partkey % 5 = 0 THEN CAST(floor(l_extendedprice + 0.5) AS BIGINT) ELSE 500 + 100 * (l_partkey % 50) + l_linenumber END AS amount_cents,
          l_suppkey % 37 = 0 AS is_transfer, l_suppkey % 41 = 0 AS is_excluded, l_partkey % 53 = 0 AS is_duplicate, l_partkey % 59 = 0 AS is_foreign
   FROM lines

@@ -18,7 +18,7 @@ def results(spark, values, expression):
 def test_amounts(spark):
     cases = {
         "12.34": "12.34", " $1,234.50 ": "1234.50", "(12.34)": "-12.34", "12.34-": "-12.34", "1.234,56": "1234.56", "12,34": "12.34", "12,345": "12345", "1.234": "1.234", "€ 5": "5", "5 zł": None,
-        "R$7,00": "7.00", "HK$-3": "-3", "-$5.00": None, "($5.00)": None, "": None, "-": None, "abc": None, "Rp 10": "10", "+5": "5", "1,23": "1.23", "1,2": None, "--5": None, None: None,
+        "R$7,00": "7.00", "HK$-3": "-3", "-$5.00": None, "($5.00)": None, "": None, "-": None, "abc": None, "Rp 10": "10", "+5": "5", "1,23": "1.23", "1,2": None, "--5": None, None: None, "1e3": "1000", "0x1F": "31", "2.5e-1": "0.25", "1e": None, "0xg": None, "12.345": "12.35",
     }
     got = results(spark, list(cases), f.normalize_amount)
     assert got == [None if v is None else Decimal(v).quantize(Decimal("0.01")) for v in cases.values()]
@@ -29,7 +29,9 @@ def test_dates(spark):
     cases = {
         "2024-03-15": (day(2024, 3, 15), "RESOLVED"), "03/15/2024": (day(2024, 3, 15), "RESOLVED"), "20/01/2024": (day(2024, 1, 20), "RESOLVED"), "04/05/2024": (None, "AMBIGUOUS"), "": (None, "MISSING"),
         "05/05/24": (day(2024, 5, 5), "RESOLVED"), "20240229": (day(2024, 2, 29), "RESOLVED"), "2023-02-29": (None, "INVALID"), "Mar 5, 2024": (day(2024, 3, 5), "RESOLVED"), "5 March 2024": (day(2024, 3, 5), "RESOLVED"),
-        "13/13/2024": (None, "INVALID"), "soon": (None, "INVALID"), None: (None, "MISSING"),
+        "15-Jan-24": (day(2024, 1, 15), "RESOLVED"), "15/Jan/2024": (day(2024, 1, 15), "RESOLVED"), "Jan 15, 24": (day(2024, 1, 15), "RESOLVED"), "Sept/15 2024": (day(2024, 9, 15), "RESOLVED"), "january 5 2024": (day(2024, 1, 5), "RESOLVED"),
+        "15 - jan - 2024": (day(2024, 1, 15), "RESOLVED"), "2024/03/15": (day(2024, 3, 15), "RESOLVED"), "Marble 5, 2024": (None, "INVALID"), "Jan-15-2024": (None, "INVALID"), "2024-3-5": (None, "INVALID"), "2024-03/15": (None, "INVALID"),
+        "2024-03-15T10:00": (None, "INVALID"), "Jan. 5, 2024": (None, "INVALID"), "1/2/199": (None, "AMBIGUOUS"), "13/13/2024": (None, "INVALID"), "soon": (None, "INVALID"), None: (None, "MISSING"),
     }
     got = results(spark, list(cases), f.normalize_date)
     assert [(r.date, r.status) for r in got] == list(cases.values())
