@@ -5,10 +5,12 @@ A card is (user_id, year, month, card_type, subject, value_cents, priority, conf
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.months import MONTH, half_up, month_index
+from tallyspark.operators.months import MONTH, categories_of, category_history, concentration, half_up, merchants_of, month_index, small_of, totals_of
 
 # Spending that cannot be acted on at once.
 FIXED_COSTS = ["Housing", "Rent", "Mortgage", "Insurance"]
@@ -195,17 +197,38 @@ def shown(stored: DataFrame, as_of: Column, fresh_minutes: int = 60) -> DataFram
     return open_cards.withColumns({"place": place, "is_stale": newest < as_of - F.make_dt_interval(mins=F.lit(fresh_minutes))})
 
 
-def rank_and_cap(cards: DataFrame, cap: int = 8) -> DataFrame:
-    """The first card of each kind by priority and confidence, at most eight a month; rank from 1."""
-    sure = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    order = [F.col("priority"), sure, F.col("card_type"), F.col("subject"), F.col("value_cents")]
-    first = F.row_number().over(Window.partitionBy(*MONTH, "card_type").orderBy(*order))
-    rank = F.row_number().over(Window.partitionBy(*MONTH).orderBy(*order))
-    return cards.withColumn("__n", first).where("__n = 1").drop("__n").withColumn("rank", rank).where(F.col("rank") <= cap)
+# The kinds of cards in the order in which they are made; of equal rank the earlier counts.
+KINDS = [
+    "over_budget", "category_spike", "merchant_spike", "large_transaction", "small_leaks", "subscription_summary", "subscription_new", "trial_warning", "cash_flow_forecast", "fix_opportunity", "merchant_frequency",
+    "mom_income_change", "monthly_summary", "autopsy_small_drain", "autopsy_merchant_concentration", "autopsy_subscription_creep", "autopsy_category_spike", "autopsy_velocity", "monthly_storyline",
+]
 
 
-def all_cards(totals: DataFrame, history: DataFrame, merchants: DataFrame, small: DataFrame) -> DataFrame:
-    cards = over_budget(totals)
-    for more in (category_spike(history), merchant_spike(merchants), small_leaks(small), merchant_frequency(merchants), income_change(totals), monthly_summary(totals)):
-        cards = cards.unionByName(more)
-    return cards
+def rank_and_cap(cards: DataFrame, cap: int = 8) -> DataFrame:
+    """The first card of each kind by priority and confidence, at most eight a month; rank from 1. Of a kind's equal cards the one of the largest value counts."""
+    sure = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    made = F.array_position(F.array(*map(F.lit, KINDS)), F.col("card_type"))
+    order = [F.col("priority"), sure, made, F.desc("value_cents"), F.col("subject")]
+    # a kind's first card by an aggregate, which is combined before the shuffle
+    first = cards.groupBy(*MONTH, "card_type").agg(F.min(F.struct("priority", sure.alias("sure"), (-F.col("value_cents")).alias("minus"), "subject", "confidence")).alias("c"))
+    one = first.select(*MONTH, "card_type", "c.subject", (-F.col("c.minus")).alias("value_cents"), "c.priority", "c.confidence")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(*MONTH).orderBy(*order))).where(F.col("rank") <= cap)
+
+
+def ledger_cards(sets: DataFrame) -> DataFrame:
+    """The seven kinds that month_sets alone give."""
+    totals, history, merchants, small = totals_of(sets), category_history(categories_of(sets)), merchants_of(sets), small_of(sets)
+    kinds = [over_budget(totals), category_spike(history), merchant_spike(merchants), small_leaks(small), merchant_frequency(merchants), income_change(totals), monthly_summary(totals)]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def all_cards(sets: DataFrame, paced: DataFrame, large: DataFrame, subscribed: DataFrame, alerts: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Cards of all kinds. sets: month_sets of the ledger; paced: month_pace of its totals; large: its largest expenses (merchant, amount_cents, rank); subscribed:
+    subscriptions; alerts: trials; duplicates: services of one kind (user_id, service, merchant, price_cents)."""
+    totals, categories, merchants, small = totals_of(sets), categories_of(sets), merchants_of(sets), small_of(sets)
+    kinds = [
+        ledger_cards(sets), large_transaction(large), subscription_summary(totals, subscribed), subscription_new(totals, subscribed), trial_warning(alerts), cash_flow_forecast(paced),
+        fix_opportunity(totals, categories, subscribed, duplicates), small_drain(totals, small), merchant_concentration(totals, merchants), subscription_creep(totals, subscribed),
+        category_jump(category_history(categories)), velocity(paced), storyline(totals, concentration(categories)),
+    ]
+    return reduce(DataFrame.unionByName, kinds)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.sources.scratch import written
+
 MONTH = ["user_id", "year", "month"]
 
 
@@ -48,40 +50,39 @@ def _spending() -> Column:
     return F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(0))
 
 
-def month_cube(base: DataFrame, below_cents: int = 1500) -> DataFrame:
-    """base added up by user, month, category and merchant: one pass over the ledger that totals, categories, merchants and small
-    purchases are all taken from."""
+def month_sets(base: DataFrame, below_cents: int = 1500, by: tuple[str, ...] = ("category", "merchant")) -> DataFrame:
+    """base added up by month, by month and category and by month and merchant in one shuffle, as a small written table that totals, categories,
+    merchants and small purchases are taken from. level: month, or the name of the second key."""
     x = F.col("amount_cents")
     small = (x < 0) & (x > -below_cents)
-    return base.groupBy(*MONTH, "category", "merchant").agg(
-        _income().alias("income_cents"), _spending().alias("spending_cents"), F.count("*").alias("tx_count"), F.count_if(x > 0).alias("income_count"), F.count_if(x < 0).alias("visits"),
+    level = F.coalesce(*(F.when(F.grouping(c) == 0, c) for c in by), F.lit("month"))
+    sums = base.groupingSets([MONTH, *([*MONTH, c] for c in by)], *MONTH, *by).agg(
+        level.alias("level"), _income().alias("income_cents"), _spending().alias("spending_cents"), F.count("*").alias("tx_count"), F.count_if(x > 0).alias("income_count"), F.count_if(x < 0).alias("visits"),
         F.min("tx_date").alias("first_date"), F.max("tx_date").alias("last_date"), F.count_if(small).alias("small_count"), F.sum(F.when(small, -x).otherwise(0)).alias("small_cents"),
     )
+    return written(sums, "month-sets")
 
 
-def totals_of(cube: DataFrame) -> DataFrame:
-    """month_totals, from a month_cube."""
-    total = cube.groupBy(*MONTH).agg(
-        *(F.sum(c).alias(c) for c in ("income_cents", "spending_cents", "tx_count", "income_count")), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")
-    ).withColumn("net_cents", F.col("income_cents") - F.col("spending_cents"))
-    days = F.datediff("last_date", "first_date") + 1
-    return total.withColumn("is_partial", days < F.lit(0.9) * F.day(F.last_day("last_date")))
+def totals_of(sets: DataFrame) -> DataFrame:
+    """month_totals, from month_sets."""
+    total = sets.where("level = 'month'").select(*MONTH, "income_cents", "spending_cents", (F.col("income_cents") - F.col("spending_cents")).alias("net_cents"), "tx_count", "income_count", "first_date", "last_date")
+    return total.withColumn("is_partial", F.datediff("last_date", "first_date") + 1 < F.lit(0.9) * F.day(F.last_day("last_date")))
 
 
-def categories_of(cube: DataFrame) -> DataFrame:
-    """category_totals, from a month_cube."""
-    return _with_shares(cube.groupBy(*MONTH, "category").agg(*(F.sum(c).alias(c) for c in ("income_cents", "spending_cents", "tx_count"))))
+def categories_of(sets: DataFrame) -> DataFrame:
+    """category_totals, from month_sets."""
+    return _with_shares(sets.where("level = 'category'").select(*MONTH, "category", "income_cents", "spending_cents", "tx_count"))
 
 
-def merchants_of(cube: DataFrame) -> DataFrame:
-    """merchant_totals, from a month_cube."""
-    named = cube.where((F.col("visits") > 0) & (F.coalesce("merchant", F.lit("")) != ""))
-    return named.groupBy(*MONTH, "merchant").agg(F.sum("spending_cents").alias("spent_cents"), F.sum("visits").alias("visits"))
+def merchants_of(sets: DataFrame) -> DataFrame:
+    """merchant_totals, from month_sets."""
+    named = sets.where("level = 'merchant' AND visits > 0 AND coalesce(merchant, '') <> ''")
+    return named.select(*MONTH, "merchant", F.col("spending_cents").alias("spent_cents"), "visits")
 
 
-def small_of(cube: DataFrame) -> DataFrame:
-    """Counts and totals of small purchases, from a month_cube."""
-    return cube.where("small_count > 0").groupBy(*MONTH).agg(F.sum("small_count").alias("tx_count"), F.sum("small_cents").alias("total_cents"))
+def small_of(sets: DataFrame) -> DataFrame:
+    """Counts and totals of small purchases, from month_sets."""
+    return sets.where("level = 'month' AND small_count > 0").select(*MONTH, F.col("small_count").alias("tx_count"), F.col("small_cents").alias("total_cents"))
 
 
 def month_totals(base: DataFrame) -> DataFrame:
@@ -332,6 +333,7 @@ def personality(signals: DataFrame) -> DataFrame:
     ratio, saved, spread, odd = F.col("__ratio"), F.col("__saved"), F.col("__spread"), F.col("anomalies")
     bank, credit, carried = F.col("statement_type") == "bank", F.col("statement_type") == "credit", F.coalesce("balance_carried", F.lit(False))
     used, interest = F.coalesce("utilization", F.lit(0.0)), F.coalesce("interest", F.lit(False))
+    # fixed values: names and bounds, in order
     rules = [
         ("quiet_millionaire", (income >= 1_000_000) & (ratio < 0.5) & (saved > 0.4)), ("strategic_deployer", ratio.between(0.85, 0.95) & (odd == 0) & (spread < 10)),
         ("full_send", ratio > 1.05), ("adrenaline_accountant", (odd >= 3) & (ratio > 0.88)), ("chaos_controller", (odd >= 5) & (net >= 0)),

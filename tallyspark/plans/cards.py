@@ -10,6 +10,7 @@ from tallyspark.operators import recurring as r
 from tallyspark.plans.months import BASE, KEEP, _base, _cats, _totals
 from tallyspark.plans.recurring import SUBS, SUBS_OUT, TRIALS, _trials
 from tallyspark.sources import ledgers
+from tallyspark.sources.scratch import written
 
 CARDS = BASE + """, hist AS (
   SELECT *, CAST(sum(spending_cents) OVER (PARTITION BY user_id, category ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS BIGINT) AS prior,
@@ -42,16 +43,6 @@ cards AS (
 """
 
 
-def _cube(spark, d):
-    """The ledger added up once; kept while the query's cards are made of it."""
-    return m.month_cube(_base(spark, d)).persist()
-
-
-def _metrics(spark, d):
-    cube = _cube(spark, d)
-    return m.totals_of(cube), m.category_history(m.categories_of(cube)), m.merchants_of(cube), m.small_of(cube)
-
-
 def _one(kind):
     return CARDS + f"SELECT * FROM cards WHERE card_type = '{kind}'"
 
@@ -72,7 +63,7 @@ BOTH = BASE + "," + SUBS.split(ledgers.SQL + ",", 1)[1] + f", sb AS ({SUBS_OUT})
 
 
 def _subscribed(spark, d):
-    return r.subscriptions(ledgers.ledger_rec(spark, d)).persist()
+    return written(r.subscriptions(ledgers.ledger_rec(spark, d)), "subscriptions")
 
 
 def _subscription_cards(spark, d):
@@ -100,6 +91,18 @@ def _stored(spark, d):
 
 
 CUT = "CAST(floor({0} + 0.5) AS BIGINT)"
+RANK = f"CAST(row_number() OVER (PARTITION BY user_id, year, month ORDER BY priority, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, list_position({c.KINDS}, card_type), value_cents DESC, subject) AS INT)"
+
+
+def _every_card(spark, d):
+    """Cards of all kinds from one aggregate of the order lines, with the recurring ledger's subscriptions and the trials."""
+    sets, subs = m.month_sets(_base(spark, d)), _subscribed(spark, d)
+    paced = m.month_pace(m.totals_of(sets).withColumn("is_partial", F.lit(True)), F.lit(AS_OF).cast("date"))
+    large = m.top_expenses(_base(spark, d), 3, m.large_threshold(ledgers.ledger_li(spark, d)))
+    duplicates = subs.where("price_cents % 3 > 0").select("user_id", F.concat(F.lit("kind"), (F.col("price_cents") % 3).cast("string")).alias("service"), "merchant", "price_cents")
+    return c.all_cards(sets, paced, large, subs, r.trials(_trials(spark, d), "2024-02-01", "2024-01-08"), duplicates)
+
+
 QUERIES = {
     "g01_over_budget": (lambda s, d: c.over_budget(_totals(s, d)), _one("over_budget")),
     "g02_category_spike": (lambda s, d: c.category_spike(m.category_history(_cats(s, d))), _one("category_spike")),
@@ -182,9 +185,8 @@ QUERIES = {
             FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month WHERE spending_cents > 0""",
     ),
     "g20_rank_and_cap": (
-        lambda s, d: c.rank_and_cap(c.all_cards(*_metrics(s, d))),
-        CARDS + """SELECT *, CAST(row_number() OVER (PARTITION BY user_id, year, month ORDER BY priority,
-            CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, card_type) AS INT) AS rank FROM cards QUALIFY rank <= 8""",
+        lambda s, d: c.rank_and_cap(c.ledger_cards(m.month_sets(_base(s, d)))),
+        CARDS + f"SELECT *, {RANK} AS rank FROM cards QUALIFY rank <= 8",
     ),
     "g20_kept_dismissals": (
         lambda s, d: c.kept_dismissals(c.rank_and_cap(c.income_change(_totals(s, d)).unionByName(c.monthly_summary(_totals(s, d)))), _stored(s, d)),
@@ -247,6 +249,28 @@ QUERIES = {
         SELECT * EXCLUDE (days), {CUT.format("CAST(total_cents AS DOUBLE) / visits")} AS mean_cents, {CUT.format("visits / (CAST(days AS DOUBLE) / 7) * 10")} AS weekly_tenths FROM v""",
     ),
 }
+EVERY = " UNION ALL BY NAME ".join(f"SELECT * FROM ({sql})" for sql in (
+    CARDS + "SELECT * FROM cards", *(QUERIES[k][1] for k in ("g06_subscription_cards", "g08_trial_warning", "g09_pace_cards", "g15_merchant_concentration", "g17_category_jump", "g19_storyline")),
+    CARDS + """, x AS (SELECT user_id, -amount_cents AS x, row_number() OVER (PARTITION BY user_id ORDER BY -amount_cents) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM ledger_li WHERE amount_cents < 0),
+        th AS (SELECT user_id AS u, greatest(x, 50000) AS threshold_cents FROM x WHERE k = floor(n * 0.95::DOUBLE) + 1)
+        SELECT user_id, CAST(year(tx_date) AS INT) AS year, CAST(month(tx_date) AS INT) AS month, 'large_transaction' AS card_type, merchant AS subject, -amount_cents AS value_cents, 2 AS priority, 'high' AS confidence FROM base JOIN th ON user_id = u
+        WHERE amount_cents < 0 AND -amount_cents > threshold_cents QUALIFY row_number() OVER (PARTITION BY user_id, year(tx_date), month(tx_date) ORDER BY amount_cents, tx_id, merchant, tx_date, account_id) <= 3""",
+    CARDS + """SELECT user_id, year, month, 'autopsy_small_drain' AS card_type, NULL::VARCHAR AS subject, total AS value_cents, 4 AS priority, CASE WHEN total * 100 > spending_cents * 15 THEN 'high' WHEN total * 100 > spending_cents * 8 THEN 'medium' ELSE 'low' END AS confidence
+        FROM small JOIN totals USING (user_id, year, month) WHERE n >= 10 AND total >= 5000""",
+    BOTH + f""", loss AS (SELECT user_id, year, month FROM lt WHERE net_cents < 0), bs AS (SELECT *, CAST(spending_cents AS DOUBLE) / sum(spending_cents) OVER (PARTITION BY user_id, year, month) AS share FROM cats),
+        du AS (SELECT user_id, 'kind' || (price_cents % 3) AS service, min(price_cents) AS saving, arg_min(merchant, (price_cents, merchant)) AS subject FROM sb WHERE price_cents % 3 > 0 GROUP BY ALL HAVING count(*) >= 2),
+        sc AS (SELECT * FROM (SELECT user_id, 1 AS kind, service AS place, subject, saving FROM du UNION ALL SELECT user_id, 2, lpad(CAST(1000000000000000 - price_cents AS VARCHAR), 16, '0'), merchant, price_cents FROM sb WHERE price_cents > 5000)
+               QUALIFY row_number() OVER (PARTITION BY user_id, subject ORDER BY kind, place) = 1),
+        al AS (SELECT * FROM sc UNION ALL SELECT user_id, 3, printf('%.12f', 1 - share), category, {CUT.format("spending_cents * 0.25::DOUBLE")} FROM bs JOIN loss USING (user_id, year, month) WHERE category NOT IN ('Housing', 'Rent', 'Mortgage', 'Insurance') AND NOT (spending_cents = 0 AND income_cents > 0) AND share > 0.4::DOUBLE),
+        k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY kind, place, subject) AS k FROM al),
+        z AS (SELECT user_id, count(*) AS n, CAST(sum(saving) AS BIGINT) AS total, arg_min(subject, k) AS first FROM k WHERE k <= 3 GROUP BY user_id)
+        SELECT user_id, year, month, 'fix_opportunity' AS card_type, first AS subject, total AS value_cents, 1 AS priority, CASE WHEN n >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM loss JOIN z USING (user_id)""",
+))
+QUERIES["g20_every_kind"] = (
+    lambda s, d: c.rank_and_cap(_every_card(s, d)),
+    f"""WITH every AS ({EVERY}), one AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY user_id, year, month, card_type ORDER BY priority, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, value_cents DESC, subject NULLS FIRST) = 1)
+    SELECT *, {RANK} AS rank FROM one QUALIFY rank <= 8""",
+)
 
 
 def _signals(spark, d):

@@ -74,8 +74,8 @@ def budgets(spark, d):
 
 
 def _health(spark, d):
-    cube = m.month_cube(_base(spark, d)).persist()
-    totals, cats = m.totals_of(cube), m.categories_of(cube)
+    sets = m.month_sets(_base(spark, d), by=("category",))
+    totals, cats = m.totals_of(sets), m.categories_of(sets)
     recurring = r.recurring_list(ledgers.ledger_rec(spark, d)).groupBy("user_id").agg(m.half_up(F.sum("mean_cents")).alias("recurring_cents"))
     return m.health_score(totals, m.positive_streak(totals), recurring, m.concentration(cats))
 
@@ -210,7 +210,7 @@ QUERIES = {
         SELECT user_id, year, month, spending_cents, before_cents, CASE WHEN abs(pct) >= 3 THEN pct END AS percent FROM p""",
     ),
     "a04_month_cube": (
-        lambda s, d: m.totals_of(m.month_cube(_base(s, d))).join(m.small_of(m.month_cube(_base(s, d), 200_000)).withColumnRenamed("tx_count", "small_count"), m.MONTH, "left").drop("is_partial"),
+        lambda s, d: m.totals_of(m.month_sets(_base(s, d))).join(m.small_of(m.month_sets(_base(s, d), 200_000)).withColumnRenamed("tx_count", "small_count"), m.MONTH, "left").drop("is_partial"),
         BASE + """, sm AS (SELECT user_id, year, month, count(*) AS small_count, CAST(sum(-amount_cents) AS BIGINT) AS total_cents FROM base WHERE amount_cents < 0 AND amount_cents > -200000 GROUP BY ALL)
         SELECT user_id, year, month, income_cents, spending_cents, net_cents, tx_count, income_count, first_date, last_date, small_count, total_cents FROM totals LEFT JOIN sm USING (user_id, year, month)""",
     ),
