@@ -169,7 +169,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     """All columns of docs, and n_tokens long, and with ids: token_ids array<int>; with digests: ids_sha256 and decoded_sha256.
 
     Null counts as the empty text, which has no ids. path: the file of ranks, on every
-    executor. Columns of docs with the new names are replaced.
+    executor. Columns of docs with the new names are replaced. Rows that repeat are encoded each; an
+    empty table gives an empty one.
     """
     new = ["n_tokens"] + ["token_ids"] * ids + ["ids_sha256", "decoded_sha256"] * digests
     kept = docs.drop(*new)
@@ -210,12 +211,17 @@ def _running(values):
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
-    """All columns, and decoded binary: the bytes of the ids; null ids give null."""
+    """All columns, and decoded binary: the bytes of the ids. Null ids, and ids with a null or with one that no rank has, give null; a
+    column of that name is replaced. Rows that repeat are decoded each; an empty table gives an empty one."""
+    def bytes_of(ids: list | None, known: dict) -> bytes | None:
+        parts = None if ids is None else [known.get(i) for i in ids]
+        return None if parts is None or None in parts else b"".join(parts)
+
     def run(batches):
         bpe = encoder(path, pattern)
         for batch in batches:
             found = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            decoded = [None if x is None else b"".join(map(bpe.bytes_of.__getitem__, x)) for x in found]
+            decoded = [bytes_of(x, bpe.bytes_of) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")

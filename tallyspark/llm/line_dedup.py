@@ -72,7 +72,7 @@ def drop_bitmaps(
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1
 ) -> DataFrame:
-    """All rows and columns of docs, the text without its dropped lines, and n_lines, n_dropped.
+    """All rows and columns of docs, the text without its dropped lines, and n_lines, n_dropped, which replace columns of those names.
 
     Null and empty texts are one empty line, whose key has no characters: they stay
     as they are (null stays null). Only ``\\n`` ends a line.
@@ -95,7 +95,7 @@ def dedup_lines(
         F.aggregate(F.map_values("__drops"), F.lit(0).cast("long"), lambda n, bits: n + F.bit_count(bits)), F.lit(0).cast("long")
     )
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.size(F.split(text_of(text_col), "\n", -1)).cast("long").alias("n_lines"),
         n_dropped.alias("n_dropped"),
     )

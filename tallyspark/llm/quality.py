@@ -246,7 +246,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs with score double and predicted int; columns of these names are replaced. Null counts as the empty text."""
+    """docs with score double and predicted int; columns of these names are replaced. Null counts as the empty text.
+
+    Rows that repeat are scored each, alike; an empty table gives an empty one.
+    """
     kept = docs.drop("score", "predicted")
     schema = kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     for field in ("score", "predicted"):

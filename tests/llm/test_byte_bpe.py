@@ -3,6 +3,7 @@ import hashlib
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import byte_bpe
 from tests.llm.conftest import SF
@@ -44,6 +45,15 @@ def test_odd_rows(spark, odd, none, library):
     assert byte_bpe.encode(spark.read.parquet(none), *path).count() == 0
 
 
+def test_decode_of_ids_that_are_none(spark):
+    rows = [(1, [72, None]), (2, [72, 10**9]), (3, [-1]), (4, []), (5, None), (6, [72]), (6, [72])]
+    docs = spark.createDataFrame(rows, "i int, token_ids array<int>").withColumn("decoded", F.lit(1))
+    out = byte_bpe.decode(docs, *byte_bpe.public_ranks())
+    found = [(r.i, r.decoded) for r in out.collect()]
+    assert out.columns == ["i", "token_ids", "decoded"] and len(found) == 7
+    assert [x for i, x in found if i in (1, 2, 3, 5)] == [None] * 4 and dict(found)[4] == b"" and len([x for i, x in found if i == 6 and x]) == 2
+
+
 def test_patterns_that_cross_spaces(spark):
     """A pattern whose matches hold spaces is not cut at them."""
     import tiktoken

@@ -64,3 +64,5 @@ def test_lines_odd_rows(spark, odd, none):
     assert (by[3].text, by[3].n_lines, by[6].text, by[6].n_lines) == (None, 1, "\n\n", 3)
     assert hashlib.sha256(by[8].text.encode()).hexdigest() == hashlib.sha256(b"w " * 60000).hexdigest()
     assert line_dedup.dedup_lines(spark.read.parquet(none)).count() == 0
+    clash = line_dedup.dedup_lines(docs.withColumn("n_lines", docs.d).withColumn("n_dropped", docs.d), min_docs=4)
+    assert sorted(clash.columns) == sorted({*docs.columns, "n_lines", "n_dropped"}) and {r.n_lines for r in clash.collect() if r.doc_id == 1} == {4}
