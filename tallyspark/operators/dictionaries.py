@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
 from tallyspark.operators import word_lists as w
-from tallyspark.operators.substrings import holding, required_words
+from tallyspark.operators.substrings import holding, with_words
 
 
 def first_match(rows: DataFrame, text: Column, dictionary: DataFrame, values: list[str], regex: bool = False) -> DataFrame:
@@ -17,8 +17,8 @@ def first_match(rows: DataFrame, text: Column, dictionary: DataFrame, values: li
     texts meet the words of the patterns through an index; an expression without a sure word is tried on every distinct text.
     """
     keyed = rows.withColumn("__key", F.lower(text))
-    asked = dictionary.where("pattern IS NOT NULL").select(F.col("rank").alias("__rank"), F.col("pattern").alias("__pattern"), *(F.col(v).alias(f"__{v}") for v in values))
-    asked = asked.withColumn("word", F.explode(required_words(F.col("__pattern"))) if regex else F.lower("__pattern"))
+    asked = dictionary.select(F.col("rank").alias("__rank"), F.col("pattern").alias("__pattern"), *(F.col(v).alias(f"__{v}") for v in values))
+    asked = with_words(asked, "__pattern", F.lit(regex))
     texts = keyed.select(F.col("__key").alias("text")).where("text IS NOT NULL").distinct()
     met = holding(texts, asked.select("word").distinct()).join(asked, "word")
     if regex:

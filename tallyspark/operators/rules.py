@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as f
 from tallyspark.operators import dictionaries as d
 from tallyspark.operators import word_lists as w
-from tallyspark.operators.substrings import holding, required_words
+from tallyspark.operators.substrings import holding, with_words
 
 
 def _met(texts: DataFrame, rules: DataFrame, scope: list[str]) -> DataFrame:
@@ -16,11 +16,8 @@ def _met(texts: DataFrame, rules: DataFrame, scope: list[str]) -> DataFrame:
     kind, low = F.col("match_type"), F.lower("__text")
     same = rules.where(kind == "exact").withColumn("__low", F.lower("match_value"))
     whole = texts.withColumn("__low", low).join(same, [*scope, "__low"]).drop("__low")
-    words = F.when(kind == "contains", F.array(F.lower("match_value"))).otherwise(required_words(F.col("match_value")))
-    part = rules.where(kind.isin("contains", "regex") & F.col("match_value").isNotNull()).withColumn("word", F.explode(words))
-    lows = texts.select(*scope, low.alias("text")).distinct()
-    near = holding(lows, part.select(*scope, "word").distinct(), scope).join(part, [*scope, "word"])
-    near = texts.withColumn("text", low).join(near, [*scope, "text"])
+    part = with_words(rules.where(kind.isin("contains", "regex")), "match_value", kind == "regex")
+    near = holding(texts.withColumn("text", low), part.select(*scope, "word").distinct(), scope, carried=["__text"]).join(part, [*scope, "word"])
     inside = (kind == "contains") | F.regexp_like(F.col("__text"), F.concat(F.lit("(?i)"), F.col("match_value")))
     return whole.unionByName(near.where(inside).drop("text", "word"))
 

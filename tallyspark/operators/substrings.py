@@ -8,19 +8,21 @@ verified. So neither side is compared with the other in whole, and either may be
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 GRAM = 3
-#: A side of so many rows goes to every task; a larger one is shuffled.
-BROADCAST_ROWS = 20_000
+#: A dictionary of so many rows or fewer is worked on the driver and goes to every task; a larger one is shuffled.
+FEW = 20_000
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be sent to every task if it has few rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def few_rows(df: DataFrame) -> list[Row] | None:
+    """The rows of a small table; None for one of more than FEW."""
+    rows = df.limit(FEW + 1).collect()
+    return rows if len(rows) <= FEW else None
 
 
 def grams(text: Column, n: int) -> Column:
@@ -30,32 +32,40 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def holding(texts: DataFrame, words: DataFrame, scope: list[str] | None = None, measured: bool = True) -> DataFrame:
+def holding(texts: DataFrame, words: DataFrame, scope: list[str] | None = None, measured: bool = True, carried: list[str] | None = None) -> DataFrame:
     """(scope, text, word): each text with each of the words that it holds.
 
     texts: (scope, text), words: (scope, word), both without repeats. With scope columns only what agrees in
-    them meets. Nulls meet nothing. An empty word is in every text. Case counts. Words are counted
-    first, so that few of them go to every task; words that are known to be many need not be (measured=False).
+    them meets. Nulls meet nothing. An empty word is in every text. Case counts. Few words are placed by what is rare among
+    themselves and go to every task; many are placed by what is rare in the texts, and shuffled. Words that are known to be many need
+    not be looked at first (measured=False). carried: columns of texts that are returned too.
     """
-    scope = scope or []
-    words = words.where("word IS NOT NULL")
-    size = F.least(F.char_length("word"), F.lit(GRAM))
-    sizes, n = list(range(GRAM + 1)), BROADCAST_ROWS + 1
-    if measured:
-        seen = words.agg(F.collect_set(size).alias("sizes"), F.count("*").alias("n")).first()
-        sizes, n = sorted(seen["sizes"]) or [0], seen["n"]
-    of_word = F.lit(None).cast("array<string>")
-    for k in sizes:
-        of_word = F.when(size == k, grams(F.col("word"), k)).otherwise(of_word)
+    scope, carried = scope or [], carried or []
     key = [*scope, "gram"]
-    word_grams = words.select(*scope, "word", F.explode(of_word).alias("gram"))
+    words = words.select(*scope, "word").where("word IS NOT NULL")
     known = texts.where("text IS NOT NULL")
-    text_grams = known.select(*scope, "text", F.explode(F.concat(*(grams(F.col("text"), k) for k in sizes))).alias("gram"))
-    asked = sized(word_grams.select(*key).distinct(), n)
-    often = text_grams.join(asked, key, "left_semi").groupBy(*key).agg(F.count("*").alias("held"))
-    rarest = F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), F.col("gram"))).alias("gram")
-    places = word_grams.join(often, key, "left").groupBy(*scope, "word").agg(rarest)
-    return text_grams.join(sized(places, n), key).where(F.contains("text", "word")).select(*scope, "text", "word")
+    found = few_rows(words) if measured else None
+    sizes = list(range(GRAM + 1)) if found is None else sorted({min(len(r["word"]), GRAM) for r in found}) or [0]
+    text_grams = known.select(*scope, *carried, "text", F.explode(F.concat(*(grams(F.col("text"), k) for k in sizes))).alias("gram"))
+    if found is not None:
+        placed = F.broadcast(words.sparkSession.createDataFrame(_placed(found, scope), words.withColumn("gram", F.lit("")).schema))
+    else:
+        size = F.least(F.char_length("word"), F.lit(GRAM))
+        of_word = F.lit(None).cast("array<string>")
+        for k in sizes:
+            of_word = F.when(size == k, grams(F.col("word"), k)).otherwise(of_word)
+        word_grams = words.select(*scope, "word", F.explode(of_word).alias("gram"))
+        often = text_grams.join(word_grams.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("held"))
+        rarest = F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), F.col("gram"))).alias("gram")
+        placed = word_grams.join(often, key, "left").groupBy(*scope, "word").agg(rarest)
+    return text_grams.join(placed, key).where(F.contains("text", "word")).select(*scope, *carried, "text", "word")
+
+
+def _placed(rows: list[Row], scope: list[str]) -> list[tuple]:
+    """(scope, word, gram): each word under the run that the fewest words of its scope have."""
+    own = [(tuple(r[c] for c in scope), r["word"], {r["word"][i : i + GRAM] for i in range(max(1, len(r["word"]) - GRAM + 1))}) for r in rows]
+    held = Counter((of, g) for of, _, several in own for g in several)
+    return [(*of, word, min(several, key=lambda g: (held[of, g], g))) for of, word, several in own]
 
 
 _QUANTIFIER = re.compile(r"[?*+]|\{(\d*),?\d*\}")
@@ -124,11 +134,20 @@ def required(pattern: str | None) -> list[str]:
     return [""] if "" in found else sorted(set(found))
 
 
-def required_words(pattern: Column) -> Column:
-    """``required`` of a column of expressions; only dictionaries are read so, not texts."""
+def with_words(dictionary: DataFrame, pattern: str, regex: Column) -> DataFrame:
+    """dictionary with a row for each word that stands for its pattern: the pattern in lower case, or the words that an expression requires.
+
+    Null patterns go. A small dictionary is made anew and goes to every task; of a large one Python reads the expressions, in batches.
+    """
+    kept = dictionary.where(F.col(pattern).isNotNull()).withColumns({"__regex": regex, "__low": F.lower(pattern)})
+    rows = few_rows(kept)
+    if rows is not None:
+        made = [(*(r[c] for c in dictionary.columns), w) for r in rows for w in (required(r[pattern]) if r["__regex"] else [r["__low"]])]
+        return F.broadcast(dictionary.sparkSession.createDataFrame(made, dictionary.withColumn("word", F.lit("")).schema))
 
     @F.pandas_udf("array<string>")
     def of(values):
         return values.map(required)
 
-    return of(pattern)
+    words = F.when(F.col("__regex"), of(F.when(F.col("__regex"), F.col(pattern)))).otherwise(F.array("__low"))
+    return kept.withColumn("word", F.explode(words)).drop("__regex", "__low")

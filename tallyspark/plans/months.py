@@ -74,8 +74,8 @@ def budgets(spark, d):
 
 
 def _health(spark, d):
-    sets = m.month_sets(_base(spark, d), by=("category",))
-    totals, cats = m.totals_of(sets), m.categories_of(sets)
+    cats = m.written(_cats(spark, d), "categories")
+    totals = cats.groupBy("user_id", "year", "month").agg(F.sum("income_cents").alias("income_cents"), F.sum("spending_cents").alias("spending_cents"), F.sum(F.col("income_cents") - F.col("spending_cents")).alias("net_cents"))
     recurring = r.recurring_list(ledgers.ledger_rec(spark, d)).groupBy("user_id").agg(m.half_up(F.sum("mean_cents")).alias("recurring_cents"))
     return m.health_score(totals, m.positive_streak(totals), recurring, m.concentration(cats))
 

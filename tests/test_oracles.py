@@ -44,8 +44,3 @@ def test_same_rows(name, spark, duck):
     assert len(ours) == len(theirs)
     for a, b in zip(ours, theirs, strict=True):
         assert a == b
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(name, spark):
-    assert QUERIES[name](spark, SF).columns
