@@ -80,7 +80,7 @@ def ingest_statements(spark: SparkSession, folder: str, target: str, checkpoint:
         if done is not None and number <= done:
             return
         seen = statements.accept(batch).withColumns({
-            "owner": F.element_at(F.split("path", "/"), -2), "upload_id": F.concat_ws("@", F.element_at(F.split("path", "/"), -1), F.unix_millis("modificationTime").cast("string")), "created_at": F.col("modificationTime"),
+            "owner": F.element_at(F.split("path", "/"), -2), "upload_id": F.concat_ws("@", F.array_join(F.slice(F.split("path", "/"), -2, 2), "/"), F.unix_millis("modificationTime").cast("string")), "created_at": F.col("modificationTime"),
         })
         known = tables.read(spark, hashes)
         order = Window.partitionBy("owner", "file_hash").orderBy("created_at", "path")
