@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -40,18 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is removed when the driver's process ends."""
+    """A new path in the shared folder; it is removed when the driver's process ends, be its session stopped by then or not."""
     path = f"{shared_dir(spark)}/tallyspark/{label}-{uuid.uuid4().hex}"
-    atexit.register(discard, spark, path)
-    return path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # outlives the session
 
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM has ended already
+            files.delete(at, True)
 
-def discard(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session has ended already
-        pass
+    atexit.register(remove)
+    return path
 
 
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:

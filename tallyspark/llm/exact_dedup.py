@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import scratch, text_of, written
 
+# Files are asked for by cells of their names' hashes. With more files than cells, files of one cell are read together.
+FILE_CELLS = 1 << 16
+
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -117,31 +120,40 @@ def _table(spark: SparkSession, path: str, column: str, kind: str) -> DataFrame:
     return spark.read.schema(none.schema).parquet(path)
 
 
+def _cell(file: Column) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(FILE_CELLS))
+
+
 def _contents(spark: SparkSession, pattern: str, asked: DataFrame, text_col: str) -> DataFrame:
-    """asked (digest, file, row) and the content found there. Only files that are asked for are read."""
+    """asked (digest, file, row) and the content found there. Only files of cells that are asked for are read; which
+    these are goes through the driver, FILE_CELLS numbers at most."""
     docs = spark.read.parquet(pattern)
     texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(text_col).alias("content"))
-    # names of files, which Spark's own listing holds too
-    files = [r.file for r in asked.select("file").distinct().collect()]
+    cells = [r.cell for r in asked.select(_cell(F.col("file")).alias("cell")).distinct().collect()]
     # both sides grow with the corpus: the join shuffles at every size, and sorts no text
-    return texts.where(F.col("file").isin(files)).join(asked.hint("shuffle_hash"), ["file", "row"])
+    return texts.where(_cell(F.col("file")).isin(cells)).join(asked.hint("shuffle_hash"), ["file", "row"])
 
 
 def _compare_hits(spark: SparkSession, pattern: str, checkpoint: str, text_col: str) -> None:
     """Compares full bytes of the rows whose digest was there already with the content that the state locates; adds the digests of
-    unequal contents to the checkpoint's collisions. One copy of a content leaves a task, so a text that a third of all rows
-    have moves once a task."""
-    seen = _table(spark, f"{checkpoint}/compared", "file", "string")
-    new = entries(spark, checkpoint).select("digest", "file", "row").join(seen, "file", "left_anti")
-    kept = state(spark, checkpoint).where("group_size > 1").select("digest", F.col("file").alias("keep_file"), F.col("row").alias("keep_row"))
-    hits = new.join(kept, "digest").where("file <> keep_file OR row <> keep_row")
-    hits = written(hits, "exact-hits")
-    located = hits.select("digest", F.col("keep_file").alias("file"), F.col("keep_row").alias("row")).distinct()
-    asked = written(hits.select("digest", "file", "row").union(located), "exact-asked")
-    kinds = _contents(spark, pattern, asked, text_col).groupBy("digest", "content").count()
-    unequal = kinds.groupBy("digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("digest")
-    unequal.write.mode("append").parquet(f"{checkpoint}/collisions")
-    new.select("file").distinct().write.mode("append").parquet(f"{checkpoint}/compared")
+    unequal contents to the checkpoint's collisions. Entries come as a stream, so each is compared in the update that brings it and
+    not read again. One copy of a content leaves a task, so a text that a third of all rows have moves once a task."""
+
+    def compare(new: DataFrame, _: int) -> None:
+        session = new.sparkSession
+        kept = state(session, checkpoint).where("group_size > 1").select("digest", F.col("file").alias("keep_file"), F.col("row").alias("keep_row"))
+        hits = written(new.join(kept, "digest").where("file <> keep_file OR row <> keep_row"), "exact-hits")
+        located = hits.select("digest", F.col("keep_file").alias("file"), F.col("keep_row").alias("row")).distinct()
+        asked = written(hits.select("digest", "file", "row").union(located), "exact-asked")
+        kinds = _contents(session, pattern, asked, text_col).groupBy("digest", "content").count()
+        unequal = kinds.groupBy("digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("digest")
+        # a batch that an executor's loss repeats adds its digests again; readers take each once
+        unequal.write.mode("append").parquet(f"{checkpoint}/collisions")
+
+    found = entries(spark, checkpoint)
+    arriving = spark.readStream.schema(found.schema).parquet(f"{checkpoint}/entries").select("digest", "file", "row")
+    # without a limit of files all that is new is one batch, which reads the state once
+    arriving.writeStream.foreachBatch(compare).option("checkpointLocation", f"{checkpoint}/compared").trigger(availableNow=True).start().awaitTermination()
 
 
 def exact_duplicates(

@@ -37,6 +37,20 @@ def test_exact_increment_reads_new_files_and_hits(spark, tmp_path, monkeypatch):
         got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(spark, path, checkpoint).collect()}
     assert got == {(1, 6, 2, False), (6, 6, 2, True), (5, 5, 1, True), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (7, 7, 1, True)}
     assert [len(files) for files in asked[:3]] == [0, 2, 2]
+    # an update without new files compares nothing again
+    before = len(asked)
+    exact_dedup.update_state(spark, path, checkpoint)
+    assert len(asked) == before
+
+
+def test_exact_files_that_share_a_cell(spark, tmp_path, monkeypatch):
+    """All files in one cell of names: more is read, and the result is the same."""
+    monkeypatch.setattr(exact_dedup, "FILE_CELLS", 1)
+    path, checkpoint = str(tmp_path / "documents.parquet"), str(tmp_path / "state")
+    for rows in ([(1, "a"), (2, "b")], [(3, "a")], [(4, None), (5, "")]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+        got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(spark, path, checkpoint).collect()}
+    assert got == {(1, 3, 2), (3, 3, 2), (2, 2, 1), (4, 5, 2), (5, 5, 2)}
 
 
 def test_exact_collision(spark, tmp_path, monkeypatch):
