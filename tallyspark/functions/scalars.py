@@ -267,6 +267,12 @@ def money(cents: Column) -> Column:
     return F.concat(F.when(cents < 0, "-").otherwise(""), F.lit("$"), whole, F.lit("."), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0"))
 
 
+def filled(sentence: str, *values: Column) -> Column:
+    """sentence with a value for each {}; null if one of them is."""
+    parts = sentence.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for value, part in zip(values, parts[1:], strict=True) for x in (value, F.lit(part))))
+
+
 def first_present(fields: Column, keys: list[str]) -> Column:
     """The value of the first key that the map has, even if it is empty; else the empty string."""
     return F.coalesce(*[F.when(F.map_contains_key(fields, k), F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit(""))) for k in keys], F.lit(""))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import scalars as f
 from tallyspark.operators.months import MONTH, categories_of, category_history, concentration, half_up, merchants_of, month_index, small_of, totals_of
 
 # Spending that cannot be acted on at once.
@@ -178,6 +179,83 @@ def storyline(totals: DataFrame, tops: DataFrame) -> DataFrame:
     return made.withColumn("priority", F.when(F.col("value_cents") < 0, 2).otherwise(1))
 
 
+# The sentences of a month's storyline, and what its button says; {} stand for amounts, percents, names and counts.
+TOLD = {
+    "spent": "You spent {} this month.", "left": "You spent {} this month — {}% of income — leaving {} unspent.", "short": "You spent {} this month, {}% of income, with a {} shortfall.",
+    "up": "That's up {}% from last month across tracked categories.", "down": "That's down {}% from last month across tracked categories.",
+    "two": "The biggest drivers are {} ({}%) and {} ({}%).", "one": "{} makes up {}% of spending.",
+    "new": "A new recurring charge appeared: {} at {}/month{}.", "more": " (and {} more)", "load": "{} active subscriptions are running in the background at {}/month.",
+    "small": "{} small purchases quietly added up to {} — worth a look.",
+    "over": "At {}/day you're on pace for {} — {} over income with {} days left.", "pace": "At this pace, projected month-end spend is {} with {} days remaining.",
+    "lever": "To get back to positive, start with {} — it's your biggest lever.", "fixed": "Review your variable expense categories to find the easiest reductions.",
+    "confirm": "Confirm whether the new recurring charge is expected and set to continue.", "audit": "Auditing even one unused subscription could free up meaningful annual savings.",
+    "cut": "Cutting back on small daily purchases is the quickest win with the least sacrifice.", "saved": "You saved {}% this month — consider putting the surplus toward a specific goal.", "stable": "Your finances look stable this month.",
+}
+BUTTONS = {"default": "View transactions", "lever": "Review {}", "subscriptions": "Review subscriptions", "details": "View details"}
+
+
+def storyline_text(paced: DataFrame, categories: DataFrame, subscribed: DataFrame, small: DataFrame) -> DataFrame:
+    """What the storyline card of a month with spending says (summary), its button (action_label), and numbers, the amounts in it (label, value, field).
+
+    paced: month_pace of the totals; categories: their category_totals; subscribed (user_id, merchant, price_cents, months, confidence): subscriptions, told of in each
+    user's last month, of new ones (seen in two months) the dearest; small: tx_count and total_cents of small purchases. Categories of equal spending go by name.
+    """
+    dollars = lambda c: F.concat(F.lit("$"), F.format_number(half_up(F.abs(c) / 100), 0))
+    text = lambda c: c.cast("string")
+    told = lambda name, *values: f.filled(TOLD[name], *values)
+    sure, new = F.col("confidence").isin("high", "medium"), F.col("months") == 2
+    by_user = subscribed.groupBy("user_id").agg(
+        F.count_if(sure).alias("subs"), F.sum(F.when(sure, F.col("price_cents"))).alias("subs_cents"), F.count_if(new).alias("new_subs"),
+        F.min(F.when(new, F.struct((-F.col("price_cents")).alias("minus"), "merchant"))).alias("newest"),
+    )
+    held = _latest(paced).select(*MONTH).join(by_user, "user_id")
+    tracked = with_month_before(categories, ["user_id", "category"], "total_cents").where(~F.col("is_income") & F.col("before").isNotNull())
+    moved = tracked.groupBy(*MONTH).agg(F.count("*").alias("tracked"), F.sum("before").alias("was_cents"), F.sum("total_cents").alias("is_cents"))
+    free = categories.where((F.col("spending_cents") > 0) & ~F.col("category").isin(FIXED_COSTS))
+    lever = free.groupBy(*MONTH).agg(F.min_by("category", F.struct(-F.col("spending_cents"), F.col("category"))).alias("lever"))
+    rows = paced.where("spending_cents > 0").join(concentration(categories), MONTH, "left").join(moved, MONTH, "left").join(lever, MONTH, "left").join(held, MONTH, "left")
+    rows = rows.join(small.select(*MONTH, F.col("tx_count").alias("few"), F.col("total_cents").alias("few_cents")), MONTH, "left")
+    rows = rows.fillna(0, ["tracked", "was_cents", "is_cents", "subs", "subs_cents", "new_subs", "few", "few_cents"])
+
+    income, spent, net = F.col("income_cents"), F.col("spending_cents"), F.col("net_cents")
+    of_income, saved = text(half_up(spent / F.nullif(income, F.lit(0)) * 100)), half_up(net / F.nullif(income, F.lit(0)) * 100)
+    change = F.when((F.col("tracked") >= 2) & (F.col("was_cents") > 0), half_up((F.col("is_cents") - F.col("was_cents")) / F.col("was_cents") * 100))
+    first, second = half_up(F.col("top_share") * 100), half_up(F.col("second_share") * 100)
+    two = F.col("second_category").isNotNull()
+    few, few_percent = F.col("few"), F.col("few_cents") / spent * 100
+    newest, price = F.col("newest.merchant"), dollars(F.col("newest.minus"))
+    more = F.when(F.col("new_subs") > 1, told("more", text(F.col("new_subs") - 1))).otherwise("")
+    projected, left = F.col("projected_cents"), text(F.col("days_in_month") - F.col("elapsed"))
+    foreseen = F.col("is_partial") & projected.isNotNull() & (F.col("elapsed") >= 5)
+    is_new, is_load, is_small = F.col("new_subs") > 0, F.col("subs") >= 4, (few >= 10) & (few_percent >= 8)
+
+    start = F.when((income > 0) & (net >= 0), told("left", dollars(spent), of_income, dollars(net))).when(income > 0, told("short", dollars(spent), of_income, dollars(net))).otherwise(told("spent", dollars(spent)))
+    direction = F.when(change >= 5, told("up", text(change))).when(change <= -5, told("down", text(-change)))
+    drivers = F.when(two, told("two", F.col("top_category"), text(first), F.col("second_category"), text(second))).otherwise(told("one", F.col("top_category"), text(first)))
+    signal = F.when(is_new, told("new", newest, price, more)).when(is_load, told("load", text(F.col("subs")), dollars(F.col("subs_cents")))).when(is_small, told("small", text(few), dollars(F.col("few_cents"))))
+    over = told("over", dollars(F.col("daily_cents")), dollars(projected), dollars(projected - income), left)
+    ahead = F.when(foreseen, F.when((income > 0) & (projected > income), over).otherwise(told("pace", dollars(projected), left)))
+    least = (few >= 15) & (few_percent >= 10)
+    advice = (
+        F.when(net < 0, F.coalesce(told("lever", F.col("lever")), F.lit(TOLD["fixed"]))).when(is_new, TOLD["confirm"]).when(F.col("subs") >= 5, TOLD["audit"]).when(least, TOLD["cut"])
+        .when((income > 0) & (saved >= 20), told("saved", text(saved))).when(income > 0, TOLD["stable"])
+    )
+    button = (
+        F.when(net < 0, F.coalesce(f.filled(BUTTONS["lever"], F.col("lever")), F.lit(BUTTONS["default"]))).when(is_new | (F.col("subs") >= 5), BUTTONS["subscriptions"])
+        .when(least, BUTTONS["default"]).when(income > 0, BUTTONS["details"]).otherwise(BUTTONS["default"])
+    )
+    number = lambda when, label, value, field: F.when(when, F.struct(label.alias("label"), value.alias("value"), F.lit(field).alias("field")))
+    percent = lambda c: F.concat(text(c), F.lit("%"))
+    # fixed values: labels and fields of the numbers, in order
+    numbers = F.array_compact(F.array(
+        number(F.lit(True), F.lit("Total spending"), dollars(spent), "total_spending"), number(income > 0, F.lit("Net"), F.concat(F.when(net >= 0, "+").otherwise("-"), dollars(net)), "net"),
+        number(first.isNotNull(), F.col("top_category"), percent(first), "top_cat_1_pct"), number(two, F.col("second_category"), percent(second), "top_cat_2_pct"),
+        number(is_new, F.concat(F.lit("New: "), newest), F.concat(price, F.lit("/mo")), "new_sub"), number(~is_new & is_load, F.lit("Subscriptions/mo"), dollars(F.col("subs_cents")), "sub_total"),
+        number(~is_new & ~is_load & is_small, F.lit("Small purchases"), dollars(F.col("few_cents")), "small_total"), number(foreseen, F.lit("Projected total"), dollars(projected), "projected"),
+    ))
+    return rows.select(*MONTH, F.concat_ws(" ", start, direction, drivers, signal, ahead, advice).alias("summary"), button.alias("action_label"), numbers.alias("numbers"))
+
+
 def kept_dismissals(new: DataFrame, stored: DataFrame) -> DataFrame:
     """new cards as they are stored: one of each kind a month, the last; one that was dismissed before stays so. Stored cards of other kinds stay."""
     key = [*MONTH, "card_type"]

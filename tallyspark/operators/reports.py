@@ -55,8 +55,7 @@ SAID = {
 
 
 def _said(name: str, *values: Column) -> Column:
-    parts = SAID[name].split("{}")
-    return F.concat(F.lit(parts[0]), *(x for value, part in zip(values, parts[1:], strict=True) for x in (value, F.lit(part))))
+    return f.filled(SAID[name], *values)
 
 
 def narrative(report: DataFrame) -> DataFrame:

@@ -103,6 +103,62 @@ def _every_card(spark, d):
     return c.all_cards(sets, paced, large, subs, r.trials(_trials(spark, d), "2024-02-01", "2024-01-08"), duplicates)
 
 
+def _told(spark, d):
+    """Months with small purchases, losses and gains, one category or many, and subscriptions that are new, many or none."""
+    x = F.col("amount_cents")
+    base = _base(spark, d).withColumns({
+        "amount_cents": F.when((x < 0) & (F.col("tx_id") % 3 == 0), -(1 - x % 1499)).when(x > 0, x * (F.col("month") % 5)).otherwise(x),
+        "category": F.when(F.col("user_id") % 3 == 0, "Rent").when(F.col("user_id") % 3 == 1, F.substring("category", 1, 3)).otherwise(F.col("category")),
+    })
+    subs = _subscribed(spark, d).where("user_id % 4 > 0").withColumn("months", F.when((F.col("user_id") % 4 == 1) & (F.col("merchant") != "m3"), 2).otherwise(F.col("months")))
+    sets = m.month_sets(base)
+    paced = m.month_pace(m.totals_of(sets).withColumn("is_partial", F.lit(True)), F.lit(AS_OF).cast("date"))
+    told = c.storyline_text(paced, m.categories_of(sets), subs, m.small_of(sets))
+    return told.select(*m.MONTH, "summary", "action_label", F.array_join(F.transform("numbers", lambda n: F.concat_ws("=", n["field"], n["label"], n["value"])), ";").alias("numbers"))
+
+
+def _usd(cents):
+    return f"format('${{:,}}', CAST(floor(abs({cents}) / 100.0::DOUBLE + 0.5) AS BIGINT))"
+
+
+TOLD = BOTH + f""", nb AS (
+  SELECT user_id, year, month, CASE WHEN user_id % 3 = 0 THEN 'Rent' WHEN user_id % 3 = 1 THEN category[1:3] ELSE category END AS category,
+         CASE WHEN amount_cents < 0 AND tx_id % 3 = 0 THEN -(1 + (-amount_cents) % 1499) WHEN amount_cents > 0 THEN amount_cents * (month % 5) ELSE amount_cents END AS x FROM base),
+nt AS (SELECT user_id, year, month, year * 12 + month - 1 AS mi, CAST(sum(greatest(x, 0)) AS BIGINT) AS inc, CAST(sum(greatest(-x, 0)) AS BIGINT) AS sp, CAST(count(*) FILTER (x < 0 AND x > -1500) AS BIGINT) AS few,
+  CAST(coalesce(sum(-x) FILTER (x < 0 AND x > -1500), 0) AS BIGINT) AS few_c FROM nb GROUP BY ALL),
+nc AS (SELECT *, NOT (sp = 0 AND inc > 0) AS cost, CASE WHEN sp = 0 AND inc > 0 THEN inc ELSE sp END AS tot FROM (
+  SELECT user_id, year, month, year * 12 + month - 1 AS mi, category, CAST(sum(greatest(x, 0)) AS BIGINT) AS inc, CAST(sum(greatest(-x, 0)) AS BIGINT) AS sp FROM nb GROUP BY ALL)),
+mv AS (SELECT a.user_id, a.mi, count(*) AS n, sum(b.tot) AS was, sum(a.tot) AS now FROM nc a JOIN nc b ON a.user_id = b.user_id AND a.category = b.category AND a.mi = b.mi + 1 WHERE a.cost GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, mi ORDER BY sp DESC, category) AS k, CAST(sp AS DOUBLE) / CAST(sum(sp) OVER (PARTITION BY user_id, mi) AS DOUBLE) AS share FROM nc WHERE sp > 0),
+dr AS (SELECT user_id, mi, max(category) FILTER (k = 1) AS c1, max(category) FILTER (k = 2) AS c2, CAST(floor(max(share) FILTER (k = 1) * 100 + 0.5) AS BIGINT) AS p1, CAST(floor(max(share) FILTER (k = 2) * 100 + 0.5) AS BIGINT) AS p2,
+  arg_min(category, k) FILTER (category NOT IN ('Housing', 'Rent', 'Mortgage', 'Insurance')) AS lever FROM rk GROUP BY ALL),
+ss AS (SELECT user_id, merchant, price_cents, confidence IN ('high', 'medium') AS sure, CASE WHEN user_id % 4 = 1 AND merchant <> 'm3' THEN 2 ELSE months END AS months FROM sb WHERE user_id % 4 > 0),
+us AS (SELECT user_id, count(*) FILTER (sure) AS subs, coalesce(sum(price_cents) FILTER (sure), 0) AS subs_c, count(*) FILTER (months = 2) AS news, arg_min(struct_pack(merchant, price_cents), (-price_cents, merchant)) FILTER (months = 2) AS newest FROM ss GROUP BY user_id),
+f AS (SELECT nt.*, inc - sp AS net, coalesce(n, 0) AS n, was, now, c1, c2, p1, p2, lever, coalesce(subs, 0) AS subs, subs_c, coalesce(news, 0) AS news, newest, few_c / CAST(sp AS DOUBLE) * 100 AS few_p,
+  CAST(floor((now - was) / CAST(nullif(was, 0) AS DOUBLE) * 100 + 0.5) AS BIGINT) AS change, CAST(floor(CAST(sp AS DOUBLE) / nullif(inc, 0) * 100 + 0.5) AS BIGINT) AS used, CAST(floor(CAST(inc - sp AS DOUBLE) / nullif(inc, 0) * 100 + 0.5) AS BIGINT) AS saved,
+  CASE WHEN nt.mi = 2001 * 12 + 6 THEN CAST(sp AS DOUBLE) / 20 END AS daily
+  FROM nt LEFT JOIN mv USING (user_id, mi) LEFT JOIN dr USING (user_id, mi) LEFT JOIN us ON nt.user_id = us.user_id AND nt.mi = (SELECT max(z.mi) FROM nt z WHERE z.user_id = nt.user_id) WHERE sp > 0)
+SELECT user_id, year, month,
+  concat_ws(' ', CASE WHEN inc > 0 AND net >= 0 THEN format('You spent {{}} this month — {{}}% of income — leaving {{}} unspent.', {_usd("sp")}, used, {_usd("net")})
+      WHEN inc > 0 THEN format('You spent {{}} this month, {{}}% of income, with a {{}} shortfall.', {_usd("sp")}, used, {_usd("net")}) ELSE format('You spent {{}} this month.', {_usd("sp")}) END,
+    CASE WHEN n >= 2 AND was > 0 AND change >= 5 THEN format('That''s up {{}}% from last month across tracked categories.', change) WHEN n >= 2 AND was > 0 AND change <= -5 THEN format('That''s down {{}}% from last month across tracked categories.', -change) END,
+    CASE WHEN c2 IS NOT NULL THEN format('The biggest drivers are {{}} ({{}}%) and {{}} ({{}}%).', c1, p1, c2, p2) ELSE format('{{}} makes up {{}}% of spending.', c1, p1) END,
+    CASE WHEN news > 0 THEN format('A new recurring charge appeared: {{}} at {{}}/month{{}}.', newest.merchant, {_usd("newest.price_cents")}, CASE WHEN news > 1 THEN format(' (and {{}} more)', news - 1) ELSE '' END)
+      WHEN subs >= 4 THEN format('{{}} active subscriptions are running in the background at {{}}/month.', subs, {_usd("subs_c")}) WHEN few >= 10 AND few_p >= 8 THEN format('{{}} small purchases quietly added up to {{}} — worth a look.', few, {_usd("few_c")}) END,
+    CASE WHEN daily IS NULL THEN NULL WHEN inc > 0 AND daily * 31 > inc THEN format('At {{}}/day you''re on pace for {{}} — {{}} over income with 11 days left.', {_usd("daily")}, {_usd("daily * 31")}, {_usd("daily * 31 - inc")})
+      ELSE format('At this pace, projected month-end spend is {{}} with 11 days remaining.', {_usd("daily * 31")}) END,
+    CASE WHEN net < 0 AND lever IS NOT NULL THEN format('To get back to positive, start with {{}} — it''s your biggest lever.', lever) WHEN net < 0 THEN 'Review your variable expense categories to find the easiest reductions.'
+      WHEN news > 0 THEN 'Confirm whether the new recurring charge is expected and set to continue.' WHEN subs >= 5 THEN 'Auditing even one unused subscription could free up meaningful annual savings.'
+      WHEN few >= 15 AND few_p >= 10 THEN 'Cutting back on small daily purchases is the quickest win with the least sacrifice.'
+      WHEN inc > 0 AND saved >= 20 THEN format('You saved {{}}% this month — consider putting the surplus toward a specific goal.', saved) WHEN inc > 0 THEN 'Your finances look stable this month.' END) AS summary,
+  CASE WHEN net < 0 AND lever IS NOT NULL THEN 'Review ' || lever WHEN net < 0 THEN 'View transactions' WHEN news > 0 OR subs >= 5 THEN 'Review subscriptions' WHEN few >= 15 AND few_p >= 10 THEN 'View transactions' WHEN inc > 0 THEN 'View details' ELSE 'View transactions' END AS action_label,
+  concat_ws(';', 'total_spending=Total spending=' || {_usd("sp")}, CASE WHEN inc > 0 THEN 'net=Net=' || CASE WHEN net >= 0 THEN '+' ELSE '-' END || {_usd("net")} END, 'top_cat_1_pct=' || c1 || '=' || p1 || '%', 'top_cat_2_pct=' || c2 || '=' || p2 || '%',
+    CASE WHEN news > 0 THEN 'new_sub=New: ' || newest.merchant || '=' || {_usd("newest.price_cents")} || '/mo' WHEN subs >= 4 THEN 'sub_total=Subscriptions/mo=' || {_usd("subs_c")} WHEN few >= 10 AND few_p >= 8 THEN 'small_total=Small purchases=' || {_usd("few_c")} END,
+    CASE WHEN daily IS NOT NULL THEN 'projected=Projected total=' || {_usd("daily * 31")} END) AS numbers
+FROM f
+"""
+
+
 QUERIES = {
     "g01_over_budget": (lambda s, d: c.over_budget(_totals(s, d)), _one("over_budget")),
     "g02_category_spike": (lambda s, d: c.category_spike(m.category_history(_cats(s, d))), _one("category_spike")),
@@ -184,6 +240,7 @@ QUERIES = {
         BASE + """SELECT t.user_id, t.year, t.month, 'monthly_storyline' AS card_type, top_category AS subject, net_cents AS value_cents, CASE WHEN net_cents < 0 THEN 2 ELSE 1 END AS priority, CASE WHEN income_cents > 0 THEN 'high' ELSE 'medium' END AS confidence
             FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month WHERE spending_cents > 0""",
     ),
+    "g19_storyline_text": (_told, TOLD),
     "g20_rank_and_cap": (
         lambda s, d: c.rank_and_cap(c.ledger_cards(m.month_sets(_base(s, d)))),
         CARDS + f"SELECT *, {RANK} AS rank FROM cards QUALIFY rank <= 8",

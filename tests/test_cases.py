@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
-from tallyspark.operators import checks
+from tallyspark.operators import cards, checks
 from tallyspark.sources import csv_statements as csv
 
 
@@ -105,3 +105,36 @@ def test_date_orders(spark):
     found = checks.date_order(spark.createDataFrame(rows, "file string, raw_date string, parse_order int"), ["file"]).collect()
     got = {r.file: (r.mdy_cost, r.dmy_cost, r.date_order, r.confidence, r.needs_confirmation) for r in found}
     assert got == {"mdy": (0, 2000, "MDY", 99, False), "dmy": (1000, 0, "DMY", 99, False), "unsure": (0, 0, "MDY", 0, True), "clear": (0, 0, "MDY", 70, False)}
+
+
+def test_storyline_text(spark):
+    """One user a case: a gain with a goal, a loss with a lever, a loss of fixed costs alone, a new charge, and a month under way."""
+    month = [(u, 2024, m) for u in range(1, 6) for m in (1, 2)]
+    money = {1: (500_000, 200_050), 2: (100_000, 250_000), 3: (0, 90_000), 4: (100_000, 90_000), 5: (100_000, 60_000)}
+    paced = spark.createDataFrame(
+        [(u, y, m, *money[u], money[u][0] - money[u][1], u == 5 and m == 2, 29, 10 if (u, m) == (5, 2) else 29, money[u][1] / 10, money[u][1] * 2.9 if (u, m) == (5, 2) else None) for u, y, m in month],
+        "user_id int, year int, month int, income_cents long, spending_cents long, net_cents long, is_partial boolean, days_in_month int, elapsed int, daily_cents double, projected_cents double")
+    split = {1: {"Food": 150_050, "Fun": 50_000}, 2: {"Rent": 150_000, "Food": 50_000, "Fun": 50_000}, 3: {"Rent": 90_000}, 4: {"Food": 90_000}, 5: {"Food": 60_000}}
+    grown = {(1, 1): 2, (2, 1): 3}  # the month before had half or a third less
+    categories = spark.createDataFrame(
+        [(u, y, m, c, 0, x - x // grown[u, m] if (u, m) in grown else x, False, x - x // grown[u, m] if (u, m) in grown else x, x / money[u][1]) for u, y, m in month for c, x in split[u].items()],
+        "user_id int, year int, month int, category string, income_cents long, spending_cents long, is_income boolean, total_cents long, share double")
+    subs = spark.createDataFrame([(4, "Tunes", 999, 2, "low"), (4, "Films", 1549, 2, "medium")] + [(5, f"s{k}", 1000, 9, "high") for k in range(5)], "user_id int, merchant string, price_cents long, months long, confidence string")
+    small = spark.createDataFrame([(1, 2024, 2, 16, 20_100)], "user_id int, year int, month int, tx_count long, total_cents long")
+    got = {r.user_id: r for r in cards.storyline_text(paced, categories, subs, small).where("month = 2").collect()}
+    assert got[1].summary == (
+        "You spent $2,001 this month — 40% of income — leaving $3,000 unspent. That's up 100% from last month across tracked categories. The biggest drivers are Food (75%) and Fun (25%). "
+        "16 small purchases quietly added up to $201 — worth a look. Cutting back on small daily purchases is the quickest win with the least sacrifice.")
+    assert got[2].summary == (
+        "You spent $2,500 this month, 250% of income, with a $1,500 shortfall. That's up 50% from last month across tracked categories. The biggest drivers are Rent (60%) and Food (20%). "
+        "To get back to positive, start with Food — it's your biggest lever.")
+    assert got[3].summary == "You spent $900 this month. Rent makes up 100% of spending. Review your variable expense categories to find the easiest reductions."
+    assert got[4].summary == (
+        "You spent $900 this month — 90% of income — leaving $100 unspent. Food makes up 100% of spending. A new recurring charge appeared: Films at $15/month (and 1 more). "
+        "Confirm whether the new recurring charge is expected and set to continue.")
+    assert got[5].summary == (
+        "You spent $600 this month — 60% of income — leaving $400 unspent. Food makes up 100% of spending. 5 active subscriptions are running in the background at $50/month. "
+        "At $60/day you're on pace for $1,740 — $740 over income with 19 days left. Auditing even one unused subscription could free up meaningful annual savings.")
+    assert [got[u].action_label for u in range(1, 6)] == ["View transactions", "Review Food", "View transactions", "Review subscriptions", "Review subscriptions"]
+    assert [tuple(n) for n in got[4].numbers] == [("Total spending", "$900", "total_spending"), ("Net", "+$100", "net"), ("Food", "100%", "top_cat_1_pct"), ("New: Films", "$15/mo", "new_sub")]
+    assert [n.field for n in got[3].numbers] == ["total_spending", "top_cat_1_pct"]
