@@ -230,11 +230,11 @@ REDACTIONS = [
 ]
 
 
-def redact(text: Column, length: int = 200) -> Column:
-    """Cards, telephone numbers, mail addresses and account numbers are masked; so many characters are shown."""
+def redact(text: Column, length: int | None = 200) -> Column:
+    """Cards, telephone numbers, mail addresses and account numbers are masked; so many characters are shown, or all."""
     for pattern, shown in REDACTIONS:
         text = F.regexp_replace(text, pattern, F.lit(shown))
-    return F.substring(_trimmed(text), 1, length)
+    return _trimmed(text) if length is None else F.substring(_trimmed(text), 1, length)
 
 
 def ingestion_status(date_status: Column, amount: Column, pending: Column) -> Column:

@@ -322,6 +322,17 @@ def metrics(paced: DataFrame, subscribed: DataFrame, small: DataFrame, threshold
     })
 
 
+def month_signals(totals: DataFrame, categories: DataFrame, signs: DataFrame, subscribed: DataFrame, alerts: DataFrame) -> DataFrame:
+    """What a month's personality is told by: its totals, shares of its first two categories in percent, the user's subscriptions (a row each), its
+    alerts (user_id, year, month; a row each) and statement_signs. Statements say nothing of a card's utilization or of a balance carried: null."""
+    shares = concentration(categories).select(*MONTH, (F.col("top_share") * 100).alias("top_percent"), (F.col("second_share") * 100).alias("second_percent"))
+    held = subscribed.groupBy("user_id").agg(F.count("*").alias("subscriptions"))
+    warned = alerts.groupBy(*MONTH).agg(F.count("*").alias("anomalies"))
+    rows = totals.select(*MONTH, "income_cents", "spending_cents", "net_cents").join(shares, MONTH, "left").join(signs, MONTH, "left").join(held, "user_id", "left").join(warned, MONTH, "left")
+    return rows.fillna(0, ["subscriptions", "anomalies"]).fillna("unknown", ["statement_type"]).withColumnRenamed("interest_detected", "interest").withColumns(
+        {"utilization": F.lit(None).cast("double"), "balance_carried": F.lit(None).cast("boolean")})
+
+
 def personality(signals: DataFrame) -> DataFrame:
     """signals (income_cents, spending_cents, net_cents, top_percent, second_percent, subscriptions, anomalies, statement_type, utilization,
     interest, balance_carried) with personality: the first rule that holds. Without income the ratio is 1 and savings are 0."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import cards as c
+from tallyspark.operators import checks
 from tallyspark.operators import months as m
 from tallyspark.operators import recurring as r
-from tallyspark.plans.months import BASE, KEEP, _base, _cats, _totals
+from tallyspark.plans.months import BASE, KEEP, _base, _cats, _described, _totals
 from tallyspark.plans.recurring import SUBS, SUBS_OUT, TRIALS, _trials
 from tallyspark.sources import ledgers
 from tallyspark.sources.scratch import written
@@ -90,6 +91,16 @@ def _stored(spark, d):
     return old.withColumns({"value_cents": F.col("value_cents") + 1, "is_dismissed": F.col("month") % 7 == 0})
 
 
+def _month_signals(spark, d):
+    """Signals of the described order lines, their alerts of three kinds and the recurring ledger's subscriptions."""
+    base = m.analytic_base(_described(spark, d))
+    sets = m.month_sets(base)
+    categories = m.categories_of(sets)
+    again = checks.repeats_within(base).join(base.select("tx_id", "year", "month"), "tx_id")
+    alerts = checks.category_spikes(categories).select(*m.MONTH).unionByName(checks.large_anomalies(base).select(*m.MONTH)).unionByName(again.select(*m.MONTH))
+    return m.month_signals(m.totals_of(sets), categories, m.statement_signs(base, "description"), _subscribed(spark, d), alerts)
+
+
 CUT = "CAST(floor({0} + 0.5) AS BIGINT)"
 RANK = f"CAST(row_number() OVER (PARTITION BY user_id, year, month ORDER BY priority, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, list_position({c.KINDS}, card_type), value_cents DESC, subject) AS INT)"
 
@@ -159,6 +170,18 @@ FROM f
 """
 
 
+#: From g (totals, shares and signs of months) to their personalities.
+PERSONALITY = """h AS (SELECT *, CASE WHEN i > 0 THEN CAST(s AS DOUBLE) / i ELSE 1 END AS r, CASE WHEN i > 0 THEN CAST(n AS DOUBLE) / i ELSE 0 END AS sv, coalesce(tp, 0) - coalesce(sp, 0) AS spread FROM g)
+        SELECT user_id, year, month, CASE WHEN i >= 1000000 AND r < 0.5::DOUBLE AND sv > 0.4::DOUBLE THEN 'quiet_millionaire' WHEN r BETWEEN 0.85::DOUBLE AND 0.95::DOUBLE AND a = 0 AND spread < 10 THEN 'strategic_deployer'
+          WHEN r > 1.05::DOUBLE THEN 'full_send' WHEN a >= 3 AND r > 0.88::DOUBLE THEN 'adrenaline_accountant' WHEN a >= 5 AND n >= 0 THEN 'chaos_controller' WHEN i > 0 AND abs(n) < i * 0.03::DOUBLE THEN 'breakeven_poet'
+          WHEN n > 0 AND i > 0 AND sv < 0.05::DOUBLE THEN 'wire_dancer' WHEN coalesce(tp, 0) > 50 THEN 'big_ticket_player' WHEN subs >= 5 THEN 'subscription_collector' WHEN r < 0.5::DOUBLE AND n > 0 THEN 'low_key_saver'
+          WHEN k = 'bank' AND (n < 0 OR (a > 1 AND r > 0.95::DOUBLE)) THEN 'overdraft_artist' WHEN k = 'bank' AND r < 0.4::DOUBLE THEN 'cash_keeper' WHEN k = 'bank' AND a = 0 AND r >= 0.5::DOUBLE AND r < 0.75::DOUBLE THEN 'direct_depositor'
+          WHEN k = 'credit' AND u > 0.9::DOUBLE THEN 'minimum_payer' WHEN k = 'credit' AND u > 0.75::DOUBLE THEN 'utilization_king' WHEN k = 'credit' AND bc AND it THEN 'revolving_door' WHEN k = 'credit' AND it THEN 'balance_transfer'
+          WHEN k = 'credit' AND spread > 30 THEN 'one_card_wonder' WHEN k = 'credit' AND NOT bc AND spread < 15 AND r > 0.7::DOUBLE THEN 'cashback_architect' WHEN k = 'credit' AND NOT bc AND r > 0.8::DOUBLE THEN 'points_chaser'
+          WHEN r >= 0.5::DOUBLE AND r < 0.72::DOUBLE AND n > 0 THEN 'safety_buffer' WHEN n > 0 AND a = 0 AND r < 0.8::DOUBLE THEN 'smooth_operator' WHEN i > 500000 AND r > 0.85::DOUBLE THEN 'flow_master'
+          WHEN n > 0 AND r < 0.9::DOUBLE THEN 'savvy_spender' ELSE 'steady_builder' END AS personality FROM h"""
+
+
 QUERIES = {
     "g01_over_budget": (lambda s, d: c.over_budget(_totals(s, d)), _one("over_budget")),
     "g02_category_spike": (lambda s, d: c.category_spike(m.category_history(_cats(s, d))), _one("category_spike")),
@@ -278,15 +301,25 @@ QUERIES = {
         lambda s, d: m.personality(_signals(s, d)).select("user_id", "year", "month", "personality"),
         BASE + """, g AS (SELECT t.user_id, t.year, t.month, income_cents AS i, net_cents AS n, spending_cents AS s, top_share * 100 AS tp, second_share * 100 AS sp, t.month % 7 AS subs, t.year % 6 AS a,
             CASE WHEN t.month % 2 = 0 THEN 'bank' ELSE 'credit' END AS k, (t.user_id % 10) / 10::DOUBLE AS u, t.user_id % 3 = 0 AS it, t.user_id % 4 = 0 AS bc FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month),
-        h AS (SELECT *, CASE WHEN i > 0 THEN CAST(s AS DOUBLE) / i ELSE 1 END AS r, CASE WHEN i > 0 THEN CAST(n AS DOUBLE) / i ELSE 0 END AS sv, coalesce(tp, 0) - coalesce(sp, 0) AS spread FROM g)
-        SELECT user_id, year, month, CASE WHEN i >= 1000000 AND r < 0.5::DOUBLE AND sv > 0.4::DOUBLE THEN 'quiet_millionaire' WHEN r BETWEEN 0.85::DOUBLE AND 0.95::DOUBLE AND a = 0 AND spread < 10 THEN 'strategic_deployer'
-          WHEN r > 1.05::DOUBLE THEN 'full_send' WHEN a >= 3 AND r > 0.88::DOUBLE THEN 'adrenaline_accountant' WHEN a >= 5 AND n >= 0 THEN 'chaos_controller' WHEN i > 0 AND abs(n) < i * 0.03::DOUBLE THEN 'breakeven_poet'
-          WHEN n > 0 AND i > 0 AND sv < 0.05::DOUBLE THEN 'wire_dancer' WHEN coalesce(tp, 0) > 50 THEN 'big_ticket_player' WHEN subs >= 5 THEN 'subscription_collector' WHEN r < 0.5::DOUBLE AND n > 0 THEN 'low_key_saver'
-          WHEN k = 'bank' AND (n < 0 OR (a > 1 AND r > 0.95::DOUBLE)) THEN 'overdraft_artist' WHEN k = 'bank' AND r < 0.4::DOUBLE THEN 'cash_keeper' WHEN k = 'bank' AND a = 0 AND r >= 0.5::DOUBLE AND r < 0.75::DOUBLE THEN 'direct_depositor'
-          WHEN k = 'credit' AND u > 0.9::DOUBLE THEN 'minimum_payer' WHEN k = 'credit' AND u > 0.75::DOUBLE THEN 'utilization_king' WHEN k = 'credit' AND bc AND it THEN 'revolving_door' WHEN k = 'credit' AND it THEN 'balance_transfer'
-          WHEN k = 'credit' AND spread > 30 THEN 'one_card_wonder' WHEN k = 'credit' AND NOT bc AND spread < 15 AND r > 0.7::DOUBLE THEN 'cashback_architect' WHEN k = 'credit' AND NOT bc AND r > 0.8::DOUBLE THEN 'points_chaser'
-          WHEN r >= 0.5::DOUBLE AND r < 0.72::DOUBLE AND n > 0 THEN 'safety_buffer' WHEN n > 0 AND a = 0 AND r < 0.8::DOUBLE THEN 'smooth_operator' WHEN i > 500000 AND r > 0.85::DOUBLE THEN 'flow_master'
-          WHEN n > 0 AND r < 0.9::DOUBLE THEN 'savvy_spender' ELSE 'steady_builder' END AS personality FROM h""",
+        """ + PERSONALITY,
+    ),
+    "d17_month_personality": (
+        lambda s, d: m.personality(_month_signals(s, d)).select("user_id", "year", "month", "subscriptions", "anomalies", "statement_type", "interest", "personality"),
+        BOTH + """, k AS (SELECT user_id, count(*) AS subs FROM sb GROUP BY user_id),
+        st AS (SELECT o_custkey % 20 AS user_id, year(o_orderdate) AS year, month(o_orderdate) AS month, bool_or(l_partkey % 401 = 5) AS credit, bool_or(l_partkey % 401 <> 5 AND l_partkey % 311 = 7) AS interest FROM lines
+          WHERE l_suppkey % 37 <> 0 AND l_suppkey % 41 <> 0 AND l_partkey % 53 <> 0 AND l_partkey % 59 <> 0 AND floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) <> 0 GROUP BY ALL),
+        pa AS (SELECT a.user_id, a.year, a.month, a.spending_cents, list(b.spending_cents) AS past FROM cats a JOIN cats b ON a.user_id = b.user_id AND a.category = b.category AND b.mi < a.mi GROUP BY a.user_id, a.year, a.month, a.category, a.spending_cents HAVING count(*) >= 3),
+        pm AS (SELECT *, list_median(past) AS med FROM pa), pd AS (SELECT *, list_median(list_transform(past, lambda v: abs(v - med))) AS mad FROM pm),
+        costs AS (SELECT user_id, year, month, -amount_cents AS x, row_number() OVER (PARTITION BY user_id, year, month ORDER BY -amount_cents) AS r, count(*) OVER (PARTITION BY user_id, year, month) AS n FROM base WHERE amount_cents < 0),
+        edge AS (SELECT user_id, year, month, greatest(50000, max(x) FILTER (r = floor(n * 0.95::DOUBLE) + 1)) AS e FROM costs GROUP BY ALL),
+        al AS (SELECT user_id, year, month FROM pd WHERE mad > 0 AND 0.6745::DOUBLE * abs(spending_cents - med) / mad > 3.5 AND spending_cents > med
+          UNION ALL SELECT DISTINCT user_id, year, month FROM costs JOIN edge USING (user_id, year, month) WHERE x > e
+          UNION ALL SELECT user_id, year, month FROM (SELECT user_id, year, month, date_diff('day', lag(tx_date) OVER (PARTITION BY user_id, merchant, amount_cents ORDER BY tx_date, tx_id), tx_date) AS gap FROM base WHERE amount_cents < 0) WHERE gap <= 2),
+        an AS (SELECT user_id, year, month, count(*) AS a FROM al GROUP BY ALL),
+        g AS (SELECT t.user_id, t.year, t.month, income_cents AS i, net_cents AS n, spending_cents AS s, top_share * 100 AS tp, second_share * 100 AS sp, coalesce(subs, 0) AS subs, coalesce(a, 0) AS a, CASE WHEN credit THEN 'credit' ELSE 'unknown' END AS k,
+            0.0::DOUBLE AS u, interest AS it, false AS bc FROM totals t LEFT JOIN tops p ON t.user_id = p.user_id AND t.year = p.year AND t.month = p.month LEFT JOIN k ON t.user_id = k.user_id
+            LEFT JOIN st ON t.user_id = st.user_id AND t.year = st.year AND t.month = st.month LEFT JOIN an ON t.user_id = an.user_id AND t.year = an.year AND t.month = an.month),
+        """ + PERSONALITY.replace("month, CASE WHEN i >=", "month, subs AS subscriptions, a AS anomalies, k AS statement_type, it AS interest, CASE WHEN i >=", 1),
     ),
     "d19_panel_insights": (
         lambda s, d: m.panel_insights(_totals(s, d), _cats(s, d), _base(s, d)),
