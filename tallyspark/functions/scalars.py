@@ -102,23 +102,27 @@ def normalize_amount(raw: Column) -> Column:
     numbers (0x1F) count. Digits past the second are rounded, half away from zero.
     """
 
-    def parsed(text: Column) -> Column:
+    def signed(text: Column) -> Column:
         bare = F.when(
             text.rlike(f"^{_SIGN}|{_SIGN}$"),
             F.when(text.rlike("^" + _SIGN), F.regexp_replace(text, rf"^{_SIGN}\s*", "")).otherwise(F.regexp_replace(text, rf"\s*{_SIGN}$", "")),
         ).otherwise(F.regexp_replace(text, r"^\$\s*", ""))
-        signed = F.regexp_replace(F.regexp_replace(bare, r"^\((.+)\)$", "-$1"), r"^([^-].*)-$", "-$1")
-        plain = (
-            F.when(signed.rlike(r"^-?\d{1,3}(\.\d{3})+,\d{1,2}$"), F.replace(F.replace(signed, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-            .when(signed.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(signed, F.lit(","), F.lit("")))
-            .when(signed.rlike(r"^-?\d+,\d{2}$"), F.replace(signed, F.lit(","), F.lit(".")))
-            .otherwise(signed)
+        return F.regexp_replace(F.regexp_replace(bare, r"^\((.+)\)$", "-$1"), r"^([^-].*)-$", "-$1")
+
+    def plain(text: Column) -> Column:
+        return (
+            F.when(text.rlike(r"^-?\d{1,3}(\.\d{3})+,\d{1,2}$"), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(text.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(text, F.lit(","), F.lit("")))
+            .when(text.rlike(r"^-?\d+,\d{2}$"), F.replace(text, F.lit(","), F.lit(".")))
+            .otherwise(text)
         )
+
+    def number(plain: Column) -> Column:
         hexed = F.when(plain.rlike("^0[xX][0-9a-fA-F]{1,12}$"), F.conv(F.substring(plain, 3, 12), 16, 10))
         raised = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d{1,3}$"), plain.try_cast("double"))
         return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(18,2)")).otherwise(F.coalesce(raised.try_cast("decimal(18,2)"), hexed.try_cast("decimal(18,2)")))
 
-    return let(_trimmed(raw), parsed)
+    return let(let(let(_trimmed(raw), signed), plain), number)
 
 
 def to_cents(text: Column) -> Column:

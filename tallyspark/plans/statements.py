@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as f
 from tallyspark.sources import csv_statements as c
 from tallyspark.sources.ledgers import table
+from tallyspark.sources.scratch import written
 
 HEADERS = [
     "Date,Description,Amount,Balance\n", "Account export\r\nTransaction Date;Posted Date;Card No.;Description;Category;Debit;Credit",
@@ -50,7 +51,7 @@ def _formats(spark, d):
 
 
 def _rows(spark, d):
-    data = c.numbered(c.rows(c.with_header(c.records(files(spark, d)))), ["file"])
+    data = c.rows(written(c.with_header(c.records(files(spark, d))), "statements"))
     return data.select("file", F.col("row_index").cast("long"), F.col("data_row_index").cast("long"), "raw_line", "row_hash", "warning", F.array_join(F.transform("names", lambda n: F.concat(n, F.lit("="), F.col("fields")[n])), "/").alias("fields"))
 
 

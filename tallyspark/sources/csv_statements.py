@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as f
+from tallyspark.sources.scratch import written
 from tallyspark.sources.statements import line_ending
 
 #: In this order; of equal scores the first wins.
@@ -82,7 +83,7 @@ def _trim(text: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """The first lines that are not blank, without what stands in quotes."""
-    lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: _trim(x) != "")
+    lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike(r"\S"))
     return F.transform(F.slice(lines, 1, SAMPLE_LINES), lambda x: F.regexp_replace(x, r'"[^"]*("|\z)', ""))
 
 
@@ -180,7 +181,9 @@ def with_header(read: DataFrame) -> DataFrame:
 
         return F.when(F.size(row) >= 2, f.let(F.transform(row, _header), mapped))
 
-    first = F.transform(F.slice("lines", 1, HEADER_ROWS), lambda x: cells(x, F.col("delimiter")))
+    # every pattern of a date's column holds this word, so what lacks it is no header; quotes may part a word
+    dated = lambda x: F.contains(F.lower(F.replace(x, F.lit('"'), F.lit(""))), F.lit("date"))
+    first = F.transform(F.slice("lines", 1, HEADER_ROWS), lambda x: F.when(dated(x), cells(x, F.col("delimiter"))))
     best = F.array_max(F.filter(F.transform(first, judged), lambda s: s.isNotNull()))
     b = F.col("__best")
     header = F.struct(
@@ -198,34 +201,33 @@ def rows(headed: DataFrame) -> DataFrame:
     """One row a data record: the file's columns without its lines, row_index, data_row_index, raw_line, row_hash, names array<string>, fields map<string,string>,
     warning (null, COLUMN_COUNT_MISMATCH_UNDER or _OVER).
 
-    Blank records are skipped. Missing cells are empty; further ones are kept as __col5__ and the like. Of
+    Blank records are skipped; data_row_index counts the others from 0 in each file. Missing cells are empty; further ones are kept as __col5__ and the like. Of
     columns with one name the last counts. Files without a header have no rows.
     """
-    exploded = headed.where("header.confidence > 0").select("*", F.posexplode("lines").alias("row_index", "raw_line")).where(F.col("row_index") > F.col("header.row"))
-    split = exploded.drop("lines").withColumn("cells", cells(F.col("raw_line"), F.col("delimiter")))
-    split = split.where(F.exists("cells", lambda c: _trim(c) != ""))
+    sign = F.col("delimiter")
+    # what is left without quotes and delimiters stands in a cell; only a line without such is cut to see if it is blank
+    said = lambda x: F.replace(F.replace(x, F.lit('"'), F.lit("")), sign, F.lit("")).rlike(r"\S")
+    full = lambda x: F.when(said(x), True).otherwise(F.exists(cells(x, sign), lambda c: c.rlike(r"\S")))
+    placed = F.transform("lines", lambda x, i: F.struct(i.alias("row_index"), x.alias("raw_line")))
+    kept = F.filter(placed, lambda r: (r["row_index"] > F.col("header.row")) & full(r["raw_line"]))
+    # files without a header have no lines here, rather than be filtered: a filter would be moved below and work the header out again
+    kept = F.when(F.col("header.confidence") > 0, kept)
+    exploded = headed.withColumn("lines", kept).select("*", F.posexplode("lines").alias("data_row_index", "__line")).drop("lines")
+    split = exploded.withColumns({"row_index": F.col("__line.row_index"), "raw_line": F.col("__line.raw_line"), "cells": cells(F.col("__line.raw_line"), sign)}).drop("__line")
     n = F.size("header.columns")
     extra = F.transform(
         F.when(F.size("cells") > n, F.sequence(n, F.size("cells") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("__col"), i.cast("string"), F.lit("__"))
     )
-    names = F.concat("header.columns", extra)
+    named = split.withColumn("__names", F.concat("header.columns", extra))
+    names = F.col("__names")
     pairs = F.transform(names, lambda name, i: F.struct(name.alias("name"), F.coalesce(F.get("cells", i), F.lit("")).alias("value"), i.alias("i")))
     last = F.filter(pairs, lambda p: (p["name"] != "") & ~F.array_contains(F.slice(names, p["i"] + 2, F.greatest(F.size(names), F.lit(1))), p["name"]))
-    in_file = F.col("row_index")
-    out = split.withColumns({
-        "names": F.transform(last, lambda p: p["name"]), "fields": F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p["value"]))),
+    out = named.withColumn("__last", last).withColumns({
+        "names": F.transform("__last", lambda p: p["name"]), "fields": F.map_from_entries(F.transform("__last", lambda p: F.struct(p["name"], p["value"]))),
         "row_hash": F.sha2("raw_line", 256),
         "warning": F.when(F.size("cells") < n, "COLUMN_COUNT_MISMATCH_UNDER").when(F.size("cells") > n, "COLUMN_COUNT_MISMATCH_OVER"),
-        "row_index": in_file,
     })
-    return out.drop("cells")
-
-
-def numbered(data: DataFrame, by: list[str]) -> DataFrame:
-    """data with data_row_index, from 0 in each file."""
-    from pyspark.sql import Window
-
-    return data.withColumn("data_row_index", F.row_number().over(Window.partitionBy(*by).orderBy("row_index")) - 1)
+    return out.drop("cells", "__names", "__last")
 
 
 def bank(columns: Column) -> Column:
@@ -289,12 +291,14 @@ def normalized(data: DataFrame, order: Column | None = None) -> DataFrame:
         "__balance": cell("runningBalance"), "__pending": cell("pending"), "__code": cell("currency"),
         **{name: F.nullif(cell(key), F.lit("")) for name, key in (("check_number", "checkNumber"), ("bank_id", "bankTransactionId"), ("bank_category", "bankCategory"))},
     })
+    # each amount is read once, as a column of its own
+    read = read.withColumns({f"{c}_read": f.normalize_amount(F.col(c)) for c in ("__amount", "__debit", "__credit")})
     single = F.col("__amount") != ""
-    debit, credit = f.normalize_amount(F.col("__debit")), f.normalize_amount(F.col("__credit"))
+    debit, credit = F.col("__debit_read"), F.col("__credit_read")
     source = F.when(single, F.col("__amount")).when(F.coalesce(debit, F.lit(0)) != 0, F.col("__debit")).when(F.coalesce(credit, F.lit(0)) != 0, F.col("__credit"))
-    amount = F.when(single, f.normalize_amount(F.col("__amount"))).otherwise(f.merge_debit_credit(debit, credit))
+    read = read.withColumn("__merged", F.when(single, F.col("__amount_read")).otherwise(f.merge_debit_credit(debit, credit)))
     read = read.withColumns({
-        "__date": f.normalize_date(F.when(F.col("__posted") != "", F.col("__posted")).otherwise(F.col("__made")), order), "amount": f.enforce_sign(amount, F.col("__kind")),
+        "__date": f.normalize_date(F.when(F.col("__posted") != "", F.col("__posted")).otherwise(F.col("__made")), order), "amount": f.enforce_sign(F.col("__merged"), F.col("__kind")),
         "__both": ~single & (F.coalesce(debit, F.lit(0)) != 0) & (F.coalesce(credit, F.lit(0)) != 0), "balance": f.normalize_amount(F.col("__balance")),
         "currency": f.currency(F.coalesce(source, F.lit("")), F.col("__code")), "is_pending": _trim(F.col("__pending")).rlike("(?i)^(pending|p)$"),
         "description": f.normalize_description(F.col("__desc")),
@@ -319,9 +323,10 @@ def read_statements(files: DataFrame, by: list[str], text_col: str = "text") ->
     """Files with a text to normalised rows, each file in the date order that its dates and its bank speak for."""
     from tallyspark.operators.checks import date_order
 
-    headed = with_header(records(files, text_col)).withColumn("bank", bank(F.col("header.columns")))
-    data = numbered(rows(headed), by)
+    # a file's header is found once; its date order joins the file, before its rows are made
+    headed = written(with_header(records(files, text_col)).withColumn("bank", bank(F.col("header.columns"))), "statements")
     mapping = F.col("header.mapping")
     raw = F.coalesce(*(F.nullif(F.try_element_at("fields", F.try_element_at(mapping, F.lit(k))), F.lit("")) for k in ("postedDate", "date", "transactionDate")), F.lit(""))
-    orders = date_order(data.select(*by, raw.alias("raw_date"), F.col("data_row_index").alias("parse_order")), by, headed.select(*by, "bank.bank_order", "bank.bank_confidence"))
-    return normalized(data.join(orders.select(*by, "date_order"), by), F.col("date_order"))
+    dates = rows(headed).select(*by, raw.alias("raw_date"), F.col("data_row_index").alias("parse_order"))
+    orders = date_order(dates, by, headed.select(*by, "bank.bank_order", "bank.bank_confidence"))
+    return normalized(rows(headed.join(orders.select(*by, "date_order"), by)), F.col("date_order"))
