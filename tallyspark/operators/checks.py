@@ -240,11 +240,12 @@ def transfer_pairs(ledger: DataFrame, days: int = 5, said: Column | None = None)
     return first.select("user_id", "tx_id", F.col("p.partner_id").alias("partner_id"), F.col("p.partner_date").alias("partner_date"))
 
 
-def repeats_within(ledger: DataFrame, days: int = 2) -> DataFrame:
-    """Rows that repeat user, merchant and amount of a row at most so many days earlier; the nearest earlier decides."""
+def repeats_within(ledger: DataFrame, days: int = 2, carried: list[str] | None = None) -> DataFrame:
+    """Rows that repeat user, merchant and amount of a row at most so many days earlier; the nearest earlier decides. carried: columns of the
+    ledger that are returned too, for a tx_id need not be of one row only."""
     at = Window.partitionBy("user_id", "merchant", "amount_cents").orderBy("tx_date", "tx_id")
     rows = ledger.where("amount_cents < 0").withColumns({"earlier_id": F.lag("tx_id").over(at), "gap": F.datediff("tx_date", F.lag("tx_date").over(at))})
-    return rows.where(F.col("gap") <= days).select("user_id", "tx_id", "earlier_id", "merchant", "amount_cents", "gap")
+    return rows.where(F.col("gap") <= days).select("user_id", "tx_id", "earlier_id", "merchant", "amount_cents", "gap", *(carried or []))
 
 
 def same_amounts(ledger: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def _month_signals(spark, d):
     base = m.analytic_base(_described(spark, d))
     sets = m.month_sets(base)
     categories = m.categories_of(sets)
-    again = checks.repeats_within(base).join(base.select("tx_id", "year", "month"), "tx_id")
+    again = checks.repeats_within(base, carried=["year", "month"])
     alerts = checks.category_spikes(categories).select(*m.MONTH).unionByName(checks.large_anomalies(base).select(*m.MONTH)).unionByName(again.select(*m.MONTH))
     return m.month_signals(m.totals_of(sets), categories, m.statement_signs(base, "description"), _subscribed(spark, d), alerts)
 

@@ -1,6 +1,9 @@
 """What a query's work grows with, told by its plan, and results where keys repeat as in large tables."""
 
-from tallyspark.plans import registry
+import datetime
+
+from tallyspark.operators import checks
+from tallyspark.plans import cards, registry
 from tallyspark.sources import csv_statements as csv
 
 QUERIES = registry.queries()
@@ -26,3 +29,15 @@ def test_quotes_in_header(spark):
     assert [(r.data_row_index, r.row_index, r.fields) for r in rows] == [
         (0, 2, {"Date": "1", "Amount": "2", "Memo": '"'}), (1, 3, {"Date": '"', "Amount": "", "Memo": ""}),
     ]
+
+
+def test_alerts_of_repeated_ids(spark, monkeypatch):
+    """Of rows that share a tx_id each counts as it stands: a repeat is one alert, however many rows have its tx_id."""
+    day = datetime.date
+    rows = [(1, 7, "a", day(2024, 1, 5), "shop", "food", -500), (1, 7, "a", day(2024, 1, 6), "shop", "food", -500), (1, 7, "a", day(2024, 2, 9), "bar", "food", -700), (2, 7, "a", day(2024, 2, 9), "bar", "food", -700)]
+    ledger = spark.createDataFrame([(*r, False, False, False, False, r[4]) for r in rows],
+        "tx_id long, user_id long, account_id string, tx_date date, merchant string, app_category string, amount_cents long, is_transfer boolean, is_excluded boolean, is_duplicate boolean, is_foreign boolean, description string")
+    monkeypatch.setattr(cards, "_described", lambda s, d: ledger)
+    monkeypatch.setattr(cards, "_subscribed", lambda s, d: s.createDataFrame([], "user_id long, merchant string, price_cents long"))
+    assert {(r.month, r.anomalies) for r in cards._month_signals(spark, SMALL).collect()} == {(1, 1), (2, 1)}
+    assert "tx_id" in checks.repeats_within(ledger).columns
