@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: A dictionary of so many rows or fewer is worked on the driver and goes to every task; a larger one is shuffled.
 FEW = 20_000
+#: A scope of so many words or fewer meets its texts as they are: they have about as many runs each.
+LIGHT = 16
 
 
 def few_rows(df: DataFrame) -> list[Row] | None:
@@ -38,13 +40,24 @@ def holding(texts: DataFrame, words: DataFrame, scope: list[str] | None = None,
     texts: (scope, text), words: (scope, word), both without repeats. With scope columns only what agrees in
     them meets. Nulls meet nothing. An empty word is in every text. Case counts. Few words are placed by what is rare among
     themselves and go to every task; many are placed by what is rare in the texts, and shuffled. Words that are known to be many need
-    not be looked at first (measured=False). carried: columns of texts that are returned too.
+    not be looked at first (measured=False). carried: columns of texts that are returned too. Of many words, the scopes with
+    few (LIGHT) are joined to their texts by scope alone, and only the others' texts are taken apart.
     """
     scope, carried = scope or [], carried or []
-    key = [*scope, "gram"]
     words = words.select(*scope, "word").where("word IS NOT NULL")
     known = texts.where("text IS NOT NULL")
     found = few_rows(words) if measured else None
+    if scope and found is None:
+        held = words.groupBy(*scope).agg(F.count("*").alias("__n"))
+        light, heavy = (held.where(test).select(*scope) for test in (F.col("__n") <= LIGHT, F.col("__n") > LIGHT))
+        direct = known.join(words.join(light, scope, "left_semi"), scope).where(F.contains("text", "word")).select(*scope, *carried, "text", "word")
+        return direct.unionByName(_by_grams(known.join(heavy, scope, "left_semi"), words.join(heavy, scope, "left_semi"), None, scope, carried))
+    return _by_grams(known, words, found, scope, carried)
+
+
+def _by_grams(known: DataFrame, words: DataFrame, found: list[Row] | None, scope: list[str], carried: list[str]) -> DataFrame:
+    """holding by the index of runs; found: the words, if they are few."""
+    key = [*scope, "gram"]
     sizes = list(range(GRAM + 1)) if found is None else sorted({min(len(r["word"]), GRAM) for r in found}) or [0]
     text_grams = known.select(*scope, *carried, "text", F.explode(F.concat(*(grams(F.col("text"), k) for k in sizes))).alias("gram"))
     if found is not None:

@@ -2,9 +2,13 @@
 
 import datetime
 
-from tallyspark.operators import checks
+import pytest
+
+from tallyspark.operators import checks, substrings
 from tallyspark.plans import cards, registry
+from tallyspark.plans import rules as rule_plans
 from tallyspark.sources import csv_statements as csv
+from tallyspark.sources import ledgers
 
 QUERIES = registry.queries()
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +45,36 @@ def test_alerts_of_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(cards, "_subscribed", lambda s, d: s.createDataFrame([], "user_id long, merchant string, price_cents long"))
     assert {(r.month, r.anomalies) for r in cards._month_signals(spark, SMALL).collect()} == {(1, 1), (2, 1)}
     assert "tx_id" in checks.repeats_within(ledger).columns
+
+
+def counted(monkeypatch, module, name):
+    """The calls of a function, which works on."""
+    calls, own = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: calls.append(a) or own(*a, **k))
+    return calls
+
+
+def test_words_of_scopes(spark, monkeypatch):
+    """Of many words, only the texts of scopes with many are taken apart; what is found is the same."""
+    texts = [(u, f"a{i} pay {u}") for u in (1, 2, 3) for i in range(30)]
+    words = [(1, "pay"), (1, "a1"), (1, ""), (3, "pay"), (3, "zz"), *((2, f"a{i}") for i in range(20)), (2, "y 2"), (2, None), (4, "a")]
+    expected = sorted((u, t, w) for u, t in texts for v, w in words if u == v and w is not None and w in t)
+    t, w = spark.createDataFrame(texts, "user long, text string"), spark.createDataFrame(words, "user long, word string")
+    assert sorted(map(tuple, substrings.holding(t, w, ["user"]).collect())) == expected
+    apart = counted(monkeypatch, substrings, "_by_grams")
+    monkeypatch.setattr(substrings, "FEW", 0)
+    assert sorted(map(tuple, substrings.holding(t, w, ["user"]).collect())) == expected
+    assert {r.user for r in apart[0][0].collect()} == {2}
+
+
+def test_queue_made_once(spark, monkeypatch):
+    calls = counted(monkeypatch, rule_plans, "_queue")
+    QUERIES["t04_queue_orders"](spark, SMALL)
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["d15_metrics", "g20_every_kind"])
+def test_order_lines_joined_once(name, spark, monkeypatch):
+    calls = counted(monkeypatch, ledgers, "ledger_li")
+    QUERIES[name](spark, SMALL)
+    assert len(calls) == 1
