@@ -57,11 +57,12 @@ def paged(rows: DataFrame, sort_by: str = "date", descending: bool = True, page:
     return placed.where(F.col("place").between((page - 1) * size + 1, page * size))
 
 
-def queued(rows: DataFrame, sort_by: str = "date", descending: bool = True) -> DataFrame:
+def queued(rows: DataFrame, sort_by: str = "date", descending: bool = True, columns: list[str] | None = None) -> DataFrame:
     """rows (user_id, tx_id, tx_date, amount_cents, merchant, description) with place, from 1, in each user's queue by date, amount or vendor.
 
     The vendor is the merchant, or the description if there is none, in any case; rows without either come last both ways. Ties go
-    by date, newest first, then by tx_id. A user's queue may be of any length: it is placed in ranges.
+    by date, newest first, then by tx_id. A user's queue may be of any length: it is placed in ranges. columns: those that are
+    returned, user_id among them (all, unless told otherwise); of the others only what the order needs is read.
     """
     if sort_by == "vendor":
         merchant, said = (F.coalesce(c, F.lit("")) for c in ("merchant", "description"))
@@ -70,7 +71,9 @@ def queued(rows: DataFrame, sort_by: str = "date", descending: bool = True) -> D
     else:
         keyed = rows.withColumns({"__empty": F.lit(False), "__key": F.col("amount_cents" if sort_by == "amount" else "tx_date")})
     order = [F.col("__empty").asc(), F.col("__key").desc() if descending else F.col("__key").asc(), F.col("tx_date").desc(), F.col("tx_id").asc()]
-    return placed(keyed, ["user_id"], order).drop("__empty", "__key")
+    columns = columns or rows.columns
+    needed = dict.fromkeys([*columns, "user_id", "tx_date", "tx_id", "__empty", "__key"])
+    return placed(keyed.select(*needed), ["user_id"], order, columns=columns)
 
 
 def counted(rows: DataFrame) -> DataFrame:

@@ -42,19 +42,21 @@ def last_before(rows: DataFrame, by: list[str], order: list[str], values: dict[s
     return joined.select(*(F.col(c) for c in rows.columns if c not in values), *(F.coalesce(n, f"__carried_{n}").alias(n) for n in values))
 
 
-def placed(rows: DataFrame, by: list[str], order: list[Column], place: str = "place") -> DataFrame:
+def placed(rows: DataFrame, by: list[str], order: list[Column], place: str = "place", columns: list[str] | None = None) -> DataFrame:
     """rows with their place from 1 in the order among those of their key; equal rows follow one another in any order.
+    columns: those of rows that are returned, by among them; what only the order needs is not written.
 
     The rows are cut into ranges by key and order, sorted, and written once: a range's rows are numbered as they stand. A
     key's place is that number and the rows of it in the ranges before; only counts by range and key are gathered.
     """
     ends = [*(F.col(k).asc() for k in by), *order]
     at = F.monotonically_increasing_id()
-    kept = written(rows.repartitionByRange(*ends).sortWithinPartitions(*ends).withColumn("__at", at).withColumn("__range", F.shiftright("__at", 33)), "placed")
+    columns = [c for c in (columns or rows.columns) if c != place]
+    kept = written(rows.repartitionByRange(*ends).sortWithinPartitions(*ends).select(*columns, at.alias("__at")).withColumn("__range", F.shiftright("__at", 33)), "placed")
     keys = [*by, "__range"]
     counts = kept.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     offsets = counts.select(*(F.col(k).alias(v) for k, v in names.items()), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__offset"))
     joined = kept.join(offsets, _same(kept, offsets, keys, names))
-    return joined.select(*(F.col(c) for c in rows.columns if c != place), (F.col("__at") + F.col("__offset")).alias(place))
+    return joined.select(*columns, (F.col("__at") + F.col("__offset")).alias(place))

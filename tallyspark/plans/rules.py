@@ -10,6 +10,7 @@ from tallyspark.operators import dictionaries, lists
 from tallyspark.operators import rules as r
 from tallyspark.sources import ledgers, statements
 from tallyspark.sources.ledgers import table
+from tallyspark.sources.scratch import written
 
 RULES = [
     (1, "exact", "CLICK 5", "Exact", 1, 9), (2, "contains", "purchase", "Shopping", 1, 5), (3, "regex", "^(view|CLICK) [1-9]$", "Browsing", 1, 7),
@@ -95,6 +96,12 @@ def _queue(spark, d):
     return one.select("tx_id", "user_id", "tx_date", "amount_cents", F.when(F.col("tx_id") % 3 > 0, F.initcap("merchant")).alias("merchant"), F.trim("app_category").alias("description"))
 
 
+def _queue_orders(queue):
+    """The queue in six orders; it is made once."""
+    asked = [(by, down) for by in ("date", "amount", "vendor") for down in (False, True)]
+    return reduce(lambda a, b: a.unionByName(b), (lists.queued(queue, by, down, ["user_id", "tx_id"]).select(F.lit(f"{by} {down}").alias("sorted"), "user_id", "tx_id", "place") for by, down in asked))
+
+
 QUEUE_SQL = """one AS (SELECT tx_id, min(user_id) AS user_id, min(tx_date) AS tx_date, min(amount_cents) AS amount_cents, min(merchant) AS merchant, min(app_category) AS app_category FROM ledger_li GROUP BY tx_id),
 queue AS (SELECT tx_id, user_id, tx_date, amount_cents, lower(CASE WHEN tx_id % 3 > 0 THEN merchant ELSE coalesce(trim(app_category), '') END) AS vendor FROM one)"""
 
@@ -191,7 +198,7 @@ QUERIES = {
         f"""WITH {ledgers.SQL}, {QUEUE_SQL} SELECT tx_id, row_number() OVER (PARTITION BY user_id ORDER BY vendor = '', vendor, tx_date DESC, tx_id) AS place FROM queue""",
     ),
     "t04_queue_orders": (
-        lambda s, d: reduce(lambda a, b: a.unionByName(b), (lists.queued(_queue(s, d), by, down).select(F.lit(f"{by} {down}").alias("sorted"), "user_id", "tx_id", "place") for by in ("date", "amount", "vendor") for down in (False, True))),
+        lambda s, d: _queue_orders(written(_queue(s, d), "queue")),
         f"WITH {ledgers.SQL}, {QUEUE_SQL} " + " UNION ALL ".join(
             f"SELECT '{by} {down}' AS sorted, user_id, tx_id, row_number() OVER (PARTITION BY user_id ORDER BY {first}{key} {'DESC' if down else 'ASC'}, tx_date DESC, tx_id) AS place FROM queue"
             for by, first, key in (("date", "", "tx_date"), ("amount", "", "amount_cents"), ("vendor", "vendor = '', ", "vendor")) for down in (False, True)
