@@ -64,7 +64,25 @@ BOTH = BASE + "," + SUBS.split(ledgers.SQL + ",", 1)[1] + f", sb AS ({SUBS_OUT})
 
 
 def _subscribed(spark, d):
-    return written(r.subscriptions(ledgers.ledger_rec(spark, d)), "subscriptions")
+    # subscriptions reads its ledger twice: the joined lines are written once, in the columns it needs
+    charges = ledgers.ledger_rec(spark, d).select("tx_id", "user_id", "tx_date", "merchant", "amount_cents", "is_excluded")
+    return written(r.subscriptions(written(charges, "charges")), "subscriptions")
+
+
+#: What a ledger's rows are counted by.
+FLAGS = ["is_transfer", "is_excluded", "is_duplicate", "is_foreign"]
+
+
+def _ledger(spark, d, *columns):
+    """The order lines joined once and written, in the columns that a query reads more than once."""
+    return written(ledgers.ledger_li(spark, d).select(*columns, *FLAGS), "ledger")
+
+
+def _metrics(spark, d):
+    ledger = _ledger(spark, d, "user_id", "tx_date", "amount_cents")
+    base = m.analytic_base(ledger.withColumn("app_category", F.lit(None).cast("string")))
+    paced = m.month_pace(m.month_totals(base).withColumn("is_partial", F.lit(True)), F.lit(AS_OF).cast("date"))
+    return m.metrics(paced, _subscribed(spark, d), m.small_purchases(base.withColumn("merchant", F.lit(None).cast("string")), 500_000)[0], m.large_threshold(ledger))
 
 
 def _subscription_cards(spark, d):
@@ -107,9 +125,11 @@ RANK = f"CAST(row_number() OVER (PARTITION BY user_id, year, month ORDER BY prio
 
 def _every_card(spark, d):
     """Cards of all kinds from one aggregate of the order lines, with the recurring ledger's subscriptions and the trials."""
-    sets, subs = m.month_sets(_base(spark, d)), _subscribed(spark, d)
+    ledger = _ledger(spark, d, "tx_id", "user_id", "account_id", "tx_date", "merchant", "app_category", "amount_cents")
+    base = m.analytic_base(ledger)
+    sets, subs = m.month_sets(base), _subscribed(spark, d)
     paced = m.month_pace(m.totals_of(sets).withColumn("is_partial", F.lit(True)), F.lit(AS_OF).cast("date"))
-    large = m.top_expenses(_base(spark, d), 3, m.large_threshold(ledgers.ledger_li(spark, d)))
+    large = m.top_expenses(base, 3, m.large_threshold(ledger))
     duplicates = subs.where("price_cents % 3 > 0").select("user_id", F.concat(F.lit("kind"), (F.col("price_cents") % 3).cast("string")).alias("service"), "merchant", "price_cents")
     return c.all_cards(sets, paced, large, subs, r.trials(_trials(spark, d), "2024-02-01", "2024-01-08"), duplicates)
 
@@ -288,7 +308,7 @@ QUERIES = {
             {CUT.format("CAST(spending_cents AS DOUBLE) / CASE WHEN year = 2001 AND month = 7 THEN 20 ELSE day(last_day(make_date(year, month, 1))) END")} AS daily_cents, CASE WHEN year = 2001 AND month = 7 THEN {CUT.format("CAST(spending_cents AS DOUBLE) / 20 * 31")} END AS projected_cents FROM totals""",
     ),
     "d15_metrics": (
-        lambda s, d: m.metrics(_paced(s, d), _subscribed(s, d), m.small_purchases(_base(s, d), 500_000)[0], m.large_threshold(ledgers.ledger_li(s, d))).select(
+        lambda s, d: _metrics(s, d).select(
             "user_id", "year", "month", "fixed_cents", "subscriptions", "discretionary_cents", "mean_cents", "small_count", "small_cents", "threshold_cents"),
         BOTH + """, fx AS (SELECT user_id, CAST(sum(price_cents) AS BIGINT) AS fixed_cents, count(*) AS subscriptions FROM sb WHERE confidence IN ('high', 'medium') GROUP BY user_id),
         sm AS (SELECT user_id, year, month, count(*) AS small_count, CAST(sum(-amount_cents) AS BIGINT) AS small_cents FROM base WHERE amount_cents < 0 AND amount_cents > -500000 GROUP BY ALL),
