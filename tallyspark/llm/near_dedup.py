@@ -79,7 +79,8 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], texts))], ["class", "texts"])
 
     counted = docs.select(text_of(text_col).alias("text")).mapInArrow(run, "class long, texts long")
-    found = counted.groupBy("class").agg(F.sum("texts").alias("texts")).toPandas()  # at most 2**CLASS_BITS + 1 rows
+    # at most 2**CLASS_BITS + 1 rows, as columns: rows would be some 100 MB of Python's objects on the driver
+    found = counted.groupBy("class").agg(F.sum("texts").alias("texts")).toArrow().to_pandas()
     texts = max(1, int(found.loc[found["class"] < 0, "texts"].sum()))
     found = found[found["class"] >= 0]
     frequency = np.ones(1 << CLASS_BITS)

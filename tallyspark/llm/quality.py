@@ -239,10 +239,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     fit_on = joined.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>")
     # an id that repeats has a row for each of its documents: the bound is on rows
-    fit_on = fit_on.orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).orderBy("id", "x").toPandas()
-    if not len(fit_on):
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return fit(np.stack(fit_on["x"].to_numpy()), fit_on["y"].to_numpy(float))
+    fit_on = fit_on.orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).orderBy("id", "x").select("y", "x").toArrow()
+    x = fit_on["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(fit_on.num_rows, len(FEATURES))
+    return fit(x, fit_on["y"].to_numpy().astype(float))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
