@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token ids; decoded_sha256 is of what the ids decode to."""
-    encoded = byte_bpe.encode(docs, *byte_bpe.public_ranks(), ids=True, digests=True)
-    return encoded.drop("text", "ids_sha256")
+    encoded = byte_bpe.encode(docs, *byte_bpe.public_ranks(), ids=True, digests=True, texts=False)
+    return encoded.drop("ids_sha256")
 
 
 STAGES = [

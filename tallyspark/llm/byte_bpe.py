@@ -18,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens, and chunks between spaces, that a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+from tallyspark.llm.common import slices
+
+#: Distinct strings, pre-tokens or chunks between spaces, in each of the two generations that a worker remembers.
+REMEMBERED = 400_000
+#: Bytes of texts whose ids a worker holds at once; a longer text is alone.
+HELD = 4 << 20
 
 
 # Fixed value: the pattern of which no match goes past a space between two characters that are not white space.
@@ -35,24 +39,12 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
 
-class Chunks(dict):
-    """chunk -> the packed ids of its pre-tokens."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        packed = b"".join(map(self.encoder.__getitem__, self.encoder.split(chunk)))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = packed
-        return packed
-
-
 class Encoder(dict):
-    """pre-token -> its ids as little-endian 32-bit integers; a missing one is encoded."""
+    """pre-token, or chunk between spaces -> its ids as little-endian 32-bit integers; a missing one is encoded.
+
+    Both are in one dictionary: a pre-token of CUT_AT_SPACES is one match on its own too. Once it is full it becomes
+    the older generation, from which strings that come up again return; what did not come up meanwhile goes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -63,13 +55,20 @@ class Encoder(dict):
         self.longest = max(map(len, ranks))
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.split = regex.compile(pattern).findall
-        self.chunks = Chunks(self)
+        self.older: dict[str, bytes] = {}
         self.cuts = pattern == CUT_AT_SPACES
         self.near_space = regex.compile(r"\s[ ]|[ ]\s|\x00").search
 
     def __missing__(self, piece: str) -> bytes:
-        packed = array("I", self.merge(piece.encode())).tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            pieces = self.split(piece) if self.cuts else [piece]
+            if len(pieces) == 1:
+                packed = array("I", self.merge(piece.encode())).tobytes()
+            else:
+                packed = b"".join(map(self.__getitem__, pieces))
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed
@@ -151,7 +150,7 @@ class Encoder(dict):
         it ends before it. Such texts are cut there, and the chunks are remembered. Other patterns split the whole text."""
         if not self.cuts or self.near_space(text):
             return b"".join(map(self.__getitem__, self.split(text)))
-        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", packed)))
@@ -165,8 +164,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(ranks, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
-    """All columns of docs, and n_tokens long, and with ids: token_ids array<int>; with digests: ids_sha256 and decoded_sha256.
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: bool = True, digests: bool = False, texts: bool = True) -> DataFrame:
+    """All columns of docs (but the text without texts), and n_tokens long, and with ids: token_ids array<int>; with digests:
+    ids_sha256 and decoded_sha256.
 
     Null counts as the empty text, which has no ids. path: the file of ranks, on every
     executor. Columns of docs with the new names are replaced. Rows that repeat are encoded each; an
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     new = ["n_tokens"] + ["token_ids"] * ids + ["ids_sha256", "decoded_sha256"] * digests
     kept = docs.drop(*new)
     types = {"n_tokens": "long", "token_ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
-    out = kept
+    out = kept if texts else kept.drop(text_col)
     for name in new:
         out = out.withColumn(name, F.lit(None).cast(types[name]))
 
@@ -183,22 +183,24 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         bpe = encoder(path, pattern)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            packed, n, sums, backs = [], [], [], []
-            for value in batch.column(at):
-                one = bpe.encode(value.as_py() or "")
-                n.append(len(one) // 4)
+            for part in slices(batch, at, HELD):
+                packed, n, sums, backs = [], [], [], []
+                for value in part.column(at):
+                    one = bpe.encode(value.as_py() or "")
+                    n.append(len(one) // 4)
+                    if ids:
+                        packed.append(one)
+                    if digests:
+                        sums.append(hashlib.sha256(one).hexdigest())
+                        backs.append(hashlib.sha256(bpe.decode(one)).hexdigest())
+                passed = [i for i in range(part.num_columns) if texts or i != at]
+                columns = [*(part.column(i) for i in passed), pa.array(n, pa.int64())]
                 if ids:
-                    packed.append(one)
+                    offsets = pa.array([0, *_running(n)], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(packed))])))
                 if digests:
-                    sums.append(hashlib.sha256(one).hexdigest())
-                    backs.append(hashlib.sha256(bpe.decode(one)).hexdigest())
-            columns = [*batch.columns, pa.array(n, pa.int64())]
-            if ids:
-                offsets = pa.array([0, *_running(n)], pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(packed))])))
-            if digests:
-                columns += [pa.array(sums, pa.string()), pa.array(backs, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
+                    columns += [pa.array(sums, pa.string()), pa.array(backs, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*(part.schema.names[i] for i in passed), *new])
 
     return kept.mapInArrow(run, out.schema)
 
@@ -235,4 +237,4 @@ def public_ranks() -> tuple[str, str]:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return encode(docs.select("doc_id", "text"), *public_ranks(), ids=False, digests=True).drop("text")
+    return encode(docs.select("doc_id", "text"), *public_ranks(), ids=False, digests=True, texts=False)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import components, text_of, written
+from tallyspark.llm.common import components, slices, text_of, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**14, 0.99996.
@@ -71,10 +71,11 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         words, total, texts = _Words(), np.zeros(1 << CLASS_BITS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h, _ = shingles(words, text)
-                total[np.unique(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] += 1
-                texts += 1
+            for part in slices(batch, 0):
+                for text in part.column(0).to_pylist():
+                    h, _ = shingles(words, text)
+                    total[np.unique(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] += 1
+                    texts += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], texts))], ["class", "texts"])
 
@@ -156,10 +157,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, inverse: np.ndarray) -> DataFr
         words, last, held = _Words(), None, None
         for batch in batches:
             sims = []
-            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):  # never all texts as strings
                 if b != last:  # a head's pairs mostly come one after another
-                    last, held = b, weighted(words, inverse, text_b)
-                sims.append(similarity(weighted(words, inverse, text_a), held))
+                    last, held = b, weighted(words, inverse, text_b.as_py())
+                sims.append(similarity(weighted(words, inverse, text_a.as_py()), held))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     return both.mapInArrow(run, "a binary, b binary, sim double")
@@ -247,11 +248,12 @@ def near_links(docs: DataFrame, text_col: str = "text", threshold: float = SIMIL
     def run(batches):
         words = _Words()
         for batch in batches:
-            keys = []
-            for text in batch.column(1).to_pylist():
-                h, w = weighted(words, inverse, text)
-                keys.append(band_keys(h, w) if len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+            for part in slices(batch, 1):
+                keys = []
+                for text in part.column(1).to_pylist():
+                    h, w = weighted(words, inverse, text)
+                    keys.append(band_keys(h, w) if len(h) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
     sampled = noded.select(F.col("__node").alias("node"), text_of(text_col).alias("text")).mapInArrow(run, "node binary, keys array<long>")
     entries = written(sampled.select("node", F.posexplode("keys").alias("band", "key")).distinct(), "near-entries")

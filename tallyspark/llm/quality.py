@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import text_of
+from tallyspark.llm.common import slices, text_of
 
 #: Most labelled rows that the driver fits on; the smallest hashes of their ids are taken.
 FIT_ROWS = 20_000
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "y", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             x = features(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
@@ -255,7 +255,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
         schema[field].nullable = True
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
             score = model.score(features(batch.column(batch.schema.get_field_index(text_col)).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"]

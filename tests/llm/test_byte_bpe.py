@@ -65,3 +65,30 @@ def test_patterns_that_cross_spaces(spark):
     texts = ["one two three four", "a b", " x y z ", ""]
     rows = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), path, crossing).collect()
     assert {r.i: list(r.token_ids) for r in rows} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_memory_stays_bounded(monkeypatch, library):
+    """One dictionary of two generations, whatever the vocabulary; ids come out in parts, and the text does not come back."""
+    path, pattern = byte_bpe.public_ranks()
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 50)
+    bpe = byte_bpe.Encoder(byte_bpe.encoder(path, pattern).ranks, pattern)
+    for k in range(400):
+        text = f"word{k}x, it's word{k % 7}y"
+        assert list(struct.unpack(f"<{len(p := bpe.encode(text)) // 4}I", p)) == library.encode_ordinary(text)
+    remembered = [bpe, *(x for x in vars(bpe).values() if isinstance(x, dict) and x and all(isinstance(k, str) for k in x))]
+    assert sum(map(len, remembered)) <= 100
+
+
+def test_ids_come_out_in_parts(spark, monkeypatch, library):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 50) for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    monkeypatch.setattr(byte_bpe, "HELD", 2000)
+    seen = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.update(run=run, names=schema.names) or self)
+    byte_bpe.encode(docs, *byte_bpe.public_ranks(), ids=True, digests=True, texts=False)
+    whole = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    parts = list(seen["run"](iter([whole])))
+    assert len(parts) > 5 and all(p.schema.names == seen["names"] and "text" not in seen["names"] for p in parts)
+    ids = {r["doc_id"]: r["token_ids"] for p in parts for r in p.to_pylist()}
+    assert ids == {r.doc_id: library.encode_ordinary(r.text or "") for r in docs.collect()}
