@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 import struct
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,63 @@ def test_ids_come_out_in_parts(spark, monkeypatch, library):
     assert len(parts) > 5 and all(p.schema.names == seen["names"] and "text" not in seen["names"] for p in parts)
     ids = {r["doc_id"]: r["token_ids"] for p in parts for r in p.to_pylist()}
     assert ids == {r.doc_id: library.encode_ordinary(r.text or "") for r in docs.collect()}
+
+
+def test_merges_of_many_pre_tokens_are_shared(spark, monkeypatch, library):
+    """Distinct pre-tokens of a run of texts meet in one queue: calls are far fewer than with a queue for each."""
+    import pyarrow as pa
+
+    path, pattern = byte_bpe.public_ranks()
+    bpe = byte_bpe.Encoder(byte_bpe.encoder(path, pattern).ranks, pattern)  # remembers nothing yet
+    draw = random.Random(3)
+    words = [" " + "".join(draw.choices(("th", "er", "in", "ou", "ä", "sch", "zu", "wh", "ble", "ti"), k=6)) for _ in range(20_000)]
+    texts = ["".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    docs = spark.createDataFrame([], "text string")
+    seen, calls = {}, 0
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.update(run=run) or self)
+    monkeypatch.setattr(byte_bpe, "encoder", lambda *_: bpe)
+    byte_bpe.encode(docs, path, pattern)
+
+    def count(frame, event, what):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        parts = list(seen["run"](iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    finally:
+        sys.setprofile(None)
+    assert [x for p in parts for x in p.column("token_ids").to_pylist()] == [library.encode_ordinary(t) for t in texts]
+    assert calls < 30 * len(words)
+
+
+def test_many_pre_tokens_at_once_equal_the_library(library):
+    """Runs that overlap, long pre-tokens and short ones beside each other."""
+    path, pattern = byte_bpe.public_ranks()
+    bpe = byte_bpe.Encoder(byte_bpe.encoder(path, pattern).ranks, pattern)
+    draw = random.Random(5)
+    letters = sorted(t for b in bpe.ranks if (t := b.decode(errors="replace")).isalpha() and len(t) < 9)
+    words = ["a" * n for n in range(1, 40)] + ["psych" * n for n in (1, 2, 9, 90, 300)]
+    words += ["".join(draw.choice(letters)[: draw.randint(1, 4)] for _ in range(draw.randint(2, 9))) for _ in range(8000)]
+    texts = [*words, " ".join(words), "\n".join(words), "", "x\x00 \x00y", "\u3000 ".join(words[:500])]
+    for got, text in zip(bpe.encode_all(texts), texts, strict=True):
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode_ordinary(text), text[:40]
+
+
+def test_smaller_ranks_that_come_up_go_first():
+    """Ranks in any order: a merge may bring up a smaller one, which takes what the next place of the same rank needs."""
+    import tiktoken
+
+    _, pattern = byte_bpe.public_ranks()
+    draw = random.Random(7)
+    made = [["bcb", "bc"]] + [draw.sample(sorted({"".join(draw.choices("abc", k=draw.randint(2, 5))) for _ in range(30)}), 15) for _ in range(60)]
+    words = ["bcbc", *("".join(draw.choices("abc", k=draw.randint(2, 40))) for _ in range(200))]
+    turned = 0
+    for tokens in made:
+        ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        bpe = byte_bpe.Encoder(ranks, pattern)
+        turned += bpe.pairs.turning.any()
+        for got, word in zip(bpe.encode_all(words), words, strict=True):
+            assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode_ordinary(word), (tokens, word)
+    assert turned > 30
